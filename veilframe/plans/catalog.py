@@ -70,3 +70,117 @@ def _single_sql(spec) -> str:
 
 for _name, _spec in SINGLE_TECHNIQUE:
     register(_name, _single_sql(_spec))(_single(_spec))
+
+
+# ---------------------------------------------------------------------------
+# Detection and configuration
+# ---------------------------------------------------------------------------
+
+from veilframe.operators import config as CF  # noqa: E402
+from veilframe.operators import detect as D  # noqa: E402
+from veilframe.plans.people import (PEOPLE_COLUMNS, OPAQUE_NAMES, people_ip_header_df,  # noqa: E402
+                                    people_opaque_df, people_opaque_sql)
+from veilframe.session import read_table  # noqa: E402
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+OPAQUE_COLUMNS = [OPAQUE_NAMES.get(c, c) for c in PEOPLE_COLUMNS]
+
+
+def _catalog_sql() -> str:
+    names = ", ".join(O.q(t) for t in TABLES)
+    return ("SELECT DISTINCT table_name, column_name FROM information_schema.columns "
+            f"WHERE table_name IN ({names})")
+
+
+@register("detect_headers",
+          f"SELECT c.table_name, c.column_name, h.pii_type FROM ({_catalog_sql()}) c LEFT JOIN "
+          f"({O.header_hits(_catalog_sql(), 'column_name', ['table_name', 'column_name'])}) h "
+          f"USING (table_name, column_name)")
+def detect_headers(spark, sf_dir):
+    cat = D.catalog(spark, {t: read_table(spark, sf_dir, t) for t in TABLES})
+    return D.detect_headers(cat).select("table_name", "column_name", "pii_type")
+
+
+@register("detect_values", O.value_types(people_opaque_sql(), OPAQUE_COLUMNS))
+def detect_values(spark, sf_dir):
+    return D.detect_values(people_opaque_df(spark, sf_dir))
+
+
+@register("detect_values_sampled",
+          O.value_types(people_opaque_sql(), [c for c in OPAQUE_COLUMNS if c != "k"], key="k",
+                        sample_rows=FX.DEFAULT_SAMPLE_ROWS))
+def detect_values_sampled(spark, sf_dir):
+    return D.detect_values(people_opaque_df(spark, sf_dir), key="k",
+                           sample_rows=FX.DEFAULT_SAMPLE_ROWS)
+
+
+def _ip_header_columns():
+    return [("ip_address" if c == "client_ip" else c) for c in PEOPLE_COLUMNS]
+
+
+def _ip_header_sql():
+    return (f"SELECT * RENAME (client_ip AS ip_address) FROM ({people_sql()}) p")
+
+
+@register("detect_pii",
+          f"SELECT 'people' AS table_name, * FROM ({O.detection(people_sql(), PEOPLE_COLUMNS)}) a "
+          f"UNION ALL SELECT 'people_ip_header' AS table_name, * FROM "
+          f"({O.detection(_ip_header_sql(), _ip_header_columns())}) b")
+def detect_pii(spark, sf_dir):
+    a = D.detect(people_df(spark, sf_dir)).select(F.lit("people").alias("table_name"), "*")
+    b = D.detect(people_ip_header_df(spark, sf_dir)) \
+        .select(F.lit("people_ip_header").alias("table_name"), "*")
+    return a.unionByName(b)
+
+
+# manual additions (D9) and overrides (D10) used by detect_overridden
+MANUAL = [("segment", FX.ADDRESS), ("email", FX.IP_ADDRESS)]
+OVERRIDES = [("cnic", FX.FULL_NAME, None), ("dob", FX.OVERRIDE_NONE, None),
+             ("age", None, False), ("phone", "", True)]
+
+
+def _overridden_sql() -> str:
+    det = O.detection(people_sql(), PEOPLE_COLUMNS)
+    man = " UNION ALL ".join(f"SELECT {O.q(c)} AS \"column\", {O.q(t)} AS pii_type, 'manual' AS method, "
+                             f"{O.q(FX.FALLBACK_TECHNIQUE)} AS default_tech, TRUE AS include"
+                             for c, t in MANUAL)
+    manual_cols = ", ".join(O.q(c) for c, _ in MANUAL)
+    merged = f"SELECT * FROM ({det}) d WHERE \"column\" NOT IN ({manual_cols}) UNION ALL {man}"
+    ov_rows = ", ".join(f"({O.q(c)}, {O.q(t) if t is not None else 'NULL'}, "
+                        f"{('TRUE' if i else 'FALSE') if i is not None else 'NULL'})"
+                        for c, t, i in OVERRIDES)
+    ov = f"SELECT * FROM (VALUES {ov_rows}) o(\"column\", o_type, o_inc)"
+    return (f"SELECT m.\"column\", CASE WHEN o.o_type IS NULL OR o.o_type IN ('', '(none)') "
+            f"THEN m.pii_type ELSE o.o_type END AS pii_type, m.method, m.default_tech, "
+            f"coalesce(o.o_inc, m.include) AS include FROM ({merged}) m "
+            f"LEFT JOIN ({ov}) o ON o.\"column\" = m.\"column\" WHERE coalesce(o.o_inc, m.include)")
+
+
+@register("detect_overridden", _overridden_sql())
+def detect_overridden(spark, sf_dir):
+    det = D.detect(people_df(spark, sf_dir))
+    det = CF.add_manual(det, spark.createDataFrame(MANUAL, "column string, pii_type string"))
+    det = CF.apply_overrides(det, spark.createDataFrame(
+        OVERRIDES, "column string, pii_type string, include boolean"))
+    return CF.included(det)
+
+
+def _resolve_sql() -> str:
+    det = O.detection(people_sql(), PEOPLE_COLUMNS, exclude=("k",))
+    prof = O.profiles_values()
+    names = ", ".join(f"({O.q(p[0])})" for p in FX.PROFILES)
+    return (f"SELECT n.profile, d.\"column\", d.pii_type, "
+            f"coalesce(p.technique, d.default_tech) AS technique, coalesce(p.priority, FALSE) AS priority "
+            f"FROM ({det}) d CROSS JOIN (SELECT * FROM (VALUES {names}) x(profile)) n "
+            f"LEFT JOIN ({prof}) p ON p.profile = n.profile AND p.pii_type = d.pii_type")
+
+
+@register("resolve_techniques", _resolve_sql())
+def resolve_techniques(spark, sf_dir):
+    det = D.detect(people_df(spark, sf_dir), exclude=("k",))
+    parts = [CF.technique_for(spark, det, p).select(F.lit(p).alias("profile"), "column", "pii_type",
+                                                     "technique", "priority")
+             for p in FX.profile_names()]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)

@@ -121,3 +121,73 @@ def fake_value(pii_type: str, i: str) -> str:
 
 def order_hash(v: str) -> str:
     return f"sha256({q(FK.INDEX_SEED)} || {v})"
+
+
+# ---------------------------------------------------------------------------
+# Detection (D2-D8) in SQL
+# ---------------------------------------------------------------------------
+
+def keywords_values() -> str:
+    rows = [f"({r[0]}, {q(r[1])}, {q(kw)})" for r in FX.PII_RULES for kw in r[2]]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") kw(rank, pii_type, keyword)"
+
+
+def header_hits(cat: str, name_col: str, keys: list[str]) -> str:
+    """``keys`` + pii_type for catalog rows with a keyword hit."""
+    k = ", ".join(keys)
+    return (f"SELECT {k}, arg_min(kw.pii_type, kw.rank) AS pii_type FROM ({cat}) c "
+            f"JOIN ({keywords_values()}) kw ON contains(lower({strip(name_col)}), kw.keyword) "
+            f"GROUP BY {k}")
+
+
+def non_empty(v: str) -> str:
+    return f"({v} IS NOT NULL AND {strip(v)} NOT IN ('', 'nan', 'NaN', 'None'))"
+
+
+def value_types(table_sql: str, columns: list[str], key: str | None = None,
+                sample_rows: int | None = None) -> str:
+    """``(column, pii_type)`` per column via UNPIVOT + one aggregation."""
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
+    sel = (f"{key}, " if key else "") + casts
+    cells = (f"UNPIVOT (SELECT {sel} FROM ({table_sql}) t) ON {', '.join(columns)} "
+             f"INTO NAME \"column\" VALUE v")
+    if sample_rows is not None:
+        cells = (f"SELECT \"column\", v FROM ({cells}) u "
+                 f"QUALIFY row_number() OVER (PARTITION BY \"column\" ORDER BY {key}) <= {sample_rows}")
+    sums = [f"sum(CASE WHEN {non_empty('v')} THEN 1 ELSE 0 END) AS total"]
+    for r in FX.PII_RULES:
+        sums.append(f"sum(CASE WHEN {non_empty('v')} AND regexp_matches(v, {q(r[3])}) THEN 1 ELSE 0 END) "
+                    f"AS hits_{r[0]}")
+    stats = f"SELECT \"column\", {', '.join(sums)} FROM ({cells}) x GROUP BY \"column\""
+    case = " ".join(f"WHEN total > 0 AND hits_{r[0]} >= {FX.MATCH_THRESHOLD} * total THEN {q(r[1])}"
+                    for r in FX.PII_RULES)
+    return f"SELECT \"column\", CASE {case} END AS pii_type FROM ({stats}) s"
+
+
+def default_tech(t: str) -> str:
+    whens = " ".join(f"WHEN {t} = {q(r[1])} THEN {q(r[4])}" for r in FX.PII_RULES)
+    return f"CASE {whens} ELSE {q(FX.FALLBACK_TECHNIQUE)} END"
+
+
+def detection(table_sql: str, columns: list[str], exclude: tuple = ()) -> str:
+    """Detected columns ``column, pii_type, method, default_tech, include``."""
+    cols = [c for c in columns if c not in exclude]
+    names = "SELECT * FROM (VALUES " + ", ".join(f"({q(c)})" for c in cols) + ") n(\"column\")"
+    hh = header_hits(names, '"column"', ['"column"'])
+    vt = value_types(table_sql, cols)
+    both = (f"SELECT n.\"column\", h.pii_type AS h_type, v.pii_type AS v_type FROM ({names}) n "
+            f"LEFT JOIN ({hh}) h ON h.\"column\" = n.\"column\" "
+            f"LEFT JOIN ({vt}) v ON v.\"column\" = n.\"column\"")
+    return (f"SELECT \"column\", coalesce(h_type, v_type) AS pii_type, "
+            f"CASE WHEN h_type IS NOT NULL THEN 'header' ELSE 'value' END AS method, "
+            f"{default_tech('coalesce(h_type, v_type)')} AS default_tech, TRUE AS include "
+            f"FROM ({both}) b WHERE coalesce(h_type, v_type) IS NOT NULL")
+
+
+def profiles_values() -> str:
+    rows = []
+    for name, _tags, techs, prio in FX.PROFILES:
+        for t, tech in techs.items():
+            rows.append(f"({q(name)}, {q(t)}, {q(tech)}, {'TRUE' if t in prio else 'FALSE'})")
+    return ("SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") p(profile, pii_type, technique, priority)")
