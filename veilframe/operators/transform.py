@@ -42,6 +42,10 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     column unchanged (P13).
     """
     rules = [r for r in as_rules(config) if r.include]
+    if isinstance(config, DataFrame):
+        # a collected config has no row order: use the table's column order
+        pos = {c: i for i, c in enumerate(df.columns)}
+        rules.sort(key=lambda r: pos.get(r.column, len(pos)))
     exprs, fakes, applied, skipped = {}, [], [], []
     for r in rules:
         if r.column not in df.columns:

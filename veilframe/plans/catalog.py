@@ -184,3 +184,427 @@ def resolve_techniques(spark, sf_dir):
              for p in FX.profile_names()]
     from functools import reduce
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---------------------------------------------------------------------------
+# Profiles end to end (C3-C5, P13-P14, K1) and pseudonyms (K1-K8)
+# ---------------------------------------------------------------------------
+
+from functools import reduce  # noqa: E402
+
+from veilframe.operators import pseudo as K  # noqa: E402
+
+
+def profile_config(spark, people, profile: str):
+    det = D.detect(people, exclude=("k",))
+    return CF.resolve(det, profile)
+
+
+def _profile_run(profile: str):
+    def run(spark, sf_dir):
+        people = people_df(spark, sf_dir)
+        return anonymize(people, profile_config(spark, people, profile)).df
+    return run
+
+
+def _expected_config(profile: str) -> dict[str, tuple[str, str]]:
+    """Header types of people's columns (names only) -> profile technique."""
+    techs = FX.get_profile(profile)[2]
+    out = {}
+    for c in PEOPLE_COLUMNS:
+        t = D.header_type(c) if c != "k" else None
+        if t is not None:
+            out[c] = (t, techs.get(t, FX.default_technique(t)))
+    return out
+
+
+def _mapping_sql(table_sql: str, fake_cols: list[tuple[str, str]]) -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS ord, {O.q(t)} AS pii_type, {O.strip(c)} AS original FROM ({table_sql}) t "
+        f"WHERE NOT {O.blank(c)}" for i, (c, t) in enumerate(fake_cols))
+    d = (f"SELECT original, arg_min(pii_type, ord) AS pii_type, count(*) AS n FROM ({cells}) c "
+         f"GROUP BY original")
+    r = (f"SELECT *, row_number() OVER (ORDER BY {O.order_hash('original')}, original) - 1 AS idx "
+         f"FROM ({d}) d")
+    return f"SELECT original, {O.fake_value('pii_type', 'idx')} AS fake, pii_type, idx, n FROM ({r}) r"
+
+
+def _apply_sql(table_sql: str, columns: list[str], config: dict[str, tuple[str, str]]) -> str:
+    fakes = [(c, t) for c, (t, tech) in config.items() if tech == FX.FAKE_DATA]
+    sel, joins = [], []
+    for c in columns:
+        if c not in config:
+            sel.append(f"p.{c}")
+            continue
+        t, tech = config[c]
+        if tech == FX.FAKE_DATA:
+            alias = f"m_{c}"
+            joins.append(f"LEFT JOIN mapping {alias} ON {alias}.original = {O.strip('p.' + c)}")
+            sel.append(f"CASE WHEN {O.blank('p.' + c)} THEN p.{c} ELSE {alias}.fake END AS {c}")
+        else:
+            v = f"p.{c}"
+            sel.append(f"{O.technique(v, tech, t, numeric=c in NUMERIC_PEOPLE)} AS {c}")
+    with_ = f"WITH mapping AS ({_mapping_sql(table_sql, fakes)}) " if fakes else ""
+    return f"{with_}SELECT {', '.join(sel)} FROM ({table_sql}) p {' '.join(joins)}"
+
+
+for _p, _key in [("Academic/Research", "anonymize_academic"), ("Corporate/HR", "anonymize_corporate"),
+                 ("Healthcare", "anonymize_healthcare")]:
+    register(_key, _apply_sql(people_sql(), PEOPLE_COLUMNS, _expected_config(_p)))(_profile_run(_p))
+
+
+def flagship(spark, sf_dir):
+    """people -> detect -> resolve(Healthcare) -> anonymize."""
+    return _profile_run("Healthcare")(spark, sf_dir)
+
+
+NAME_EMAIL = [("full_name", FX.FULL_NAME), ("email", FX.EMAIL)]
+TWO_NAMES = [("full_name", FX.FULL_NAME), ("manager_name", FX.FULL_NAME)]
+
+
+@register("pseudonym_mapping", _mapping_sql(people_sql(), NAME_EMAIL))
+def pseudonym_mapping(spark, sf_dir):
+    return K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL)
+
+
+@register("pseudonymize", _apply_sql(people_sql(), ["k", "full_name", "email"],
+                                     {c: (t, FX.FAKE_DATA) for c, t in NAME_EMAIL}))
+def pseudonymize(spark, sf_dir):
+    cfg = [(c, t, FX.FAKE_DATA) for c, t in NAME_EMAIL]
+    return anonymize(people_df(spark, sf_dir), cfg).df.select("k", "full_name", "email")
+
+
+@register("pseudonymize_two_columns",
+          _apply_sql(people_sql(blanks=False, two_names=True), ["k", "full_name", "manager_name"],
+                     {c: (t, FX.FAKE_DATA) for c, t in TWO_NAMES}))
+def pseudonymize_two_columns(spark, sf_dir):
+    cfg = [(c, t, FX.FAKE_DATA) for c, t in TWO_NAMES]
+    src = people_df(spark, sf_dir, blanks=False, two_names=True)
+    return anonymize(src, cfg).df.select("k", "full_name", "manager_name")
+
+
+@register("restore_round_trip", f"SELECT k, full_name, email FROM ({people_sql()}) p")
+def restore_round_trip(spark, sf_dir):
+    people = people_df(spark, sf_dir)
+    res = anonymize(people, [(c, t, FX.FAKE_DATA) for c, t in NAME_EMAIL])
+    back = K.restore(res.df, res.mapping, ["full_name", "email"])
+    return back.select("k", "full_name", "email")
+
+
+@register("mapping_collisions",
+          f"WITH m AS ({_mapping_sql(people_sql(), NAME_EMAIL)}) "
+          f"SELECT (SELECT count(*) FROM m) AS mappings, "
+          f"(SELECT count(*) FROM (SELECT fake FROM m GROUP BY fake HAVING count(*) > 1) x) AS colliding_fakes")
+def mapping_collisions(spark, sf_dir):
+    m = K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL)
+    per_fake = m.groupBy("fake").agg(F.count(F.lit(1)).alias("c"))
+    return per_fake.agg(F.sum("c").cast("bigint").alias("mappings"),
+                        F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).cast("bigint").alias("colliding_fakes"))
+
+
+KEY_CLOCK = "2026-01-01 00:00:00"
+
+
+def _academic_cfg_cols():
+    return [c for c in PEOPLE_COLUMNS if c in _expected_config("Academic/Research")]
+
+
+@register("key_metadata",
+          f"SELECT {O.q(KEY_CLOCK)} AS generated_at, 'customer.parquet' AS source_file, "
+          f"{O.q(','.join(_academic_cfg_cols()))} AS pseudonymized_cols, 'full_name' AS fake_cols, "
+          f"CAST(count(DISTINCT {O.strip('full_name')}) FILTER (WHERE NOT {O.blank('full_name')}) AS BIGINT) "
+          f"AS total_mappings, {O.q(FX.KEY_TOOL)} AS tool FROM ({people_sql()}) p")
+def key_metadata(spark, sf_dir):
+    import datetime as _dt
+    people = people_df(spark, sf_dir)
+    cfg = profile_config(spark, people, "Academic/Research")
+    res = anonymize(people, cfg, mode=FX.MODE_PSEUDONYMIZATION)
+    meta = K.key_metadata(res.mapping, f"{sf_dir}/customer.parquet",
+                          [r.column for r in res.applied], res.fake_columns,
+                          _dt.datetime(2026, 1, 1))
+    return meta.select(F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
+                       "source_file", F.array_join("pseudonymized_cols", ",").alias("pseudonymized_cols"),
+                       F.array_join("fake_cols", ",").alias("fake_cols"), "total_mappings", "tool")
+
+
+@register("hash_link_join",
+          f"SELECT o.o_orderkey, sha256(CAST(o.o_custkey AS VARCHAR)) AS link_hash, p.segment "
+          f"FROM orders o JOIN ({people_sql()}) p ON sha256(CAST(o.o_custkey AS VARCHAR)) = sha256(CAST(p.k AS VARCHAR))")
+def hash_link_join(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    people = people_df(spark, sf_dir).select("k", "segment")
+    return K.hash_link(orders, "o_custkey", people, "k").select("o_orderkey", "link_hash", "segment")
+
+
+@register("hash_link_semi",
+          f"SELECT sha256(CAST(p.k AS VARCHAR)) AS link_hash, p.segment FROM ({people_sql()}) p "
+          f"WHERE sha256(CAST(p.k AS VARCHAR)) IN (SELECT sha256(CAST(o_custkey AS VARCHAR)) FROM orders)")
+def hash_link_semi(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey")
+    people = people_df(spark, sf_dir).select("k", "segment")
+    return K.hash_link(people, "k", orders, "o_custkey", how="left_semi").select("link_hash", "segment")
+
+
+# ---------------------------------------------------------------------------
+# A1-A5: audit tables; S4/P15 preview; P13 pass-through
+# ---------------------------------------------------------------------------
+
+from veilframe.operators import audit as A  # noqa: E402
+from veilframe.operators.transform import preview  # noqa: E402
+
+RUN_ID = "run-20260101_000000"
+ACADEMIC = "Academic/Research"
+EXTRA_RULES = [("segment", None, "Shuffle", True), ("phone_2", FX.PHONE, FX.MASKING, False)]
+
+
+def _academic_rules(spark, people):
+    from veilframe.operators.config import as_rules
+    cfg = as_rules(profile_config(spark, people, ACADEMIC))
+    pos = {c: i for i, c in enumerate(people.columns)}
+    return sorted(cfg, key=lambda r: pos[r.column]) + as_rules(EXTRA_RULES)
+
+
+def _expected_rules():
+    cfg = _expected_config(ACADEMIC)
+    return [(c, t, tech, True) for c, (t, tech) in cfg.items()] + EXTRA_RULES
+
+
+@register("audit_summary",
+          f"SELECT {O.q(RUN_ID)} AS run_id, {O.q(KEY_CLOCK)} AS run_at, 'customer.parquet' AS input, "
+          f"'people_anonymized.parquet' AS output, {O.q(FX.MODE_ANONYMIZATION)} AS mode, {O.q(ACADEMIC)} AS profile, "
+          f"CAST(count(*) AS BIGINT) AS rows, CAST({len(_expected_rules())} AS BIGINT) AS cols_analysed, "
+          f"CAST({sum(1 for r in _expected_rules() if r[3])} AS BIGINT) AS cols_modified, "
+          f"CAST({sum(1 for r in _expected_rules() if not r[3])} AS BIGINT) AS cols_skipped, "
+          f"CAST(NULL AS VARCHAR) AS key, {O.q(A.mode_note(FX.MODE_ANONYMIZATION))} AS note "
+          f"FROM ({people_sql()}) p")
+def audit_summary(spark, sf_dir):
+    import datetime as _dt
+    people = people_df(spark, sf_dir)
+    rules = _academic_rules(spark, people)
+    out = anonymize(people, rules).df
+    s = A.audit_summary(out, RUN_ID, f"{sf_dir}/customer.parquet", "people_anonymized.parquet",
+                        FX.MODE_ANONYMIZATION, ACADEMIC, rules, run_at=_dt.datetime(2026, 1, 1))
+    return s.withColumn("run_at", F.date_format("run_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _audit_columns_sql():
+    rows = []
+    for c, t, tech, inc in _expected_rules():
+        if inc:
+            rows.append(f"({O.q(RUN_ID)}, {O.q(c)}, {O.q(t) if t else 'NULL'}, {O.q(tech)}, 'PROCESSED')")
+        else:
+            rows.append(f"({O.q(RUN_ID)}, {O.q(c)}, NULL, NULL, 'SKIPPED')")
+    return ("SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") v(run_id, \"column\", pii_type, technique, status)")
+
+
+@register("audit_columns", _audit_columns_sql())
+def audit_columns(spark, sf_dir):
+    return A.audit_columns(spark, RUN_ID, _academic_rules(spark, people_df(spark, sf_dir)))
+
+
+def _compliance_sql():
+    used = sorted({tech for _c, _t, tech, inc in _expected_rules() if inc})
+    techs = "SELECT * FROM (VALUES " + ", ".join(f"({O.q(t)})" for t in used) + ") t(technique)"
+    comp = ("SELECT * FROM (VALUES " + ", ".join(
+        f"({O.q(a)}, {O.q(b)}, {c}, {O.q(d)})" for a, b, c, d in FX.COMPLIANCE) +
+        ") c(technique, framework, seq, provision)")
+    return (f"SELECT t.technique, coalesce(c.framework, {O.q(FX.NO_COMPLIANCE_FRAMEWORK)}) AS framework, "
+            f"coalesce(c.seq, 1) AS seq, coalesce(c.provision, {O.q(FX.NO_COMPLIANCE_PROVISION)}) AS provision "
+            f"FROM ({techs}) t LEFT JOIN ({comp}) c ON c.technique = t.technique")
+
+
+@register("compliance_matrix", _compliance_sql())
+def compliance_matrix(spark, sf_dir):
+    return A.compliance_matrix(spark, _academic_rules(spark, people_df(spark, sf_dir)))
+
+
+def _change_counts_sql():
+    cfg = _expected_config(ACADEMIC)
+    after = _apply_sql(people_sql(), PEOPLE_COLUMNS, cfg)
+    parts = []
+    for c in cfg:
+        b = f"CAST(p.{c} AS VARCHAR)"
+        parts.append(
+            f"SELECT {O.q(c)} AS \"column\", CAST(count(*) AS BIGINT) AS rows, "
+            f"CAST(sum(CASE WHEN {b} IS NOT DISTINCT FROM a.{c} THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, "
+            f"CAST(sum(CASE WHEN {b} IS NOT DISTINCT FROM a.{c} THEN 0 ELSE 1 END) AS BIGINT) AS changed, "
+            f"CAST(sum(CASE WHEN {O.blank(b)} THEN 1 ELSE 0 END) AS BIGINT) AS blank "
+            f"FROM ({people_sql()}) p JOIN ({after}) a ON a.k = p.k")
+    return " UNION ALL ".join(parts)
+
+
+@register("change_counts", _change_counts_sql())
+def change_counts(spark, sf_dir):
+    people = people_df(spark, sf_dir)
+    return A.change_counts(people, profile_config(spark, people, ACADEMIC))
+
+
+def _preview_sql():
+    cfg = _expected_config("Healthcare")
+    cols = [c for c in PEOPLE_COLUMNS if c in cfg]
+    after = _apply_sql(people_sql(), PEOPLE_COLUMNS, cfg)
+    sel = ["p.k"] + [f"CAST(p.{c} AS VARCHAR) AS {c}_before, a.{c} AS {c}_after" for c in cols]
+    return (f"SELECT {', '.join(sel)} FROM (SELECT * FROM ({people_sql()}) x ORDER BY k LIMIT "
+            f"{FX.PREVIEW_ROWS}) p JOIN ({after}) a ON a.k = p.k")
+
+
+@register("preview_before_after", _preview_sql())
+def preview_before_after(spark, sf_dir):
+    people = people_df(spark, sf_dir)
+    return preview(people, profile_config(spark, people, "Healthcare"), key="k")
+
+
+PASSTHROUGH_RULES = [("segment", None, "Shuffle"), ("missing_col", FX.EMAIL, FX.MASKING),
+                     ("email", FX.EMAIL, FX.MASKING)]
+
+
+@register("passthrough_unknown_technique",
+          _apply_sql(people_sql(), PEOPLE_COLUMNS, {"email": (FX.EMAIL, FX.MASKING)}))
+def passthrough_unknown_technique(spark, sf_dir):
+    import warnings
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return anonymize(people_df(spark, sf_dir), PASSTHROUGH_RULES).df
+
+
+# ---------------------------------------------------------------------------
+# Personal data inside long text (whole texts)
+# ---------------------------------------------------------------------------
+
+def _span_sql(table: str, text: str, by: list[str]) -> str:
+    parts = []
+    g = ", ".join(by)
+    for r in FX.PII_RULES:
+        cnt = f"len(regexp_extract_all({text}, {O.q(r[3])}))"
+        sel = (f"{g}, " if by else "")
+        parts.append(
+            f"SELECT {sel}{O.q(r[1])} AS pii_type, CAST(sum(CASE WHEN {cnt} > 0 THEN 1 ELSE 0 END) AS BIGINT) "
+            f"AS rows_with_hit, CAST(sum({cnt}) AS BIGINT) AS spans FROM {table} WHERE {text} IS NOT NULL"
+            + (f" GROUP BY {g}" if by else ""))
+    return " UNION ALL ".join(parts)
+
+
+@register("text_span_counts", _span_sql("documents", "text", ["lang"]))
+def text_span_counts(spark, sf_dir):
+    return D.span_counts(read_table(spark, sf_dir, "documents"), "text", ["lang"])
+
+
+@register("text_span_counts_conversations", _span_sql("conversations", "text", ["role"]))
+def text_span_counts_conversations(spark, sf_dir):
+    return D.span_counts(read_table(spark, sf_dir, "conversations"), "text", ["role"])
+
+
+@register("text_span_counts_pages", _span_sql("pages", "html", []))
+def text_span_counts_pages(spark, sf_dir):
+    return D.span_counts(read_table(spark, sf_dir, "pages"), "html", [])
+
+
+def _redact_sql(v: str) -> str:
+    out = v
+    for r in FX.PII_RULES:
+        out = f"regexp_replace({out}, {O.q(r[3])}, {O.q(FX.REDACTED)}, 'g')"
+    return out
+
+
+@register("text_redacted", f"SELECT doc_id, {_redact_sql('text')} AS text_redacted FROM documents")
+def text_redacted(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", D.redact_spans(F.col("text")).alias("text_redacted"))
+
+
+# ---------------------------------------------------------------------------
+# CSV round trip (rows-only: CSV cannot tell null from '')
+# ---------------------------------------------------------------------------
+
+from veilframe.session import scratch_path  # noqa: E402
+from veilframe.sources import files as S  # noqa: E402
+
+
+@register("csv_round_trip")
+def csv_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "csv-round-trip")
+    S.write_csv(people_df(spark, sf_dir), path)
+    return S.read_csv(spark, path)
+
+
+# ---------------------------------------------------------------------------
+# extensions
+# ---------------------------------------------------------------------------
+
+from veilframe.functions.techniques import hash_sha256, dob_year, age_band  # noqa: E402
+from veilframe.operators import privacy as X  # noqa: E402
+
+SALT = "pepper|"
+
+
+@register("salted_hash",
+          f"SELECT k, CASE WHEN {O.blank('cnic')} THEN cnic ELSE sha256({O.q(SALT)} || cnic) END AS cnic "
+          f"FROM ({people_sql()}) p")
+def salted_hash(spark, sf_dir):
+    cfg = [("cnic", FX.CNIC, FX.HASHING)]
+    return anonymize(people_df(spark, sf_dir), cfg, salt=SALT).df.select("k", "cnic")
+
+
+def _qi_sql():
+    return (f"SELECT {O.age_band_int('age')} AS age_band, "
+            f"CASE WHEN {O.blank('dob')} THEN dob ELSE {O.dob_year('dob')} END AS dob_year, segment "
+            f"FROM ({people_sql()}) p")
+
+
+@register("k_anonymity",
+          f"SELECT age_band, dob_year, segment, count(*) AS k FROM ({_qi_sql()}) q GROUP BY ALL")
+def k_anonymity(spark, sf_dir):
+    p = people_df(spark, sf_dir)
+    q = p.select(age_band(F.col("age").cast("string")).alias("age_band"),
+                 F.when(F.col("dob").isNull() | F.col("dob").rlike(r"\A\s*\z"), F.col("dob"))
+                 .otherwise(dob_year(F.col("dob"))).alias("dob_year"), "segment")
+    return X.k_anonymity(q, ["age_band", "dob_year", "segment"])
+
+
+@register("drop_columns", f"SELECT * EXCLUDE (cnic, credit_card) FROM ({people_sql()}) p")
+def drop_columns(spark, sf_dir):
+    return X.drop_columns(people_df(spark, sf_dir), ["cnic", "credit_card"])
+
+
+@register("age_top_coded",
+          f"SELECT k, CASE WHEN age >= {X.TOP_CODE_AGE} THEN '{X.TOP_CODE_AGE}+' ELSE {O.age_band_int('age')} END "
+          f"AS age FROM ({people_sql()}) p")
+def age_top_coded(spark, sf_dir):
+    p = people_df(spark, sf_dir)
+    return p.select("k", X.age_top_coded(F.col("age"), p.schema["age"].dataType).alias("age"))
+
+
+@register("encrypted_key_round_trip",
+          f"SELECT original, fake, pii_type FROM ({_mapping_sql(people_sql(), NAME_EMAIL)}) m")
+def encrypted_key_round_trip(spark, sf_dir):
+    m = K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL)
+    secret = "0123456789abcdef0123456789abcdef"
+    return X.decrypt_key(X.encrypt_key(m, secret), secret).select("original", "fake", "pii_type")
+
+
+# ---------------------------------------------------------------------------
+# D3 over every atomic column of every provided table (full-column mode)
+# ---------------------------------------------------------------------------
+
+def _atomic_columns(table: str) -> list[str]:
+    """Column names of a provided table from its parquet footer (names and
+    types are the same at every scale factor)."""
+    import pyarrow.parquet as pq
+    import pyarrow.types as pt
+    schema = pq.read_schema(f"/root/testdata/sf0.001/{table}.parquet")
+    return [f.name for f in schema if not (pt.is_list(f.type) or pt.is_large_list(f.type)
+                                           or pt.is_struct(f.type) or pt.is_map(f.type))]
+
+
+def _detect_tables_sql() -> str:
+    parts = [f"SELECT {O.q(t)} AS table_name, * FROM ({O.value_types(t, _atomic_columns(t))}) x{i}"
+             for i, t in enumerate(TABLES)]
+    return " UNION ALL ".join(parts)
+
+
+@register("detect_tables", _detect_tables_sql())
+def detect_tables(spark, sf_dir):
+    parts = [D.detect_values(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*")
+             for t in TABLES]
+    return reduce(DataFrame.unionByName, parts)
