@@ -96,12 +96,27 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
     return long.select("column", "v")
 
 
-def value_stats(cells: DataFrame, rules=None, unicode: bool = False) -> DataFrame:
-    """Per column ``total`` non-empty cells and ``hits_<rank>`` per rule."""
+# --- fixed values: built-in rules that can match the text of a number ---------
+# Spark prints numbers with digits, '.', '-', '+' and 'E' only (NaN is null
+# here, 'Infinity' has no digits).  Email needs '@', Full Name and ID need
+# letters, Address needs whitespace, CNIC / DOB need two separators between
+# digit groups and IP three dots: none can match such text.
+NUMBER_CAPABLE = {FX.PHONE, FX.CREDIT_CARD, FX.AGE}
+
+
+def value_stats(cells: DataFrame, rules=None, unicode: bool = False,
+                numeric: bool = False) -> DataFrame:
+    """Per column ``total`` non-empty cells and ``hits_<rank>`` per rule.
+
+    ``numeric``: every cell is the text of a number, so it is non-empty and
+    built-in rules that cannot match digits are not evaluated (their sum is 0)."""
     rs = _rules(rules)
-    ne = is_non_empty(F.col("v"))
+    ne = F.col("v").isNotNull() if numeric else is_non_empty(F.col("v"))
     aggs = [F.sum(F.when(ne, 1).otherwise(0)).cast("bigint").alias("total")]
     for r in rs:
+        if numeric and rules is None and r[1] not in NUMBER_CAPABLE:
+            aggs.append(F.lit(0).cast("bigint").alias(f"hits_{r[0]}"))
+            continue
         hit = ne & F.col("v").rlike(unicode_pattern(r[3], unicode))
         aggs.append(F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias(f"hits_{r[0]}"))
     return cells.groupBy("column").agg(*aggs)
@@ -126,7 +141,14 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, pii_type string")
-    stats = value_stats(value_cells(df, columns, key, sample_rows), rules, unicode)
+    nums = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    others = [c for c in columns if c not in nums]
+    parts = []
+    for group, numeric in ((nums, True), (others, False)):
+        if group:
+            parts.append(value_stats(value_cells(df, group, key, sample_rows), rules, unicode,
+                                     numeric=numeric and not unicode))
+    stats = reduce(DataFrame.unionByName, parts)
     return stats.select("column", first_value_type(stats, rules).alias("pii_type"))
 
 

@@ -80,7 +80,7 @@ from veilframe.operators import config as CF  # noqa: E402
 from veilframe.operators import detect as D  # noqa: E402
 from veilframe.plans.people import (PEOPLE_COLUMNS, OPAQUE_NAMES, people_ip_header_df,  # noqa: E402
                                     people_opaque_df, people_opaque_sql)
-from veilframe.session import read_table  # noqa: E402
+from veilframe.session import read_table, spread  # noqa: E402
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -487,17 +487,17 @@ def _span_sql(table: str, text: str, by: list[str]) -> str:
 
 @register("text_span_counts", _span_sql("documents", "text", ["lang"]))
 def text_span_counts(spark, sf_dir):
-    return D.span_counts(read_table(spark, sf_dir, "documents"), "text", ["lang"])
+    return D.span_counts(spread(read_table(spark, sf_dir, "documents")), "text", ["lang"])
 
 
 @register("text_span_counts_conversations", _span_sql("conversations", "text", ["role"]))
 def text_span_counts_conversations(spark, sf_dir):
-    return D.span_counts(read_table(spark, sf_dir, "conversations"), "text", ["role"])
+    return D.span_counts(spread(read_table(spark, sf_dir, "conversations")), "text", ["role"])
 
 
 @register("text_span_counts_pages", _span_sql("pages", "html", []))
 def text_span_counts_pages(spark, sf_dir):
-    return D.span_counts(read_table(spark, sf_dir, "pages"), "html", [])
+    return D.span_counts(spread(read_table(spark, sf_dir, "pages")), "html", [])
 
 
 def _redact_sql(v: str) -> str:
@@ -509,7 +509,7 @@ def _redact_sql(v: str) -> str:
 
 @register("text_redacted", f"SELECT doc_id, {_redact_sql('text')} AS text_redacted FROM documents")
 def text_redacted(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", D.redact_spans(F.col("text")).alias("text_redacted"))
 
 
@@ -605,6 +605,6 @@ def _detect_tables_sql() -> str:
 
 @register("detect_tables", _detect_tables_sql())
 def detect_tables(spark, sf_dir):
-    parts = [D.detect_values(read_table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*")
+    parts = [D.detect_values(spread(read_table(spark, sf_dir, t))).select(F.lit(t).alias("table_name"), "*")
              for t in TABLES]
     return reduce(DataFrame.unionByName, parts)

@@ -61,3 +61,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+SPREAD_MAX_BYTES = 4 * 1024 ** 3      # never add a shuffle for inputs above this
+
+
+def input_bytes(df) -> int | None:
+    """Total size of the files behind ``df`` (None when it is not file-backed)."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
+    """Round-robin ``df`` over all task slots before CPU-heavy row work
+    (regex scans of long text) when its scan cannot use them: fewer input
+    files than slots (a parquet row group is the unit of scan parallelism)
+    and a measured size below ``max_bytes``, so the added shuffle is bounded.
+    Large inputs are returned unchanged: their scan is already parallel."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= slots:
+        return df
+    size = input_bytes(df)
+    if size is None or size > max_bytes:
+        return df
+    return df.repartition(slots)
