@@ -1,0 +1,118 @@
+"""FIXTURES sections 2-3: header and value detection; threshold cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.functions import fixed as FX
+from veilframe.operators import detect as D
+from veilframe.operators import config as CF
+
+HEADERS = {
+    "email_address": FX.EMAIL, "phone_number": FX.PHONE, "card_number": FX.PHONE,
+    "number_of_visits": FX.PHONE, "national_id": FX.CNIC, "clinic": FX.CNIC,
+    "city_name": FX.FULL_NAME, "username": FX.FULL_NAME, "dob": FX.DOB, "ip_address": FX.ADDRESS,
+    "location_id": FX.ADDRESS, "description": FX.IP_ADDRESS, "host": FX.IP_ADDRESS,
+    "account": FX.CREDIT_CARD, "credit_card": FX.CREDIT_CARD, "student_id": FX.STUDENT_ID,
+    "reg_no": FX.STUDENT_ID, "paid": FX.STUDENT_ID, "language": FX.AGE, "message": FX.AGE,
+    "salary": None, "gender": None, "birth_place": None, " Email ": FX.EMAIL,
+}
+
+
+def test_header_type_driver():
+    for name, expected in HEADERS.items():
+        assert D.header_type(name) == expected, name
+
+
+def test_header_theta_join(spark):
+    cat = spark.createDataFrame([("t", n, i, "string") for i, n in enumerate(HEADERS)],
+                                "table_name string, column_name string, ordinal int, data_type string")
+    got = {r["column_name"]: r["pii_type"] for r in D.detect_headers(cat).collect()}
+    assert got == HEADERS
+
+
+VALUES = {
+    "ali@example.com": FX.EMAIL, "+92-300-1234567": FX.PHONE, "0300-1234567": FX.PHONE,
+    "35202-1234567-1": FX.PHONE, "4111 1111 1111 1111": FX.PHONE, "Ali Hassan": FX.FULL_NAME,
+    "Ali": None, "123 Main Street, City": FX.FULL_NAME, "12 main st, Lahore": FX.ADDRESS,
+    "192.168.1.5": FX.IP_ADDRESS, "EMP001": FX.STUDENT_ID, "STU-2023-001": FX.STUDENT_ID,
+    "23": FX.AGE, "1234.56": FX.AGE, "130": None, "15/03/1990": FX.DOB, "1990-03-15": FX.DOB,
+    "15-03-1990": FX.DOB,
+}
+
+
+def test_value_pass_single_cells(spark):
+    cols = {f"c{i}": v for i, v in enumerate(VALUES)}
+    df = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{c} string" for c in cols))
+    got = {r["column"]: r["pii_type"] for r in D.detect_values(df).collect()}
+    for c, v in cols.items():
+        assert got[c] == VALUES[v], v
+
+
+@pytest.mark.parametrize("cells,flagged", [
+    (["ali@example.com", "x"], True),                # 1 of 2 -> 0.5 inclusive
+    (["ali@example.com", "x", "y"], False),          # 1 of 3
+    ([None, "", "nan", "None"], False),              # nothing non-empty
+    (["ali@example.com", "", " nan ", None], True),  # blanks do not count
+])
+def test_threshold(spark, cells, flagged):
+    df = spark.createDataFrame([(c,) for c in cells], "v string")
+    got = D.detect_values(df).collect()[0]["pii_type"]
+    assert (got == FX.EMAIL) is flagged
+
+
+def test_numeric_columns_same_as_text(spark):
+    """The number-typed shortcut gives the answer of the text path."""
+    rows = [(i, float(i) * 1.5, 10 ** 15 + i) for i in range(0, 300, 7)]
+    df = spark.createDataFrame(rows, "a bigint, b double, c bigint")
+    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    fast = {r["column"]: r["pii_type"] for r in D.detect_values(df).collect()}
+    slow = {r["column"]: r["pii_type"] for r in D.detect_values(as_text).collect()}
+    assert fast == slow
+
+
+def test_sampled_needs_key(spark):
+    df = spark.createDataFrame([("a",)], "v string")
+    with pytest.raises(ValueError):
+        D.detect_values(df, sample_rows=10)
+
+
+def test_sampled_first_rows(spark):
+    rows = [(i, "ali@example.com" if i < 10 else "zzz") for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    assert D.detect_values(df, key="k", sample_rows=10).collect()[0]["pii_type"] == FX.EMAIL
+    assert D.detect_values(df, key="k").collect()[0]["pii_type"] is None
+
+
+def test_two_pass_and_edits(spark):
+    df = spark.createDataFrame([("a@b.com", "x", "Ali Hassan", 3)],
+                               "contact_email string, notes string, c3 string, age int")
+    det = D.detect(df)
+    got = {r["column"]: (r["pii_type"], r["method"], r["default_tech"]) for r in det.collect()}
+    assert got == {"contact_email": (FX.EMAIL, "header", FX.MASKING),
+                   "c3": (FX.FULL_NAME, "value", FX.FAKE_DATA),
+                   "age": (FX.AGE, "header", FX.GENERALIZATION)}
+    det = CF.add_manual(det, spark.createDataFrame([("notes", FX.ADDRESS)], "column string, pii_type string"))
+    det = CF.apply_overrides(det, spark.createDataFrame(
+        [("c3", FX.CNIC, None), ("age", None, False)], "column string, pii_type string, include boolean"))
+    got = {r["column"]: (r["pii_type"], r["method"], r["default_tech"], r["include"]) for r in det.collect()}
+    assert got["notes"] == (FX.ADDRESS, "manual", FX.MASKING, True)
+    assert got["c3"] == (FX.CNIC, "value", FX.FAKE_DATA, True)       # default_tech kept
+    assert got["age"][3] is False
+    cfg = CF.resolve(det, "Healthcare")
+    assert {r["column"]: r["technique"] for r in cfg.collect()} == {
+        "contact_email": FX.NULL_DELETION, "c3": FX.HASHING, "notes": FX.GENERALIZATION}
+
+
+def test_empty_config_rejected(spark):
+    det = spark.createDataFrame([], CF.DETECTION_SCHEMA)
+    with pytest.raises(ValueError):
+        CF.build_config(det)
+
+
+def test_span_counts_and_redaction(spark):
+    df = spark.createDataFrame([("en", "mail ali@example.com or bob@x.org, ip 10.1.2.3"), ("en", None)],
+                               "lang string, text string")
+    got = {r["pii_type"]: (r["rows_with_hit"], r["spans"]) for r in D.span_counts(df, "text", ["lang"]).collect()}
+    assert got[FX.EMAIL] == (1, 2) and got[FX.IP_ADDRESS] == (1, 1)
+    red = df.select(D.redact_spans(F.col("text")).alias("t")).collect()[0]["t"]
+    assert "ali@example.com" not in red and "[REDACTED]" in red
