@@ -16,7 +16,6 @@ The mapping is built as a Spark job, never as a driver-side dict:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 import os
 
@@ -41,15 +40,18 @@ def key_text(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def collect_originals(df: DataFrame, columns: list[tuple[str, str | None]]) -> DataFrame:
-    """Steps 1-2: distinct originals with the first column's type and row count."""
+    """Steps 1-2: distinct originals with the first column's type and row count.
+
+    Aggregates ``min(ord)`` (a fixed-width buffer, so a hash aggregate with
+    partial aggregation map-side) and maps the winning ordinal to its type."""
     structs = []
-    for i, (name, pii_type) in enumerate(columns):
+    for i, (name, _t) in enumerate(columns):
         structs.append(F.struct(F.lit(i).alias("ord"),
-                                F.lit(pii_type).cast("string").alias("pii_type"),
                                 key_text(F.col(name), df.schema[name].dataType).alias("original")))
     cells = df.select(F.inline(F.array(*structs))).where(F.col("original").isNotNull())
-    return cells.groupBy("original").agg(F.min_by("pii_type", "ord").alias("pii_type"),
-                                         F.count(F.lit(1)).alias("n"))
+    types = F.array(*[F.lit(t).cast("string") for _c, t in columns])
+    return cells.groupBy("original").agg(F.min("ord").alias("_ord"), F.count(F.lit(1)).alias("n")) \
+        .select("original", F.element_at(types, F.col("_ord") + 1).alias("pii_type"), "n")
 
 
 def order_hash(original: Column) -> Column:
@@ -72,17 +74,13 @@ def hash_rank(df: DataFrame, start: Column | int = 0) -> DataFrame:
     offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("h", "original")))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    out = ranked.join(F.broadcast(offsets), "_b") \
+    # left join: an inner one would infer a not-null filter on the hash and
+    # push it below the distinct aggregation (one SHA-256 per cell, not per value)
+    out = ranked.join(F.broadcast(offsets), "_b", "left") \
         .withColumn("idx", (start_col + F.col("_off") + F.col("_r") - 1).cast("bigint"))
     return out.drop("_b", "_off", "_r")
 
 
-@dataclass
-class Mapping:
-    table: DataFrame              # original, fake, pii_type, idx, n
-    fake_columns: list[str]
-
-
 def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
                   existing: DataFrame | None = None, persist: bool = True) -> DataFrame:
     """K1/K2/K4: mapping ``(original, fake, pii_type, idx, n)``.
@@ -93,6 +91,11 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
     and by the key sink, and cutting lineage makes it survive lost executors.
     """
     originals = collect_originals(df, columns)
+    if persist:
+        # the distinct set is read twice (bucket sizes, ranks): cut it once so
+        # the source is scanned and shuffled a single time
+        checkpoint_dir(df.sparkSession)
+        originals = originals.checkpoint(eager=True)
     if existing is not None:
         old = existing.select("original", "fake", "pii_type", "idx",
                               F.col("n") if "n" in existing.columns else F.lit(0).cast("bigint").alias("n"))
@@ -110,7 +113,6 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
         mapping = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
                                 "pii_type", "idx", "n")
     if persist:
-        checkpoint_dir(df.sparkSession)
         mapping = mapping.checkpoint(eager=True)
     return mapping
 
