@@ -170,24 +170,29 @@ def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str |
     """Header pass, then the value pass for the columns it missed.
 
     Returns ``column, pii_type, method, default_tech, include`` for detected
-    columns only.  The header pass works on names alone; the value pass is
-    one aggregation job over the data.
+    columns only, in table column order.  The header pass works on names
+    alone; the value pass is one aggregation job over the data whose result
+    (one row per column) is collected, so later steps (config, audit) never
+    re-run the scan.
     """
     spark = df.sparkSession
     names = [c for c in df.columns if c not in exclude]
     header = {c: header_type(c, rules) for c in names}   # names only: bounded by width
-    by_header = [(c, t, "header") for c, t in header.items() if t is not None]
     missed = [c for c in names if header[c] is None and is_atomic(df.schema[c].dataType)
               and c != key]
-    parts = [spark.createDataFrame(by_header, "column string, pii_type string, method string")]
+    by_value = {}
     if missed:
-        vals = detect_values(df, missed, rules, key, sample_rows, unicode) \
-            .where(F.col("pii_type").isNotNull()).withColumn("method", F.lit("value"))
-        parts.append(vals)
-    found = reduce(DataFrame.unionByName, parts)
-    return found.select("column", "pii_type", "method",
-                        default_tech_col(F.col("pii_type"), rules).alias("default_tech"),
-                        F.lit(True).alias("include"))
+        for r in detect_values(df, missed, rules, key, sample_rows, unicode).collect():
+            if r["pii_type"] is not None:
+                by_value[r["column"]] = r["pii_type"]
+    defaults = {r[1]: r[4] for r in _rules(rules)}
+    rows = []
+    for c in names:
+        t, method = (header[c], "header") if header[c] is not None else (by_value.get(c), "value")
+        if t is not None:
+            rows.append((c, t, method, defaults.get(t, FX.FALLBACK_TECHNIQUE), True))
+    return spark.createDataFrame(
+        rows, "column string, pii_type string, method string, default_tech string, include boolean")
 
 
 def pii_type_names(spark: SparkSession, rules=None) -> DataFrame:
