@@ -608,3 +608,63 @@ def detect_tables(spark, sf_dir):
     parts = [D.detect_values(spread(read_table(spark, sf_dir, t))).select(F.lit(t).alias("table_name"), "*")
              for t in TABLES]
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---------------------------------------------------------------------------
+# Larger given tables: the whole run on customer, projections over lineitem,
+# fake ids over orders
+# ---------------------------------------------------------------------------
+
+from veilframe.plans import job as J  # noqa: E402
+
+
+def _run_customer_sql() -> str:
+    m = _mapping_sql("customer", [("c_name", FX.FULL_NAME)])
+    return (f"WITH mapping AS ({m}) SELECT c.c_custkey, "
+            f"CASE WHEN {O.blank('c.c_name')} THEN c.c_name ELSE mapping.fake END AS c_name, "
+            f"{O.technique('c.c_nationkey', FX.GENERALIZATION, FX.AGE, numeric=True)} AS c_nationkey, "
+            f"CASE WHEN c.c_acctbal IS NULL OR isnan(c.c_acctbal) THEN NULL ELSE '' END AS c_acctbal, "
+            f"c.c_mktsegment FROM customer c LEFT JOIN mapping ON mapping.original = {O.strip('c.c_name')}")
+
+
+@register("run_customer", _run_customer_sql())
+def run_customer(spark, sf_dir):
+    """The whole run (detect, Academic profile, pseudonyms, key, audit) on customer."""
+    out = scratch_path(spark, "run-customer")
+    res = J.run(spark, f"{sf_dir}/customer.parquet", out, profile=ACADEMIC,
+                mode=FX.MODE_PSEUDONYMIZATION, exclude=("c_custkey",))
+    return spark.read.parquet(res.output)
+
+
+LINEITEM_RULES = [("l_orderkey", FX.STUDENT_ID, FX.HASHING), ("l_partkey", FX.STUDENT_ID, FX.HASHING),
+                  ("l_suppkey", FX.STUDENT_ID, FX.HASHING), ("l_shipdate", FX.DOB, FX.GENERALIZATION),
+                  ("l_extendedprice", FX.CREDIT_CARD, FX.MASKING), ("l_linenumber", FX.PHONE, FX.MASKING),
+                  ("l_returnflag", None, FX.REDACTION)]
+
+
+def _lineitem_sql() -> str:
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    cfg = {c: (t, tech) for c, t, tech in LINEITEM_RULES}
+    sel = []
+    for c in cols:
+        if c in cfg:
+            t, tech = cfg[c]
+            sel.append(f"{O.technique(f'CAST({c} AS VARCHAR)', tech, t)} AS {c}")
+        else:
+            sel.append(c)
+    return f"SELECT {', '.join(sel)} FROM lineitem"
+
+
+@register("anonymize_lineitem", _lineitem_sql())
+def anonymize_lineitem(spark, sf_dir):
+    return anonymize(read_table(spark, sf_dir, "lineitem"), LINEITEM_RULES).df
+
+
+@register("pseudonymize_orders",
+          f"WITH mapping AS ({_mapping_sql('(SELECT CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders)', [('o_custkey', FX.STUDENT_ID)])}) "
+          f"SELECT o.o_orderkey, mapping.fake AS o_custkey FROM orders o "
+          f"LEFT JOIN mapping ON mapping.original = CAST(o.o_custkey AS VARCHAR)")
+def pseudonymize_orders(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return anonymize(orders, [("o_custkey", FX.STUDENT_ID, FX.FAKE_DATA)]).df

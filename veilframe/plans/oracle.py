@@ -114,9 +114,14 @@ def fake_email(i: str) -> str:
             f"'@{FK.FAKE_EMAIL_DOMAIN}'")
 
 
+def fake_id(i: str) -> str:
+    return f"{q(FK.FAKE_ID_PREFIX)} || printf('%06d', {i})"
+
+
 def fake_value(pii_type: str, i: str) -> str:
     return (f"CASE WHEN {pii_type} = {q(FX.FULL_NAME)} THEN {fake_name(i)} "
-            f"WHEN {pii_type} = {q(FX.EMAIL)} THEN {fake_email(i)} END")
+            f"WHEN {pii_type} = {q(FX.EMAIL)} THEN {fake_email(i)} "
+            f"WHEN {pii_type} = {q(FX.STUDENT_ID)} THEN {fake_id(i)} END")
 
 
 def order_hash(v: str) -> str:
