@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_HOT_ROWS = 1_000_000
@@ -61,8 +62,11 @@ def plan_lookup(table: DataFrame, key: str, value: str, weight: str | None,
 
 
 def _row_salt(df: DataFrame, salts: int) -> Column:
-    """Deterministic per-row salt in [1, salts] (recomputes give the same value)."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)) + 1
+    """Deterministic per-row salt in [1, salts] (recomputes give the same value).
+
+    Hashes every column xxhash64 accepts (maps are not hashable)."""
+    cols = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.pmod(F.xxhash64(*cols), F.lit(salts)) + 1
 
 
 def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key: str, value: str,
