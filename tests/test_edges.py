@@ -78,3 +78,21 @@ def test_spread_is_bounded(spark):
     assert spread(small, max_bytes=1) is small
     in_memory = spark.range(10)
     assert spread(in_memory) is in_memory
+
+
+def test_unweighted_table_finds_hot_keys_by_sampling(spark):
+    n = 6000
+    df = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("ID-000001"))
+        .otherwise(F.concat(F.lit("X"), F.col("id").cast("string"))).alias("v"))
+    table = spark.createDataFrame([("ID-000001", "Hot"), ("X1", "one")], "fake string, original string")
+    keys = df.select(F.col("v").alias("key"))
+    plan = lookup.plan_lookup(table, "fake", "original", None, broadcast_bytes=0, hot_rows=500,
+                              max_hot=10, data_keys=keys)
+    assert [r["key"] for r in plan.hot_keys.collect()] == ["ID-000001"]
+    out = K.restore(df, table.select("fake", "original"), ["v"], plan=plan)
+    got = {r["v"]: r["c"] for r in out.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+           .where(F.col("v").isin("Hot", "one")).collect()}
+    assert got == {"Hot": n // 3, "one": 1}
+    assert out.count() == n

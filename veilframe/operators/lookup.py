@@ -8,7 +8,9 @@ strategy is chosen from measured numbers, never assumed:
   ``broadcast_bytes``;
 * otherwise keys whose measured row weight is at least ``hot_rows`` are
   *hot*: at most ``max_hot`` of them (the cut is raised until the set fits)
-  are broadcast, and the remaining *cold* keys go through a shuffle join;
+  are broadcast, and the remaining *cold* keys go through a shuffle join.
+  A table without a weight column gets its hot keys from a sample of the
+  data's keys (the sample only nominates candidates; every row is joined);
 * rows that cannot match the cold side (blank cells, hot keys) get a salt
   in the join key, so a column that is one-third null or one-third a single
   value does not pile up in one reducer.
@@ -38,19 +40,37 @@ class LookupPlan:
     hot_cut: int | None
     n_keys: int
     n_bytes: int
+    hot_keys: DataFrame | None = None      # sampled candidates when there is no weight
+
+
+def sampled_hot_keys(data_keys: DataFrame, hot_rows: int, max_hot: int,
+                     fraction: float = WEIGHT_SAMPLE_FRACTION) -> DataFrame:
+    """Keys whose estimated row count (sample count / fraction) reaches
+    ``hot_rows``; at most ``max_hot`` of them (the heaviest), collected-free."""
+    est = data_keys.sample(fraction=fraction, seed=42).where(F.col("key").isNotNull()) \
+        .groupBy("key").agg((F.count(F.lit(1)) / F.lit(fraction)).alias("w"))
+    return est.where(F.col("w") >= hot_rows).orderBy(F.col("w").desc()).limit(max_hot).select("key")
 
 
 def plan_lookup(table: DataFrame, key: str, value: str, weight: str | None,
                 broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                hot_rows: int = DEFAULT_HOT_ROWS, max_hot: int = DEFAULT_MAX_HOT) -> LookupPlan:
-    """Measure the table (one small aggregation job) and pick a strategy."""
+                hot_rows: int = DEFAULT_HOT_ROWS, max_hot: int = DEFAULT_MAX_HOT,
+                data_keys: DataFrame | None = None) -> LookupPlan:
+    """Measure the table (one small aggregation job) and pick a strategy.
+
+    ``data_keys`` (one column ``key``: the keys of the rows to be looked up)
+    is used to nominate hot keys when the table has no ``weight`` column."""
     stats = table.agg(F.count(F.lit(1)).alias("n"),
                       F.sum(F.length(key) + F.length(value) + 48).alias("b")).first()
     n_keys, n_bytes = int(stats["n"] or 0), int(stats["b"] or 0)
     if n_bytes <= broadcast_bytes:
         return LookupPlan(True, None, n_keys, n_bytes)
     if weight is None:
-        return LookupPlan(False, None, n_keys, n_bytes)
+        if data_keys is None:
+            return LookupPlan(False, None, n_keys, n_bytes)
+        # materialized once (reliable checkpoint): the sample must not be redrawn per use
+        cand = sampled_hot_keys(data_keys, hot_rows, max_hot).checkpoint(eager=True)
+        return LookupPlan(False, None, n_keys, n_bytes, cand)
     cut = hot_rows
     n_hot = table.filter(F.col(weight) >= cut).count()
     if n_hot > max_hot:
@@ -72,14 +92,17 @@ def _row_salt(df: DataFrame, salts: int) -> Column:
 def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key: str, value: str,
                    weight: str | None = None, plan: LookupPlan | None = None,
                    salts: int = DEFAULT_SALTS, **plan_args) -> DataFrame:
-    """For each ``column -> key expression`` in ``keys``: cells whose key is
-    found in ``table`` get its ``value``; all other cells (null key = blank)
-    come out as ``keep`` (the key's source text, see ``keep_text``).
+    """For each ``column -> key expression`` in ``keys``: the ``value`` of the
+    table row whose ``key`` equals the cell's key (null key = blank cell).
 
     Returns ``df`` plus one column ``__lk_<column>`` per entry holding the
     looked-up value (null when unmatched); callers decide how to merge.
     """
-    plan = plan or plan_lookup(table, key, value, weight, **plan_args)
+    if plan is None:
+        data_keys = None
+        if weight is None:
+            data_keys = df.select(F.explode(F.array(*keys.values())).alias("key"))
+        plan = plan_lookup(table, key, value, weight, data_keys=data_keys, **plan_args)
     base_cols = list(df.columns)
     out = df
     names = list(keys)
@@ -96,6 +119,11 @@ def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key
     if plan.hot_cut is not None:
         hot = table.filter(F.col(weight) >= plan.hot_cut)
         cold = table.filter(F.col(weight) < plan.hot_cut)
+    elif plan.hot_keys is not None:
+        # candidates: at most max_hot keys (limit in sampled_hot_keys)
+        cand = F.broadcast(plan.hot_keys.withColumnRenamed("key", "__cand"))
+        hot = table.join(cand, F.col(key) == F.col("__cand"), "left_semi")
+        cold = table.join(cand, F.col(key) == F.col("__cand"), "left_anti")
     else:
         hot, cold = None, table
     salt = _row_salt(df.select(*base_cols), salts)
