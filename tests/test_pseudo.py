@@ -85,3 +85,17 @@ def test_hash_link(spark):
     b = spark.createDataFrame([(2, "z"), (3, "w")], "id bigint, b string")
     got = K.hash_link(a, "id", b, "id").collect()
     assert len(got) == 1 and got[0]["a"] == "y" and got[0]["b"] == "z"
+
+
+def test_hash_rank_deeper_prefix_same_ranks(spark):
+    d = spark.range(3000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("original"))
+    a = K.hash_rank(d, 0, 4).select("original", "idx")
+    b = K.hash_rank(d, 7, 6).select("original", (F.col("idx") - 7).alias("idx"))
+    assert _rows(a, "original", "idx") == _rows(b, "original", "idx")
+
+
+def test_bucket_digits():
+    assert K.bucket_digits(10) == 4
+    assert K.bucket_digits(65536 * 1_000_000) == 4
+    assert K.bucket_digits(65536 * 1_000_000 + 1) == 5
+    assert K.bucket_digits(10 ** 13) == 6

@@ -30,7 +30,8 @@ from veilframe.operators import lookup
 from veilframe.session import checkpoint_dir
 
 MAPPING_SCHEMA = "original string, fake string, pii_type string, idx bigint, n bigint"
-HASH_BUCKET_HEX = 4            # 16^4 = 65,536 range buckets by hash prefix
+TOP_HEX = 4                    # 16^4 = 65,536 top-level hash-prefix groups
+GROUP_ROWS = 1_000_000         # target rows per rank group (adaptive prefix depth)
 
 
 def key_text(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -58,27 +59,49 @@ def order_hash(original: Column) -> Column:
     return F.sha2(F.concat(F.lit(INDEX_SEED), original), 256)
 
 
-def hash_rank(df: DataFrame, start: Column | int = 0) -> DataFrame:
+def bucket_digits(n_rows: int, group_rows: int = GROUP_ROWS) -> int:
+    """Hex digits of the hash prefix so that a prefix group holds about
+    ``group_rows`` rows on average (at least 4, i.e. 65,536 groups)."""
+    digits = TOP_HEX
+    while n_rows > group_rows * 16 ** digits and digits < 12:
+        digits += 1
+    return digits
+
+
+def hash_rank(df: DataFrame, start: Column | int = 0, digits: int = TOP_HEX) -> DataFrame:
     """Step 3: ``idx`` = ``start`` + 0-based rank of ``h`` (then ``original``).
 
-    Rows are bucketed by the first hex digits of the (uniform) hash; bucket
-    sizes give prefix offsets over at most 65,536 rows, and ranks are taken
-    within buckets, so no step funnels the table through one partition.
+    Rows are grouped by the first ``digits`` hex digits of the (uniform)
+    hash; ranks are taken within groups and added to the group's offset, the
+    number of rows in smaller groups.  Offsets come from two bounded prefix
+    sums: over the 65,536 top-level (4-digit) groups, then within each
+    top-level group over its sub-groups (16^(digits-4) rows each).  No step
+    funnels the table through one partition, and group size stays near
+    ``GROUP_ROWS`` at any scale when ``digits`` comes from ``bucket_digits``.
     Equal to ``row_number() over (order by h, original) - 1`` + ``start``.
     """
     h = df.withColumn("h", order_hash(F.col("original"))) \
-        .withColumn("_b", F.conv(F.substring("h", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
-    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 16^HASH_BUCKET_HEX rows: the single-partition window is bounded
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("h", "original")))
+        .withColumn("_t", F.conv(F.substring("h", 1, TOP_HEX), 16, 10).cast("bigint")) \
+        .withColumn("_g", F.conv(F.substring("h", 1, digits), 16, 10).cast("bigint"))
+    counts = h.groupBy("_t", "_g").agg(F.count(F.lit(1)).alias("_c"))
+    top = counts.groupBy("_t").agg(F.sum("_c").alias("_tc"))
+    before = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    # at most 16^TOP_HEX rows: the single-partition window is bounded
+    top_off = top.select("_t", F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_toff"))
+    within = Window.partitionBy("_t").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    # 16^(digits - TOP_HEX) rows per top-level group
+    offsets = counts.join(top_off, "_t", "left").select(
+        "_g", (F.col("_toff") + F.coalesce(F.sum("_c").over(within), F.lit(0))).alias("_off"))
+    ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("h", "original")))
     start_col = start if isinstance(start, Column) else F.lit(start)
     # left join: an inner one would infer a not-null filter on the hash and
-    # push it below the distinct aggregation (one SHA-256 per cell, not per value)
-    out = ranked.join(F.broadcast(offsets), "_b", "left") \
+    # push it below the distinct aggregation (one SHA-256 per cell, not per value).
+    # The offsets table has one row per group: broadcast when groups are few
+    # (4 digits: 65,536 rows), shuffled alongside the groups otherwise.
+    side = F.broadcast(offsets) if digits == TOP_HEX else offsets
+    out = ranked.join(side, "_g", "left") \
         .withColumn("idx", (start_col + F.col("_off") + F.col("_r") - 1).cast("bigint"))
-    return out.drop("_b", "_off", "_r")
+    return out.drop("_t", "_g", "_off", "_r")
 
 
 def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
@@ -101,7 +124,7 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
                               F.col("n") if "n" in existing.columns else F.lit(0).cast("bigint").alias("n"))
         new = originals.join(old.select("original"), "original", "left_anti")
         start = F.lit(old.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0])
-        ranked = hash_rank(new, start)
+        ranked = hash_rank(new, start, bucket_digits(originals.count()) if persist else TOP_HEX)
         fresh = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
                               "pii_type", "idx", "n")
         counts = originals.select("original", F.col("n").alias("_n_now"))
@@ -109,7 +132,7 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
             "original", "fake", "pii_type", "idx", F.coalesce("_n_now", F.lit(0)).alias("n"))
         mapping = kept.unionByName(fresh)
     else:
-        ranked = hash_rank(originals)
+        ranked = hash_rank(originals, 0, bucket_digits(originals.count()) if persist else TOP_HEX)
         mapping = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
                                 "pii_type", "idx", "n")
     if persist:
