@@ -72,7 +72,7 @@ REDACTED = "[REDACTED]"
 GENERALIZED = "[GENERALIZED]"
 LOCATION_GENERALIZED = "[Location Generalized]"
 DOB_YEAR_PATTERN = r"\b(19|20)\d{2}\b"
-KEY_TOOL = "CSV-Anonymizer v1.0"
+KEY_TOOL = "veilframe"
 MODE_ANONYMIZATION = "Anonymization"
 MODE_PSEUDONYMIZATION = "Pseudonymization"
 
