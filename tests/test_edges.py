@@ -96,3 +96,12 @@ def test_unweighted_table_finds_hot_keys_by_sampling(spark):
            .where(F.col("v").isin("Hot", "one")).collect()}
     assert got == {"Hot": n // 3, "one": 1}
     assert out.count() == n
+
+
+def test_odd_column_names(spark):
+    from veilframe.operators import audit as A
+    df = spark.createDataFrame([("ali@b.com", "x")], "`e mail.addr` string, `it's` string")
+    got = A.change_counts(df, [("e mail.addr", FX.EMAIL, FX.MASKING), ("it's", None, FX.REDACTION)]).collect()
+    assert {r["column"]: r["changed"] for r in got} == {"e mail.addr": 1, "it's": 1}
+    det = {r["column"]: r["pii_type"] for r in D.detect(df).collect()}
+    assert det["e mail.addr"] == FX.EMAIL

@@ -58,3 +58,18 @@ def is_non_empty(text: Column) -> Column:
 def unicode_pattern(pattern: str, unicode: bool) -> str:
     """``(?U)`` gives Java's \\d, \\s, \\w and \\b Python-like Unicode classes."""
     return "(?U)" + pattern if unicode else pattern
+
+
+def sql_string(s: str) -> str:
+    """A SQL string literal for ``F.expr`` text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(name: str) -> str:
+    """A back-quoted identifier for ``F.expr`` text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    """A column by its exact name (dots and spaces are part of the name)."""
+    return F.col(sql_ident(name))

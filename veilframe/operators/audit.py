@@ -7,12 +7,12 @@ from __future__ import annotations
 from datetime import datetime
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
-from veilframe.functions.text import as_text, is_blank
-from veilframe.operators.config import ColumnRule, as_rules
+from veilframe.functions.text import as_text, col, is_blank, sql_string
+from veilframe.operators.config import as_rules
 from veilframe.operators.transform import anonymize
 
 # --- fixed values: mode notes and status words --------------------------------
@@ -83,19 +83,19 @@ def change_counts(df: DataFrame, config, **kw) -> DataFrame:
     The before value rides along in the same projection, so this is one
     scan and one aggregation, with no join of before and after."""
     rules = [r for r in as_rules(config) if r.include and r.column in df.columns]
-    carried = df.select("*", *[as_text(F.col(r.column), df.schema[r.column].dataType)
+    carried = df.select("*", *[as_text(col(r.column), df.schema[r.column].dataType)
                                .alias(f"__b_{r.column}") for r in rules])
     res = anonymize(carried, rules, **kw)
     aggs = []
-    for r in res.applied:
-        b, a = F.col(f"__b_{r.column}"), F.col(r.column)
-        aggs += [F.sum(F.when(b.eqNullSafe(a), 1).otherwise(0)).alias(f"u_{r.column}"),
-                 F.sum(F.when(is_blank(b), 1).otherwise(0)).alias(f"b_{r.column}")]
+    for i, r in enumerate(res.applied):
+        b, a = col(f"__b_{r.column}"), col(r.column)
+        aggs += [F.sum(F.when(b.eqNullSafe(a), 1).otherwise(0)).alias(f"u_{i}"),
+                 F.sum(F.when(is_blank(b), 1).otherwise(0)).alias(f"b_{i}")]
     if not aggs:
         return df.sparkSession.createDataFrame(
             [], "column string, rows bigint, unchanged bigint, changed bigint, blank bigint")
     wide = res.df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    stack = ", ".join(f"'{r.column}', u_{r.column}, b_{r.column}" for r in res.applied)
+    stack = ", ".join(f"{sql_string(r.column)}, u_{i}, b_{i}" for i, r in enumerate(res.applied))
     long = wide.select("rows", F.expr(f"stack({len(res.applied)}, {stack}) AS (column, unchanged, blank)"))
     return long.select("column", F.col("rows").cast("bigint"), F.col("unchanged").cast("bigint"),
                        (F.col("rows") - F.col("unchanged")).cast("bigint").alias("changed"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import fixed as FX
-from veilframe.functions.text import as_text, is_non_empty, py_strip, unicode_pattern
+from veilframe.functions.text import as_text, col, is_non_empty, py_strip, sql_string, unicode_pattern
 
 ATOMIC = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
           T.TimestampNTZType)
@@ -83,9 +83,9 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
                 sample_rows: int | None = None) -> DataFrame:
     """Unpivot ``columns`` into ``(column, v)`` text cells (nulls dropped,
     like ``dropna``).  With ``sample_rows`` keep the first n per column by key."""
-    texts = [as_text(F.col(c), df.schema[c].dataType).alias(c) for c in columns]
+    texts = [as_text(col(c), df.schema[c].dataType).alias(c) for c in columns]
     ids = [key] if key is not None else []
-    wide = df.select(*([F.col(key)] if key else []), *texts)
+    wide = df.select(*([col(key)] if key else []), *texts)
     long = wide.unpivot(ids, columns, "column", "v").where(F.col("v").isNotNull())
     if sample_rows is not None:
         if key is None:
@@ -213,11 +213,11 @@ def span_counts(df: DataFrame, text: str, by: list[str], rules=None,
     rs = _rules(rules)
     aggs = []
     for r in rs:
-        n = F.regexp_count(F.col(text), F.lit(unicode_pattern(r[3], unicode)))
+        n = F.regexp_count(col(text), F.lit(unicode_pattern(r[3], unicode)))
         aggs += [F.sum(F.when(n > 0, 1).otherwise(0)).cast("bigint").alias(f"r{r[0]}"),
                  F.sum(n).cast("bigint").alias(f"s{r[0]}")]
-    wide = df.where(F.col(text).isNotNull()).groupBy(*by).agg(*aggs)
-    stack = ", ".join(f"'{r[1]}', r{r[0]}, s{r[0]}" for r in rs)
+    wide = df.where(col(text).isNotNull()).groupBy(*[col(b) for b in by]).agg(*aggs)
+    stack = ", ".join(f"{sql_string(r[1])}, r{r[0]}, s{r[0]}" for r in rs)
     return wide.select(*by, F.expr(f"stack({len(rs)}, {stack}) AS (pii_type, rows_with_hit, spans)"))
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.text import col
+
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_HOT_ROWS = 1_000_000
 DEFAULT_MAX_HOT = 100_000
@@ -85,7 +87,7 @@ def _row_salt(df: DataFrame, salts: int) -> Column:
     """Deterministic per-row salt in [1, salts] (recomputes give the same value).
 
     Hashes every column xxhash64 accepts (maps are not hashable)."""
-    cols = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    cols = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     return F.pmod(F.xxhash64(*cols), F.lit(salts)) + 1
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.fakes import INDEX_SEED, fake_value
-from veilframe.functions.text import as_text, is_blank, py_strip
+from veilframe.functions.text import as_text, col, is_blank, py_strip
 from veilframe.operators import lookup
 from veilframe.session import checkpoint_dir
 
@@ -48,7 +48,7 @@ def collect_originals(df: DataFrame, columns: list[tuple[str, str | None]]) -> D
     structs = []
     for i, (name, _t) in enumerate(columns):
         structs.append(F.struct(F.lit(i).alias("ord"),
-                                key_text(F.col(name), df.schema[name].dataType).alias("original")))
+                                key_text(col(name), df.schema[name].dataType).alias("original")))
     cells = df.select(F.inline(F.array(*structs))).where(F.col("original").isNotNull())
     types = F.array(*[F.lit(t).cast("string") for _c, t in columns])
     return cells.groupBy("original").agg(F.min("ord").alias("_ord"), F.count(F.lit(1)).alias("n")) \
@@ -143,16 +143,16 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
 def replace_with_fakes(df: DataFrame, columns: list[str], mapping: DataFrame,
                        **lookup_args) -> DataFrame:
     """K1 step 5: blank cells unchanged, other cells replaced by their fake."""
-    keys = {c: key_text(F.col(c), df.schema[c].dataType) for c in columns}
-    texts = {c: as_text(F.col(c), df.schema[c].dataType) for c in columns}
+    keys = {c: key_text(col(c), df.schema[c].dataType) for c in columns}
+    texts = {c: as_text(col(c), df.schema[c].dataType) for c in columns}
     j = lookup.replace_values(df, keys, mapping, "original", "fake", weight="n", **lookup_args)
     out_cols = []
     for c in df.columns:
         if c in keys:
             out_cols.append(F.when(keys[c].isNull(), texts[c])
-                            .otherwise(F.coalesce(F.col(f"__lk_{c}"), texts[c])).alias(c))
+                            .otherwise(F.coalesce(col(f"__lk_{c}"), texts[c])).alias(c))
         else:
-            out_cols.append(F.col(c))
+            out_cols.append(col(c))
     return j.select(*out_cols)
 
 
@@ -165,10 +165,10 @@ def pseudonymize(df: DataFrame, columns: list[tuple[str, str | None]],
 def restore(df: DataFrame, mapping: DataFrame, columns: list[str], **lookup_args) -> DataFrame:
     """K6: fake -> original; values with no mapping are kept."""
     present = [c for c in columns if c in df.columns]
-    keys = {c: as_text(F.col(c), df.schema[c].dataType) for c in present}
+    keys = {c: as_text(col(c), df.schema[c].dataType) for c in present}
     weight = "n" if "n" in mapping.columns else None
     j = lookup.replace_values(df, keys, mapping, "fake", "original", weight=weight, **lookup_args)
-    out_cols = [F.coalesce(F.col(f"__lk_{c}"), keys[c]).alias(c) if c in keys else F.col(c)
+    out_cols = [F.coalesce(col(f"__lk_{c}"), keys[c]).alias(c) if c in keys else col(c)
                 for c in df.columns]
     return j.select(*out_cols)
 
@@ -183,7 +183,7 @@ def hash_link(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
               how: str = "inner", salt: str | None = None) -> DataFrame:
     """K8: link two tables on SHA-256 of their keys (P5 on both sides)."""
     def h(df, c):
-        v = as_text(F.col(c), df.schema[c].dataType)
+        v = as_text(col(c), df.schema[c].dataType)
         payload = v if salt is None else F.concat(F.lit(salt), v)
         return F.when(is_blank(v), F.lit(None).cast("string")).otherwise(F.sha2(payload, 256))
     lh = left.withColumn("link_hash", h(left, left_key)).drop(left_key)

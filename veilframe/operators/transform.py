@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.techniques import technique_column
+from veilframe.functions.text import col
 from veilframe.operators import pseudo
 from veilframe.operators.config import ColumnRule, as_rules
 
@@ -55,7 +56,7 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
             fakes.append(r)
             applied.append(r)
             continue
-        e = technique_column(F.col(r.column), r.technique, r.pii_type,
+        e = technique_column(col(r.column), r.technique, r.pii_type,
                              df.schema[r.column].dataType, unicode=unicode, salt=salt)
         if e is None:
             warnings.warn(f"unknown technique {r.technique!r} for column {r.column!r}; unchanged")
@@ -80,12 +81,12 @@ def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) ->
     then for each changed column ``<col>_before`` and ``<col>_after``.
     """
     rules = [r for r in as_rules(config) if r.include and r.column in df.columns]
-    head = df.orderBy(key).limit(n)
-    head = head.select("*", *[F.col(r.column).cast("string").alias(f"__before_{r.column}")
+    head = df.orderBy(col(key)).limit(n)
+    head = head.select("*", *[col(r.column).cast("string").alias(f"__before_{r.column}")
                               for r in rules])
     res = anonymize(head, rules, **kw)
-    cols = [F.col(key)]
+    cols = [col(key)]
     for r in res.applied:
-        cols += [F.col(f"__before_{r.column}").alias(f"{r.column}_before"),
-                 F.col(r.column).alias(f"{r.column}_after")]
+        cols += [col(f"__before_{r.column}").alias(f"{r.column}_before"),
+                 col(r.column).alias(f"{r.column}_after")]
     return res.df.select(*cols)

@@ -5,14 +5,25 @@ tables Spark derives from them) in full."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
-from veilframe.operators.transform import anonymize
+from veilframe.functions.techniques import age_band, dob_year
+from veilframe.operators import audit as A
+from veilframe.operators import config as CF
+from veilframe.operators import detect as D
+from veilframe.operators import privacy as X
+from veilframe.operators import pseudo as K
+from veilframe.operators.transform import anonymize, preview
+from veilframe.plans import job as J
 from veilframe.plans import oracle as O
-from veilframe.plans.people import people_df, people_sql
+from veilframe.plans.people import (OPAQUE_NAMES, PEOPLE_COLUMNS, people_df, people_ip_header_df,
+                                    people_opaque_df, people_opaque_sql, people_sql)
+from veilframe.session import read_table, scratch_path, spread
+from veilframe.sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,8 +74,7 @@ def _single(spec):
 def _single_sql(spec) -> str:
     sel = ["k"]
     for c, (t, tech) in spec.items():
-        v = c if c not in NUMERIC_PEOPLE else c
-        sel.append(f"{O.technique(v, tech, t, numeric=c in NUMERIC_PEOPLE)} AS {c}")
+        sel.append(f"{O.technique(c, tech, t, numeric=c in NUMERIC_PEOPLE)} AS {c}")
     return f"SELECT {', '.join(sel)} FROM ({people_sql()}) p"
 
 
@@ -76,11 +86,6 @@ for _name, _spec in SINGLE_TECHNIQUE:
 # Detection and configuration
 # ---------------------------------------------------------------------------
 
-from veilframe.operators import config as CF  # noqa: E402
-from veilframe.operators import detect as D  # noqa: E402
-from veilframe.plans.people import (PEOPLE_COLUMNS, OPAQUE_NAMES, people_ip_header_df,  # noqa: E402
-                                    people_opaque_df, people_opaque_sql)
-from veilframe.session import read_table, spread  # noqa: E402
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -182,7 +187,6 @@ def resolve_techniques(spark, sf_dir):
     parts = [CF.technique_for(spark, det, p).select(F.lit(p).alias("profile"), "column", "pii_type",
                                                      "technique", "priority")
              for p in FX.profile_names()]
-    from functools import reduce
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -190,10 +194,6 @@ def resolve_techniques(spark, sf_dir):
 # Profiles end to end (C3-C5, P13-P14, K1) and pseudonyms (K1-K8)
 # ---------------------------------------------------------------------------
 
-from functools import reduce  # noqa: E402
-
-from veilframe.operators import pseudo as K  # noqa: E402
-
 
 def profile_config(spark, people, profile: str):
     det = D.detect(people, exclude=("k",))
@@ -349,8 +349,6 @@ def hash_link_semi(spark, sf_dir):
 # A1-A5: audit tables; S4/P15 preview; P13 pass-through
 # ---------------------------------------------------------------------------
 
-from veilframe.operators import audit as A  # noqa: E402
-from veilframe.operators.transform import preview  # noqa: E402
 
 RUN_ID = "run-20260101_000000"
 ACADEMIC = "Academic/Research"
@@ -517,9 +515,6 @@ def text_redacted(spark, sf_dir):
 # CSV round trip (rows-only: CSV cannot tell null from '')
 # ---------------------------------------------------------------------------
 
-from veilframe.session import scratch_path  # noqa: E402
-from veilframe.sources import files as S  # noqa: E402
-
 
 @register("csv_round_trip")
 def csv_round_trip(spark, sf_dir):
@@ -532,8 +527,6 @@ def csv_round_trip(spark, sf_dir):
 # extensions
 # ---------------------------------------------------------------------------
 
-from veilframe.functions.techniques import hash_sha256, dob_year, age_band  # noqa: E402
-from veilframe.operators import privacy as X  # noqa: E402
 
 SALT = "pepper|"
 
@@ -615,8 +608,6 @@ def detect_tables(spark, sf_dir):
 # fake ids over orders
 # ---------------------------------------------------------------------------
 
-from veilframe.plans import job as J  # noqa: E402
-
 
 def _run_customer_sql() -> str:
     m = _mapping_sql("customer", [("c_name", FX.FULL_NAME)])
