@@ -116,3 +116,13 @@ def test_span_counts_and_redaction(spark):
     assert got[FX.EMAIL] == (1, 2) and got[FX.IP_ADDRESS] == (1, 1)
     red = df.select(D.redact_spans(F.col("text")).alias("t")).collect()[0]["t"]
     assert "ali@example.com" not in red and "[REDACTED]" in red
+
+
+def test_unicode_option(spark):
+    """ASCII classes by default (the oracle dialect); (?U) on request."""
+    arabic_phone = "٠٣٠٠-١٢٣٤٥٦٧"          # Arabic-Indic digits
+    df = spark.createDataFrame([(arabic_phone,)], "v string")
+    assert D.detect_values(df).collect()[0]["pii_type"] is None
+    assert D.detect_values(df, unicode=True).collect()[0]["pii_type"] == FX.PHONE
+    nbsp = spark.createDataFrame([(" ",)], "v string")      # Python strip() removes NBSP
+    assert D.detect_values(nbsp).collect()[0]["pii_type"] is None

@@ -39,7 +39,7 @@ def audit_summary(rows: DataFrame, run_id: str, input_file: str, output_file: st
     counted = rows if rows.columns == ["rows"] else rows.agg(F.count(F.lit(1)).alias("rows"))
     return counted.select(
         F.lit(run_id).alias("run_id"),
-        F.lit(run_at or datetime.now()).cast("timestamp").alias("run_at"),
+        F.lit((run_at or datetime.now()).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp").alias("run_at"),
         F.lit(os.path.basename(input_file)).alias("input"),
         F.lit(os.path.basename(output_file)).alias("output"),
         F.lit(mode).alias("mode"),

@@ -202,7 +202,8 @@ def key_metadata(mapping: DataFrame, source_file: str, configured_cols: list[str
     ts = generated_at or datetime.now()
     meta = mapping.agg(F.count(F.lit(1)).alias("total_mappings"))
     return meta.select(
-        F.lit(ts).cast("timestamp").alias("generated_at"),
+        # text parsed in the session time zone: renders back to the same wall time
+        F.lit(ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp").alias("generated_at"),
         F.lit(os.path.basename(source_file)).alias("source_file"),
         F.array(*[F.lit(c) for c in configured_cols]).cast("array<string>").alias("pseudonymized_cols"),
         F.array(*[F.lit(c) for c in fake_cols]).cast("array<string>").alias("fake_cols"),
