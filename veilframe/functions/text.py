@@ -20,8 +20,6 @@ from veilframe.functions.fixed import NOT_EMPTY_EXCLUDED
 # pattern text is valid for Java regex and for RE2 (the DuckDB oracle).
 WS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-ALL_WS = r"\A" + WS + r"*\z"
-EDGE_WS = r"\A" + WS + r"+|" + WS + r"+\z"
 
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -35,24 +33,25 @@ def as_text(c: Column, dtype: T.DataType | None = None) -> Column:
     return c.cast("string")
 
 
-def is_blank(text: Column) -> Column:
-    """Blank rule: null, or only whitespace.  ``text`` is already a string."""
-    return text.isNull() | text.rlike(ALL_WS)
+# the same characters as one string, for btrim (no regex per cell)
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def py_strip(text: Column) -> Column:
     """Python ``str.strip()`` (all whitespace, both ends)."""
-    return F.regexp_replace(text, EDGE_WS, "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
-# stripped text is '' or one of the excluded words <=> the whole cell matches this
-EMPTY_LIKE = (r"\A" + WS + r"*(?:" + "|".join(w for w in NOT_EMPTY_EXCLUDED if w) + r")?" + WS + r"*\z")
+def is_blank(text: Column) -> Column:
+    """Blank rule: null, or only whitespace.  ``text`` is already a string."""
+    return text.isNull() | (py_strip(text) == F.lit(""))
 
 
 def is_non_empty(text: Column) -> Column:
-    """Counts toward the value-pass denominator (one anchored regex,
-    same answer as ``strip(v) not in ('', 'nan', 'NaN', 'None')``)."""
-    return text.isNotNull() & ~text.rlike(EMPTY_LIKE)
+    """Counts toward the value-pass denominator:
+    ``strip(v) not in ('', 'nan', 'NaN', 'None')``."""
+    return text.isNotNull() & ~py_strip(text).isin(*NOT_EMPTY_EXCLUDED)
 
 
 def unicode_pattern(pattern: str, unicode: bool) -> str:

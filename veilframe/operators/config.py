@@ -138,9 +138,26 @@ def build_config(detected: DataFrame, chosen: DataFrame | None = None,
 
 
 def resolve(detected: DataFrame, profile: str | None = None) -> DataFrame:
-    """Profile technique per included column, as a config DataFrame."""
+    """The config for a detection table and a profile.
+
+    The detection table has one row per column (``detect`` returns it
+    materialised), so it is resolved over its collected rows against the
+    fixed profile table: no Spark job per lookup.  ``technique_for`` and
+    ``build_config`` are the same steps as DataFrame joins.
+    """
     spark = detected.sparkSession
-    if profile is None:
-        return build_config(detected)
-    chosen = technique_for(spark, detected, profile)
-    return build_config(detected, chosen)
+    prof = FX.get_profile(profile) if profile is not None else None
+    rows = []
+    for r in detected.select("column", "pii_type", "default_tech", "include").collect():
+        if r["include"] is False:
+            continue
+        if profile is not None:
+            # Profile technique -> the type's default -> Masking
+            tech = (prof[2].get(r["pii_type"]) if prof else None) or FX.default_technique(r["pii_type"])
+        else:
+            # C5 without a profile: the detection's default technique
+            tech = r["default_tech"] or FX.FALLBACK_TECHNIQUE
+        rows.append((r["column"], r["pii_type"], tech, True))
+    if not rows:
+        raise ValueError("no columns selected for processing")
+    return spark.createDataFrame(rows, CONFIG_SCHEMA)

@@ -19,6 +19,7 @@ from veilframe.functions.techniques import technique_column
 from veilframe.functions.text import col
 from veilframe.operators import pseudo
 from veilframe.operators.config import ColumnRule, as_rules
+from veilframe.session import spread
 
 
 @dataclass
@@ -43,6 +44,7 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     column unchanged (P13).
     """
     rules = [r for r in as_rules(config) if r.include]
+    df = spread(df)          # no-op unless a small input sits in fewer files than task slots
     if isinstance(config, DataFrame):
         # a collected config has no row order: use the table's column order
         pos = {c: i for i, c in enumerate(df.columns)}

@@ -88,6 +88,8 @@ def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
     files than slots (a parquet row group is the unit of scan parallelism)
     and a measured size below ``max_bytes``, so the added shuffle is bounded.
     Large inputs are returned unchanged: their scan is already parallel."""
+    if df.isStreaming:
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     files = df.inputFiles()
     if not files or len(files) >= slots:
