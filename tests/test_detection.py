@@ -126,3 +126,15 @@ def test_unicode_option(spark):
     assert D.detect_values(df, unicode=True).collect()[0]["pii_type"] == FX.PHONE
     nbsp = spark.createDataFrame([(" ",)], "v string")      # Python strip() removes NBSP
     assert D.detect_values(nbsp).collect()[0]["pii_type"] is None
+
+
+def test_typed_columns_same_as_text(spark):
+    """Typed shortcuts (dates, timestamps, booleans) give the text path's answer."""
+    import datetime as dt
+    rows = [(dt.date(1990, 3, i % 28 + 1), dt.datetime(2000, 1, 1, i % 24, 0, 0), i % 2 == 0)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "d date, ts timestamp, b boolean")
+    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    fast = {r["column"]: r["pii_type"] for r in D.detect_values(df).collect()}
+    slow = {r["column"]: r["pii_type"] for r in D.detect_values(as_text).collect()}
+    assert fast == slow and fast["d"] == FX.DOB

@@ -97,25 +97,43 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
     return long.select("column", "v")
 
 
-# --- fixed values: built-in rules that can match the text of a number ---------
+# --- fixed values: built-in rules that can match the text of a typed value ---
 # Spark prints numbers with digits, '.', '-', '+' and 'E' only (NaN is null
-# here, 'Infinity' has no digits).  Email needs '@', Full Name and ID need
+# here, 'Infinity' has no digits): Email needs '@', Full Name and ID need
 # letters, Address needs whitespace, CNIC / DOB need two separators between
-# digit groups and IP three dots: none can match such text.
+# digit groups and IP three dots, so none of them can match.  Dates and
+# timestamps print as 'yyyy-MM-dd[ HH:mm:ss[.f]]': no letters or '@', at most
+# one dot, and the one space is followed by a digit, so Email, Full Name, ID,
+# Address, IP and CNIC cannot match.  Booleans print as 'true' / 'false'.
 NUMBER_CAPABLE = {FX.PHONE, FX.CREDIT_CARD, FX.AGE}
+TEMPORAL_CAPABLE = {FX.PHONE, FX.CREDIT_CARD, FX.DOB, FX.AGE}
+BOOLEAN_CAPABLE: set[str] = set()
+_TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def capable_rules(dtype: T.DataType) -> set[str] | None:
+    """Built-in types that can match the text of ``dtype`` (None: all)."""
+    if isinstance(dtype, T.NumericType):
+        return NUMBER_CAPABLE
+    if isinstance(dtype, _TEMPORAL):
+        return TEMPORAL_CAPABLE
+    if isinstance(dtype, T.BooleanType):
+        return BOOLEAN_CAPABLE
+    return None
 
 
 def value_stats(cells: DataFrame, rules=None, unicode: bool = False,
-                numeric: bool = False) -> DataFrame:
+                capable: set[str] | None = None) -> DataFrame:
     """Per column ``total`` non-empty cells and ``hits_<rank>`` per rule.
 
-    ``numeric``: every cell is the text of a number, so it is non-empty and
-    built-in rules that cannot match digits are not evaluated (their sum is 0)."""
+    ``capable``: every cell is the text of a typed value (never blank), and
+    only the built-in rules in this set are evaluated (the others sum to 0)."""
     rs = _rules(rules)
-    ne = F.col("v").isNotNull() if numeric else is_non_empty(F.col("v"))
+    typed = capable is not None
+    ne = F.col("v").isNotNull() if typed else is_non_empty(F.col("v"))
     aggs = [F.sum(F.when(ne, 1).otherwise(0)).cast("bigint").alias("total")]
     for r in rs:
-        if numeric and rules is None and r[1] not in NUMBER_CAPABLE:
+        if typed and rules is None and r[1] not in capable:
             aggs.append(F.lit(0).cast("bigint").alias(f"hits_{r[0]}"))
             continue
         hit = ne & F.col("v").rlike(unicode_pattern(r[3], unicode))
@@ -143,13 +161,14 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
     if not columns:
         return spark.createDataFrame([], "column string, pii_type string")
     df = spread(df)          # no-op unless a small input sits in fewer files than task slots
-    nums = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    others = [c for c in columns if c not in nums]
-    parts = []
-    for group, numeric in ((nums, True), (others, False)):
-        if group:
-            parts.append(value_stats(value_cells(df, group, key, sample_rows), rules, unicode,
-                                     numeric=numeric and not unicode))
+    # one aggregation per kind of column text (typed kinds evaluate fewer rules)
+    groups: dict = {}
+    for c in columns:
+        kind = None if (unicode or rules is not None) else capable_rules(df.schema[c].dataType)
+        groups.setdefault(None if kind is None else frozenset(kind), []).append(c)
+    parts = [value_stats(value_cells(df, group, key, sample_rows), rules, unicode,
+                         None if kind is None else set(kind))
+             for kind, group in groups.items()]
     stats = reduce(DataFrame.unionByName, parts)
     return stats.select("column", first_value_type(stats, rules).alias("pii_type"))
 
