@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,20 +122,27 @@ def capable_rules(dtype: T.DataType) -> set[str] | None:
 
 
 def value_stats(cells: DataFrame, rules=None, unicode: bool = False,
-                capable: set[str] | None = None) -> DataFrame:
+                capable: dict[str, set[str] | None] | None = None) -> DataFrame:
     """Per column ``total`` non-empty cells and ``hits_<rank>`` per rule.
 
-    ``capable``: every cell is the text of a typed value (never blank), and
-    only the built-in rules in this set are evaluated (the others sum to 0)."""
+    ``capable`` maps a column to the built-in types its typed text can match
+    (None: any).  Typed cells are never blank, and a rule is only evaluated
+    on the columns that can match it: the column-name test comes first in a
+    short-circuit AND, so skipped cells cost no regex."""
     rs = _rules(rules)
-    typed = capable is not None
-    ne = F.col("v").isNotNull() if typed else is_non_empty(F.col("v"))
+    capable = capable or {}
+    typed = [c for c, k in capable.items() if k is not None]
+    name = F.col("column")
+    ne = F.col("v").isNotNull() & ((name.isin(*typed) if typed else F.lit(False))
+                                   | is_non_empty(F.col("v")))
     aggs = [F.sum(F.when(ne, 1).otherwise(0)).cast("bigint").alias("total")]
     for r in rs:
-        if typed and rules is None and r[1] not in capable:
+        blocked = [c for c, k in capable.items() if k is not None and r[1] not in k]
+        if blocked and len(blocked) == len(capable):
             aggs.append(F.lit(0).cast("bigint").alias(f"hits_{r[0]}"))
             continue
-        hit = ne & F.col("v").rlike(unicode_pattern(r[3], unicode))
+        guard = ~name.isin(*blocked) if blocked else F.lit(True)
+        hit = ne & guard & F.col("v").rlike(unicode_pattern(r[3], unicode))
         aggs.append(F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias(f"hits_{r[0]}"))
     return cells.groupBy("column").agg(*aggs)
 
@@ -161,15 +167,10 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
     if not columns:
         return spark.createDataFrame([], "column string, pii_type string")
     df = spread(df)          # no-op unless a small input sits in fewer files than task slots
-    # one aggregation per kind of column text (typed kinds evaluate fewer rules)
-    groups: dict = {}
-    for c in columns:
-        kind = None if (unicode or rules is not None) else capable_rules(df.schema[c].dataType)
-        groups.setdefault(None if kind is None else frozenset(kind), []).append(c)
-    parts = [value_stats(value_cells(df, group, key, sample_rows), rules, unicode,
-                         None if kind is None else set(kind))
-             for kind, group in groups.items()]
-    stats = reduce(DataFrame.unionByName, parts)
+    # one unpivot and one aggregation; typed columns evaluate fewer rules
+    capable = {c: (None if (unicode or rules is not None) else capable_rules(df.schema[c].dataType))
+               for c in columns}
+    stats = value_stats(value_cells(df, columns, key, sample_rows), rules, unicode, capable)
     return stats.select("column", first_value_type(stats, rules).alias("pii_type"))
 
 

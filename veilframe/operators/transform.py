@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 import warnings
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.techniques import technique_column
