@@ -159,8 +159,14 @@ def first_value_type(stats: DataFrame, rules=None,
 
 def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
                   key: str | None = None, sample_rows: int | None = None,
-                  unicode: bool = False) -> DataFrame:
-    """``(column, pii_type)`` for every atomic column (pii_type null if none)."""
+                  unicode: bool = False, fraction: float | None = None,
+                  seed: int = 42) -> DataFrame:
+    """``(column, pii_type)`` for every atomic column (pii_type null if none).
+
+    ``fraction``: an opt-in sampling operator (seeded Bernoulli sample of
+    rows) for very large tables; the default uses every row."""
+    if fraction is not None:
+        df = df.sample(fraction=fraction, seed=seed)
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_atomic(f.dataType) and f.name != key]
     spark = df.sparkSession
@@ -188,7 +194,8 @@ def default_tech_col(pii_type: Column, rules=None) -> Column:
 
 
 def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str | None = None,
-           exclude: tuple[str, ...] | list[str] = (), unicode: bool = False) -> DataFrame:
+           exclude: tuple[str, ...] | list[str] = (), unicode: bool = False,
+           fraction: float | None = None) -> DataFrame:
     """Header pass, then the value pass for the columns it missed.
 
     Returns ``column, pii_type, method, default_tech, include`` for detected
@@ -204,7 +211,7 @@ def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str |
               and c != key]
     by_value = {}
     if missed:
-        for r in detect_values(df, missed, rules, key, sample_rows, unicode).collect():
+        for r in detect_values(df, missed, rules, key, sample_rows, unicode, fraction).collect():
             if r["pii_type"] is not None:
                 by_value[r["column"]] = r["pii_type"]
     defaults = {r[1]: r[4] for r in _rules(rules)}
