@@ -105,3 +105,27 @@ def test_odd_column_names(spark):
     assert {r["column"]: r["changed"] for r in got} == {"e mail.addr": 1, "it's": 1}
     det = {r["column"]: r["pii_type"] for r in D.detect(df).collect()}
     assert det["e mail.addr"] == FX.EMAIL
+
+
+def _sorted(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_skew_join_matches_plain_join(spark):
+    from veilframe.operators.joins import skew_join
+    n = 4000
+    left = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"),
+        F.col("id").alias("a"))
+    right = spark.range(60).select(
+        F.when(F.col("id") < 5, F.lit("HOT")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"),
+        F.col("id").alias("b"))
+    right_hot = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("k7")).otherwise(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("key"),
+        F.col("id").alias("b"))
+    for r in (right, right_hot):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = skew_join(left, r, "key", how, hot_rows=200, max_hot=5, salts=8, fraction=0.5)
+            assert _sorted(got.select(*sorted(got.columns))) == \
+                _sorted(left.join(r, "key", how).select(*sorted(got.columns))), how

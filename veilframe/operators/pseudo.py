@@ -27,6 +27,7 @@ from veilframe.functions import fixed as FX
 from veilframe.functions.fakes import INDEX_SEED, fake_value
 from veilframe.functions.text import as_text, col, is_blank, py_strip
 from veilframe.operators import lookup
+from veilframe.operators.joins import skew_join
 from veilframe.session import checkpoint_dir
 
 MAPPING_SCHEMA = "original string, fake string, pii_type string, idx bigint, n bigint"
@@ -180,15 +181,18 @@ def collisions(mapping: DataFrame) -> DataFrame:
 
 
 def hash_link(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
-              how: str = "inner", salt: str | None = None) -> DataFrame:
-    """K8: link two tables on SHA-256 of their keys (P5 on both sides)."""
+              how: str = "inner", salt: str | None = None, **skew_args) -> DataFrame:
+    """K8: link two tables on SHA-256 of their keys (P5 on both sides).
+
+    A skew-safe equi-join (``joins.skew_join``): a key holding a large share
+    of either side is salted and spread over many tasks."""
     def h(df, c):
         v = as_text(col(c), df.schema[c].dataType)
         payload = v if salt is None else F.concat(F.lit(salt), v)
         return F.when(is_blank(v), F.lit(None).cast("string")).otherwise(F.sha2(payload, 256))
     lh = left.withColumn("link_hash", h(left, left_key)).drop(left_key)
     rh = right.withColumn("link_hash", h(right, right_key)).drop(right_key)
-    return lh.join(rh, "link_hash", how)
+    return skew_join(lh, rh, "link_hash", how, **skew_args)
 
 
 # ---------------------------------------------------------------------------
