@@ -129,3 +129,12 @@ def test_skew_join_matches_plain_join(spark):
             got = skew_join(left, r, "key", how, hot_rows=200, max_hot=5, salts=8, fraction=0.5)
             assert _sorted(got.select(*sorted(got.columns))) == \
                 _sorted(left.join(r, "key", how).select(*sorted(got.columns))), how
+
+
+def test_split_lookup_with_dotted_names(spark):
+    df = spark.createDataFrame([(i, f"Name {i % 7}") for i in range(200)], "`row.id` int, `full name` string")
+    m = K.build_mapping(df, [("full name", FX.FULL_NAME)])
+    plan = lookup.plan_lookup(m, "original", "fake", "n", broadcast_bytes=0, hot_rows=20, max_hot=3)
+    split = K.replace_with_fakes(df, ["full name"], m, plan=plan, salts=4)
+    whole = K.replace_with_fakes(df, ["full name"], m)
+    assert _sorted(split) == _sorted(whole)

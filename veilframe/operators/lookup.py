@@ -105,7 +105,6 @@ def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key
         if weight is None:
             data_keys = df.select(F.explode(F.array(*keys.values())).alias("key"))
         plan = plan_lookup(table, key, value, weight, data_keys=data_keys, **plan_args)
-    base_cols = list(df.columns)
     out = df
     names = list(keys)
     for i, name in enumerate(names):
@@ -128,7 +127,7 @@ def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key
         cold = table.join(cand, F.col(key) == F.col("__cand"), "left_anti")
     else:
         hot, cold = None, table
-    salt = _row_salt(df.select(*base_cols), salts)
+    salt = _row_salt(df, salts)            # the input columns only
     for i, name in enumerate(names):
         k = F.col(f"__k{i}")
         if hot is not None:
