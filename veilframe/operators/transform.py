@@ -35,7 +35,7 @@ class Anonymized:
 
 def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
               existing_mapping: DataFrame | None = None, unicode: bool = False,
-              salt: str | None = None, **lookup_args) -> Anonymized:
+              salt: str | None = None, spread_input: bool = True, **lookup_args) -> Anonymized:
     """Every included, present column gets its technique.
 
     ``mode`` changes no value (it only gates the key export, K5).  Columns
@@ -43,7 +43,8 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     column unchanged (P13).
     """
     rules = [r for r in as_rules(config) if r.include]
-    df = spread(df)          # no-op unless a small input sits in fewer files than task slots
+    if spread_input:
+        df = spread(df)      # no-op unless a small input sits in fewer files than task slots
     if isinstance(config, DataFrame):
         # a collected config has no row order: use the table's column order
         pos = {c: i for i, c in enumerate(df.columns)}
@@ -85,7 +86,7 @@ def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) ->
     head = df.orderBy(col(key)).limit(n)
     head = head.select("*", *[col(r.column).cast("string").alias(f"__before_{r.column}")
                               for r in rules])
-    res = anonymize(head, rules, **kw)
+    res = anonymize(head, rules, spread_input=False, **kw)
     cols = [col(key)]
     for r in res.applied:
         cols += [col(f"__before_{r.column}").alias(f"{r.column}_before"),
