@@ -99,3 +99,16 @@ def test_bucket_digits():
     assert K.bucket_digits(65536 * 1_000_000) == 4
     assert K.bucket_digits(65536 * 1_000_000 + 1) == 5
     assert K.bucket_digits(10 ** 13) == 6
+
+
+def test_extend_mapping_incremental(spark):
+    p = people_df(spark, SF)
+    first = K.build_mapping(p.filter("k < 500"), COLS)
+    relevant, fresh = K.extend_mapping(p.filter("k >= 400"), COLS, first)
+    full = K.build_mapping(p, COLS, existing=first)
+    full_d = {r["original"]: r["fake"] for r in full.collect()}
+    rel_d = {r["original"]: r["fake"] for r in relevant.collect()}
+    assert all(full_d[o] == f for o, f in rel_d.items())
+    batch_originals = {r["original"] for r in K.collect_originals(p.filter("k >= 400"), COLS).collect()}
+    assert set(rel_d) == batch_originals
+    assert fresh.join(first, "original", "left_semi").count() == 0

@@ -141,6 +141,34 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
     return mapping
 
 
+def extend_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
+                   existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Incremental K1 for micro-batches: ``(relevant, fresh)``.
+
+    ``fresh``: originals of ``df`` missing from ``existing``, ranked after its
+    highest index.  ``relevant``: the existing entries ``df`` uses plus
+    ``fresh``, i.e. everything the batch's lookup needs.  Neither grows with
+    the whole key table (only its ``original`` and ``idx`` columns are read),
+    so a stream appends ``fresh`` instead of rewriting the key."""
+    originals = collect_originals(df, columns)
+    checkpoint_dir(df.sparkSession)
+    originals = originals.checkpoint(eager=True)
+    if existing is None:
+        new, start, old = originals, F.lit(0), None
+    else:
+        old = existing.select("original", "fake", "pii_type", "idx")
+        new = originals.join(old.select("original"), "original", "left_anti")
+        start = F.lit(old.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0])
+    ranked = hash_rank(new, start, bucket_digits(originals.count()))
+    fresh = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
+                          "pii_type", "idx", "n").checkpoint(eager=True)
+    if old is None:
+        return fresh, fresh
+    known = old.join(originals.select("original", "n"), "original", "inner")
+    relevant = known.unionByName(fresh).checkpoint(eager=True)
+    return relevant, fresh
+
+
 def replace_with_fakes(df: DataFrame, columns: list[str], mapping: DataFrame,
                        **lookup_args) -> DataFrame:
     """K1 step 5: blank cells unchanged, other cells replaced by their fake."""

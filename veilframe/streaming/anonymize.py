@@ -6,8 +6,9 @@
 * Fake Data needs the mapping, which grows as new values arrive:
   ``pseudonymize_stream`` runs each micro-batch through ``foreachBatch``,
   extends the mapping with the batch's new originals (indices continue
-  after the highest one), appends only the *new* entries as the batch's own
-  folder of the key table, and writes the batch's rows.  Both writes
+  after the highest one), looks the batch up against only the entries it
+  uses, appends only the *new* entries as the batch's own folder of the key
+  table, and writes the batch's rows.  No batch rewrites the whole key.  Both writes
   overwrite ``batch=<id>`` folders, so a retried batch is idempotent.
 """
 
@@ -20,6 +21,7 @@ from pyspark.errors import AnalysisException
 
 from veilframe.functions import fixed as FX
 from veilframe.operators.config import as_rules
+from veilframe.operators.pseudo import extend_mapping, replace_with_fakes
 from veilframe.operators.transform import anonymize
 
 
@@ -41,17 +43,20 @@ def _prior_mapping(spark, key_path: str, batch_id: int):
 
 def pseudonymize_stream(stream: DataFrame, config, output_path: str, key_path: str,
                         checkpoint_location: str, trigger: dict | None = None) -> StreamingQuery:
-    rules = as_rules(config)
+    rules = [r for r in as_rules(config) if r.include]
+    local = [r for r in rules if r.technique != FX.FAKE_DATA]
+    fakes = [(r.column, r.pii_type) for r in rules if r.technique == FX.FAKE_DATA]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = _prior_mapping(spark, key_path, batch_id)
-        res = anonymize(batch, rules, existing_mapping=prior)
-        if res.mapping is not None:
-            new = res.mapping if prior is None else \
-                res.mapping.join(prior.select("original"), "original", "left_anti")
-            new.write.mode("overwrite").parquet(f"{key_path}/batch={batch_id}")
-        res.df.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+        out = anonymize(batch, local, spread_input=False).df if local else batch
+        present = [(c, t) for c, t in fakes if c in batch.columns]
+        if present:
+            prior = _prior_mapping(spark, key_path, batch_id)
+            relevant, fresh = extend_mapping(batch, present, prior)
+            out = replace_with_fakes(out, [c for c, _ in present], relevant)
+            fresh.write.mode("overwrite").parquet(f"{key_path}/batch={batch_id}")
+        out.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
