@@ -107,6 +107,10 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
 NUMBER_CAPABLE = {FX.PHONE, FX.CREDIT_CARD, FX.AGE}
 TEMPORAL_CAPABLE = {FX.PHONE, FX.CREDIT_CARD, FX.DOB, FX.AGE}
 BOOLEAN_CAPABLE: set[str] = set()
+# every match of these built-in patterns contains an ASCII digit ([0-9] in
+# ASCII mode); every Email match contains '@'
+NEEDS_DIGIT = {FX.PHONE, FX.CNIC, FX.DOB, FX.ADDRESS, FX.IP_ADDRESS, FX.CREDIT_CARD,
+               FX.STUDENT_ID, FX.AGE}
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -133,6 +137,13 @@ def value_stats(cells: DataFrame, rules=None, unicode: bool = False,
     capable = capable or {}
     typed = [c for c, k in capable.items() if k is not None]
     name = F.col("column")
+    needs = {}
+    if rules is None and not unicode:
+        # cheap per-cell prerequisites, computed once in the projection
+        cells = cells.withColumn("_d", F.col("v").rlike("[0-9]")) \
+            .withColumn("_at", F.instr(F.col("v"), "@") > 0)
+        needs = {t: F.col("_d") for t in NEEDS_DIGIT}
+        needs[FX.EMAIL] = F.col("_at")
     ne = F.col("v").isNotNull() & ((name.isin(*typed) if typed else F.lit(False))
                                    | is_non_empty(F.col("v")))
     aggs = [F.sum(F.when(ne, 1).otherwise(0)).cast("bigint").alias("total")]
@@ -142,6 +153,8 @@ def value_stats(cells: DataFrame, rules=None, unicode: bool = False,
             aggs.append(F.lit(0).cast("bigint").alias(f"hits_{r[0]}"))
             continue
         guard = ~name.isin(*blocked) if blocked else F.lit(True)
+        if r[1] in needs:
+            guard = guard & needs[r[1]]
         hit = ne & guard & F.col("v").rlike(unicode_pattern(r[3], unicode))
         aggs.append(F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias(f"hits_{r[0]}"))
     return cells.groupBy("column").agg(*aggs)
@@ -241,9 +254,18 @@ def span_counts(df: DataFrame, text: str, by: list[str], rules=None,
     the shuffle at one row per group per task, then unpivoted."""
     rs = _rules(rules)
     df = spread(df)
+    needs = {}
+    if rules is None and not unicode:
+        # cheap per-row prerequisites (see NEEDS_DIGIT), computed once
+        df = df.withColumn("__d", col(text).rlike("[0-9]")) \
+            .withColumn("__at", F.instr(col(text), "@") > 0)
+        needs = {t: F.col("__d") for t in NEEDS_DIGIT}
+        needs[FX.EMAIL] = F.col("__at")
     aggs = []
     for r in rs:
         n = F.regexp_count(col(text), F.lit(unicode_pattern(r[3], unicode)))
+        if r[1] in needs:
+            n = F.when(needs[r[1]], n).otherwise(F.lit(0))
         aggs += [F.sum(F.when(n > 0, 1).otherwise(0)).cast("bigint").alias(f"r{r[0]}"),
                  F.sum(n).cast("bigint").alias(f"s{r[0]}")]
     wide = df.where(col(text).isNotNull()).groupBy(*[col(b) for b in by]).agg(*aggs)
