@@ -275,8 +275,20 @@ def span_counts(df: DataFrame, text: str, by: list[str], rules=None,
 
 def redact_spans(text: Column, rules=None, unicode: bool = False,
                  marker: str = FX.REDACTED) -> Column:
-    """Each span replaced by the marker, rules applied in rank order."""
-    out = text
-    for r in _rules(rules):
-        out = F.regexp_replace(out, unicode_pattern(r[3], unicode), marker)
-    return out
+    """Each span replaced by the marker, rules applied in rank order.
+
+    Replacements only remove text or insert the marker (no digits), so a
+    text without an ASCII digit never gains one: for such rows the
+    digit-requiring built-in rules are skipped (same result)."""
+    rs = _rules(rules)
+
+    def chain(v: Column, skip_digit_rules: bool) -> Column:
+        for r in rs:
+            if skip_digit_rules and r[1] in NEEDS_DIGIT:
+                continue
+            v = F.regexp_replace(v, unicode_pattern(r[3], unicode), marker)
+        return v
+
+    if rules is not None or unicode or any(ch.isdigit() for ch in marker):
+        return chain(text, False)
+    return F.when(text.rlike("[0-9]"), chain(text, False)).otherwise(chain(text, True))
