@@ -138,3 +138,16 @@ def test_split_lookup_with_dotted_names(spark):
     split = K.replace_with_fakes(df, ["full name"], m, plan=plan, salts=4)
     whole = K.replace_with_fakes(df, ["full name"], m)
     assert _sorted(split) == _sorted(whole)
+
+
+def test_rows_below_k_with_hot_class_and_nulls(spark):
+    from veilframe.operators import privacy as X
+    n = 3000
+    df = spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 400).cast("string"))).alias("a"),
+        F.when(F.col("id") % 7 == 0, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("b"))
+    got = X.rows_below_k(df, ["a", "b"], 6, hot_rows=100, max_hot=5, salts=8, fraction=0.5)
+    from pyspark.sql import Window
+    ref = df.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where("k < 6")
+    assert _sorted(got.select("id", "a", "b", "k")) == _sorted(ref.select("id", "a", "b", "k"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.techniques import age_band
-from veilframe.functions.text import as_text
+from veilframe.functions.text import as_text, col
+from veilframe.operators.joins import skew_join
 
 TOP_CODE_AGE = 90
 
@@ -30,12 +31,18 @@ def k_anonymity_summary(df: DataFrame, quasi_identifiers: list[str], k_min: int)
                        .alias("rows_below_k"))
 
 
-def rows_below_k(df: DataFrame, quasi_identifiers: list[str], k_min: int) -> DataFrame:
-    """The rows whose class is smaller than ``k_min`` (a window count
-    per class: one shuffle on the quasi-identifiers, no self-join)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*quasi_identifiers)
-    return df.withColumn("k", F.count(F.lit(1)).over(w)).where(F.col("k") < k_min)
+def rows_below_k(df: DataFrame, quasi_identifiers: list[str], k_min: int, **skew_args) -> DataFrame:
+    """The rows whose class is smaller than ``k_min``, with the class size ``k``.
+
+    Class sizes come from a partially aggregated ``groupBy``; the rows are
+    then joined to the small classes with the salted skew join, so a class
+    holding a third of the table (never small) is spread over many tasks
+    instead of being buffered in one.  The class key is the JSON of the
+    quasi-identifier tuple: a null-safe, single-column encoding."""
+    key = F.to_json(F.struct(*[col(c) for c in quasi_identifiers]))
+    keyed = df.withColumn("__qi", key)
+    small = keyed.groupBy("__qi").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") < k_min)
+    return skew_join(keyed, small, "__qi", "inner", **skew_args).drop("__qi")
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
