@@ -124,3 +124,15 @@ def test_extensions(spark):
     s = X.k_anonymity_summary(q, ["x", "y"], 2).first()
     assert (s["k"], s["classes"], s["rows_below_k"]) == (1, 2, 1)
     assert X.rows_below_k(q, ["x", "y"], 2).count() == 1
+
+
+def test_command_line(spark, tmp_out, capsys):
+    import json
+    from veilframe.__main__ import main
+    assert main(["run", f"{SF}/customer.parquet", f"{tmp_out}/cli", "--profile", "Healthcare",
+                 "--exclude", "c_custkey"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["rows"] == 150 and out["key"] is None
+    assert main(["detect", f"{SF}/customer.parquet"]) == 0
+    cols = [json.loads(line)["column"] for line in capsys.readouterr().out.strip().splitlines()]
+    assert "c_name" in cols
