@@ -41,7 +41,8 @@ def main(argv: list[str] | None = None) -> int:
                    choices=[FX.MODE_ANONYMIZATION, FX.MODE_PSEUDONYMIZATION])
     r.add_argument("--exclude", nargs="*", default=[])
     r.add_argument("--config", nargs="*", help="col=Technique[:PII type]; skips detection")
-    r.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    r.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="output format")
+    r.add_argument("--input-format", choices=["parquet", "csv"], help="default: from the suffix")
     r.add_argument("--key-dir")
     d = sub.add_parser("detect", help="print the detection table as JSON lines")
     d.add_argument("input")
@@ -53,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "run":
         res = job.run(spark, args.input, args.output_dir, profile=args.profile, mode=args.mode,
                       config=_config(args.config) if args.config else None,
-                      out_format=args.format, key_dir=args.key_dir, exclude=tuple(args.exclude))
+                      out_format=args.format, key_dir=args.key_dir, exclude=tuple(args.exclude),
+                      in_format=args.input_format)
         print(json.dumps({"run_id": res.run_id, "output": res.output, "key": res.key,
                           "audit": res.audit, "rows": res.rows}))
     else:

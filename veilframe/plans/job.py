@@ -44,12 +44,14 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
         mode: str = FX.MODE_ANONYMIZATION, config=None, manual: DataFrame | None = None,
         overrides: DataFrame | None = None, out_format: str = "parquet",
         key_dir: str | None = None, exclude: tuple[str, ...] = (), sample_rows: int | None = None,
-        key_column: str | None = None, now: datetime | None = None) -> RunResult:
+        key_column: str | None = None, now: datetime | None = None,
+        in_format: str | None = None) -> RunResult:
     """Process one table.  ``config`` (column rules) skips detection; else
-    detection (+ manual columns and overrides) and ``profile`` decide."""
+    detection (+ manual columns and overrides) and ``profile`` decide.
+    ``in_format`` ('csv' / 'parquet') defaults to the path's suffix."""
     now = now or datetime.now()
     stamp = S.run_stamp(now)
-    df = load(spark, input_path)
+    df = load(spark, input_path, in_format)
     if config is None:
         det = D.detect(df, sample_rows=sample_rows, key=key_column, exclude=exclude)
         if manual is not None:
