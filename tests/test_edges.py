@@ -151,3 +151,31 @@ def test_rows_below_k_with_hot_class_and_nulls(spark):
     from pyspark.sql import Window
     ref = df.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where("k < 6")
     assert _sorted(got.select("id", "a", "b", "k")) == _sorted(ref.select("id", "a", "b", "k"))
+
+
+def _plan(df):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_salt_is_a_shuffle_key(spark):
+    """The salt must partition the shuffle, not be folded into a join filter."""
+    import re
+    from veilframe.operators.joins import skew_join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, F.lit("Hot"))
+                                     .otherwise(F.concat(F.lit("N"), F.col("id").cast("string"))).alias("v"))
+        m = K.build_mapping(df, [("v", FX.FULL_NAME)])
+        plan = lookup.plan_lookup(m, "original", "fake", "n", broadcast_bytes=0, hot_rows=50, max_hot=5)
+        text = _plan(K.replace_with_fakes(df, ["v"], m, plan=plan))
+        assert re.search(r"Exchange hashpartitioning\(__ck0#\d+, __cs0#\d+", text), text
+        right = spark.range(10).select(F.col("id").cast("string").alias("v"))
+        text = _plan(skew_join(df, right, "v", "left", hot_rows=50, max_hot=5, salts=4, fraction=0.5))
+        assert re.search(r"Exchange hashpartitioning\(v#\d+, __salt#\d+", text), text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -138,9 +138,13 @@ def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key
         else:
             cold_key = k
         out = out.withColumn(f"__ck{i}", cold_key)
-        out = out.withColumn(f"__cs{i}", F.when(F.col(f"__ck{i}").isNull(), salt).otherwise(F.lit(0)))
+        out = out.withColumn(f"__cs{i}", F.when(F.col(f"__ck{i}").isNull(), salt)
+                             .otherwise(F.lit(0).cast("bigint")))
+        # The table side's salt is 0, written so the optimizer cannot fold it
+        # to a literal: a literal would turn the salt into a post-join filter
+        # and drop it from the shuffle's partitioning keys.
         cs = cold.select(F.col(key).alias(f"__rk{i}"), F.col(value).alias(f"__cv{i}"),
-                         F.lit(0).alias(f"__rs{i}"))
+                         (F.length(F.col(key)) * 0).cast("bigint").alias(f"__rs{i}"))
         out = out.join(cs, (out[f"__ck{i}"] == cs[f"__rk{i}"]) & (out[f"__cs{i}"] == cs[f"__rs{i}"]),
                        "left")
         merged = F.coalesce(F.col(f"__hv{i}"), F.col(f"__cv{i}")) if hot is not None \
