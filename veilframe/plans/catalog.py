@@ -659,3 +659,11 @@ def anonymize_lineitem(spark, sf_dir):
 def pseudonymize_orders(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return anonymize(orders, [("o_custkey", FX.STUDENT_ID, FX.FAKE_DATA)]).df
+
+
+@register("restore_orders", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def restore_orders(spark, sf_dir):
+    """K6 over the whole orders table: fake ids back to customer keys."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    res = anonymize(orders, [("o_custkey", FX.STUDENT_ID, FX.FAKE_DATA)])
+    return K.restore(res.df, res.mapping, ["o_custkey"])
