@@ -50,15 +50,23 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
 
-    def nominate(df):
-        # materialized once: the sample must not be redrawn per use
-        return sampled_hot_keys(df.select(col(on).alias("key")), hot_rows, max_hot, fraction) \
-            .checkpoint(eager=True)
-
-    hot_l = nominate(left)
-    hot_r = nominate(right).join(hot_l, "key", "left_anti") if how == "inner" else None
-    if hot_l.isEmpty() and (hot_r is None or hot_r.isEmpty()):
+    # one job nominates both sides; the candidates (at most 2 x max_hot keys)
+    # are collected, so the sample is drawn exactly once
+    spark = left.sparkSession
+    cand = (sampled_hot_keys(left.select(col(on).alias("key")), hot_rows, max_hot, fraction)
+            .withColumn("side", F.lit("l"))
+            .unionByName(sampled_hot_keys(right.select(col(on).alias("key")), hot_rows, max_hot, fraction)
+                         .withColumn("side", F.lit("r")))).collect()
+    left_hot = sorted({r["key"] for r in cand if r["side"] == "l"})
+    right_hot = sorted({r["key"] for r in cand if r["side"] == "r"} - set(left_hot)) \
+        if how == "inner" else []
+    if not left_hot and not right_hot:
         return left.join(right, on, how)
+    key_type = left.schema[on].dataType
+    hot_l = spark.createDataFrame([(k,) for k in left_hot], T.StructType([T.StructField("key", key_type)])) \
+        if left_hot else None
+    hot_r = spark.createDataFrame([(k,) for k in right_hot], T.StructType([T.StructField("key", key_type)])) \
+        if right_hot else None
 
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     l = _flag(_flag(left, on, hot_l, "__hl"), on, hot_r, "__hr")

@@ -70,8 +70,13 @@ def plan_lookup(table: DataFrame, key: str, value: str, weight: str | None,
     if weight is None:
         if data_keys is None:
             return LookupPlan(False, None, n_keys, n_bytes)
-        # materialized once (reliable checkpoint): the sample must not be redrawn per use
-        cand = sampled_hot_keys(data_keys, hot_rows, max_hot).checkpoint(eager=True)
+        # collected once (at most max_hot keys): the sample is drawn exactly once
+        keys = [r["key"] for r in sampled_hot_keys(data_keys, hot_rows, max_hot).collect()]
+        if not keys:
+            return LookupPlan(False, None, n_keys, n_bytes)
+        key_type = data_keys.schema["key"].dataType
+        cand = table.sparkSession.createDataFrame(
+            [(k,) for k in keys], T.StructType([T.StructField("key", key_type)]))
         return LookupPlan(False, None, n_keys, n_bytes, cand)
     cut = hot_rows
     n_hot = table.filter(F.col(weight) >= cut).count()
