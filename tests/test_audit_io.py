@@ -162,3 +162,12 @@ def test_run_csv_with_edits_and_restore_from_disk(spark, tmp_out):
     # blank cells pass unchanged, every other name comes back from the key
     assert sorted(tuple(r) for r in back.collect()) == \
         sorted(tuple(r) for r in src_rows.select("k", "full_name").collect())
+
+
+def test_config_errors(spark):
+    from veilframe.operators.transform import config_errors
+    df = people_df(spark, SF)
+    got = {(r["column"], r["problem"]) for r in config_errors(
+        df, [("segment", None, "Shuffle"), ("nope", FX.EMAIL, FX.MASKING), ("email", FX.EMAIL, FX.MASKING),
+             ("phone", FX.PHONE, "Bogus", False)]).collect()}
+    assert got == {("segment", "unknown technique"), ("nope", "column not in table")}

@@ -92,3 +92,19 @@ def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) ->
         cols += [col(f"__before_{r.column}").alias(f"{r.column}_before"),
                  col(r.column).alias(f"{r.column}_after")]
     return res.df.select(*cols)
+
+
+def config_errors(df: DataFrame, config) -> DataFrame:
+    """P15's error report: one row per configured column that cannot be
+    applied (missing from the table, or an unknown technique).  Native
+    expressions do not fail per cell, so this check replaces the per-column
+    ``[ERROR: ...]`` of a row-by-row preview; its row count is the error count."""
+    rows = []
+    for r in as_rules(config):
+        if not r.include:
+            continue
+        if r.column not in df.columns:
+            rows.append((r.column, r.technique, "column not in table"))
+        elif not (r.technique == FX.FAKE_DATA or FX.TECHNIQUE_NAMES.count(r.technique)):
+            rows.append((r.column, r.technique, "unknown technique"))
+    return df.sparkSession.createDataFrame(rows, "column string, technique string, problem string")
