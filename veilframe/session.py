@@ -93,11 +93,14 @@ def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
     without the sort a round-robin repartition needs for that."""
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= slots or df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        files = df.inputFiles()
+        if not files or len(files) >= slots or df.rdd.getNumPartitions() >= slots:
+            return df
+        size = input_bytes(df)
+    except Exception:  # noqa: BLE001 - an optimisation only: sessions without these APIs skip it
         return df
-    size = input_bytes(df)
     if size is None or size > max_bytes:
         return df
     from pyspark.sql import functions as F
