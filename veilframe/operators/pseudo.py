@@ -33,6 +33,7 @@ from veilframe.session import checkpoint_dir
 MAPPING_SCHEMA = "original string, fake string, pii_type string, idx bigint, n bigint"
 TOP_HEX = 4                    # 16^4 = 65,536 top-level hash-prefix groups
 GROUP_ROWS = 1_000_000         # target rows per rank group (adaptive prefix depth)
+BATCH_BROADCAST_ROWS = 1_000_000   # a micro-batch's distinct originals broadcast up to this count
 
 
 def key_text(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -153,18 +154,28 @@ def extend_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
     originals = collect_originals(df, columns)
     checkpoint_dir(df.sparkSession)
     originals = originals.checkpoint(eager=True)
+    n_batch = originals.count()
+    known = None
     if existing is None:
         new, start, old = originals, F.lit(0), None
     else:
         old = existing.select("original", "fake", "pii_type", "idx")
-        new = originals.join(old.select("original"), "original", "left_anti")
         start = F.lit(old.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0])
-    ranked = hash_rank(new, start, bucket_digits(originals.count()))
+        if n_batch <= BATCH_BROADCAST_ROWS:
+            # measured small batch: broadcast its originals and stream the key
+            # table past them once (no shuffle of the key table)
+            known = old.join(F.broadcast(originals.select("original", "n")), "original", "inner") \
+                .checkpoint(eager=True)
+            new = originals.join(known.select("original"), "original", "left_anti")
+        else:
+            new = originals.join(old.select("original"), "original", "left_anti")
+    ranked = hash_rank(new, start, bucket_digits(n_batch))
     fresh = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
                           "pii_type", "idx", "n").checkpoint(eager=True)
     if old is None:
         return fresh, fresh
-    known = old.join(originals.select("original", "n"), "original", "inner")
+    if known is None:
+        known = old.join(originals.select("original", "n"), "original", "inner")
     relevant = known.unionByName(fresh).checkpoint(eager=True)
     return relevant, fresh
 
