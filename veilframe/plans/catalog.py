@@ -24,6 +24,7 @@ from veilframe.plans.people import (OPAQUE_NAMES, PEOPLE_COLUMNS, people_df, peo
                                     people_opaque_df, people_opaque_sql, people_sql)
 from veilframe.session import read_table, scratch_path, spread
 from veilframe.sources import files as S
+from veilframe.streaming.anonymize import anonymize_stream, table_stream, write_stream_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -667,3 +668,31 @@ def restore_orders(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     res = anonymize(orders, [("o_custkey", FX.STUDENT_ID, FX.FAKE_DATA)])
     return K.restore(res.df, res.mapping, ["o_custkey"])
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming: row-local techniques over the events table as a stream
+# ---------------------------------------------------------------------------
+
+
+STREAM_RULES = [("user_id", FX.STUDENT_ID, FX.HASHING), ("ts", FX.DOB, FX.GENERALIZATION),
+                ("props", None, FX.REDACTION)]
+
+
+def _stream_events_sql() -> str:
+    sel = ["event_id",
+           f"{O.technique('CAST(user_id AS VARCHAR)', FX.HASHING, FX.STUDENT_ID)} AS user_id",
+           f"{O.technique('CAST(ts AS VARCHAR)', FX.GENERALIZATION, FX.DOB)} AS ts",
+           "event_type", "value",
+           f"{O.technique('props', FX.REDACTION, None)} AS props"]
+    return f"SELECT {', '.join(sel)} FROM events"
+
+
+@register("stream_events", _stream_events_sql())
+def stream_events(spark, sf_dir):
+    """events read as a file stream, protected per micro-batch, written to a
+    checkpointed parquet sink in the shared folder, read back as a table."""
+    stream = table_stream(spark, sf_dir, "events.parquet")
+    out = scratch_path(spark, "stream-events")
+    write_stream_files(anonymize_stream(stream, STREAM_RULES), out, scratch_path(spark, "stream-events-ck"))
+    return spark.read.parquet(out)

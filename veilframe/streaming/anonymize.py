@@ -61,3 +61,24 @@ def pseudonymize_stream(stream: DataFrame, config, output_path: str, key_path: s
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
+
+
+def table_stream(spark, folder: str, file_glob: str, schema=None) -> DataFrame:
+    """A parquet file stream over the files of ``folder`` matching ``file_glob``
+    (new files are picked up as they land)."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+
+
+def write_stream_files(stream: DataFrame, output_path: str, checkpoint_location: str,
+                       trigger: dict | None = None, wait_seconds: int | None = None) -> StreamingQuery:
+    """Append the stream to parquet files (exactly-once file sink with a
+    checkpoint).  With the default ``availableNow`` trigger, waits until
+    everything available has been processed."""
+    q = (stream.writeStream.format("parquet").option("path", output_path)
+         .option("checkpointLocation", checkpoint_location)
+         .trigger(**(trigger or {"availableNow": True})).start())
+    if trigger is None:
+        q.awaitTermination(wait_seconds)
+    return q
