@@ -8,6 +8,7 @@ Public API (all DataFrame in, DataFrame out):
     restore(df, mapping, columns)                       -> df with originals back
     audit_summary / audit_columns / compliance_matrix   -> audit tables
     run(spark, input_path, output_dir, ...)             -> the whole processing run
+    anonymize_stream / pseudonymize_stream              -> the same on readStream DataFrames
 """
 
 from veilframe.operators.audit import (audit_columns, audit_summary, change_counts,  # noqa: F401
@@ -15,6 +16,10 @@ from veilframe.operators.audit import (audit_columns, audit_summary, change_coun
 from veilframe.operators.config import (ColumnRule, add_manual, apply_overrides,  # noqa: F401
                                         build_config, resolve, technique_for)
 from veilframe.operators.detect import detect, detect_headers, detect_values, span_counts  # noqa: F401
-from veilframe.operators.pseudo import build_mapping, collisions, hash_link, restore  # noqa: F401
-from veilframe.operators.transform import anonymize, preview  # noqa: F401
+from veilframe.operators.joins import skew_join  # noqa: F401
+from veilframe.operators.pseudo import (build_mapping, collisions, extend_mapping,  # noqa: F401
+                                        hash_link, restore)
+from veilframe.operators.transform import anonymize, config_errors, preview  # noqa: F401
 from veilframe.plans.job import run  # noqa: F401
+from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream,  # noqa: F401
+                                           table_stream, write_stream_files)
