@@ -83,14 +83,12 @@ def input_bytes(df) -> int | None:
 
 
 def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
-    """Hash-partition ``df`` over all task slots before CPU-heavy row work
+    """Round-robin ``df`` over all task slots before CPU-heavy row work
     (regex scans, hashing) when its scan cannot use them: fewer input files
     than slots (a parquet row group is the unit of scan parallelism), not
     already spread, and a measured size below ``max_bytes``, so the added
     shuffle is bounded.  Large inputs are returned unchanged: their scan is
-    already parallel.  Partitioning on the row's own columns is
-    deterministic (a retried task sends every row to the same place)
-    without the sort a round-robin repartition needs for that."""
+    already parallel."""
     if df.isStreaming:
         return df
     try:
@@ -103,8 +101,7 @@ def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
         return df
     if size is None or size > max_bytes:
         return df
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-    keys = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields
-            if not isinstance(f.dataType, T.MapType)]
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    # round-robin: no partition expressions, so columns the caller never uses
+    # are still pruned at the scan (Spark sorts rows before a round-robin
+    # repartition, so retried tasks send every row to the same place)
+    return df.repartition(slots)
