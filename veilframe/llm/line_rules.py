@@ -47,14 +47,14 @@ def has_boilerplate(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
 
 
-def line_fails(line: Column, may_be_boilerplate: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules."""
+def line_fails(line: Column) -> Column:
+    """Punctuation and navigation rules."""
     n_words = F.greatest(F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " ", "")) + 1, F.lit(1))
     symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
     shouts = F.length(line) - F.length(F.translate(line, "!", ""))
     punctuation = ~line.rlike(END) | (shouts > 1 + n_words / 2)
     navigation = symbols * 10 > n_words * 2
-    return punctuation | navigation | (may_be_boilerplate & has_boilerplate(line))
+    return punctuation | navigation
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
@@ -78,8 +78,9 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     whole = F.coalesce("text", F.lit(""))
     out = out.withColumn("n_symbols", (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    out = out.withColumn("suspect", has_boilerplate(whole))
-    out = out.withColumn("good", F.filter("lines", lambda x: ~line_fails(x, F.col("suspect"))))
+    # most texts hold no phrase: one look at the whole text spares a look at each line
+    passed = F.filter("lines", lambda x: ~line_fails(x))
+    out = out.withColumn("good", F.when(has_boilerplate(whole), F.filter(passed, lambda x: ~has_boilerplate(x))).otherwise(passed))
     left = F.length(_joined(F.array_join("good", ""))).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * (F.col("word_chars") - left) <= MAX_LOST_PERCENT * F.col("word_chars")))
