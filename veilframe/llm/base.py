@@ -143,6 +143,8 @@ def word_hashes(texts: list[str | None], lower: bool, spans: bool = False):
     return hashes, offsets, join(starts_of), join(ends_of), data
 
 
+EDGES = 200_000
+
 # ---- connected components -------------------------------------------------------------------
 
 
@@ -150,8 +152,12 @@ def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node with an edge.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until
-    the edges are stars.  Every step is written to the shared folder.
+    the edges are stars.  Every step is written to the shared folder.  A task is given about
+    ``EDGES`` edges, so few edges are not dealt out over many tasks.
     """
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return df.coalesce(1) if n <= EDGES else df
+
     def stamp(df: DataFrame):
         h = F.xxhash64("a", "b")
         return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
@@ -160,7 +166,8 @@ def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     step, before = 0, stamp(now)
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = dealt(now, before[0])
+        both = dealt(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), before[0])
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))

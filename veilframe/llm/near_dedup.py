@@ -11,7 +11,8 @@ documents fill every register too and two registers agree with the Jaccard simil
 3. The share of equal registers, less the chance collisions of the mantissas, estimates the similarity; pairs
    estimated under ``ESTIMATE`` are left out (5 standard errors under the threshold), the rest are verified on full sets.
 4. Verified links are joined to components.  Keys that still hold several components are then compared
-   across components, block against block, so no link between different texts is lost to step 2.
+   across components, block against block, so no link between different texts is lost to step 2.  There a pair is looked at under
+   its first equal band alone, by registers and then by sets of 32-bit hashes, which can only raise a similarity; what passes is verified.
 
 Bands of 4 miss a pair at similarity 0.8 with probability 5e-8.
 """
@@ -31,7 +32,8 @@ from veilframe.llm.base import Tables, components, mix, word_hashes
 REGISTERS, BAND, MANTISSA = 128, 4, 9
 BANDS = REGISTERS // BAND
 ESTIMATE = 0.60
-BLOCK = 512            # classes of one hot key compared against as many others in one step
+BLOCK = 1_000_000      # shingles in one block of a key's classes; blocks are compared two at a time
+SENT = 1_000_000       # document ids that are broadcast at most, 8 bytes each
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _TOP = np.uint64(REGISTERS.bit_length() - 1)
 _BITS = 64 - int(_TOP)
@@ -160,28 +162,67 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInPandas(work, "a long, b long, estimate double")
 
 
+def _short_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, print, short): the sets as sorted distinct 32-bit hashes."""
+    def work(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            words, at = word_hashes(pdf["text"].tolist(), lower=True)
+            made = [shingles(words[at[i]:at[i + 1]], size) for i in range(len(pdf))]
+            yield pd.DataFrame({"rep": pdf["doc_id"], "print": [xxhash.xxh3_128_digest(x.tobytes()) for x in made],
+                                "short": [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in made]})
+
+    return texts.mapInPandas(work, "rep long, print binary, short binary")
+
+
+class _Joined:
+    """Components of one group, joined as links are found."""
+
+    def __init__(self, names: np.ndarray):
+        self.now = names.copy()
+
+    def join(self, a, b) -> None:
+        if a != b:
+            self.now[self.now == max(a, b)] = min(a, b)
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key.  members: (key, size, rep, component, n, registers).
+    """Pairs of different components that share a key and may be linked.
 
-    A key of many members is dealt into blocks, and each pair of blocks is one group of at most about 2 * BLOCK rows.
+    members: (key, weight, band, rep, component, n, registers, short).  A key of many shingles is dealt into blocks, and
+    each pair of blocks is one group of about 2 * BLOCK shingles.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "registers")
-
-    def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        left = g[g["own"] == g["i"].iloc[0]]
-        right = g[g["own"] == g["j"].iloc[0]]
-        regs, reps, comps, ns = _matrix(right["registers"]), right["rep"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy()
-        mine = _matrix(left["registers"])
-        for x, rep, comp, n in zip(mine, left["rep"].to_numpy(), left["component"].to_numpy(), left["n"].to_numpy(), strict=True):
-            # the band's own registers agree, so a chance agreement of the others decides
-            ok = (comps != comp) & (reps != rep)
-            if ok.any():
-                ok &= _possible(x[None, :], regs, np.full(len(ns), n), ns, percent)
-                if ok.any():
-                    yield pd.DataFrame({"a": np.minimum(rep, reps[ok]), "b": np.maximum(rep, reps[ok])})
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("weight", "other")
+
+    def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
+        i, j, band = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(g["band"].iloc[0])
+        own, rep, n = g["own"].to_numpy(), g["rep"].to_numpy(), g["n"].to_numpy()
+        regs = _matrix(g["registers"])
+        bands = np.ascontiguousarray(regs).view("<u8")
+        short = [np.frombuffer(x, "<u4") for x in g["short"]]
+        joined = _Joined(g["component"].to_numpy())
+        right = np.flatnonzero(own == j)
+        out = []
+        for x in np.flatnonzero(own == i):
+            y = right[(joined.now[right] != joined.now[x]) & (rep[right] != rep[x])]
+            y = y[y > x] if i == j else y
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            if len(y) and band:
+                y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+            if len(y):
+                y = y[_possible(regs[x][None, :], regs[y], np.full(len(y), n[x]), n[y], percent)]
+            for k in y:
+                if joined.now[k] != joined.now[x]:
+                    shared = len(np.intersect1d(short[x], short[k], assume_unique=True)) + _lost(n[x], short[x]) + _lost(n[k], short[k])
+                    total = int(n[x] + n[k])
+                    if 100 * shared >= percent * (total - shared):
+                        out.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
+                        sure = shared - 4  # chance agreements of 32 bits
+                        if 100 * sure >= percent * (total - sure):
+                            joined.join(joined.now[x], joined.now[k])
+        return out
 
     def work(batches: Iterator[pd.DataFrame]):
         rest = None
@@ -191,17 +232,19 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             cuts = [*np.flatnonzero(change), len(pdf)]
             out = [p for s, e in zip(cuts[:-2], cuts[1:-1], strict=True) for p in pairs(pdf.iloc[s:e])]
             rest = pdf.iloc[cuts[-2]:] if len(pdf) else None
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         if rest is not None:
-            out = list(pairs(rest))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame(pairs(rest), columns=["a", "b"], dtype="int64")
 
     groups = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return groups.mapInPandas(work, "a long, b long").distinct()
 
 
+def _lost(n: int, short: np.ndarray) -> int:
+    """Shingles of a set that fell together in 32 bits."""
+    return int(n) - len(short)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -220,19 +263,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("registers").alias("registers")), "classes")
     classes = named.select("rep", "n", "registers")
 
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))))
-    entries = classes.select("rep", F.explode(band).alias("key"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))))
+    entries = classes.select("rep", "n", F.posexplode(bands).alias("band", "key"))
     mask = F.col("rep").bitwiseXOR(F.col("key"))
-    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(mask).alias("low")).where("size > 1")
-    shared = tables.save(entries.join(hubs, "key").select("key", "size", "rep", F.col("low").bitwiseXOR(F.col("key")).alias("hub")), "shared")
+    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min(mask).alias("low")).where("size > 1")
+    shared = tables.save(entries.join(hubs, "key").select("key", "band", "weight", "rep", F.col("low").bitwiseXOR(F.col("key")).alias("hub")), "shared")
     star = shared.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     tested = tables.save(_estimated(star, classes, percent), "tested")
-
-    near = tested.select("a").union(tested.select("b")).distinct().withColumnRenamed("a", "doc_id")
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
 
-    def texts(ids: DataFrame) -> DataFrame:
-        return wanted.join(ids, "doc_id", "left_semi").distinct()
+    def texts(ids: DataFrame, name: str) -> DataFrame:
+        ids = tables.save(ids.distinct(), f"{name}-ids")
+        found = wanted.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi")
+        return tables.save(found.distinct(), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
 
     def joined(links: DataFrame, name: str) -> DataFrame:
         return tables.save(components(tables, links, f"{name}-c"), name)
@@ -243,28 +289,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # one document of several texts joins their classes
     many = full.join(named.select("print", "rep"), "print").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    same = tables.save(many.where("a <> b OR a <> doc_id").where("a <> b").select("a", "b"), "same")
-    best = tested.groupBy("b").agg(F.max_by(F.struct("a"), F.col("estimate")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    links = tables.save(_verify(best, texts(near), size, percent), "links-1")
-    links = links.unionByName(same)
+    same = tables.save(many.where("a <> b").select("a", "b"), "same")
+    best = tested.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
+    near = texts(ends(tested), "near")
+    links = tables.save(_verify(best, near, size, percent), "links-1").unionByName(same)
     labels = joined(links, "labels-1")
     rest = component(component(tested.join(best, ["a", "b"], "left_anti"), "a", labels, "ca"), "b", labels, "cb").where("ca <> cb")
-    more = tables.save(_verify(rest.select("a", "b"), texts(near), size, percent), "links-2")
-    links = links.unionByName(more)
+    links = links.unionByName(tables.save(_verify(rest.select("a", "b"), near, size, percent), "links-2"))
     labels = joined(links, "labels-2")
 
     placed = component(shared, "rep", labels, "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(mixed, "key", "left_semi").join(classes.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
-    open_pairs = _across(members.select("key", "size", "rep", "component", "n", "registers"), percent)
-    open_pairs = tables.save(open_pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "open")
-    ends = open_pairs.select("a").union(open_pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    last = tables.save(_verify(open_pairs, texts(ends), size, percent), "links-3")
+    placed = tables.save(placed.join(mixed, "key", "left_semi").drop("hub"), "mixed")
+    sets = _short_sets(texts(placed.select(F.col("rep").alias("doc_id")), "mixed-texts"), size).join(named.drop("copies"), ["print", "rep"]).drop("print")
+    open_pairs = tables.save(_across(placed.join(sets, "rep"), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "open")
+    last = tables.save(_verify(open_pairs, texts(ends(open_pairs), "open-texts"), size, percent), "links-3")
     labels = joined(links.unionByName(last), "labels-3")
 
     rep = named.select("print", "rep")
     by_class = component(rep, "rep", labels, "component_id").select("print", "component_id")
     out = signed.join(by_class, "print", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    tables.drop("shared", "tested", "open", "labels-1", "labels-2")
+    tables.drop("shared", "tested", "near", "mixed", "mixed-texts", "open", "open-texts", "labels-1", "labels-2")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
