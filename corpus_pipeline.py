@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next one."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next one.
+
+Every stage reads all that its predecessor kept and returns the columns of ``documents``; the last one returns packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +10,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import near_dedup
+from veilframe.llm import decontaminate, language_id, near_dedup, packing, substring_dedup
 from veilframe.llm.base import Tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SENT = 1_000_000  # document ids that are broadcast at most, 8 bytes each
+
+
+def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Documents but those of the ids (doc_id), which are written first and broadcast where they are few."""
+    gone = Tables(spark, name).save(ids.where("doc_id IS NOT NULL").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without letters or of a doubtful language go, rows without doc_id stay."""
+    found = language_id.identify(language_id.document_rows(docs))
+    return _without(spark, docs, found.where("NOT kept").select(F.col("id").alias("doc_id")), "language-stage")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one of the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one of the smallest doc_id.
 
-    Rows without doc_id stay.
+    Of rows that share a doc_id one stays.  Rows without doc_id stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(COLUMNS)
+    found = near_dedup.near_duplicates(docs)
+    left = _without(spark, docs, found.where("NOT kept").select("doc_id"), "near-stage")
+    twice = Tables(spark, "near-rows").save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    first = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(first)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words or more that also start earlier are cut out of the texts; no document goes."""
+    return substring_dedup.remove_repeats(docs, carry=["lang", "source"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(spark, docs, hits.select("doc_id"), "leak-stage")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_known_languages),
     ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("decontaminate", drop_leaks),
+    ("packing", pack),
 ]
 
-#: The stages compare whole texts by fuzzy methods and a tokenizer that SQL has no functions for.
+#: The stages compare whole texts by fitted models, fuzzy methods and a tokenizer that SQL has no functions for.
 ORACLE_SQL = None
 
 

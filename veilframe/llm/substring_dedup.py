@@ -151,8 +151,9 @@ def _spans(words: np.ndarray, size: int, reported: np.ndarray) -> tuple[np.ndarr
     return np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, text), one row per row of ``docs`` (doc_id, text; other columns are not read).
+def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, text), one row per row of ``docs`` (doc_id, text; of the others, those in ``carry``
+    come along unchanged).
 
     Each word covered by a window of ``size`` words whose sequence also starts earlier (smaller doc_id, or same row,
     earlier start) is removed.  ``spans`` are the removed word intervals; ``text`` is the input without them, other white
@@ -161,8 +162,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     range bound a task's memory: twice spark.sql.shuffle.partitions unless given.
     """
     spark = docs.sparkSession
+    carry = carry or []
     slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"),
+                        *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     reports = _entries(keyed, size, slices).groupBy("slice").applyInPandas(_settle, "doc_id long, hashes binary")
     found = reports.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
 
@@ -182,7 +185,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
                         text = b"".join(data[k][x:y] for x, y in keep).decode("utf-8")
                     rows.append((None if doc == NO_ID else doc, len(own), int((end - begin).sum()),
                                  [{"start": int(x), "end": int(y)} for x, y in zip(begin, end, strict=True)], text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "text"]).astype({"doc_id": "Int64"})
-
-    return keyed.join(found, "doc_id", "left").select("doc_id", "text", "hashes").mapInPandas(
-        work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string")
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "text"]).astype({"doc_id": "Int64"}).assign(
+                **{c: pdf[c].to_numpy() for c in carried})
+
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    types = "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
+    out = keyed.join(found, "doc_id", "left").select("doc_id", "text", "hashes", *carried).mapInPandas(
+        work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string" + types)
+    return out.select("doc_id", "n_words", "n_removed", "spans", "text", *[F.col(c).alias(name) for c, name in zip(carried, carry, strict=True)])
