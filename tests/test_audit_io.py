@@ -13,7 +13,7 @@ from veilframe.operators.transform import anonymize
 from veilframe.plans import job
 from veilframe.plans.people import people_df
 from veilframe.sources import files as S
-from veilframe.streaming.anonymize import anonymize_stream, pseudonymize_stream
+from veilframe.streaming.anonymize import anonymize_stream, pseudonymize_stream, wait
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,7 @@ def test_audit_columns_and_summary(spark):
     s = A.audit_summary(df, "r1", "/x/in.csv", "/y/out.csv", FX.MODE_PSEUDONYMIZATION, "Healthcare",
                         cfg, "/z/key", dt.datetime(2026, 1, 1)).first()
     assert (s["rows"], s["cols_analysed"], s["cols_modified"], s["cols_skipped"], s["key"]) == (7, 2, 1, 1, "key")
-    assert s["note"] == A.NOTE_PSEUDONYMIZATION
+    assert s["reversible"] is True
 
 
 def test_change_counts(spark):
@@ -49,7 +49,7 @@ def test_csv_round_trip_special_cells(spark, tmp_out):
     rows = [(1, 'a "quoted", comma\nnewline', "  "), (2, "plain", " lead and trail ")]
     df = spark.createDataFrame(rows, "id int, t string, w string")
     S.write_csv(df, f"{tmp_out}/csv")
-    back = S.read_csv(spark, f"{tmp_out}/csv", na_tokens=False)
+    back = S.read_csv(spark, f"{tmp_out}/csv", na_tokens=False, multiline=True)
     got = sorted((int(r["id"]), r["t"], r["w"]) for r in back.collect())
     assert got == sorted(rows)
     assert dict(back.dtypes)["id"] == "string"          # all-string by default
@@ -77,6 +77,54 @@ def test_run_pseudonymization(spark, tmp_out):
     # anonymization mode writes no key
     res2 = job.run(spark, src, f"{tmp_out}/out2", profile="Academic/Research", exclude=("k",))
     assert res2.key is None and not glob.glob(f"{tmp_out}/out2/pseudo_key_*")
+    # a Pseudonymization run without Fake Data writes a key of no entries
+    res3 = job.run(spark, src, f"{tmp_out}/out3", profile="Healthcare", mode=FX.MODE_PSEUDONYMIZATION, exclude=("k",))
+    assert spark.read.parquet(f"{res3.key}/mapping").count() == 0
+    assert spark.read.json(f"{res3.key}/metadata").first()["total_mappings"] == 0
+
+
+def test_anonymization_leaves_no_original_on_disk(spark, tmp_out):
+    from veilframe.session import checkpoint_dir
+    secret = "Zyxwvut Qponmlk"
+    spark.createDataFrame([(1, secret)], "k int, full_name string").write.parquet(f"{tmp_out}/in")
+    job.run(spark, f"{tmp_out}/in", f"{tmp_out}/out", profile="Academic/Research", exclude=("k",), in_format="parquet")
+    folders = [f"{tmp_out}/out", checkpoint_dir(spark).removeprefix("file:")]
+    files = [p for f in folders for p in glob.glob(f"{f}/**/*", recursive=True) if os.path.isfile(p)]
+    assert files and not any(secret.encode() in open(p, "rb").read() for p in files)
+    assert spark.read.parquet(glob.glob(f"{tmp_out}/out/anonymized_*")[0]).first()["full_name"] != secret
+
+
+def test_run_options(spark, tmp_out):
+    src = f"{tmp_out}/people.parquet"
+    people_df(spark, SF).write.parquet(src)
+    for name, text in (("salt", "pepper|"), ("secret", "0123456789abcdef")):
+        with open(f"{tmp_out}/{name}", "w") as f:
+            f.write(text + "\n")
+    res = job.run(spark, src, f"{tmp_out}/out", profile="Academic/Research", mode=FX.MODE_PSEUDONYMIZATION, exclude=("k",), drop=("phone",),
+                  chosen={"email": FX.HASHING}, locale="de_DE", salt_file=f"{tmp_out}/salt", key_secret_file=f"{tmp_out}/secret")
+    out = spark.read.parquet(res.output)
+    assert "phone" not in out.columns
+    want = people_df(spark, SF).where("trim(email) <> ''").select("k", F.sha2(F.concat(F.lit("pepper|"), "email"), 256).alias("email"))
+    assert out.join(want, ["k", "email"]).count() == want.count()
+    from veilframe.operators import pseudo as K
+    hidden = spark.read.parquet(f"{res.key}/mapping")
+    assert hidden.where("original LIKE '% %'").count() == 0
+    key = K.read_key(spark, res.key, X.secret_column(spark, f"{tmp_out}/secret"))
+    assert K.restore(out, key, ["full_name"]).select("k", "full_name").exceptAll(people_df(spark, SF).select("k", "full_name")).isEmpty()
+
+
+def test_secrets_are_not_in_the_plan(spark, tmp_out, capsys):
+    with open(f"{tmp_out}/secret", "w") as f:
+        f.write("0123456789abcdef\n")
+    secret = X.secret_column(spark, f"{tmp_out}/secret")
+    df = spark.createDataFrame([("a",)], "original string")
+    back = X.decrypt_key(X.encrypt_key(df, secret), secret)
+    hashed = anonymize(df, [("original", None, FX.HASHING)], salt=secret).df
+    for out in (back, hashed):
+        out.collect()
+        out.explain(True)
+        assert "0123456789abcdef" not in capsys.readouterr().out
+    assert back.first()[0] == "a"
 
 
 def test_stream_row_local(spark, tmp_out):
@@ -105,8 +153,9 @@ def test_stream_pseudonyms_consistent_across_batches(spark, tmp_out):
     once()
     p.filter("k >= 80").write.mode("append").parquet(src)
     once()
-    key = spark.read.parquet(f"{tmp_out}/key")
-    assert key.select("batch").distinct().count() >= 2
+    from veilframe.operators.pseudo import read_key
+    assert spark.read.parquet(f"{tmp_out}/key/mapping").select("batch").distinct().count() >= 2
+    key = read_key(spark, f"{tmp_out}/key")
     assert key.groupBy("fake").count().filter("count > 1").count() == 0
     assert key.count() == key.select("original").distinct().count()
     out = spark.read.parquet(f"{tmp_out}/out").select("k", "full_name")
@@ -116,6 +165,35 @@ def test_stream_pseudonyms_consistent_across_batches(spark, tmp_out):
         sorted((r["k"], r["full_name"]) for r in p.collect())
 
 
+def test_two_streams_on_one_key(spark, tmp_out):
+    import pytest
+    from veilframe.operators.pseudo import read_key
+    cfg = [("full_name", FX.FULL_NAME, FX.FAKE_DATA)]
+
+    def once(name, rows, **extra):
+        spark.createDataFrame(rows, "k int, full_name string").write.mode("append").parquet(f"{tmp_out}/{name}")
+        stream = spark.readStream.schema("k int, full_name string").parquet(f"{tmp_out}/{name}")
+        wait(pseudonymize_stream(stream, cfg, f"{tmp_out}/out", f"{tmp_out}/key", f"{tmp_out}/ck-{name}", **extra), 120)
+
+    once("a", [(1, "Ann One"), (2, "Bob Two")])
+    with pytest.raises(ValueError):
+        once("b", [(3, "Cy Three")])
+    once("b", [(4, "Ann One")], extend=True)
+    once("a", [(5, "Dan Five")])                       # goes on from its checkpoint
+    key = {r["original"]: r["fake"] for r in read_key(spark, f"{tmp_out}/key").collect()}
+    assert sorted(key) == ["Ann One", "Bob Two", "Cy Three", "Dan Five"] and len(set(key.values())) == 4
+    out = {r["k"]: r["full_name"] for r in spark.read.parquet(f"{tmp_out}/out").collect()}
+    assert out == {1: key["Ann One"], 2: key["Bob Two"], 3: key["Cy Three"], 4: key["Ann One"], 5: key["Dan Five"]}
+
+
+def test_wait_raises_when_time_is_up(spark, tmp_out):
+    import pytest
+    q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", f"{tmp_out}/ck").start()
+    with pytest.raises(TimeoutError):
+        wait(q, 1)
+    assert not q.isActive
+
+
 def test_extensions(spark):
     df = spark.createDataFrame([(95,), (34,), (None,)], "age int")
     got = [r["a"] for r in df.select(X.age_top_coded(F.col("age"), df.schema["age"].dataType).alias("a")).collect()]

@@ -138,8 +138,3 @@ def test_typed_columns_same_as_text(spark):
     fast = {r["column"]: r["pii_type"] for r in D.detect_values(df).collect()}
     slow = {r["column"]: r["pii_type"] for r in D.detect_values(as_text).collect()}
     assert fast == slow and fast["d"] == FX.DOB
-
-
-def test_fraction_option(spark):
-    df = spark.createDataFrame([("ali@example.com",)] * 400, "v string")
-    assert D.detect_values(df, fraction=0.1).collect()[0]["pii_type"] == FX.EMAIL

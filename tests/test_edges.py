@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 from veilframe.operators import detect as D
-from veilframe.operators import lookup
 from veilframe.operators import pseudo as K
 from veilframe.operators.transform import anonymize
 from veilframe.session import spread
@@ -51,7 +50,7 @@ def test_long_cells(spark):
     assert len(h) == 64
 
 
-def test_hot_value_and_nulls_through_split_join(spark):
+def test_hot_value_and_nulls_are_restored(spark):
     """One value holds a third of the rows and another third is null."""
     n = 3000
     df = spark.range(n).select(
@@ -59,43 +58,27 @@ def test_hot_value_and_nulls_through_split_join(spark):
         F.when(F.col("id") % 3 == 0, F.lit("Hot Value"))
         .when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Name "), F.col("id").cast("string"))).alias("full_name"))
-    m = K.build_mapping(df, [("full_name", FX.FULL_NAME)])
-    plan = lookup.plan_lookup(m, "original", "fake", "n", broadcast_bytes=0, hot_rows=100, max_hot=10)
-    assert m.filter(F.col("n") >= plan.hot_cut).count() == 1          # only the hot value
-    out = K.replace_with_fakes(df, ["full_name"], m, plan=plan, salts=16)
-    assert out.count() == n
-    assert out.filter(F.col("full_name").isNull()).count() == n // 3
-    hot_fake = m.filter(F.col("original") == "Hot Value").first()["fake"]
-    assert out.filter(F.col("full_name") == hot_fake).count() == n // 3
-    back = K.restore(out, m, ["full_name"], plan=lookup.plan_lookup(
-        m, "fake", "original", "n", broadcast_bytes=0, hot_rows=100, max_hot=10))
-    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
-
-
-def test_spread_is_bounded(spark):
+    res = anonymize(df, [("full_name", FX.FULL_NAME, FX.FAKE_DATA)])
+    assert res.mapping.where("original = 'Hot Value'").first()["n"] == n // 3
+    back = K.restore(res.df, res.mapping, ["full_name"], broadcast_bytes=0)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_spread_is_bounded_and_runs_no_job(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(small, max_bytes=1) is small
     in_memory = spark.range(10)
     assert spread(in_memory) is in_memory
-
-
-def test_unweighted_table_finds_hot_keys_by_sampling(spark):
-    n = 6000
-    df = spark.range(n).select(
-        F.col("id"),
-        F.when(F.col("id") % 3 == 0, F.lit("ID-000001"))
-        .otherwise(F.concat(F.lit("X"), F.col("id").cast("string"))).alias("v"))
-    table = spark.createDataFrame([("ID-000001", "Hot"), ("X1", "one")], "fake string, original string")
-    keys = df.select(F.col("v").alias("key"))
-    plan = lookup.plan_lookup(table, "fake", "original", None, broadcast_bytes=0, hot_rows=500,
-                              max_hot=10, data_keys=keys)
-    assert [r["key"] for r in plan.hot_keys.collect()] == ["ID-000001"]
-    out = K.restore(df, table.select("fake", "original"), ["v"], plan=plan)
-    got = {r["v"]: r["c"] for r in out.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-           .where(F.col("v").isin("Hot", "one")).collect()}
-    assert got == {"Hot": n // 3, "one": 1}
-    assert out.count() == n
+    grouped = small.groupBy("l_orderkey").agg(F.max("l_comment" if "l_comment" in small.columns else "l_returnflag").alias("flag"))
+    assert spread(grouped) is grouped
+    spark.sparkContext.setJobGroup("build", "no job may start")
+    try:
+        anonymize(grouped, [("flag", None, FX.HASHING), ("l_orderkey", FX.STUDENT_ID, FX.FAKE_DATA)])
+        D.detect_values(grouped)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == 0
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_odd_column_names(spark):
@@ -108,7 +91,7 @@ def test_odd_column_names(spark):
 
 
 def _sorted(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_skew_join_matches_plain_join(spark):
@@ -117,27 +100,72 @@ def test_skew_join_matches_plain_join(spark):
     left = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"),
-        F.col("id").alias("a"))
+        F.col("id").alias("a"), F.array(F.struct(F.create_map(F.lit(1), F.lit(2)).alias("m"))).alias("nested"))
     right = spark.range(60).select(
         F.when(F.col("id") < 5, F.lit("HOT")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"),
         F.col("id").alias("b"))
     right_hot = spark.range(3000).select(
-        F.when(F.col("id") % 2 == 0, F.lit("k7")).otherwise(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("key"),
+        F.when(F.col("id") % 2 == 0, F.lit("k7")).when(F.col("id") % 9 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("key"),
         F.col("id").alias("b"))
     for r in (right, right_hot):
         for how in ("inner", "left", "left_semi", "left_anti"):
-            got = skew_join(left, r, "key", how, hot_rows=200, max_hot=5, salts=8, fraction=0.5)
-            assert _sorted(got.select(*sorted(got.columns))) == \
-                _sorted(left.join(r, "key", how).select(*sorted(got.columns))), how
+            got, plain = skew_join(left, r, "key", how), left.join(r, "key", how)
+            assert sorted(got.columns) == sorted(plain.columns)
+            assert sorted(str(x) for x in got.select(*sorted(got.columns)).collect()) == \
+                sorted(str(x) for x in plain.select(*sorted(got.columns)).collect()), how
+
+
+def test_skewed_joins_are_spread(spark):
+    """A third of the rows hold one value and a third null: both are spread over tasks.
+
+    Adaptive execution goes by bytes, so the rows carry some (a column of one repeated value shuffles as next to nothing)."""
+    from veilframe.operators import lookup
+    from veilframe.operators.joins import skew_join
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    one_column = spark.range(0, 3000, 1, 24).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).alias("key"))
+    n = 60_000
+    df = spark.range(0, n, 1, 24).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("load"))
+    table = spark.createDataFrame([("hot", "H"), ("k2", "two")], "key string, value string")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = lookup.replace_values(df, {"key": F.col("key")}, table, "key", "value", broadcast_bytes=0)
+        plans = [(found, n)] + [(skew_join(df, table, "key", how), rows) for how, rows in (("left", n), ("left_semi", n // 3 + 1), ("inner", n // 3 + 1))]
+        for out, rows in plans:
+            per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("count"), F.max("load")).collect()]
+            assert sum(per_task) == rows
+            assert max(per_task) < rows / 3
+        passed_by = skew_join(one_column, table, "key", "left_anti")
+        assert max(r["count"] for r in passed_by.groupBy(F.spark_partition_id().alias("task")).count().collect()) < 200
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
 
 
-def test_split_lookup_with_dotted_names(spark):
-    df = spark.createDataFrame([(i, f"Name {i % 7}") for i in range(200)], "`row.id` int, `full name` string")
-    m = K.build_mapping(df, [("full name", FX.FULL_NAME)])
-    plan = lookup.plan_lookup(m, "original", "fake", "n", broadcast_bytes=0, hot_rows=20, max_hot=3)
-    split = K.replace_with_fakes(df, ["full name"], m, plan=plan, salts=4)
-    whole = K.replace_with_fakes(df, ["full name"], m)
-    assert _sorted(split) == _sorted(whole)
+def test_dotted_names_everywhere(spark, tmp_out):
+    from veilframe.operators import audit as A
+    from veilframe.operators import privacy as X
+    from veilframe.sources import files as S
+    rows = [("1", "Ali Hassan", "ali@b.com", "NA"), ("2", "Sana Malik", "", "n"), ("3", "Omar Khan", "o@b.com", "n")]
+    names = ["row.no", "c.1", "c.2", "s `x`"]
+    df = spark.createDataFrame(rows, names)
+    S.write_csv(df, f"{tmp_out}/dots")
+    back = S.read_csv(spark, f"{tmp_out}/dots")
+    assert back.columns == names and back.where("`s ``x``` IS NULL").count() == 1
+    det = {r["column"]: r["pii_type"] for r in D.detect(back, exclude=("row.no",)).collect()}
+    assert det == {"c.1": FX.FULL_NAME, "c.2": FX.EMAIL}
+    assert D.detect_values(back, key="row.no", sample_rows=2).count() == 3
+    res = anonymize(back, [("c.1", FX.FULL_NAME, FX.FAKE_DATA), ("c.2", FX.EMAIL, FX.MASKING)])
+    assert res.df.columns == names and res.mapping.count() == 3
+    assert sorted(r[0] for r in K.restore(res.df, res.mapping, ["c.1"]).select("`c.1`").collect()) == ["Ali Hassan", "Omar Khan", "Sana Malik"]
+    assert X.k_anonymity(back, ["s `x`"]).count() == 2
+    assert A.change_counts(back, [("c.2", FX.EMAIL, FX.MASKING)]).first()["changed"] == 1
+    assert D.span_counts(back, "c.2", ["s `x`"]).where("pii_type = 'Email' AND spans = 1").count() == 2
 
 
 def test_rows_below_k_with_hot_class_and_nulls(spark):
@@ -147,35 +175,7 @@ def test_rows_below_k_with_hot_class_and_nulls(spark):
         "id",
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 400).cast("string"))).alias("a"),
         F.when(F.col("id") % 7 == 0, F.lit(None).cast("int")).otherwise(F.lit(1)).alias("b"))
-    got = X.rows_below_k(df, ["a", "b"], 6, hot_rows=100, max_hot=5, salts=8, fraction=0.5)
+    got = X.rows_below_k(df, ["a", "b"], 6)
     from pyspark.sql import Window
     ref = df.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where("k < 6")
     assert _sorted(got.select("id", "a", "b", "k")) == _sorted(ref.select("id", "a", "b", "k"))
-
-
-def _plan(df):
-    import contextlib
-    import io
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return buf.getvalue()
-
-
-def test_salt_is_a_shuffle_key(spark):
-    """The salt must partition the shuffle, not be folded into a join filter."""
-    import re
-    from veilframe.operators.joins import skew_join
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, F.lit("Hot"))
-                                     .otherwise(F.concat(F.lit("N"), F.col("id").cast("string"))).alias("v"))
-        m = K.build_mapping(df, [("v", FX.FULL_NAME)])
-        plan = lookup.plan_lookup(m, "original", "fake", "n", broadcast_bytes=0, hot_rows=50, max_hot=5)
-        text = _plan(K.replace_with_fakes(df, ["v"], m, plan=plan))
-        assert re.search(r"Exchange hashpartitioning\(__ck0#\d+, __cs0#\d+", text), text
-        right = spark.range(10).select(F.col("id").cast("string").alias("v"))
-        text = _plan(skew_join(df, right, "v", "left", hot_rows=50, max_hot=5, salts=4, fraction=0.5))
-        assert re.search(r"Exchange hashpartitioning\(v#\d+, __salt#\d+", text), text
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

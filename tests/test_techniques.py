@@ -81,3 +81,18 @@ def test_nan_is_blank(spark):
 
 def test_unknown_technique_returns_none():
     assert technique_column(F.col("v"), "Shuffle", None) is None
+
+
+@pytest.mark.parametrize("v", [1e7, 3001234567.0, 4111111111111111.0, 12345678.25, 1e16, 1.5e300, 1e-3, 1e-4, 1.5e-4, 9.99e-4, 1e-5, 1.25e-7, 0.0, -0.0, 1.0, -1e7,
+                               -12345678.5, -2.5e-4, -1e-5, 9999999.0, 9007199254740993.0, 123456.789, float("inf"), float("-inf")])
+def test_doubles_print_as_in_python(spark, v):
+    from veilframe.functions.text import as_text
+    df = spark.createDataFrame([(v,)], "v double")
+    assert df.select(as_text(F.col("v"), df.schema["v"].dataType)).first()[0] == str(v)
+
+
+def test_number_cells_are_masked_by_their_plain_digits(spark):
+    df = spark.createDataFrame([(3001234567.0, 4111111111111111.0)], "p double, c double")
+    row = df.select(technique_column(F.col("p"), FX.MASKING, FX.PHONE, df.schema["p"].dataType).alias("p"),
+                    technique_column(F.col("c"), FX.MASKING, FX.CREDIT_CARD, df.schema["c"].dataType).alias("c")).first()
+    assert (row["p"], row["c"]) == ("300*****670", "*" * 13 + "1110")

@@ -1,10 +1,12 @@
-"""K2: fake values as pure functions of a dense index ``i`` (0-based bigint).
-
-Each type keeps the shape of a realistic value while the index fits and
-widens past it, so the fake is injective in ``i`` for every type; the shapes
-of different types never overlap, so fakes are also distinct across types
-(restore joins on the fake alone).  No random generator and no Python: the
-same index always gives the same fake, on any executor.
+"""K2: fake values as pure functions of ``(type, original)``.
+
+A fake is a shape of its type filled from ``sha2(seed || original)``: pools and
+short fields for looks, and a token of 104 bits or more, so two originals of
+a type share a fake only if two hashes agree in those bits.  The shapes of
+different types never overlap, so fakes are distinct across types too (restore
+joins on the fake alone).  Replacement is row-local: no index, join or
+shuffle, and the same original gives the same fake in every table, run and
+micro-batch of one seed and locale.
 """
 
 from __future__ import annotations
@@ -14,97 +16,116 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 
-# --- fixed values: pools for generated names and places ----------------------
-FAKE_FIRST = ["James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda",
-              "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph",
-              "Jessica", "Thomas", "Sarah", "Charles", "Karen"]
-FAKE_LAST = ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis",
-             "Rodriguez", "Martinez", "Hernandez", "Lopez", "Gonzalez", "Wilson", "Anderson",
-             "Thomas", "Taylor", "Moore", "Jackson", "Martin"]
-FAKE_STREETS = ["Oak Street", "Maple Avenue", "Cedar Lane", "Pine Road", "Elm Drive",
-                "Birch Court", "Walnut Way", "Willow Place", "Spruce Terrace", "Aspen Boulevard"]
-FAKE_CITIES = ["Springfield", "Riverton", "Fairview", "Lakeside", "Greenville", "Madison",
-               "Clinton", "Franklin", "Georgetown", "Salem"]
+# --- pools of invented people and places, by locale ---------------------------
+LOCALES = {
+    "en_US": {
+        "first": ["James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda",
+                  "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph",
+                  "Jessica", "Thomas", "Sarah", "Charles", "Karen"],
+        "last": ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis",
+                 "Rodriguez", "Martinez", "Hernandez", "Lopez", "Gonzalez", "Wilson", "Anderson",
+                 "Thomas", "Taylor", "Moore", "Jackson", "Martin"],
+        "street": ["Oak Street", "Maple Avenue", "Cedar Lane", "Pine Road", "Elm Drive",
+                   "Birch Court", "Walnut Way", "Willow Place", "Spruce Terrace", "Aspen Boulevard"],
+        "city": ["Springfield", "Riverton", "Fairview", "Lakeside", "Greenville", "Madison",
+                 "Clinton", "Franklin", "Georgetown", "Salem"],
+        "phone": "+1-555-",
+    },
+    "de_DE": {
+        "first": ["Anna", "Lukas", "Lena", "Jonas", "Marie", "Felix", "Clara", "Paul", "Greta", "Emil"],
+        "last": ["Schneider", "Fischer", "Weber", "Wagner", "Becker", "Hoffmann", "Koch", "Richter",
+                 "Wolf", "Neumann"],
+        "street": ["Lindenweg", "Bergstrasse", "Gartenweg", "Schulstrasse", "Bahnhofplatz"],
+        "city": ["Neustadt", "Altdorf", "Steinbach", "Waldheim", "Seefeld"],
+        "phone": "+49-555-",
+    },
+}
+DEFAULT_LOCALE = "en_US"
 FAKE_EMAIL_DOMAIN = "example.net"
-FAKE_PHONE_PREFIX = "+1-555-"
 FAKE_CARD_PREFIX = "4000"
 FAKE_ID_PREFIX = "ID-"
-FAKE_DOB_START = "1945-01-01"
-FAKE_DOB_SPAN_DAYS = 22000          # about 60 years of birth dates
-INDEX_SEED = "42|"                  # prefix hashed with each original to order the index
+# Birth dates for ages 18 to 80 at FAKE_CLOCK, a year to spare at the young end.
+FAKE_CLOCK = "2026-01-01"
+FAKE_DOB_START = "1946-01-01"
+FAKE_DOB_SPAN_DAYS = 22000
+SEED = "42|"                        # hashed in front of each original
+
+
+def fake_hash(original: Column, seed: Column | str = SEED) -> Column:
+    return F.sha2(F.concat(F.lit(seed) if isinstance(seed, str) else seed, original), 256)
+
+
+def _number(h: Column, at: int, n: int) -> Column:
+    """``n`` hex digits of the hash as a bigint."""
+    return F.conv(F.substring(h, at, n), 16, 10).cast("bigint")
+
+
+def _pick(pool: list[str], h: Column, at: int) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in pool]), (_number(h, at, 6) % len(pool) + 1).cast("int"))
 
 
-def _pick(pool: list[str], pos: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (pos + 1).cast("int"))
+def _hex(h: Column) -> Column:
+    """26 hex digits, 104 bits."""
+    return F.substring(h, 33, 26)
 
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
+def _letters(h: Column) -> Column:
+    """The same 104 bits as letters a-p."""
+    return F.translate(_hex(h), "0123456789abcdef", "abcdefghijklmnop")
 
 
-def fake_name(i: Column) -> Column:
-    nf, nl = len(FAKE_FIRST), len(FAKE_LAST)
-    base = F.concat(_pick(FAKE_FIRST, i % nf), F.lit(" "), _pick(FAKE_LAST, F.floor(i / nf) % nl))
-    span = nf * nl
-    return F.when(i < span, base).otherwise(
-        F.concat(base, F.lit(" "), _s(F.floor(i / span))))
+def _digits(h: Column) -> Column:
+    """104 bits as 32 decimal digits: two numbers of 13 hex digits."""
+    return F.concat(F.format_string("%016d", _number(h, 33, 13)), F.format_string("%016d", _number(h, 46, 13)))
 
 
-def fake_email(i: Column) -> Column:
-    nf, nl = len(FAKE_FIRST), len(FAKE_LAST)
-    return F.concat(F.lower(_pick(FAKE_FIRST, i % nf)), F.lit("."),
-                    F.lower(_pick(FAKE_LAST, F.floor(i / nf) % nl)), F.lit("."), _s(i),
-                    F.lit("@" + FAKE_EMAIL_DOMAIN))
+def fake_name(h: Column, pools: dict) -> Column:
+    return F.concat(_pick(pools["first"], h, 1), F.lit(" "), _pick(pools["last"], h, 7), F.lit(" "), F.initcap(_letters(h)))
 
 
-def fake_phone(i: Column) -> Column:
-    return F.concat(F.lit(FAKE_PHONE_PREFIX), F.format_string("%07d", i))
+def fake_email(h: Column, pools: dict) -> Column:
+    return F.concat(F.lower(_pick(pools["first"], h, 1)), F.lit("."), F.lower(_pick(pools["last"], h, 7)), F.lit("."),
+                    _hex(h), F.lit("@" + FAKE_EMAIL_DOMAIN))
 
 
-def fake_address(i: Column) -> Column:
-    ns = len(FAKE_STREETS)
-    return F.concat(_s(i + 1), F.lit(" "), _pick(FAKE_STREETS, i % ns), F.lit(", "),
-                    _pick(FAKE_CITIES, F.floor(i / ns) % len(FAKE_CITIES)))
+def fake_phone(h: Column, pools: dict) -> Column:
+    return F.concat(F.lit(pools["phone"]), _digits(h))
 
 
-def fake_dob(i: Column) -> Column:
-    day = F.date_add(F.to_date(F.lit(FAKE_DOB_START)), (i % FAKE_DOB_SPAN_DAYS).cast("int"))
-    base = F.date_format(day, "yyyy-MM-dd")
-    return F.when(i < FAKE_DOB_SPAN_DAYS, base).otherwise(
-        F.concat(base, F.lit("#"), _s(F.floor(i / FAKE_DOB_SPAN_DAYS))))
+def fake_address(h: Column, pools: dict) -> Column:
+    return F.concat((_number(h, 1, 6) % 9999 + 1).cast("string"), F.lit(" "), _pick(pools["street"], h, 7),
+                    F.lit(", Unit "), F.upper(_letters(h)), F.lit(", "), _pick(pools["city"], h, 13))
 
 
-def fake_card(i: Column) -> Column:
-    return F.concat(F.lit(FAKE_CARD_PREFIX), F.format_string("%012d", i))
+def fake_dob(h: Column, pools: dict) -> Column:
+    day = F.date_add(F.lit(FAKE_DOB_START).cast("date"), (_number(h, 1, 6) % FAKE_DOB_SPAN_DAYS).cast("int"))
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("#"), _hex(h))
 
 
-def fake_id(i: Column) -> Column:
-    return F.concat(F.lit(FAKE_ID_PREFIX), F.format_string("%06d", i))
+def fake_card(h: Column, pools: dict) -> Column:
+    return F.concat(F.lit(FAKE_CARD_PREFIX), _digits(h))
 
 
-def fake_cnic(i: Column) -> Column:
-    s = F.format_string("%013d", i)
-    return F.concat(F.substr(s, F.lit(1), F.lit(5)), F.lit("-"), F.substr(s, F.lit(6), F.lit(7)),
-                    F.lit("-"), F.substr(s, F.lit(13)))
+def fake_id(h: Column, pools: dict) -> Column:
+    return F.concat(F.lit(FAKE_ID_PREFIX), _digits(h))
 
 
-def fake_ip(i: Column) -> Column:
-    return F.concat(F.lit("10."), _s(F.floor(i / 65536)), F.lit("."),
-                    _s(F.floor(i / 256) % 256), F.lit("."), _s(i % 256))
+def fake_cnic(h: Column, pools: dict) -> Column:
+    d = _digits(h)
+    return F.concat(F.substring(d, 1, 5), F.lit("-"), F.substring(d, 6, 7), F.lit("-"), F.substring(d, 13, 20))
 
 
-def fake_code(i: Column) -> Column:
-    """Other types: two letters, two digits, '-', two letters, two digits."""
-    def letter(div):
-        return F.char(F.lit(65) + F.floor(i / div) % 26)
+def fake_ip(h: Column, pools: dict) -> Column:
+    """A private address (IPv6 fd00::/8, 120 bits of the hash): the 24 bits of 10.0.0.0/8 are too few."""
+    parts = [F.substring(h, 33 + 4 * k, 4) for k in range(7)]
+    return F.concat(F.lit("fd"), F.substring(h, 61, 2), *[x for p in parts for x in (F.lit(":"), p)])
 
-    def two_digits(div):
-        return F.format_string("%02d", F.floor(i / div) % 100)
 
-    span = 26 * 26 * 100 * 26 * 26 * 100
-    base = F.concat(letter(1), letter(26), two_digits(676), F.lit("-"),
-                    letter(67600), letter(1757600), two_digits(45697600))
-    return F.when(i < span, base).otherwise(F.concat(base, F.lit("-"), _s(F.floor(i / span))))
+def fake_code(h: Column, pools: dict) -> Column:
+    """Other types: two letters, two digits, '-', two letters, two digits, '-', letters."""
+    t = F.upper(_letters(h))
+    two = [F.format_string("%02d", _number(h, at, 6) % 100) for at in (1, 7)]
+    return F.concat(F.substring(t, 1, 2), two[0], F.lit("-"), F.substring(t, 3, 2), two[1], F.lit("-"), t)
 
 
 _BY_TYPE = {
@@ -120,9 +141,9 @@ _BY_TYPE = {
 }
 
 
-def fake_value(pii_type: Column, i: Column) -> Column:
-    """Fake for a (type, index) pair, type given per row."""
-    expr = None
-    for name, fn in _BY_TYPE.items():
-        expr = F.when(pii_type == name, fn(i)) if expr is None else expr.when(pii_type == name, fn(i))
-    return expr.otherwise(fake_code(i))
+def fake_value(pii_type: str | None, original: Column, locale: str = DEFAULT_LOCALE,
+               seed: Column | str = SEED) -> Column:
+    """The fake of a non-blank, stripped text."""
+    if locale not in LOCALES:
+        raise ValueError(f"unknown locale {locale!r}; known: {sorted(LOCALES)}")
+    return _BY_TYPE.get(pii_type, fake_code)(fake_hash(original, seed), LOCALES[locale])

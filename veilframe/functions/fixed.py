@@ -98,7 +98,7 @@ PROFILES = [
      [FULL_NAME, DOB, PHONE, ADDRESS, STUDENT_ID, CNIC]),
 ]
 
-# --- fixed values: compliance provisions per technique (codes only) ----------
+# --- provisions per technique, as short codes of our own -----------------------
 # (technique, framework, seq, provision)
 COMPLIANCE = [
     (MASKING, "GDPR", 1, "Art. 5(1)(c)"),
@@ -176,20 +176,6 @@ def get_profile(name: str):
 # The same tables as (tiny, fixed-size) DataFrames
 # ---------------------------------------------------------------------------
 
-RULES_SCHEMA = T.StructType([
-    T.StructField("rank", T.IntegerType(), False),
-    T.StructField("pii_type", T.StringType(), False),
-    T.StructField("keywords", T.ArrayType(T.StringType(), False), False),
-    T.StructField("pattern", T.StringType(), False),
-    T.StructField("default_tech", T.StringType(), False),
-])
-
-
-def rules_df(spark: SparkSession, rules=None) -> DataFrame:
-    """The rule table."""
-    return spark.createDataFrame([tuple(r) for r in (rules or PII_RULES)], RULES_SCHEMA)
-
-
 def profiles_df(spark: SparkSession) -> DataFrame:
     """One row per (profile, pii_type) with the profile's technique and priority flag."""
     rows = []
@@ -200,13 +186,6 @@ def profiles_df(spark: SparkSession) -> DataFrame:
         rows, "profile string, pii_type string, technique string, priority boolean")
 
 
-def profile_info_df(spark: SparkSession) -> DataFrame:
-    """One row per profile with compliance tags and priority types."""
-    rows = [(name, tags, prio) for name, tags, _t, prio in PROFILES]
-    return spark.createDataFrame(
-        rows, "profile string, compliance array<string>, priority_pii array<string>")
-
-
 def compliance_df(spark: SparkSession) -> DataFrame:
     """Compliance lookup (technique, framework, seq, provision)."""
     return spark.createDataFrame(

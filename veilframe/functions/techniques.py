@@ -72,9 +72,9 @@ def mask(v: Column, pii_type: str | None, unicode: bool = False) -> Column:
 # Hashing
 # ---------------------------------------------------------------------------
 
-def hash_sha256(v: Column, salt: str | None = None) -> Column:
+def hash_sha256(v: Column, salt: Column | str | None = None) -> Column:
     """P5: lower-case hex SHA-256 of the UTF-8 text; no strip.  ``salt`` is X1."""
-    payload = v if salt is None else F.concat(F.lit(salt), v)
+    payload = v if salt is None else F.concat(F.lit(salt) if isinstance(salt, str) else salt, v)
     return F.when(is_blank(v), v).otherwise(F.sha2(payload, 256))
 
 
@@ -154,7 +154,7 @@ def redact(v: Column) -> Column:
 
 def technique_column(c: Column, technique: str, pii_type: str | None,
                      dtype: T.DataType | None = None, unicode: bool = False,
-                     salt: str | None = None) -> Column | None:
+                     salt: Column | str | None = None) -> Column | None:
     """The transformed column, or None when the technique needs the mapping
     (Fake Data) or is unknown (the caller keeps the column unchanged)."""
     v = as_text(c, dtype)
@@ -170,6 +170,3 @@ def technique_column(c: Column, technique: str, pii_type: str | None,
         return redact(v)
     return None
 
-
-def is_known_technique(technique: str) -> bool:
-    return technique in FX.TECHNIQUE_NAMES

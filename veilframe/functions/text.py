@@ -24,12 +24,31 @@ WS = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
+def _float_text(c: Column) -> Column:
+    """A float as Python's ``str`` prints it: plain from 1e-4 up to 1e16, else
+    ``1e+16`` / ``1.5e-05``.  Spark switches to ``1.0E7`` at 1e7 and below 1e-3,
+    so the digits of that notation are moved to their place."""
+    t = c.cast("string")
+    sign = F.when(t.startswith("-"), "-").otherwise("")
+    head = F.regexp_replace(F.substring_index(t, "E", 1), "^-", "")
+    power = F.substring_index(t, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(head, r"\.0$", ""), r"\.", "")
+    whole = F.rpad(digits, power + 1, "0")                  # rpad also cuts: the digits before the point
+    rest = F.substr(digits, power + 2)
+    large = F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    far = F.concat(sign, F.regexp_replace(head, r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
+                   F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    moved = F.when((power >= 7) & (power < 16), large).when(power == -4, small).otherwise(far)
+    return F.when(F.contains(t, F.lit("E")), moved).when(t == "Infinity", "inf").when(t == "-Infinity", "-inf").otherwise(t)
+
+
 def as_text(c: Column, dtype: T.DataType | None = None) -> Column:
     """The cell as text (``str(v)``); NaN in floating columns becomes null."""
     if dtype is None or isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, _FLOATING):
-        return F.when(F.isnan(c), F.lit(None).cast("string")).otherwise(c.cast("string"))
+        return F.when(F.isnan(c), F.lit(None).cast("string")).otherwise(_float_text(c))
     return c.cast("string")
 
 

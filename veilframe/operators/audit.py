@@ -15,18 +15,12 @@ from veilframe.functions.text import as_text, col, is_blank, sql_string
 from veilframe.operators.config import as_rules
 from veilframe.operators.transform import anonymize
 
-# --- fixed values: mode notes and status words --------------------------------
-NOTE_ANONYMIZATION = ("Irreversible anonymization: transformed values cannot be undone and the "
-                      "original personal data is not recoverable from the output.")
-NOTE_PSEUDONYMIZATION = ("Reversible pseudonymization: the key table must be stored separately and "
-                         "protected like the original data; pseudonymised data stays personal data "
-                         "while the key exists.")
 PROCESSED, SKIPPED = "PROCESSED", "SKIPPED"
 
 
-def mode_note(mode: str) -> str:
-    """A4."""
-    return NOTE_ANONYMIZATION if mode == FX.MODE_ANONYMIZATION else NOTE_PSEUDONYMIZATION
+def reversible(mode: str) -> bool:
+    """A4: whether a key is written that undoes the run's pseudonyms."""
+    return mode == FX.MODE_PSEUDONYMIZATION
 
 
 def audit_summary(rows: DataFrame, run_id: str, input_file: str, output_file: str, mode: str,
@@ -49,7 +43,7 @@ def audit_summary(rows: DataFrame, run_id: str, input_file: str, output_file: st
         F.lit(modified).cast("bigint").alias("cols_modified"),
         F.lit(len(rules) - modified).cast("bigint").alias("cols_skipped"),
         F.lit(os.path.basename(key_file) if key_file else None).cast("string").alias("key"),
-        F.lit(mode_note(mode)).alias("note"))
+        F.lit(reversible(mode)).alias("reversible"))
 
 
 def audit_columns(spark: SparkSession, run_id: str, config) -> DataFrame:
@@ -80,15 +74,16 @@ def compliance_matrix(spark: SparkSession, config) -> DataFrame:
 def change_counts(df: DataFrame, config, **kw) -> DataFrame:
     """A5: per configured column, rows unchanged / changed / blank before.
 
-    The before value rides along in the same projection, so this is one
-    scan and one aggregation, with no join of before and after."""
+    Before and after are two expressions of one projection: one scan and one
+    aggregation, no join."""
     rules = [r for r in as_rules(config) if r.include and r.column in df.columns]
-    carried = df.select("*", *[as_text(col(r.column), df.schema[r.column].dataType)
-                               .alias(f"__b_{r.column}") for r in rules])
+    carried = df.select(*[col(c) for c in df.columns],
+                        *[as_text(col(r.column), df.schema[r.column].dataType).alias(f"__b_{i}") for i, r in enumerate(rules)])
     res = anonymize(carried, rules, **kw)
+    place = {r.column: i for i, r in enumerate(rules)}
     aggs = []
     for i, r in enumerate(res.applied):
-        b, a = col(f"__b_{r.column}"), col(r.column)
+        b, a = F.col(f"__b_{place[r.column]}"), col(r.column)
         aggs += [F.sum(F.when(b.eqNullSafe(a), 1).otherwise(0)).alias(f"u_{i}"),
                  F.sum(F.when(is_blank(b), 1).otherwise(0)).alias(f"b_{i}")]
     if not aggs:

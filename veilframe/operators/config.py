@@ -137,9 +137,11 @@ def build_config(detected: DataFrame, chosen: DataFrame | None = None,
     return out
 
 
-def resolve(detected: DataFrame, profile: str | None = None) -> DataFrame:
+def resolve(detected: DataFrame, profile: str | None = None, chosen: dict[str, str] | None = None) -> DataFrame:
     """The config for a detection table and a profile.
 
+    ``chosen`` (column -> technique) keeps what was chosen before: it wins over profile and default.
+
     The detection table has one row per column (``detect`` returns it
     materialised), so it is resolved over its collected rows against the
     fixed profile table: no Spark job per lookup.  ``technique_for`` and
@@ -157,6 +159,7 @@ def resolve(detected: DataFrame, profile: str | None = None) -> DataFrame:
         else:
             # C5 without a profile: the detection's default technique
             tech = r["default_tech"] or FX.FALLBACK_TECHNIQUE
+        tech = (chosen or {}).get(r["column"], tech)
         rows.append((r["column"], r["pii_type"], tech, True))
     if not rows:
         raise ValueError("no columns selected for processing")

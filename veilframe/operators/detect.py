@@ -49,9 +49,13 @@ def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, data_type string")
 
 
+def keyword_rows(rules=None) -> list[tuple[int, str, str]]:
+    """(rank, type, keyword), the table behind both header paths."""
+    return [(r[0], r[1], kw) for r in _rules(rules) for kw in r[2]]
+
+
 def keywords_df(spark: SparkSession, rules=None) -> DataFrame:
-    rows = [(r[0], r[1], kw) for r in _rules(rules) for kw in r[2]]
-    return spark.createDataFrame(rows, "rank int, pii_type string, keyword string")
+    return spark.createDataFrame(keyword_rows(rules), "rank int, pii_type string, keyword string")
 
 
 def detect_headers(cat: DataFrame, rules=None, column: str = "column_name") -> DataFrame:
@@ -69,10 +73,8 @@ def detect_headers(cat: DataFrame, rules=None, column: str = "column_name") -> D
 def header_type(name: str, rules=None) -> str | None:
     """D2 for a single name (driver-side, no data involved)."""
     n = name.strip().lower()
-    for r in _rules(rules):
-        if any(kw in n for kw in r[2]):
-            return r[1]
-    return None
+    hits = [(rank, t) for rank, t, kw in keyword_rows(rules) if kw in n]
+    return min(hits)[1] if hits else None
 
 
 # ---------------------------------------------------------------------------
@@ -84,21 +86,20 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
     """Unpivot ``columns`` into ``(column, v)`` text cells (nulls dropped,
     like ``dropna``).  With ``sample_rows`` keep the first n per column by key."""
     texts = [as_text(col(c), df.schema[c].dataType).alias(c) for c in columns]
-    ids = [key] if key is not None else []
-    wide = df.select(*([col(key)] if key else []), *texts)
-    long = wide.unpivot(ids, columns, "column", "v").where(F.col("v").isNotNull())
+    ids = [col(key)] if key is not None else []
+    long = df.select(*ids, *texts).unpivot(ids, [col(c) for c in columns], "column", "v").where(F.col("v").isNotNull())
     if sample_rows is not None:
         if key is None:
             raise ValueError("sample_rows needs a key: rows have no order otherwise")
-        w = Window.partitionBy("column").orderBy(key)
+        w = Window.partitionBy("column").orderBy(col(key))
         long = long.withColumn("_rn", F.row_number().over(w)) \
             .where(F.col("_rn") <= sample_rows).drop("_rn")
     return long.select("column", "v")
 
 
-# --- fixed values: built-in rules that can match the text of a typed value ---
-# Spark prints numbers with digits, '.', '-', '+' and 'E' only (NaN is null
-# here, 'Infinity' has no digits): Email needs '@', Full Name and ID need
+# --- built-in rules that can match the text of a typed value ------------------
+# Numbers print with digits, '.', '-', '+' and 'e' only (NaN is null
+# here, 'inf' has no digits): Email needs '@', Full Name and ID need
 # letters, Address needs whitespace, CNIC / DOB need two separators between
 # digit groups and IP three dots, so none of them can match.  Dates and
 # timestamps print as 'yyyy-MM-dd[ HH:mm:ss[.f]]': no letters or '@', at most
@@ -172,14 +173,8 @@ def first_value_type(stats: DataFrame, rules=None,
 
 def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
                   key: str | None = None, sample_rows: int | None = None,
-                  unicode: bool = False, fraction: float | None = None,
-                  seed: int = 42) -> DataFrame:
-    """``(column, pii_type)`` for every atomic column (pii_type null if none).
-
-    ``fraction``: an opt-in sampling operator (seeded Bernoulli sample of
-    rows) for very large tables; the default uses every row."""
-    if fraction is not None:
-        df = df.sample(fraction=fraction, seed=seed)
+                  unicode: bool = False) -> DataFrame:
+    """``(column, pii_type)`` for every atomic column (pii_type null if none)."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_atomic(f.dataType) and f.name != key]
     spark = df.sparkSession
@@ -197,18 +192,8 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
 # Two passes (D6) and type helpers
 # ---------------------------------------------------------------------------
 
-def default_tech_col(pii_type: Column, rules=None) -> Column:
-    """Rule default technique, else Masking."""
-    expr = None
-    for r in _rules(rules):
-        cond = pii_type == F.lit(r[1])
-        expr = F.when(cond, F.lit(r[4])) if expr is None else expr.when(cond, F.lit(r[4]))
-    return expr.otherwise(F.lit(FX.FALLBACK_TECHNIQUE))
-
-
 def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str | None = None,
-           exclude: tuple[str, ...] | list[str] = (), unicode: bool = False,
-           fraction: float | None = None) -> DataFrame:
+           exclude: tuple[str, ...] | list[str] = (), unicode: bool = False) -> DataFrame:
     """Header pass, then the value pass for the columns it missed.
 
     Returns ``column, pii_type, method, default_tech, include`` for detected
@@ -224,7 +209,7 @@ def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str |
               and c != key]
     by_value = {}
     if missed:
-        for r in detect_values(df, missed, rules, key, sample_rows, unicode, fraction).collect():
+        for r in detect_values(df, missed, rules, key, sample_rows, unicode).collect():
             if r["pii_type"] is not None:
                 by_value[r["column"]] = r["pii_type"]
     defaults = {r[1]: r[4] for r in _rules(rules)}
@@ -237,9 +222,12 @@ def detect(df: DataFrame, rules=None, sample_rows: int | None = None, key: str |
         rows, "column string, pii_type string, method string, default_tech string, include boolean")
 
 
-def pii_type_names(spark: SparkSession, rules=None) -> DataFrame:
-    """D7."""
-    return spark.createDataFrame([(r[1],) for r in _rules(rules)], "pii_type string").orderBy("pii_type")
+def type_summary(detected: DataFrame) -> DataFrame:
+    """Every known type in order of its name, with its default technique and the number of columns detected as it."""
+    known = detected.sparkSession.createDataFrame([(t, FX.default_technique(t)) for t in FX.pii_type_names()], "pii_type string, default_tech string")
+    found = detected.groupBy("pii_type").agg(F.count(F.lit(1)).alias("columns"))
+    # ten known types on the left, at most ten groups on the right
+    return known.join(F.broadcast(found), "pii_type", "left").select("pii_type", "default_tech", F.coalesce("columns", F.lit(0)).alias("columns")).orderBy("pii_type")
 
 
 # ---------------------------------------------------------------------------
@@ -270,7 +258,7 @@ def span_counts(df: DataFrame, text: str, by: list[str], rules=None,
                  F.sum(n).cast("bigint").alias(f"s{r[0]}")]
     wide = df.where(col(text).isNotNull()).groupBy(*[col(b) for b in by]).agg(*aggs)
     stack = ", ".join(f"{sql_string(r[1])}, r{r[0]}, s{r[0]}" for r in rs)
-    return wide.select(*by, F.expr(f"stack({len(rs)}, {stack}) AS (pii_type, rows_with_hit, spans)"))
+    return wide.select(*[col(b) for b in by], F.expr(f"stack({len(rs)}, {stack}) AS (pii_type, rows_with_hit, spans)"))
 
 
 def redact_spans(text: Column, rules=None, unicode: bool = False,

@@ -1,83 +1,37 @@
 """Equi-joins of two large tables that stay balanced when one key holds a
 large share of the rows (used by the linkage join on hashed keys, K8).
 
-One shuffle join on ``(key, salt)``, one scan per side:
-
-* hot keys are nominated from seeded samples of the keys (at most
-  ``max_hot`` per side; the sample only nominates, every row is joined) and
-  flagged on both sides with a broadcast join against that bounded set;
-* a row whose key is hot on *its own* side gets a deterministic salt in
-  ``[0, salts)`` (a hash of the row), and the other side's rows for that key
-  are replicated once per salt, so the key is spread over ``salts`` tasks;
-* other rows keep salt 0; null keys in a left join are salted too, so they
-  do not pile up in one reducer (they match nothing either way).
-
-Only the left side may be salted for left / semi / anti joins (copies of a
-left row would each be kept when unmatched); right-hot keys are salted for
-inner joins.
+Adaptive execution (``spark.sql.adaptive.skewJoin``, on by default) splits an
+oversized partition by rows, whatever they hold, on either side of an inner join
+and on the left side of the others.  What it can't split is rewritten:
+
+* semi / anti joins: the right side is reduced to its distinct keys (combined
+  map-side), so no right key is hot;
+* left joins: the matching rows are an inner join, the others an anti join;
+* null keys match nothing, so they pass by the join without a shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilframe.functions.text import col
-from veilframe.operators.lookup import WEIGHT_SAMPLE_FRACTION, sampled_hot_keys
-
-DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_MAX_HOT = 10_000
-DEFAULT_SALTS = 256
-
-
-def _row_hash(df: DataFrame):
-    return F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
 
 
-def _flag(df: DataFrame, on: str, hot: DataFrame | None, name: str) -> DataFrame:
-    if hot is None:
-        return df.withColumn(name, F.lit(False))
-    # hot: at most max_hot keys (limit in sampled_hot_keys)
-    h = F.broadcast(hot.select(F.col("key").alias(f"{name}_k")))
-    return df.join(h, col(on) == F.col(f"{name}_k"), "left") \
-        .withColumn(name, F.col(f"{name}_k").isNotNull()).drop(f"{name}_k")
-
-
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
-              hot_rows: int = DEFAULT_HOT_ROWS, max_hot: int = DEFAULT_MAX_HOT,
-              salts: int = DEFAULT_SALTS, fraction: float = WEIGHT_SAMPLE_FRACTION) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-
-    # one job nominates both sides; the candidates (at most 2 x max_hot keys)
-    # are collected, so the sample is drawn exactly once
-    spark = left.sparkSession
-    cand = (sampled_hot_keys(left.select(col(on).alias("key")), hot_rows, max_hot, fraction)
-            .withColumn("side", F.lit("l"))
-            .unionByName(sampled_hot_keys(right.select(col(on).alias("key")), hot_rows, max_hot, fraction)
-                         .withColumn("side", F.lit("r")))).collect()
-    left_hot = sorted({r["key"] for r in cand if r["side"] == "l"})
-    right_hot = sorted({r["key"] for r in cand if r["side"] == "r"} - set(left_hot)) \
-        if how == "inner" else []
-    if not left_hot and not right_hot:
-        return left.join(right, on, how)
-    key_type = left.schema[on].dataType
-    hot_l = spark.createDataFrame([(k,) for k in left_hot], T.StructType([T.StructField("key", key_type)])) \
-        if left_hot else None
-    hot_r = spark.createDataFrame([(k,) for k in right_hot], T.StructType([T.StructField("key", key_type)])) \
-        if right_hot else None
-
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    l = _flag(_flag(left, on, hot_l, "__hl"), on, hot_r, "__hr")
-    l_own = F.pmod(_row_hash(left), F.lit(salts))
-    l_salt = F.when(F.col("__hl") | col(on).isNull(), F.array(l_own)) \
-        .when(F.col("__hr"), every_salt).otherwise(F.array(F.lit(0)))
-    l = l.withColumn("__salt", F.explode(l_salt)).drop("__hl", "__hr")
-
-    r = _flag(_flag(right, on, hot_l, "__hl"), on, hot_r, "__hr")
-    r_own = F.pmod(_row_hash(right), F.lit(salts))
-    r_salt = F.when(F.col("__hl"), every_salt) \
-        .when(F.col("__hr"), F.array(r_own)).otherwise(F.array(F.lit(0)))
-    r = r.withColumn("__salt", F.explode(r_salt)).drop("__hl", "__hr")
-    return l.join(r, [on, "__salt"], how).drop("__salt")
+    keys = right.select(col(on).alias("__key")).where(F.col("__key").isNotNull())
+    # Distinct over (key, hash): the join then shuffles the keys itself.  Were they dealt out by the
+    # key already, an aggregation would stand under the join, and adaptive execution splits none such.
+    keys = keys.withColumn("__hash", F.xxhash64("__key")).distinct().drop("__hash")
+    same = col(on) == F.col("__key")
+    if how == "left_semi":
+        return left.join(keys, same, "left_semi")
+    if how == "left_anti":
+        return left.where(col(on).isNotNull()).join(keys, same, "left_anti").unionByName(left.where(col(on).isNull()))
+    inner = left.join(right.withColumnRenamed(on, "__key"), same, "inner").drop("__key")
+    if how == "inner":
+        return inner
+    return inner.unionByName(skew_join(left, right, on, "left_anti"), allowMissingColumns=True)

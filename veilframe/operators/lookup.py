@@ -1,162 +1,37 @@
-"""Skew-safe replacement of cell values through a key -> value table.
+"""Replacement of cell values through a key -> value table (restore: fake -> original).
 
-Used by pseudonymisation (original -> fake) and restore (fake -> original).
-The lookup table can be as large as the data's distinct values, so the
-strategy is chosen from measured numbers, never assumed:
-
-* the whole table is broadcast only when its measured byte size is below
-  ``broadcast_bytes``;
-* otherwise keys whose measured row weight is at least ``hot_rows`` are
-  *hot*: at most ``max_hot`` of them (the cut is raised until the set fits)
-  are broadcast, and the remaining *cold* keys go through a shuffle join.
-  A table without a weight column gets its hot keys from a sample of the
-  data's keys (the sample only nominates candidates; every row is joined);
-* rows that cannot match the cold side (blank cells, hot keys) get a salt
-  in the join key, so a column that is one-third null or one-third a single
-  value does not pile up in one reducer.
-
-Nothing is dropped or sampled away: every row goes through exactly one of
-the two joins and keeps its value when unmatched.
+The table can be as large as the data's distinct values.  It is broadcast only
+when its measured text is below ``broadcast_bytes``; otherwise each column is a
+left join.  The table has one row per key, so a hot or null key only makes the
+*data* side of a partition large, and adaptive execution splits that side
+(``spark.sql.adaptive.skewJoin``): no salt, and no key is treated apart.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from veilframe.functions.text import col
 
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_MAX_HOT = 100_000
-DEFAULT_SALTS = 1024
-WEIGHT_SAMPLE_FRACTION = 0.01
-
-
-@dataclass
-class LookupPlan:
-    broadcast_all: bool
-    hot_cut: int | None
-    n_keys: int
-    n_bytes: int
-    hot_keys: DataFrame | None = None      # sampled candidates when there is no weight
-
 
-def sampled_hot_keys(data_keys: DataFrame, hot_rows: int, max_hot: int,
-                     fraction: float = WEIGHT_SAMPLE_FRACTION) -> DataFrame:
-    """Keys whose estimated row count (sample count / fraction) reaches
-    ``hot_rows``; at most ``max_hot`` of them (the heaviest), collected-free."""
-    est = data_keys.sample(fraction=fraction, seed=42).where(F.col("key").isNotNull()) \
-        .groupBy("key").agg((F.count(F.lit(1)) / F.lit(fraction)).alias("w"))
-    return est.where(F.col("w") >= hot_rows).orderBy(F.col("w").desc()).limit(max_hot).select("key")
 
-
-def plan_lookup(table: DataFrame, key: str, value: str, weight: str | None,
-                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                hot_rows: int = DEFAULT_HOT_ROWS, max_hot: int = DEFAULT_MAX_HOT,
-                data_keys: DataFrame | None = None) -> LookupPlan:
-    """Measure the table (one small aggregation job) and pick a strategy.
-
-    ``data_keys`` (one column ``key``: the keys of the rows to be looked up)
-    is used to nominate hot keys when the table has no ``weight`` column."""
-    stats = table.agg(F.count(F.lit(1)).alias("n"),
-                      F.sum(F.length(key) + F.length(value) + 48).alias("b")).first()
-    n_keys, n_bytes = int(stats["n"] or 0), int(stats["b"] or 0)
-    if n_bytes <= broadcast_bytes:
-        return LookupPlan(True, None, n_keys, n_bytes)
-    if weight is None:
-        if data_keys is None:
-            return LookupPlan(False, None, n_keys, n_bytes)
-        # collected once (at most max_hot keys): the sample is drawn exactly once
-        keys = [r["key"] for r in sampled_hot_keys(data_keys, hot_rows, max_hot).collect()]
-        if not keys:
-            return LookupPlan(False, None, n_keys, n_bytes)
-        key_type = data_keys.schema["key"].dataType
-        cand = table.sparkSession.createDataFrame(
-            [(k,) for k in keys], T.StructType([T.StructField("key", key_type)]))
-        return LookupPlan(False, None, n_keys, n_bytes, cand)
-    cut = hot_rows
-    n_hot = table.filter(F.col(weight) >= cut).count()
-    if n_hot > max_hot:
-        # the max_hot-th heaviest weight + 1: strictly fewer than max_hot keys stay hot
-        kth = (table.select(weight).orderBy(F.col(weight).desc()).limit(max_hot)
-               .agg(F.min(weight)).first()[0])
-        cut = int(kth) + 1
-    return LookupPlan(False, cut, n_keys, n_bytes)
-
-
-def _row_salt(df: DataFrame, salts: int) -> Column:
-    """Deterministic per-row salt in [1, salts] (recomputes give the same value).
-
-    Hashes every column xxhash64 accepts (maps are not hashable)."""
-    cols = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)) + 1
+def measured_bytes(table: DataFrame, key: str, value: str) -> int:
+    """Text of the table's two columns and a row's overhead (one aggregation)."""
+    return int(table.agg(F.sum(F.octet_length(key) + F.octet_length(value) + 48)).first()[0] or 0)
 
 
 def replace_values(df: DataFrame, keys: dict[str, Column], table: DataFrame, key: str, value: str,
-                   weight: str | None = None, plan: LookupPlan | None = None,
-                   salts: int = DEFAULT_SALTS, **plan_args) -> DataFrame:
+                   broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """For each ``column -> key expression`` in ``keys``: the ``value`` of the
     table row whose ``key`` equals the cell's key (null key = blank cell).
 
     Returns ``df`` plus one column ``__lk_<column>`` per entry holding the
     looked-up value (null when unmatched); callers decide how to merge.
     """
-    if plan is None:
-        data_keys = None
-        if weight is None:
-            data_keys = df.select(F.explode(F.array(*keys.values())).alias("key"))
-        plan = plan_lookup(table, key, value, weight, data_keys=data_keys, **plan_args)
-    out = df
+    small = measured_bytes(table, key, value) <= broadcast_bytes
     names = list(keys)
+    out = df.withColumns({f"__k{i}": keys[name] for i, name in enumerate(names)})
     for i, name in enumerate(names):
-        out = out.withColumn(f"__k{i}", keys[name])
-    if plan.broadcast_all:
-        for i, name in enumerate(names):
-            side = table.select(F.col(key).alias(f"__tk{i}"), F.col(value).alias(f"__lk_{name}"))
-            # size measured in plan_lookup: below broadcast_bytes
-            out = out.join(F.broadcast(side), out[f"__k{i}"] == side[f"__tk{i}"], "left") \
-                .drop(f"__tk{i}")
-        return out.drop(*[f"__k{i}" for i in range(len(names))])
-
-    if plan.hot_cut is not None:
-        hot = table.filter(F.col(weight) >= plan.hot_cut)
-        cold = table.filter(F.col(weight) < plan.hot_cut)
-    elif plan.hot_keys is not None:
-        # candidates: at most max_hot keys (limit in sampled_hot_keys)
-        cand = F.broadcast(plan.hot_keys.withColumnRenamed("key", "__cand"))
-        hot = table.join(cand, F.col(key) == F.col("__cand"), "left_semi")
-        cold = table.join(cand, F.col(key) == F.col("__cand"), "left_anti")
-    else:
-        hot, cold = None, table
-    salt = _row_salt(df, salts)            # the input columns only
-    for i, name in enumerate(names):
-        k = F.col(f"__k{i}")
-        if hot is not None:
-            hs = hot.select(F.col(key).alias(f"__hk{i}"), F.col(value).alias(f"__hv{i}"))
-            # at most max_hot keys: bounded by plan_lookup
-            out = out.join(F.broadcast(hs), k == hs[f"__hk{i}"], "left").drop(f"__hk{i}")
-            cold_key = F.when(F.col(f"__hv{i}").isNull(), k)
-        else:
-            cold_key = k
-        out = out.withColumn(f"__ck{i}", cold_key)
-        out = out.withColumn(f"__cs{i}", F.when(F.col(f"__ck{i}").isNull(), salt)
-                             .otherwise(F.lit(0).cast("bigint")))
-        # The table side's salt is 0, written so the optimizer cannot fold it
-        # to a literal: a literal would turn the salt into a post-join filter
-        # and drop it from the shuffle's partitioning keys.
-        cs = cold.select(F.col(key).alias(f"__rk{i}"), F.col(value).alias(f"__cv{i}"),
-                         (F.length(F.col(key)) * 0).cast("bigint").alias(f"__rs{i}"))
-        out = out.join(cs, (out[f"__ck{i}"] == cs[f"__rk{i}"]) & (out[f"__cs{i}"] == cs[f"__rs{i}"]),
-                       "left")
-        merged = F.coalesce(F.col(f"__hv{i}"), F.col(f"__cv{i}")) if hot is not None \
-            else F.col(f"__cv{i}")
-        out = out.withColumn(f"__lk_{name}", merged)
-        drop = [f"__ck{i}", f"__cs{i}", f"__rk{i}", f"__rs{i}", f"__cv{i}"]
-        if hot is not None:
-            drop.append(f"__hv{i}")
-        out = out.drop(*drop)
-    return out.drop(*[f"__k{i}" for i in range(len(names))])
+        side = table.select(F.col(key).alias(f"__tk{i}"), F.col(value).alias(f"__lk_{name}"))
+        out = out.join(F.broadcast(side) if small else side, F.col(f"__k{i}") == F.col(f"__tk{i}"), "left")
+    return out.drop(*[f"__{x}{i}" for i in range(len(names)) for x in ("k", "tk")])

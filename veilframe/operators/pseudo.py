@@ -1,17 +1,11 @@
 """K1-K8: consistent pseudonyms, key table, restore, integrity, linkage.
 
-The mapping is built as a Spark job, never as a driver-side dict:
-
-1. every non-blank cell of every Fake Data column becomes
-   ``(column order, pii_type, stripped text)`` in one scan (``inline``);
-2. ``groupBy(original)`` (partial aggregation map-side, so a value that fills
-   a third of the table is combined before the shuffle) keeps the type of the
-   first configured column that holds it and the number of rows ``n``;
-3. a dense index ``idx`` = rank of ``sha2('42|' || original)`` among the
-   distinct originals (see ``hash_rank``), no single-partition window;
-4. the fake is a pure function of ``(pii_type, idx)``; it is injective per
-   type and the shapes of types do not overlap;
-5. each Fake Data column is replaced through ``lookup.replace_values``.
+A fake is a pure function of the column's type and the stripped text
+(``functions.fakes``), so replacing values is row-local: any number of Fake Data
+columns, batch or stream, needs no join, shuffle or state.  One value has one
+fake per type, wherever it stands.  The key table (original -> fake) is a
+distinct aggregation over the same columns; it is built only when a key is
+written or a restore is wanted.
 """
 
 from __future__ import annotations
@@ -19,21 +13,17 @@ from __future__ import annotations
 from datetime import datetime
 import os
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import fixed as FX
-from veilframe.functions.fakes import INDEX_SEED, fake_value
+from veilframe.functions.fakes import DEFAULT_LOCALE, SEED, fake_value
 from veilframe.functions.text import as_text, col, is_blank, py_strip
-from veilframe.operators import lookup
+from veilframe.operators import lookup, privacy
 from veilframe.operators.joins import skew_join
-from veilframe.session import checkpoint_dir
 
-MAPPING_SCHEMA = "original string, fake string, pii_type string, idx bigint, n bigint"
-TOP_HEX = 4                    # 16^4 = 65,536 top-level hash-prefix groups
-GROUP_ROWS = 1_000_000         # target rows per rank group (adaptive prefix depth)
-BATCH_BROADCAST_ROWS = 1_000_000   # a micro-batch's distinct originals broadcast up to this count
+MAPPING_SCHEMA = "original string, fake string, pii_type string, n bigint"
 
 
 def key_text(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -42,172 +32,56 @@ def key_text(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.when(is_blank(v), F.lit(None).cast("string")).otherwise(py_strip(v))
 
 
-def collect_originals(df: DataFrame, columns: list[tuple[str, str | None]]) -> DataFrame:
-    """Steps 1-2: distinct originals with the first column's type and row count.
+def fake_column(c: Column, pii_type: str | None, dtype: T.DataType | None = None,
+                locale: str = DEFAULT_LOCALE, seed: Column | str = SEED) -> Column:
+    """K1: blank cells unchanged, other cells replaced by their fake."""
+    key = key_text(c, dtype)
+    return F.when(key.isNull(), as_text(c, dtype)).otherwise(fake_value(pii_type, key, locale, seed))
 
-    Aggregates ``min(ord)`` (a fixed-width buffer, so a hash aggregate with
-    partial aggregation map-side) and maps the winning ordinal to its type."""
-    structs = []
-    for i, (name, _t) in enumerate(columns):
-        structs.append(F.struct(F.lit(i).alias("ord"),
-                                key_text(col(name), df.schema[name].dataType).alias("original")))
-    cells = df.select(F.inline(F.array(*structs))).where(F.col("original").isNotNull())
-    types = F.array(*[F.lit(t).cast("string") for _c, t in columns])
-    return cells.groupBy("original").agg(F.min("ord").alias("_ord"), F.count(F.lit(1)).alias("n")) \
-        .select("original", F.element_at(types, F.col("_ord") + 1).alias("pii_type"), "n")
 
+def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing: DataFrame | None = None,
+                  locale: str = DEFAULT_LOCALE, seed: Column | str = SEED) -> DataFrame:
+    """K1/K2/K4: the key table ``(original, fake, pii_type, n)``, ``n`` = cells that hold the original.
 
-def order_hash(original: Column) -> Column:
-    return F.sha2(F.concat(F.lit(INDEX_SEED), original), 256)
-
-
-def bucket_digits(n_rows: int, group_rows: int = GROUP_ROWS) -> int:
-    """Hex digits of the hash prefix so that a prefix group holds about
-    ``group_rows`` rows on average (at least 4, i.e. 65,536 groups)."""
-    digits = TOP_HEX
-    while n_rows > group_rows * 16 ** digits and digits < 12:
-        digits += 1
-    return digits
-
-
-def hash_rank(df: DataFrame, start: Column | int = 0, digits: int = TOP_HEX) -> DataFrame:
-    """Step 3: ``idx`` = ``start`` + 0-based rank of ``h`` (then ``original``).
-
-    Rows are grouped by the first ``digits`` hex digits of the (uniform)
-    hash; ranks are taken within groups and added to the group's offset, the
-    number of rows in smaller groups.  Offsets come from two bounded prefix
-    sums: over the 65,536 top-level (4-digit) groups, then within each
-    top-level group over its sub-groups (16^(digits-4) rows each).  No step
-    funnels the table through one partition, and group size stays near
-    ``GROUP_ROWS`` at any scale when ``digits`` comes from ``bucket_digits``.
-    Equal to ``row_number() over (order by h, original) - 1`` + ``start``.
-    """
-    h = df.withColumn("h", order_hash(F.col("original"))) \
-        .withColumn("_t", F.conv(F.substring("h", 1, TOP_HEX), 16, 10).cast("bigint")) \
-        .withColumn("_g", F.conv(F.substring("h", 1, digits), 16, 10).cast("bigint"))
-    counts = h.groupBy("_t", "_g").agg(F.count(F.lit(1)).alias("_c"))
-    top = counts.groupBy("_t").agg(F.sum("_c").alias("_tc"))
-    before = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 16^TOP_HEX rows: the single-partition window is bounded
-    top_off = top.select("_t", F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_toff"))
-    within = Window.partitionBy("_t").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    # 16^(digits - TOP_HEX) rows per top-level group
-    offsets = counts.join(top_off, "_t", "left").select(
-        "_g", (F.col("_toff") + F.coalesce(F.sum("_c").over(within), F.lit(0))).alias("_off"))
-    ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("h", "original")))
-    start_col = start if isinstance(start, Column) else F.lit(start)
-    # left join: an inner one would infer a not-null filter on the hash and
-    # push it below the distinct aggregation (one SHA-256 per cell, not per value).
-    # The offsets table has one row per group: broadcast when groups are few
-    # (4 digits: 65,536 rows), shuffled alongside the groups otherwise.
-    side = F.broadcast(offsets) if digits == TOP_HEX else offsets
-    out = ranked.join(side, "_g", "left") \
-        .withColumn("idx", (start_col + F.col("_off") + F.col("_r") - 1).cast("bigint"))
-    return out.drop("_t", "_g", "_off", "_r")
-
-
-def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
-                  existing: DataFrame | None = None, persist: bool = True) -> DataFrame:
-    """K1/K2/K4: mapping ``(original, fake, pii_type, idx, n)``.
-
-    ``existing`` (a previous mapping) keeps its fakes; new originals are
-    ranked after its highest index.  The result is checkpointed to the
-    session's shared checkpoint folder: it is read by every column's join
-    and by the key sink, and cutting lineage makes it survive lost executors.
+    One scan unpivots the columns; ``groupBy(original, type)`` combines map-side, so
+    a value that fills a third of the table is one row per task before the shuffle,
+    and fakes are made per distinct value.  ``existing`` (an earlier key) is
+    kept and extended.
     """
-    originals = collect_originals(df, columns)
-    if persist:
-        # the distinct set is read twice (bucket sizes, ranks): cut it once so
-        # the source is scanned and shuffled a single time
-        checkpoint_dir(df.sparkSession)
-        originals = originals.checkpoint(eager=True)
-    if existing is not None:
-        old = existing.select("original", "fake", "pii_type", "idx",
-                              F.col("n") if "n" in existing.columns else F.lit(0).cast("bigint").alias("n"))
-        new = originals.join(old.select("original"), "original", "left_anti")
-        start = F.lit(old.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0])
-        ranked = hash_rank(new, start, bucket_digits(originals.count()) if persist else TOP_HEX)
-        fresh = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
-                              "pii_type", "idx", "n")
-        counts = originals.select("original", F.col("n").alias("_n_now"))
-        kept = old.join(counts, "original", "left").select(
-            "original", "fake", "pii_type", "idx", F.coalesce("_n_now", F.lit(0)).alias("n"))
-        mapping = kept.unionByName(fresh)
-    else:
-        ranked = hash_rank(originals, 0, bucket_digits(originals.count()) if persist else TOP_HEX)
-        mapping = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
-                                "pii_type", "idx", "n")
-    if persist:
-        mapping = mapping.checkpoint(eager=True)
-    return mapping
-
-
-def extend_mapping(df: DataFrame, columns: list[tuple[str, str | None]],
-                   existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Incremental K1 for micro-batches: ``(relevant, fresh)``.
-
-    ``fresh``: originals of ``df`` missing from ``existing``, ranked after its
-    highest index.  ``relevant``: the existing entries ``df`` uses plus
-    ``fresh``, i.e. everything the batch's lookup needs.  Neither grows with
-    the whole key table (only its ``original`` and ``idx`` columns are read),
-    so a stream appends ``fresh`` instead of rewriting the key."""
-    originals = collect_originals(df, columns)
-    checkpoint_dir(df.sparkSession)
-    originals = originals.checkpoint(eager=True)
-    n_batch = originals.count()
-    known = None
+    if not columns:
+        empty = df.sparkSession.createDataFrame([], MAPPING_SCHEMA)
+        return empty if existing is None else merged(existing.select("original", "fake", "pii_type", "n"))
+    types = list(dict.fromkeys(t for _c, t in columns))
+    cells = [F.struct(F.lit(types.index(t)).alias("_t"), key_text(col(c), df.schema[c].dataType).alias("original"))
+             for c, t in columns]
+    cells = df.select(F.inline(F.array(*cells))).where(F.col("original").isNotNull())
+    found = cells.groupBy("_t", "original").agg(F.count(F.lit(1)).alias("n"))
+    fake = name = None
+    for i, t in enumerate(types):
+        is_t, f, n = F.col("_t") == i, fake_value(t, F.col("original"), locale, seed), F.lit(t).cast("string")
+        fake, name = (F.when(is_t, f), F.when(is_t, n)) if fake is None else (fake.when(is_t, f), name.when(is_t, n))
+    fresh = found.select("original", fake.alias("fake"), name.alias("pii_type"), "n")
     if existing is None:
-        new, start, old = originals, F.lit(0), None
-    else:
-        old = existing.select("original", "fake", "pii_type", "idx")
-        start = F.lit(old.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0])
-        if n_batch <= BATCH_BROADCAST_ROWS:
-            # measured small batch: broadcast its originals and stream the key
-            # table past them once (no shuffle of the key table)
-            known = old.join(F.broadcast(originals.select("original", "n")), "original", "inner") \
-                .checkpoint(eager=True)
-            new = originals.join(known.select("original"), "original", "left_anti")
-        else:
-            new = originals.join(old.select("original"), "original", "left_anti")
-    ranked = hash_rank(new, start, bucket_digits(n_batch))
-    fresh = ranked.select("original", fake_value(F.col("pii_type"), F.col("idx")).alias("fake"),
-                          "pii_type", "idx", "n").checkpoint(eager=True)
-    if old is None:
-        return fresh, fresh
-    if known is None:
-        known = old.join(originals.select("original", "n"), "original", "inner")
-    relevant = known.unionByName(fresh).checkpoint(eager=True)
-    return relevant, fresh
-
-
-def replace_with_fakes(df: DataFrame, columns: list[str], mapping: DataFrame,
-                       **lookup_args) -> DataFrame:
-    """K1 step 5: blank cells unchanged, other cells replaced by their fake."""
-    keys = {c: key_text(col(c), df.schema[c].dataType) for c in columns}
-    texts = {c: as_text(col(c), df.schema[c].dataType) for c in columns}
-    j = lookup.replace_values(df, keys, mapping, "original", "fake", weight="n", **lookup_args)
-    out_cols = []
-    for c in df.columns:
-        if c in keys:
-            out_cols.append(F.when(keys[c].isNull(), texts[c])
-                            .otherwise(F.coalesce(col(f"__lk_{c}"), texts[c])).alias(c))
-        else:
-            out_cols.append(col(c))
-    return j.select(*out_cols)
+        return fresh
+    return merged(existing.select("original", "fake", "pii_type", "n").unionByName(fresh))
+
+
+def merged(keys: DataFrame) -> DataFrame:
+    """One row per entry of several keys, or of one key written in several parts."""
+    return keys.groupBy("original", "fake", "pii_type").agg(F.sum("n").cast("bigint").alias("n"))
 
 
-def pseudonymize(df: DataFrame, columns: list[tuple[str, str | None]],
-                 existing: DataFrame | None = None, **lookup_args) -> tuple[DataFrame, DataFrame]:
-    mapping = build_mapping(df, columns, existing)
-    return replace_with_fakes(df, [c for c, _ in columns], mapping, **lookup_args), mapping
+def pseudonymize(df: DataFrame, columns: list[tuple[str, str | None]], existing: DataFrame | None = None,
+                 **fake_args) -> tuple[DataFrame, DataFrame]:
+    out = df.withColumns({c: fake_column(col(c), t, df.schema[c].dataType, **fake_args) for c, t in columns})
+    return out, build_mapping(df, columns, existing, **fake_args)
 
 
 def restore(df: DataFrame, mapping: DataFrame, columns: list[str], **lookup_args) -> DataFrame:
     """K6: fake -> original; values with no mapping are kept."""
     present = [c for c in columns if c in df.columns]
     keys = {c: as_text(col(c), df.schema[c].dataType) for c in present}
-    weight = "n" if "n" in mapping.columns else None
-    j = lookup.replace_values(df, keys, mapping, "fake", "original", weight=weight, **lookup_args)
+    j = lookup.replace_values(df, keys, mapping, "fake", "original", **lookup_args)
     out_cols = [F.coalesce(col(f"__lk_{c}"), keys[c]).alias(c) if c in keys else col(c)
                 for c in df.columns]
     return j.select(*out_cols)
@@ -215,23 +89,23 @@ def restore(df: DataFrame, mapping: DataFrame, columns: list[str], **lookup_args
 
 def collisions(mapping: DataFrame) -> DataFrame:
     """K7: fakes shared by more than one original (must be empty)."""
-    return mapping.groupBy("fake").agg(F.count(F.lit(1)).alias("originals")) \
+    return mapping.groupBy("fake").agg(F.countDistinct("original").alias("originals")) \
         .filter(F.col("originals") > 1)
 
 
 def hash_link(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
-              how: str = "inner", salt: str | None = None, **skew_args) -> DataFrame:
+              how: str = "inner", salt: Column | str | None = None) -> DataFrame:
     """K8: link two tables on SHA-256 of their keys (P5 on both sides).
 
-    A skew-safe equi-join (``joins.skew_join``): a key holding a large share
-    of either side is salted and spread over many tasks."""
+    ``joins.skew_join`` keeps a key that holds a large share of either side
+    out of a single task."""
     def h(df, c):
         v = as_text(col(c), df.schema[c].dataType)
-        payload = v if salt is None else F.concat(F.lit(salt), v)
+        payload = v if salt is None else F.concat(F.lit(salt) if isinstance(salt, str) else salt, v)
         return F.when(is_blank(v), F.lit(None).cast("string")).otherwise(F.sha2(payload, 256))
     lh = left.withColumn("link_hash", h(left, left_key)).drop(left_key)
     rh = right.withColumn("link_hash", h(right, right_key)).drop(right_key)
-    return skew_join(lh, rh, "link_hash", how, **skew_args)
+    return skew_join(lh, rh, "link_hash", how)
 
 
 # ---------------------------------------------------------------------------
@@ -241,7 +115,6 @@ def hash_link(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
 def key_metadata(mapping: DataFrame, source_file: str, configured_cols: list[str],
                  fake_cols: list[str], generated_at: datetime | None = None) -> DataFrame:
     """One-row metadata table of a key export."""
-    spark = mapping.sparkSession
     ts = generated_at or datetime.now()
     meta = mapping.agg(F.count(F.lit(1)).alias("total_mappings"))
     return meta.select(
@@ -255,13 +128,24 @@ def key_metadata(mapping: DataFrame, source_file: str, configured_cols: list[str
         F.lit("key table: store separately from the data; it reverses the pseudonyms").alias("warning"))
 
 
-def write_key(mapping: DataFrame, metadata: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Write the mapping and its metadata under ``path`` (separate from the data)."""
-    mapping.select("original", "fake", "pii_type", "idx", "n").write.mode("overwrite") \
-        .format(fmt).save(f"{path}/mapping")
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-    return path
+def write_key(mapping: DataFrame, path: str, source_file: str = "", configured_cols: list[str] | None = None,
+              fake_cols: list[str] | None = None, generated_at: datetime | None = None,
+              secret: Column | None = None) -> DataFrame:
+    """Write the mapping and its metadata under ``path`` (separate from the data); returns the written mapping.
 
-
-def read_key(spark, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(f"{path}/mapping")
+    ``secret`` (``privacy.secret_column``) encrypts the originals.  The metadata counts
+    the written rows, so the mapping is built once.
+    """
+    rows = mapping.select("original", "fake", "pii_type", "n")
+    rows = rows if secret is None else privacy.encrypt_key(rows, secret)
+    rows.write.mode("overwrite").parquet(f"{path}/mapping")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/mapping")
+    meta = key_metadata(written, source_file, configured_cols or [], fake_cols or [], generated_at)
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    return written
+
+
+def read_key(spark: SparkSession, path: str, secret: Column | None = None) -> DataFrame:
+    """A key written by ``write_key`` or by a stream (whose parts are merged)."""
+    rows = spark.read.parquet(f"{path}/mapping").select("original", "fake", "pii_type", "n")
+    return merged(rows if secret is None else privacy.decrypt_key(rows, secret))

@@ -1,9 +1,8 @@
 """Apply a column configuration to a table.
 
-One ``withColumns`` of native expressions for the row-local techniques
-(whole-stage codegen, no Python), then one lookup join per Fake Data column
-against the mapping built by ``pseudo``.  Output schema: same columns in the
-same order; configured columns become strings, the others keep their type.
+One ``withColumns`` of native expressions for every technique, Fake Data
+included (whole-stage codegen, no Python, no shuffle).  Output schema: same columns in
+the same order; configured columns become strings, the others keep their type.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from veilframe.functions import fixed as FX
+from veilframe.functions.fakes import DEFAULT_LOCALE, SEED
 from veilframe.functions.techniques import technique_column
 from veilframe.functions.text import col
 from veilframe.operators import pseudo
@@ -24,18 +24,27 @@ from veilframe.session import spread
 @dataclass
 class Anonymized:
     df: DataFrame
-    mapping: DataFrame | None
+    source: DataFrame
     applied: list[ColumnRule] = field(default_factory=list)     # columns changed
     skipped: list[ColumnRule] = field(default_factory=list)     # unknown technique / missing
+    existing: DataFrame | None = None
+    fake_args: dict = field(default_factory=dict)
 
     @property
     def fake_columns(self) -> list[str]:
         return [r.column for r in self.applied if r.technique == FX.FAKE_DATA]
 
+    @property
+    def mapping(self) -> DataFrame:
+        """K3: the key table of the Fake Data columns, from the input; nothing is computed before it is read."""
+        return pseudo.build_mapping(self.source, [(r.column, r.pii_type) for r in self.applied if r.technique == FX.FAKE_DATA],
+                                    self.existing, **self.fake_args)
+
 
 def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
               existing_mapping: DataFrame | None = None, unicode: bool = False,
-              salt: str | None = None, spread_input: bool = True, **lookup_args) -> Anonymized:
+              salt: Column | str | None = None, spread_input: bool = True,
+              locale: str = DEFAULT_LOCALE, seed: Column | str = SEED) -> Anonymized:
     """Every included, present column gets its technique.
 
     ``mode`` changes no value (it only gates the key export, K5).  Columns
@@ -45,34 +54,25 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     rules = [r for r in as_rules(config) if r.include]
     if spread_input:
         df = spread(df)      # no-op unless a small input sits in fewer files than task slots
-    if isinstance(config, DataFrame):
-        # a collected config has no row order: use the table's column order
-        pos = {c: i for i, c in enumerate(df.columns)}
-        rules.sort(key=lambda r: pos.get(r.column, len(pos)))
-    exprs, fakes, applied, skipped = {}, [], [], []
+    fake_args = {"locale": locale, "seed": seed}
+    exprs, applied, skipped = {}, [], []
     for r in rules:
         if r.column not in df.columns:
             skipped.append(r)
             continue
+        dtype = df.schema[r.column].dataType
         if r.technique == FX.FAKE_DATA:
-            fakes.append(r)
-            applied.append(r)
-            continue
-        e = technique_column(col(r.column), r.technique, r.pii_type,
-                             df.schema[r.column].dataType, unicode=unicode, salt=salt)
+            e = pseudo.fake_column(col(r.column), r.pii_type, dtype, **fake_args)
+        else:
+            e = technique_column(col(r.column), r.technique, r.pii_type, dtype, unicode=unicode, salt=salt)
         if e is None:
             warnings.warn(f"unknown technique {r.technique!r} for column {r.column!r}; unchanged")
             skipped.append(r)
             continue
         exprs[r.column] = e
         applied.append(r)
-    out = df.withColumns(exprs) if exprs else df
-    mapping = None
-    if fakes:
-        cols = [(r.column, r.pii_type) for r in fakes]
-        mapping = pseudo.build_mapping(df, cols, existing_mapping)
-        out = pseudo.replace_with_fakes(out, [r.column for r in fakes], mapping, **lookup_args)
-    return Anonymized(out, mapping, applied, skipped)
+    out = df.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]) if exprs else df
+    return Anonymized(out, df, applied, skipped, existing_mapping, fake_args)
 
 
 def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions import fakes as FK
 from veilframe.functions import fixed as FX
 from veilframe.functions.techniques import age_band, dob_year
 from veilframe.operators import audit as A
@@ -24,7 +25,8 @@ from veilframe.plans.people import (OPAQUE_NAMES, PEOPLE_COLUMNS, people_df, peo
                                     people_opaque_df, people_opaque_sql, people_sql)
 from veilframe.session import read_table, scratch_path, spread
 from veilframe.sources import files as S
-from veilframe.streaming.anonymize import anonymize_stream, table_stream, write_stream_files
+from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream, table_stream,
+                                           wait, write_stream_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,45 +210,37 @@ def _profile_run(profile: str):
     return run
 
 
+#: Types that the names of people's columns stand for, written out for the oracles.
+PEOPLE_TYPES = {"full_name": FX.FULL_NAME, "email": FX.EMAIL, "phone": FX.PHONE, "cnic": FX.CNIC, "dob": FX.DOB, "address": FX.ADDRESS,
+                "client_ip": FX.IP_ADDRESS, "credit_card": FX.CREDIT_CARD, "emp_id": FX.STUDENT_ID, "age": FX.AGE}
+
+
 def _expected_config(profile: str) -> dict[str, tuple[str, str]]:
-    """Header types of people's columns (names only) -> profile technique."""
+    """People's columns -> (type, the profile's technique)."""
     techs = FX.get_profile(profile)[2]
-    out = {}
-    for c in PEOPLE_COLUMNS:
-        t = D.header_type(c) if c != "k" else None
-        if t is not None:
-            out[c] = (t, techs.get(t, FX.default_technique(t)))
-    return out
+    return {c: (t, techs[t]) for c, t in PEOPLE_TYPES.items()}
 
 
-def _mapping_sql(table_sql: str, fake_cols: list[tuple[str, str]]) -> str:
-    cells = " UNION ALL ".join(
-        f"SELECT {i} AS ord, {O.q(t)} AS pii_type, {O.strip(c)} AS original FROM ({table_sql}) t "
-        f"WHERE NOT {O.blank(c)}" for i, (c, t) in enumerate(fake_cols))
-    d = (f"SELECT original, arg_min(pii_type, ord) AS pii_type, count(*) AS n FROM ({cells}) c "
-         f"GROUP BY original")
-    r = (f"SELECT *, row_number() OVER (ORDER BY {O.order_hash('original')}, original) - 1 AS idx "
-         f"FROM ({d}) d")
-    return f"SELECT original, {O.fake_value('pii_type', 'idx')} AS fake, pii_type, idx, n FROM ({r}) r"
+def _mapping_sql(table_sql: str, fake_cols: list[tuple[str, str | None]], locale: str = FK.DEFAULT_LOCALE) -> str:
+    cells = " UNION ALL ".join(f"SELECT {O.strip(c)} AS original, {O.fake_value(t, O.strip(c), locale)} AS fake, "
+                               f"{O.q(t) if t else 'CAST(NULL AS VARCHAR)'} AS pii_type FROM ({table_sql}) t WHERE NOT {O.blank(c)}"
+                               for c, t in fake_cols)
+    return f"SELECT original, fake, pii_type, count(*) AS n FROM ({cells}) c GROUP BY ALL"
 
 
-def _apply_sql(table_sql: str, columns: list[str], config: dict[str, tuple[str, str]]) -> str:
-    fakes = [(c, t) for c, (t, tech) in config.items() if tech == FX.FAKE_DATA]
-    sel, joins = [], []
+def _apply_sql(table_sql: str, columns: list[str], config: dict[str, tuple[str, str]], locale: str = FK.DEFAULT_LOCALE) -> str:
+    sel = []
     for c in columns:
         if c not in config:
             sel.append(f"p.{c}")
             continue
         t, tech = config[c]
+        v = f"p.{c}"
         if tech == FX.FAKE_DATA:
-            alias = f"m_{c}"
-            joins.append(f"LEFT JOIN mapping {alias} ON {alias}.original = {O.strip('p.' + c)}")
-            sel.append(f"CASE WHEN {O.blank('p.' + c)} THEN p.{c} ELSE {alias}.fake END AS {c}")
+            sel.append(f"CASE WHEN {O.blank(v)} THEN {v} ELSE {O.fake_value(t, O.strip(v), locale)} END AS {c}")
         else:
-            v = f"p.{c}"
             sel.append(f"{O.technique(v, tech, t, numeric=c in NUMERIC_PEOPLE)} AS {c}")
-    with_ = f"WITH mapping AS ({_mapping_sql(table_sql, fakes)}) " if fakes else ""
-    return f"{with_}SELECT {', '.join(sel)} FROM ({table_sql}) p {' '.join(joins)}"
+    return f"SELECT {', '.join(sel)} FROM ({table_sql}) p"
 
 
 for _p, _key in [("Academic/Research", "anonymize_academic"), ("Corporate/HR", "anonymize_corporate"),
@@ -298,9 +292,33 @@ def restore_round_trip(spark, sf_dir):
           f"(SELECT count(*) FROM (SELECT fake FROM m GROUP BY fake HAVING count(*) > 1) x) AS colliding_fakes")
 def mapping_collisions(spark, sf_dir):
     m = K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL)
-    per_fake = m.groupBy("fake").agg(F.count(F.lit(1)).alias("c"))
-    return per_fake.agg(F.sum("c").cast("bigint").alias("mappings"),
-                        F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).cast("bigint").alias("colliding_fakes"))
+    colliding = K.collisions(m).agg(F.count(F.lit(1)).alias("colliding_fakes"))
+    # two one-row tables
+    return m.agg(F.count(F.lit(1)).alias("mappings")).join(F.broadcast(colliding))
+
+
+ALL_TYPES = [(c, t) for c, t in PEOPLE_TYPES.items() if c != "age"] + [("segment", None)]
+
+
+@register("fakes_all_types", _apply_sql(people_sql(), ["k", *[c for c, _ in ALL_TYPES]], {c: (t, FX.FAKE_DATA) for c, t in ALL_TYPES}))
+def fakes_all_types(spark, sf_dir):
+    cfg = [(c, t, FX.FAKE_DATA) for c, t in ALL_TYPES]
+    return anonymize(people_df(spark, sf_dir), cfg).df.select("k", *[c for c, _ in ALL_TYPES])
+
+
+@register("fakes_locale", _apply_sql(people_sql(), ["k", *[c for c, _ in ALL_TYPES]], {c: (t, FX.FAKE_DATA) for c, t in ALL_TYPES}, "de_DE"))
+def fakes_locale(spark, sf_dir):
+    cfg = [(c, t, FX.FAKE_DATA) for c, t in ALL_TYPES]
+    return anonymize(people_df(spark, sf_dir), cfg, locale="de_DE").df.select("k", *[c for c, _ in ALL_TYPES])
+
+
+@register("restore_from_key", f"SELECT k, full_name, email FROM ({people_sql()}) p")
+def restore_from_key(spark, sf_dir):
+    """The key is written, read back from disk and undoes the run."""
+    path = scratch_path(spark, "key")
+    res = anonymize(people_df(spark, sf_dir), [(c, t, FX.FAKE_DATA) for c, t in NAME_EMAIL])
+    K.write_key(res.mapping, path, "customer.parquet", ["full_name", "email"], res.fake_columns)
+    return K.restore(res.df, K.read_key(spark, path), ["full_name", "email"]).select("k", "full_name", "email")
 
 
 KEY_CLOCK = "2026-01-01 00:00:00"
@@ -357,10 +375,7 @@ EXTRA_RULES = [("segment", None, "Shuffle", True), ("phone_2", FX.PHONE, FX.MASK
 
 
 def _academic_rules(spark, people):
-    from veilframe.operators.config import as_rules
-    cfg = as_rules(profile_config(spark, people, ACADEMIC))
-    pos = {c: i for i, c in enumerate(people.columns)}
-    return sorted(cfg, key=lambda r: pos[r.column]) + as_rules(EXTRA_RULES)
+    return CF.as_rules(profile_config(spark, people, ACADEMIC)) + CF.as_rules(EXTRA_RULES)
 
 
 def _expected_rules():
@@ -374,7 +389,7 @@ def _expected_rules():
           f"CAST(count(*) AS BIGINT) AS rows, CAST({len(_expected_rules())} AS BIGINT) AS cols_analysed, "
           f"CAST({sum(1 for r in _expected_rules() if r[3])} AS BIGINT) AS cols_modified, "
           f"CAST({sum(1 for r in _expected_rules() if not r[3])} AS BIGINT) AS cols_skipped, "
-          f"CAST(NULL AS VARCHAR) AS key, {O.q(A.mode_note(FX.MODE_ANONYMIZATION))} AS note "
+          f"CAST(NULL AS VARCHAR) AS key, FALSE AS reversible "
           f"FROM ({people_sql()}) p")
 def audit_summary(spark, sf_dir):
     import datetime as _dt
@@ -386,36 +401,56 @@ def audit_summary(spark, sf_dir):
     return s.withColumn("run_at", F.date_format("run_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _audit_columns_sql():
-    rows = []
-    for c, t, tech, inc in _expected_rules():
-        if inc:
-            rows.append(f"({O.q(RUN_ID)}, {O.q(c)}, {O.q(t) if t else 'NULL'}, {O.q(tech)}, 'PROCESSED')")
-        else:
-            rows.append(f"({O.q(RUN_ID)}, {O.q(c)}, NULL, NULL, 'SKIPPED')")
-    return ("SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") v(run_id, \"column\", pii_type, technique, status)")
+def _opaque_rules_sql(profile: str) -> str:
+    """Columns of people_opaque that their values give away, with the profile's technique; the oracle finds the types in the data."""
+    return (f"SELECT d.\"column\", d.pii_type, p.technique FROM ({O.detection(people_opaque_sql(), OPAQUE_COLUMNS, exclude=('k',))}) d "
+            f"JOIN ({O.profiles_values()}) p ON p.profile = {O.q(profile)} AND p.pii_type = d.pii_type")
+
 
+def _opaque_run(spark, sf_dir, profile: str):
+    people = people_opaque_df(spark, sf_dir)
+    return anonymize(people, CF.resolve(D.detect(people, exclude=("k",)), profile))
 
-@register("audit_columns", _audit_columns_sql())
+
+@register("audit_columns", f"SELECT {O.q(RUN_ID)} AS run_id, \"column\", pii_type, technique, 'PROCESSED' AS status FROM ({_opaque_rules_sql(ACADEMIC)}) r")
 def audit_columns(spark, sf_dir):
-    return A.audit_columns(spark, RUN_ID, _academic_rules(spark, people_df(spark, sf_dir)))
+    """A2 from the rules that a run applied."""
+    return A.audit_columns(spark, RUN_ID, _opaque_run(spark, sf_dir, ACADEMIC).applied)
 
 
 def _compliance_sql():
-    used = sorted({tech for _c, _t, tech, inc in _expected_rules() if inc})
-    techs = "SELECT * FROM (VALUES " + ", ".join(f"({O.q(t)})" for t in used) + ") t(technique)"
     comp = ("SELECT * FROM (VALUES " + ", ".join(
         f"({O.q(a)}, {O.q(b)}, {c}, {O.q(d)})" for a, b, c, d in FX.COMPLIANCE) +
         ") c(technique, framework, seq, provision)")
-    return (f"SELECT t.technique, coalesce(c.framework, {O.q(FX.NO_COMPLIANCE_FRAMEWORK)}) AS framework, "
-            f"coalesce(c.seq, 1) AS seq, coalesce(c.provision, {O.q(FX.NO_COMPLIANCE_PROVISION)}) AS provision "
-            f"FROM ({techs}) t LEFT JOIN ({comp}) c ON c.technique = t.technique")
+    return (f"SELECT c.* FROM ({comp}) c WHERE c.technique IN (SELECT technique FROM ({_opaque_rules_sql('Healthcare')}) r)")
 
 
 @register("compliance_matrix", _compliance_sql())
 def compliance_matrix(spark, sf_dir):
-    return A.compliance_matrix(spark, _academic_rules(spark, people_df(spark, sf_dir)))
+    """A3 from the techniques that a run applied."""
+    return A.compliance_matrix(spark, _opaque_run(spark, sf_dir, "Healthcare").applied)
+
+
+@register("type_summary",
+          f"SELECT t.pii_type, t.default_tech, CAST(coalesce(d.n, 0) AS BIGINT) AS columns FROM (SELECT * FROM (VALUES "
+          + ", ".join(f"({O.q(r[1])}, {O.q(r[4])})" for r in FX.PII_RULES)
+          + f") v(pii_type, default_tech)) t LEFT JOIN (SELECT pii_type, count(*) AS n FROM ({O.detection(people_opaque_sql(), OPAQUE_COLUMNS)}) x "
+          f"GROUP BY pii_type) d ON d.pii_type = t.pii_type")
+def type_summary(spark, sf_dir):
+    """The list of types, with the columns of people_opaque detected as each."""
+    return D.type_summary(D.detect(people_opaque_df(spark, sf_dir)))
+
+
+CHOSEN = {"email": FX.REDACTION, "cnic": FX.NULL_DELETION}
+
+
+@register("resolve_chosen",
+          f"SELECT d.\"column\", d.pii_type, CASE d.\"column\" {' '.join(f'WHEN {O.q(c)} THEN {O.q(t)}' for c, t in CHOSEN.items())} ELSE p.technique END AS technique, "
+          f"TRUE AS include FROM ({O.detection(people_sql(), PEOPLE_COLUMNS, exclude=('k',))}) d JOIN ({O.profiles_values()}) p "
+          f"ON p.profile = 'Corporate/HR' AND p.pii_type = d.pii_type")
+def resolve_chosen(spark, sf_dir):
+    """Techniques chosen before win over the profile's."""
+    return CF.resolve(D.detect(people_df(spark, sf_dir), exclude=("k",)), "Corporate/HR", CHOSEN)
 
 
 def _change_counts_sql():
@@ -513,11 +548,14 @@ def text_redacted(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# CSV round trip (rows-only: CSV cannot tell null from '')
+# CSV round trip: every column comes back as text, '' and NA tokens as null, blanks as they were
 # ---------------------------------------------------------------------------
 
+_NA = ", ".join(O.q(t) for t in S.NA_TOKENS)
+
 
-@register("csv_round_trip")
+@register("csv_round_trip", "SELECT " + ", ".join(
+    f"CASE WHEN CAST({c} AS VARCHAR) IN ({_NA}) THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}" for c in PEOPLE_COLUMNS) + f" FROM ({people_sql()}) p")
 def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "csv-round-trip")
     S.write_csv(people_df(spark, sf_dir), path)
@@ -556,6 +594,15 @@ def k_anonymity(spark, sf_dir):
     return X.k_anonymity(q, ["age_band", "dob_year", "segment"])
 
 
+@register("k_anonymity_summary",
+          f"SELECT min(k) AS k, count(*) AS classes, CAST(sum(CASE WHEN k < 3 THEN k ELSE 0 END) AS BIGINT) AS rows_below_k "
+          f"FROM (SELECT count(*) AS k FROM ({_qi_sql()}) q GROUP BY age_band, dob_year, segment) c")
+def k_anonymity_summary(spark, sf_dir):
+    p = people_df(spark, sf_dir)
+    cfg = [("age", FX.AGE, FX.GENERALIZATION), ("dob", FX.DOB, FX.GENERALIZATION)]
+    return X.k_anonymity_summary(anonymize(p, cfg).df, ["age", "dob", "segment"], 3)
+
+
 @register("drop_columns", f"SELECT * EXCLUDE (cnic, credit_card) FROM ({people_sql()}) p")
 def drop_columns(spark, sf_dir):
     return X.drop_columns(people_df(spark, sf_dir), ["cnic", "credit_card"])
@@ -572,27 +619,39 @@ def age_top_coded(spark, sf_dir):
 @register("encrypted_key_round_trip",
           f"SELECT original, fake, pii_type FROM ({_mapping_sql(people_sql(), NAME_EMAIL)}) m")
 def encrypted_key_round_trip(spark, sf_dir):
-    m = K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL)
-    secret = "0123456789abcdef0123456789abcdef"
-    return X.decrypt_key(X.encrypt_key(m, secret), secret).select("original", "fake", "pii_type")
+    """The key is written with its originals encrypted and read back; the secret stays in a file."""
+    path = scratch_path(spark, "encrypted-key")
+    spark.createDataFrame([("0123456789abcdef0123456789abcdef",)], "value string").coalesce(1).write.text(f"{path}/secret")
+    secret = X.secret_column(spark, f"{path}/secret")
+    K.write_key(K.build_mapping(people_df(spark, sf_dir), NAME_EMAIL), f"{path}/key", secret=secret)
+    return K.read_key(spark, f"{path}/key", secret).select("original", "fake", "pii_type")
 
 
 # ---------------------------------------------------------------------------
 # D3 over every atomic column of every provided table (full-column mode)
 # ---------------------------------------------------------------------------
 
-def _atomic_columns(table: str) -> list[str]:
-    """Column names of a provided table from its parquet footer (names and
-    types are the same at every scale factor)."""
-    import pyarrow.parquet as pq
-    import pyarrow.types as pt
-    schema = pq.read_schema(f"/root/testdata/sf0.001/{table}.parquet")
-    return [f.name for f in schema if not (pt.is_list(f.type) or pt.is_large_list(f.type)
-                                           or pt.is_struct(f.type) or pt.is_map(f.type))]
+#: Columns of the given tables that hold plain values.
+TABLE_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
 
 
 def _detect_tables_sql() -> str:
-    parts = [f"SELECT {O.q(t)} AS table_name, * FROM ({O.value_types(t, _atomic_columns(t))}) x{i}"
+    parts = [f"SELECT {O.q(t)} AS table_name, * FROM ({O.value_types(t, TABLE_COLUMNS[t].split())}) x{i}"
              for i, t in enumerate(TABLES)]
     return " UNION ALL ".join(parts)
 
@@ -611,12 +670,10 @@ def detect_tables(spark, sf_dir):
 
 
 def _run_customer_sql() -> str:
-    m = _mapping_sql("customer", [("c_name", FX.FULL_NAME)])
-    return (f"WITH mapping AS ({m}) SELECT c.c_custkey, "
-            f"CASE WHEN {O.blank('c.c_name')} THEN c.c_name ELSE mapping.fake END AS c_name, "
+    return (f"SELECT c.c_custkey, CASE WHEN {O.blank('c.c_name')} THEN c.c_name ELSE {O.fake_value(FX.FULL_NAME, O.strip('c.c_name'))} END AS c_name, "
             f"{O.technique('c.c_nationkey', FX.GENERALIZATION, FX.AGE, numeric=True)} AS c_nationkey, "
             f"CASE WHEN c.c_acctbal IS NULL OR isnan(c.c_acctbal) THEN NULL ELSE '' END AS c_acctbal, "
-            f"c.c_mktsegment FROM customer c LEFT JOIN mapping ON mapping.original = {O.strip('c.c_name')}")
+            f"c.c_mktsegment FROM customer c")
 
 
 @register("run_customer", _run_customer_sql())
@@ -654,14 +711,29 @@ def anonymize_lineitem(spark, sf_dir):
 
 
 @register("pseudonymize_orders",
-          f"WITH mapping AS ({_mapping_sql('(SELECT CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders)', [('o_custkey', FX.STUDENT_ID)])}) "
-          f"SELECT o.o_orderkey, mapping.fake AS o_custkey FROM orders o "
-          f"LEFT JOIN mapping ON mapping.original = CAST(o.o_custkey AS VARCHAR)")
+          f"SELECT o_orderkey, {O.fake_value(FX.STUDENT_ID, 'CAST(o_custkey AS VARCHAR)')} AS o_custkey FROM orders")
 def pseudonymize_orders(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return anonymize(orders, [("o_custkey", FX.STUDENT_ID, FX.FAKE_DATA)]).df
 
 
+# numbers above 1e7 and below 1e-3, which Spark and Python print differently
+_BIG, _SMALL = "o_totalprice * 1000000", "1 / (o_totalprice * 3)"
+
+
+@register("number_cells",
+          f"SELECT o_orderkey, {O.technique(f'CAST({_BIG} AS VARCHAR)', FX.MASKING, FX.PHONE)} AS phone, "
+          f"{O.technique(f'CAST({_BIG} AS VARCHAR)', FX.MASKING, FX.CREDIT_CARD)} AS card, {O.technique(f'CAST({_BIG} AS VARCHAR)', FX.MASKING, None)} AS other, "
+          f"{O.technique(f'CAST({_BIG} AS VARCHAR)', FX.HASHING, None)} AS hashed, {O.technique(f'CAST({_SMALL} AS VARCHAR)', FX.HASHING, None)} AS small FROM orders")
+def number_cells(spark, sf_dir):
+    """P2-P5 over double columns: the text is that of ``str(v)``."""
+    orders = read_table(spark, sf_dir, "orders")
+    big = F.expr(_BIG)
+    wide = orders.select("o_orderkey", *[big.alias(c) for c in ("phone", "card", "other", "hashed")], F.expr(_SMALL).alias("small"))
+    return anonymize(wide, [("phone", FX.PHONE, FX.MASKING), ("card", FX.CREDIT_CARD, FX.MASKING), ("other", None, FX.MASKING),
+                            ("hashed", None, FX.HASHING), ("small", None, FX.HASHING)]).df
+
+
 @register("restore_orders", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
 def restore_orders(spark, sf_dir):
     """K6 over the whole orders table: fake ids back to customer keys."""
@@ -696,3 +768,14 @@ def stream_events(spark, sf_dir):
     out = scratch_path(spark, "stream-events")
     write_stream_files(anonymize_stream(stream, STREAM_RULES), out, scratch_path(spark, "stream-events-ck"))
     return spark.read.parquet(out)
+
+
+@register("stream_pseudonymize",
+          f"SELECT event_id, {O.fake_value(FX.STUDENT_ID, 'CAST(user_id AS VARCHAR)')} AS user_id, CAST(user_id AS VARCHAR) AS restored FROM events")
+def stream_pseudonymize(spark, sf_dir):
+    """K1, K4, K6 on a stream: events with fake user ids, and the ids again by the key that the stream wrote."""
+    base = scratch_path(spark, "stream-pseudonymize")
+    wait(pseudonymize_stream(table_stream(spark, sf_dir, "events.parquet"), [("user_id", FX.STUDENT_ID, FX.FAKE_DATA)],
+                             f"{base}/out", f"{base}/key", f"{base}/checkpoint"))
+    out = spark.read.parquet(f"{base}/out").select("event_id", "user_id", F.col("user_id").alias("restored"))
+    return K.restore(out, K.read_key(spark, f"{base}/key"), ["restored"])

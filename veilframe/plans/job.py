@@ -1,10 +1,11 @@
 """The whole processing run as Spark jobs (load -> detect -> resolve ->
 anonymize -> write -> key -> audit).
 
-Jobs: (1) detection, one aggregation over the input; (2) the pseudonym
-mapping, only when a Fake Data column exists (checkpointed, read by the
-joins and the key sink); (3) the main write, with the row count taken by an
-``Observation`` in the same pass; (4) small audit writes.
+Jobs: (1) detection, one aggregation over the input; (2) the main write, one
+row-local projection, with the row count taken by an ``Observation`` in the
+same pass; (3) in Pseudonymization mode the key, one distinct aggregation;
+(4) small audit writes.  Nothing else is written: an Anonymization run leaves no
+original behind.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
+from veilframe.functions.fakes import DEFAULT_LOCALE
 from veilframe.operators import audit as A
 from veilframe.operators import config as CF
 from veilframe.operators import detect as D
+from veilframe.operators import privacy as X
 from veilframe.operators import pseudo as K
 from veilframe.operators.transform import anonymize
 from veilframe.sources import files as S
@@ -35,9 +38,9 @@ class RunResult:
     config: DataFrame
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    return S.read_csv(spark, path) if fmt == "csv" else S.read_parquet(spark, path)
+    return S.read_csv(spark, path, multiline=multiline) if fmt == "csv" else S.read_parquet(spark, path)
 
 
 def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | None = None,
@@ -45,22 +48,28 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
         overrides: DataFrame | None = None, out_format: str = "parquet",
         key_dir: str | None = None, exclude: tuple[str, ...] = (), sample_rows: int | None = None,
         key_column: str | None = None, now: datetime | None = None,
-        in_format: str | None = None) -> RunResult:
+        in_format: str | None = None, multiline: bool = False, chosen: dict[str, str] | None = None,
+        drop: tuple[str, ...] = (), unicode: bool = False, locale: str = DEFAULT_LOCALE,
+        salt_file: str | None = None, key_secret_file: str | None = None) -> RunResult:
     """Process one table.  ``config`` (column rules) skips detection; else
-    detection (+ manual columns and overrides) and ``profile`` decide.
-    ``in_format`` ('csv' / 'parquet') defaults to the path's suffix."""
+    detection (+ manual columns and overrides) and ``profile`` decide, and
+    ``chosen`` techniques win over both.  ``in_format`` ('csv' / 'parquet')
+    defaults to the path's suffix; ``multiline`` reads CSV cells that hold newlines.
+    ``drop`` removes columns (X3).  ``salt_file`` and ``key_secret_file`` name files whose first
+    line salts hashes (X1) and encrypts the key's originals (X5)."""
     now = now or datetime.now()
     stamp = S.run_stamp(now)
-    df = load(spark, input_path, in_format)
+    df = X.drop_columns(load(spark, input_path, in_format, multiline), list(drop))
     if config is None:
-        det = D.detect(df, sample_rows=sample_rows, key=key_column, exclude=exclude)
+        det = D.detect(df, sample_rows=sample_rows, key=key_column, exclude=exclude, unicode=unicode)
         if manual is not None:
             det = CF.add_manual(det, manual)
         if overrides is not None:
             det = CF.apply_overrides(det, overrides)
-        config = CF.resolve(det, profile)
+        config = CF.resolve(det, profile, chosen)
     rules = CF.as_rules(config)
-    res = anonymize(df, config, mode=mode)
+    salt = X.secret_column(spark, salt_file) if salt_file else None
+    res = anonymize(df, rules, mode=mode, unicode=unicode, salt=salt, locale=locale)
     obs = Observation("rows")
     out = res.df.observe(obs, F.count(F.lit(1)).alias("rows"))
     base = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
@@ -70,12 +79,13 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
     else:
         S.write_parquet(out, out_path)
     rows = int(obs.get["rows"])
+
     key_path = None
-    if mode == FX.MODE_PSEUDONYMIZATION and res.mapping is not None:      # K5
+    if mode == FX.MODE_PSEUDONYMIZATION:      # K5: also where no column got Fake Data
         key_path = f"{(key_dir or output_dir).rstrip('/')}/pseudo_key_{stamp}"
-        meta = K.key_metadata(res.mapping, input_path, [r.column for r in rules if r.include],
-                              res.fake_columns, now)
-        K.write_key(res.mapping, meta, key_path)
+        secret = X.secret_column(spark, key_secret_file) if key_secret_file else None
+        K.write_key(res.mapping, key_path, input_path, [r.column for r in rules if r.include], res.fake_columns, now, secret)
+
     run_id = f"run-{stamp}"
     audit_path = f"{output_dir.rstrip('/')}/audit_{stamp}"
     counted = spark.createDataFrame([(rows,)], "rows bigint")

@@ -100,32 +100,44 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
-def fake_name(i: str) -> str:
-    nf, nl = len(FK.FAKE_FIRST), len(FK.FAKE_LAST)
-    base = f"({_list(FK.FAKE_FIRST)})[{i} % {nf} + 1] || ' ' || ({_list(FK.FAKE_LAST)})[({i} // {nf}) % {nl} + 1]"
-    span = nf * nl
-    return f"CASE WHEN {i} < {span} THEN {base} ELSE {base} || ' ' || CAST({i} // {span} AS VARCHAR) END"
-
-
-def fake_email(i: str) -> str:
-    nf, nl = len(FK.FAKE_FIRST), len(FK.FAKE_LAST)
-    return (f"lower(({_list(FK.FAKE_FIRST)})[{i} % {nf} + 1]) || '.' || "
-            f"lower(({_list(FK.FAKE_LAST)})[({i} // {nf}) % {nl} + 1]) || '.' || CAST({i} AS VARCHAR) || "
-            f"'@{FK.FAKE_EMAIL_DOMAIN}'")
-
-
-def fake_id(i: str) -> str:
-    return f"{q(FK.FAKE_ID_PREFIX)} || printf('%06d', {i})"
-
-
-def fake_value(pii_type: str, i: str) -> str:
-    return (f"CASE WHEN {pii_type} = {q(FX.FULL_NAME)} THEN {fake_name(i)} "
-            f"WHEN {pii_type} = {q(FX.EMAIL)} THEN {fake_email(i)} "
-            f"WHEN {pii_type} = {q(FX.STUDENT_ID)} THEN {fake_id(i)} END")
-
-
-def order_hash(v: str) -> str:
-    return f"sha256({q(FK.INDEX_SEED)} || {v})"
+def _number(h: str, at: int, n: int) -> str:
+    return f"CAST('0x' || substr({h}, {at}, {n}) AS BIGINT)"
+
+
+def _pick(pool: list[str], h: str, at: int) -> str:
+    return f"({_list(pool)})[{_number(h, at, 6)} % {len(pool)} + 1]"
+
+
+def fake_value(pii_type: str | None, original: str, locale: str = FK.DEFAULT_LOCALE) -> str:
+    """The fake of a VARCHAR expression, written from K2's formats."""
+    p = FK.LOCALES[locale]
+    h = f"sha256({q(FK.SEED)} || {original})"
+    token = f"substr({h}, 33, 26)"
+    letters = f"translate({token}, '0123456789abcdef', 'abcdefghijklmnop')"
+    digits = f"printf('%016d', {_number(h, 33, 13)}) || printf('%016d', {_number(h, 46, 13)})"
+    first, last = _pick(p["first"], h, 1), _pick(p["last"], h, 7)
+    if pii_type == FX.FULL_NAME:
+        return f"{first} || ' ' || {last} || ' ' || upper(left({letters}, 1)) || substr({letters}, 2)"
+    if pii_type == FX.EMAIL:
+        return f"lower({first}) || '.' || lower({last}) || '.' || {token} || '@{FK.FAKE_EMAIL_DOMAIN}'"
+    if pii_type == FX.PHONE:
+        return f"{q(p['phone'])} || {digits}"
+    if pii_type == FX.ADDRESS:
+        return (f"CAST({_number(h, 1, 6)} % 9999 + 1 AS VARCHAR) || ' ' || {_pick(p['street'], h, 7)} || ', Unit ' || upper({letters}) "
+                f"|| ', ' || {_pick(p['city'], h, 13)}")
+    if pii_type == FX.DOB:
+        return (f"strftime(DATE {q(FK.FAKE_DOB_START)} + CAST({_number(h, 1, 6)} % {FK.FAKE_DOB_SPAN_DAYS} AS INTEGER), '%Y-%m-%d') "
+                f"|| '#' || {token}")
+    if pii_type == FX.CREDIT_CARD:
+        return f"{q(FK.FAKE_CARD_PREFIX)} || {digits}"
+    if pii_type == FX.STUDENT_ID:
+        return f"{q(FK.FAKE_ID_PREFIX)} || {digits}"
+    if pii_type == FX.CNIC:
+        return f"substr({digits}, 1, 5) || '-' || substr({digits}, 6, 7) || '-' || substr({digits}, 13)"
+    if pii_type == FX.IP_ADDRESS:
+        return f"'fd' || substr({h}, 61, 2) || " + " || ".join(f"':' || substr({h}, {33 + 4 * k}, 4)" for k in range(7))
+    two = [f"printf('%02d', {_number(h, at, 6)} % 100)" for at in (1, 7)]
+    return f"upper(substr({letters}, 1, 2)) || {two[0]} || '-' || upper(substr({letters}, 3, 2)) || {two[1]} || '-' || upper({letters})"
 
 
 # ---------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilframe.session import read_table
 
-# --- fixed values: name pools and blank injection of the fixture -------------
+# --- name pools and blank injection of the fixture ----------------------------
 FIRST = ["Ali", "Sana", "Omar", "Hina", "Bilal", "Zara", "Usman", "Nida", "Imran", "Maria"]
 LAST = ["Hassan", "Malik", "Khan", "Raza", "Shah", "Iqbal", "Butt", "Mirza", "Ahmed", "Qureshi"]
 NULL_EVERY, EMPTY_EVERY, SPACES_EVERY = 17, 19, 23

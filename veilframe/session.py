@@ -3,7 +3,9 @@ checkpoint folder read from the session."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder for this cluster")
     current = tempfile.mkdtemp(prefix="veilframe-ckpt-")
+    atexit.register(shutil.rmtree, current, ignore_errors=True)
     sc.setCheckpointDir(current)
     return current
 
@@ -65,41 +68,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 
 
 SPREAD_MAX_BYTES = 4 * 1024 ** 3      # never add a shuffle for inputs above this
+_ROW_LOCAL = {"Project", "Filter", "SubqueryAlias", "View"}
 
 
-def input_bytes(df) -> int | None:
-    """Total size of the files behind ``df`` (None when it is not file-backed)."""
-    files = df.inputFiles()
-    if not files:
-        return None
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+def _scan(df):
+    """The file scan that ``df`` is a row-local projection of, else None.  Reads the plan only: no job, no listing."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in _ROW_LOCAL:
+        plan = plan.children().head()
+    return plan if plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation") else None
 
 
 def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
     """Round-robin ``df`` over all task slots before CPU-heavy row work
-    (regex scans, hashing) when its scan cannot use them: fewer input files
-    than slots (a parquet row group is the unit of scan parallelism), not
-    already spread, and a measured size below ``max_bytes``, so the added
-    shuffle is bounded.  Large inputs are returned unchanged: their scan is
-    already parallel."""
-    if df.isStreaming:
+    (regex scans, hashing) when its scan cannot use them: a scan of few
+    files (a parquet row group is the unit of scan parallelism) whose size
+    statistic is below ``max_bytes``, so the added shuffle is bounded.  Large inputs, and those behind a shuffle or
+    not read from files, are returned unchanged: they are spread already."""
+    if df.isStreaming or not hasattr(df, "_jdf"):
         return df
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        files = df.inputFiles()
-        if not files or len(files) >= slots or df.rdd.getNumPartitions() >= slots:
-            return df
-        size = input_bytes(df)
-    except Exception:  # noqa: BLE001 - an optimisation only: sessions without these APIs skip it
+    scan = _scan(df)
+    if scan is None or int(str(scan.stats().sizeInBytes())) > max_bytes:
         return df
-    if size is None or size > max_bytes:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(scan.relation().location().inputFiles()) >= slots:      # only the length leaves the JVM
         return df
     # round-robin: no partition expressions, so columns the caller never uses
     # are still pruned at the scan (Spark sorts rows before a round-robin

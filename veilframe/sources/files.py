@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.text import col
+
 # --- fixed values: text pandas' CSV reader turns into missing values ----------
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 RUN_STAMP_FORMAT = "%Y%m%d_%H%M%S"
 
-CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+CSV_READ_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "emptyValue": "",
                      "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = False,
-             multiline: bool = True, na_tokens: bool = True) -> DataFrame:
+             multiline: bool = False, na_tokens: bool = True) -> DataFrame:
     """Header row, comma separated; all columns string unless
-    ``infer_types``.  ``multiline`` allows quoted newlines but makes a file
-    unsplittable: turn it off for large single-line files."""
+    ``infer_types``.  ``multiline`` allows newlines inside quotes, but then a file
+    is one task however large, so it is off unless asked for."""
     opts = dict(CSV_READ_OPTIONS, multiLine=str(multiline).lower(), inferSchema=str(infer_types).lower())
     df = spark.read.options(**opts).csv(path)
     return with_na_tokens(df) if na_tokens else df
@@ -39,9 +41,8 @@ def with_na_tokens(df: DataFrame, tokens: list[str] = NA_TOKENS) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
-            out[f.name] = F.when(F.col(f.name).isin(*tokens), F.lit(None).cast("string")) \
-                .otherwise(F.col(f.name))
-    return df.withColumns(out) if out else df
+            out[f.name] = F.when(col(f.name).isin(*tokens), F.lit(None).cast("string")).otherwise(col(f.name))
+    return df.select(*[out.get(c, col(c)).alias(c) for c in df.columns])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

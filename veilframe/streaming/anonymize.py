@@ -1,68 +1,70 @@
 """Techniques on Structured Streaming DataFrames.
 
-* Row-local techniques (masking, hashing, generalization, deletion,
-  redaction) are plain projections: ``anonymize_stream`` applies the same
-  ``withColumns`` as the batch path to a ``readStream`` DataFrame.
-* Fake Data needs the mapping, which grows as new values arrive:
-  ``pseudonymize_stream`` runs each micro-batch through ``foreachBatch``,
-  extends the mapping with the batch's new originals (indices continue
-  after the highest one), looks the batch up against only the entries it
-  uses, appends only the *new* entries as the batch's own folder of the key
-  table, and writes the batch's rows.  No batch rewrites the whole key.  Both writes
-  overwrite ``batch=<id>`` folders, so a retried batch is idempotent.
+Every technique is row-local, so ``anonymize_stream`` applies the same
+projection as the batch path to a ``readStream`` DataFrame, Fake Data included.
+``pseudonymize_stream`` also writes the key: each micro-batch adds the
+distinct (original, fake) pairs it holds as a part of its own,
+``stream=<query id>/batch=<batch id>``.  A retried batch overwrites only its own
+part; no batch reads the key, and other streams on the same key add parts
+beside it.  Equal originals have equal fakes in all of them, and ``read_key`` merges
+the parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
-from veilframe.functions import fixed as FX
+from veilframe.functions.fakes import DEFAULT_LOCALE
 from veilframe.operators.config import as_rules
-from veilframe.operators.pseudo import extend_mapping, replace_with_fakes
 from veilframe.operators.transform import anonymize
 
 
-def anonymize_stream(stream: DataFrame, config, unicode: bool = False,
-                     salt: str | None = None) -> DataFrame:
-    rules = as_rules(config)
-    if any(r.include and r.technique == FX.FAKE_DATA for r in rules):
-        raise ValueError("Fake Data needs the growing mapping: use pseudonymize_stream")
-    return anonymize(stream, rules, unicode=unicode, salt=salt).df
+def anonymize_stream(stream: DataFrame, config, unicode: bool = False, salt: Column | str | None = None,
+                     locale: str = DEFAULT_LOCALE) -> DataFrame:
+    return anonymize(stream, config, unicode=unicode, salt=salt, locale=locale).df
 
 
-def _prior_mapping(spark, key_path: str, batch_id: int):
-    try:
-        m = spark.read.parquet(key_path)
-    except AnalysisException:
-        return None
-    return m.where(F.col("batch") < batch_id).drop("batch")
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def pseudonymize_stream(stream: DataFrame, config, output_path: str, key_path: str,
-                        checkpoint_location: str, trigger: dict | None = None) -> StreamingQuery:
+                        checkpoint_location: str, trigger: dict | None = None, extend: bool = False,
+                        locale: str = DEFAULT_LOCALE) -> StreamingQuery:
+    """Write the protected rows to ``output_path`` and the key parts to ``key_path``.
+
+    A key path that exists already is refused, unless this stream goes on from its
+    checkpoint or ``extend`` says that several streams share the key.
+    """
     rules = [r for r in as_rules(config) if r.include]
-    local = [r for r in rules if r.technique != FX.FAKE_DATA]
-    fakes = [(r.column, r.pii_type) for r in rules if r.technique == FX.FAKE_DATA]
+    spark = stream.sparkSession
+    if not extend and _exists(spark, key_path) and not _exists(spark, checkpoint_location):
+        raise ValueError(f"{key_path} holds a key already: pass extend=True to add to it")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = anonymize(batch, local, spread_input=False).df if local else batch
-        present = [(c, t) for c, t in fakes if c in batch.columns]
-        if present:
-            prior = _prior_mapping(spark, key_path, batch_id)
-            relevant, fresh = extend_mapping(batch, present, prior)
-            out = replace_with_fakes(out, [c for c, _ in present], relevant)
-            fresh.write.mode("overwrite").parquet(f"{key_path}/batch={batch_id}")
-        out.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+        part = f"stream={batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch={batch_id}"
+        res = anonymize(batch, rules, spread_input=False, locale=locale)
+        if res.fake_columns:
+            res.mapping.write.mode("overwrite").parquet(f"{key_path}/mapping/{part}")
+        res.df.write.mode("overwrite").parquet(f"{output_path}/{part}")
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
 
 
+def wait(query: StreamingQuery, seconds: int | None = None) -> StreamingQuery:
+    """Wait for the end of a query; one that has not ended in time is stopped and raises."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream had not ended after {seconds} s; its output is incomplete")
+    return query
+
+
 def table_stream(spark, folder: str, file_glob: str, schema=None) -> DataFrame:
     """A parquet file stream over the files of ``folder`` matching ``file_glob``
     (new files are picked up as they land)."""
@@ -75,10 +77,8 @@ def write_stream_files(stream: DataFrame, output_path: str, checkpoint_location:
                        trigger: dict | None = None, wait_seconds: int | None = None) -> StreamingQuery:
     """Append the stream to parquet files (exactly-once file sink with a
     checkpoint).  With the default ``availableNow`` trigger, waits until
-    everything available has been processed."""
+    everything available has been processed, and raises if that takes longer than ``wait_seconds``."""
     q = (stream.writeStream.format("parquet").option("path", output_path)
          .option("checkpointLocation", checkpoint_location)
          .trigger(**(trigger or {"availableNow": True})).start())
-    if trigger is None:
-        q.awaitTermination(wait_seconds)
-    return q
+    return wait(q, wait_seconds) if trigger is None else q
