@@ -4,8 +4,8 @@
    (hash, smallest doc_id) per distinct window, sorted and delta-coded into one blob per slice of the hash range, so a
    passage in many documents is combined before the shuffle.  Documents of the task that are not the smallest are
    reported at once: they hold a repeat whatever other tasks have.
-2. Each slice finds the smallest doc_id of every hash and reports the other documents' entries.
-3. The reports meet their documents again.  Windows reported, and those repeated inside the document, are
+2. Each slice finds the smallest doc_id of every hash and reports the other documents' entries, one blob for a bucket of documents.
+3. A bucket gathers its documents' reports, which meet their documents again.  Windows reported, and those repeated inside the document, are
    removed; overlapping ones merge into maximal intervals.
 
 Two different windows are taken for equal only if two 64-bit hashes collide: for n windows, about n**2 / 2**65 such pairs.
@@ -69,15 +69,19 @@ def _reports(order_hash: np.ndarray, order_doc: np.ndarray) -> np.ndarray:
     return order_doc > order_doc[first][run]
 
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray) -> tuple[list, list]:
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.empty(0, int)
-    return docs[cuts].tolist(), [_pack_sorted(x) for x in np.split(hashes, cuts[1:])] if len(docs) else []
+def _by_bucket(docs: np.ndarray, hashes: np.ndarray, buckets: int) -> pd.DataFrame:
+    """One row (bucket, docs, hashes) for each bucket of documents that has pairs."""
+    where = (mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((hashes, docs, where))
+    where, docs, hashes = where[order], docs[order], hashes[order]
+    cuts = np.flatnonzero(np.diff(where, prepend=-1))
+    ends = np.append(cuts[1:], len(docs))[:len(cuts)]
+    rows = [(int(where[x]), _pack(docs[x:y]), _pack(hashes[x:y])) for x, y in zip(cuts, ends, strict=True)]
+    return pd.DataFrame(rows, columns=["bucket", "docs", "hashes"])
 
 
-def _entries(docs: DataFrame, size: int, slices: int) -> DataFrame:
-    """(slice, doc_id, hashes, docs): blobs for a slice (doc_id null), and reports on documents (docs null)."""
+def _entries(docs: DataFrame, size: int, slices: int, buckets: int) -> DataFrame:
+    """(slice, bucket, docs, hashes): sorted hashes of a slice with their smallest documents (bucket null), and reports on a bucket's documents."""
     step = np.uint64((1 << 64) // slices + 1)
     bounds = (np.arange(1, slices, dtype=np.uint64) * step)
 
@@ -88,14 +92,14 @@ def _entries(docs: DataFrame, size: int, slices: int) -> DataFrame:
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
         h, d = h[fresh], d[fresh]
         late = _reports(h, d)
-        ids, blobs = _by_document(d[late], h[late])
-        out = pd.DataFrame({"slice": [int(i) % slices for i in ids], "doc_id": ids, "hashes": blobs, "docs": None})
+        out = _by_bucket(d[late], h[late], buckets)
+        out["slice"] = out["bucket"] % slices
         lead = np.concatenate([[True], h[1:] != h[:-1]])
         h, d = h[lead], d[lead]
         cuts = np.searchsorted(h, bounds)
-        parts = [(k, None, _pack_sorted(x), _pack(y)) for k, (x, y) in enumerate(zip(np.split(h, cuts), np.split(d, cuts), strict=True)) if len(x)]
+        parts = [(None, _pack(y), _pack_sorted(x), k) for k, (x, y) in enumerate(zip(np.split(h, cuts), np.split(d, cuts), strict=True)) if len(x)]
         both = pd.concat([out.astype(object), pd.DataFrame(parts, columns=out.columns, dtype=object)], ignore_index=True)
-        return both.astype({"slice": "int32", "doc_id": "Int64"})
+        return both.astype({"slice": "int32", "bucket": "Int32"})
 
     def work(batches: Iterator[pd.DataFrame]):
         hashes, owners, held = [], [], 0
@@ -116,23 +120,34 @@ def _entries(docs: DataFrame, size: int, slices: int) -> DataFrame:
         if held:
             yield flush(hashes, owners)
 
-    return docs.select("doc_id", "text").mapInPandas(work, "slice int, doc_id long, hashes binary, docs binary")
+    return docs.select("doc_id", "text").mapInPandas(work, "slice int, bucket int, docs binary, hashes binary")
 
 
-def _settle(g: pd.DataFrame) -> pd.DataFrame:
-    """Reports of one slice of the hash range, with the reports that it was handed."""
-    ready = g[g["docs"].isna()]
-    blobs = g[g["docs"].notna()]
-    out = [pd.DataFrame({"doc_id": ready["doc_id"], "hashes": ready["hashes"]})]
-    if len(blobs):
-        h = np.concatenate([_unpack_sorted(x) for x in blobs["hashes"]])
-        d = np.concatenate([_unpack(x, np.int64) for x in blobs["docs"]])
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        late = _reports(h, d)
-        ids, packed = _by_document(d[late], h[late])
-        out.append(pd.DataFrame({"doc_id": ids, "hashes": packed}))
-    return pd.concat(out, ignore_index=True).astype({"doc_id": "int64"})
+def _settle(buckets: int):
+    """Reports of one slice of the hash range, with the reports that it was handed: at most one row per bucket and source."""
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        blobs = g[g["bucket"].isna()]
+        out = [g.loc[g["bucket"].notna(), ["bucket", "docs", "hashes"]]]
+        if len(blobs):
+            h = np.concatenate([_unpack_sorted(x) for x in blobs["hashes"]])
+            d = np.concatenate([_unpack(x, np.int64) for x in blobs["docs"]])
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            late = _reports(h, d)
+            out.append(_by_bucket(d[late], h[late], buckets))
+        return pd.concat(out, ignore_index=True).astype({"bucket": "int32"})
+
+    return work
+
+
+def _gather(g: pd.DataFrame) -> pd.DataFrame:
+    """One row (doc_id, hashes) for each document of a bucket that has reports."""
+    docs = np.concatenate([_unpack(x, np.int64) for x in g["docs"]])
+    hashes = np.concatenate([_unpack(x, np.uint64) for x in g["hashes"]])
+    order = np.lexsort((hashes, docs))
+    docs, hashes = docs[order], hashes[order]
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return pd.DataFrame({"doc_id": docs[cuts], "hashes": [_pack_sorted(x) for x in np.split(hashes, cuts[1:])]})
 
 
 def _spans(words: np.ndarray, size: int, reported: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +174,15 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     earlier start) is removed.  ``spans`` are the removed word intervals; ``text`` is the input without them, other white
     space kept.  A null text stays null and has no words.  Rows of equal doc_id don't remove each other's words.  A null
     doc_id counts as larger than all others.  An empty table gives no rows.  ``slices`` of the hash
-    range bound a task's memory: twice spark.sql.shuffle.partitions unless given.
+    range, and as many buckets of documents, bound a task's memory: twice spark.sql.shuffle.partitions unless given.
     """
     spark = docs.sparkSession
     carry = carry or []
     slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"),
                         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
-    reports = _entries(keyed, size, slices).groupBy("slice").applyInPandas(_settle, "doc_id long, hashes binary")
-    found = reports.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    reports = _entries(keyed, size, slices, slices).groupBy("slice").applyInPandas(_settle(slices), "bucket int, docs binary, hashes binary")
+    found = reports.groupBy("bucket").applyInPandas(_gather, "doc_id long, hashes binary")
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
@@ -175,10 +190,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo:lo + 500]
                 words, at, s, e, data = word_hashes(part["text"].tolist(), lower=False, spans=True)
-                for k, (doc, text, blobs) in enumerate(zip(part["doc_id"], part["text"], part["hashes"], strict=True)):
+                for k, (doc, text, blob) in enumerate(zip(part["doc_id"], part["text"], part["hashes"], strict=True)):
                     own, own_s = words[at[k]:at[k + 1]], s[at[k]:at[k + 1]]
-                    got = [] if blobs is None else [_unpack_sorted(b) for b in blobs]
-                    begin, end = _spans(own, size, np.concatenate(got) if got else np.empty(0, np.uint64))
+                    begin, end = _spans(own, size, np.empty(0, np.uint64) if blob is None else _unpack_sorted(blob))
                     if len(begin):
                         cut = np.concatenate([own_s, [len(data[k])]])
                         keep = zip(np.concatenate([[0], cut[end]]), np.concatenate([cut[begin], [len(data[k])]]), strict=True)
