@@ -35,10 +35,11 @@ def test_no_python_on_the_path(spark, make_docs):
 
 def test_lines_and_edges(make_docs):
     prose = "This line has words enough to stay where it stands."
-    text = "\n".join([prose, prose.upper(), "Home | About | Contact", "Copyright by us, all rights reserved.", "no end mark here", "WOW!! BUY!! NOW!!", "  \t", prose])
+    more = "Another one of ten words is here to make it pass."
+    text = "\n".join([prose, prose.upper(), more, more.upper(), "Home | About | Contact", "Copyright by us, all rights reserved.", "no end mark here", "WOW!! BUY!! NOW!!", "  \t", prose])
     rows = [(1, text), (2, None), (3, ""), (4, "short."), (5, " \x0b\x0c\r\n"), (None, text), (6, "a b c d e f g h " * 30), (6, "a b c d e f g h " * 30)]
     got = {r.doc_id: r for r in clean_lines(make_docs(rows, extra=["words", "lines", "kept", "good"])).collect()}
-    assert got[1].text.split("\n") == [prose, prose.upper(), prose] and got[1].kept and got[1].n_dup_lines == 1
+    assert got[1].text.split("\n") == [prose, prose.upper(), more, more.upper(), prose] and got[1].kept and got[1].n_dup_lines == 1
     assert [(got[i].n_words, got[i].kept, got[i].text) for i in (2, 3, 5)] == [(0, False, "")] * 3
     assert got[4].base_failed and got[6].n_repeat_words == 240 and got[6].base_failed and got[None].kept
     assert clean_lines(make_docs([])).collect() == []
