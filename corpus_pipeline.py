@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, language_id, near_dedup, packing, substring_dedup
-from veilframe.llm.base import Tables
+from veilframe.llm.base import Tables, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SENT = 1_000_000  # document ids that are broadcast at most, 8 bytes each
@@ -25,6 +25,7 @@ def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) ->
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters or of a doubtful language go, rows without doc_id stay."""
+    prepare(spark)
     found = language_id.identify(language_id.document_rows(docs))
     return _without(spark, docs, found.where("NOT kept").select(F.col("id").alias("doc_id")), "language-stage")
 
@@ -34,6 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that share a doc_id one stays.  Rows without doc_id stay.
     """
+    prepare(spark)
     found = near_dedup.near_duplicates(docs)
     left = _without(spark, docs, found.where("NOT kept").select("doc_id"), "near-stage")
     twice = Tables(spark, "near-rows").save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
@@ -45,17 +47,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that also start earlier are cut out of the texts; no document goes."""
+    prepare(spark)
     return substring_dedup.remove_repeats(docs, carry=["lang", "source"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    prepare(spark)
     hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(spark, docs, hits.select("doc_id"), "leak-stage")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 1024 tokens."""
+    prepare(spark)
     return packing.pack(docs)
 
 

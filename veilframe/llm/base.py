@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 _OWN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the queries and the pipeline need of a session.
+
+    Batches to Python of 500 rows instead of Spark's 10,000, unless set otherwise: a batch of whole texts is held several times over,
+    by the JVM, outside its heap, and by Python.  And this package on the executors, once a session, so that tasks find it wherever it is
+    installed.
+    """
+    sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="llm-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(path := os.path.realpath(f"{folder}/{root.name}.zip"), "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+
+
 class Tables:
     """Parquet tables of one run under the shared folder.  They cut lineage and survive lost executors."""
 
@@ -46,6 +79,26 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_texts(df: DataFrame, work, schema: str, rows: int = 256) -> DataFrame:
+    """``work`` over pandas frames of at most ``rows`` rows.
+
+    Spark's batches hold 10,000 rows; of long texts that is much to keep as Python strings at once.
+    Whole numbers stay whole beside nulls.
+    """
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                for lo in range(0, batch.num_rows, rows):
+                    yield batch.slice(lo, rows).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+        for out in work(parts()):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 # ---- word hashing ---------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.base import mix, word_hashes
+from veilframe.llm.base import map_texts, mix, word_hashes
 
 BLOCK_BYTES = 4 << 20
 STEPS = (14, 7, 3, 1)      # outputs of a walk; an item uses the most that its words allow
@@ -170,17 +170,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> D
             index = sent.value
             for pdf in batches:
                 out = []
-                for lo in range(0, len(pdf), 200):
-                    part = pdf.iloc[lo:lo + 200]
-                    words, at = word_hashes(part["text"].tolist(), lower=True)
-                    windows, starts, found = index.candidates(words)
-                    which = np.searchsorted(at, windows, side="right") - 1
-                    for k in np.unique(which):
-                        own = which == k
-                        out += [(part["doc_id"].iloc[k], index.ids[i], s, e, d)
-                                for i, s, e, d in find(index, words[at[k]:at[k + 1]], starts[own] - at[k], found[own], share)]
+                words, at = word_hashes(pdf["text"].tolist(), lower=True)
+                windows, starts, found = index.candidates(words)
+                which = np.searchsorted(at, windows, side="right") - 1
+                for k in np.unique(which):
+                    own = which == k
+                    out += [(pdf["doc_id"].iloc[k], index.ids[i], s, e, d)
+                            for i, s, e, d in find(index, words[at[k]:at[k + 1]], starts[own] - at[k], found[own], share)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_word", "end_word", "distance"]).astype("Int64")
 
-        return texts.mapInPandas(work, schema)
+        return map_texts(texts, work, schema)
 
     return reduce(DataFrame.unionByName, [search(k) for k in range(blocks)])

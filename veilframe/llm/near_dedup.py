@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.base import Tables, components, mix, word_hashes
+from veilframe.llm.base import Tables, components, map_texts, mix, word_hashes
 
 REGISTERS, BAND, MANTISSA = 128, 4, 9
 BANDS = REGISTERS // BAND
@@ -119,8 +119,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                              registers(found).tobytes() if full else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print", "registers"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInPandas(
-        work, "doc_id long, n_shingles long, print binary, registers binary")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")),
+                     work, "doc_id long, n_shingles long, print binary, registers binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pdf.loc[good, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long").distinct()
+    return map_texts(both.select("a", "b", "text_a", "text_b"), work, "a long, b long").distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _short_sets(texts: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"rep": pdf["doc_id"], "print": [xxhash.xxh3_128_digest(x.tobytes()) for x in made],
                                 "short": [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in made]})
 
-    return texts.mapInPandas(work, "rep long, print binary, short binary")
+    return map_texts(texts, work, "rep long, print binary, short binary")
 
 
 class _Joined:
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rep = named.select("print", "rep")
     by_class = component(rep, "rep", labels, "component_id").select("print", "component_id")
     out = signed.join(by_class, "print", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     tables.drop("shared", "tested", "near", "mixed", "mixed-texts", "open", "open-texts", "labels-1", "labels-2")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

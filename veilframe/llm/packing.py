@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilframe.llm.base import Tables
+from veilframe.llm.base import Tables, map_texts
 
 SIZE = 1024
 END = 0
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, size: int = SIZE, name: str = "byte_bpe_50k", ids: b
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInPandas(work, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), work, schema)
 
 
 def pack(docs: DataFrame, size: int = SIZE, name: str = "byte_bpe_50k", per_bin: int = 20_000, ids: bool = False) -> DataFrame:

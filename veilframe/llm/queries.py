@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontaminate, language_id, line_rules, near_dedup, packing, quality, sharding, substring_dedup, toxicity
+from veilframe.llm import chat, decontaminate, language_id, line_rules, near_dedup, oracles, packing, quality, sharding, substring_dedup, toxicity
+from veilframe.llm.base import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_near_dedup": oracles.NEAR_DEDUP, "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_line_rules": oracles.LINE_RULES}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

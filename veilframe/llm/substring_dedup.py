@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.base import mix, powers, word_hashes
+from veilframe.llm.base import map_texts, mix, powers, word_hashes
 
 WINDOW = 20
-CHUNK = 2_000_000                 # windows that one task sorts at a time
+CHUNK = 1_000_000                 # windows that one task sorts at a time
 NO_ID = np.iinfo(np.int64).max    # stands for a null doc_id, after all others
 
 
@@ -104,23 +104,21 @@ def _entries(docs: DataFrame, size: int, slices: int, buckets: int) -> DataFrame
     def work(batches: Iterator[pd.DataFrame]):
         hashes, owners, held = [], [], 0
         for pdf in batches:
-            ids = pdf["doc_id"].to_numpy()
-            texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), 500):
-                words, at = word_hashes(texts[lo:lo + 500], lower=False)
-                for k in range(len(at) - 1):
-                    w = window_hashes(words[at[k]:at[k + 1]], size)
-                    if len(w):
-                        hashes.append(w)
-                        owners.append(np.full(len(w), ids[lo + k], np.int64))
-                        held += len(w)
-                        if held >= CHUNK:
-                            yield flush(hashes, owners)
-                            hashes, owners, held = [], [], 0
+            ids = pdf["doc_id"].to_numpy(np.int64)
+            words, at = word_hashes(pdf["text"].tolist(), lower=False)
+            for k in range(len(at) - 1):
+                w = window_hashes(words[at[k]:at[k + 1]], size)
+                if len(w):
+                    hashes.append(w)
+                    owners.append(np.full(len(w), ids[k], np.int64))
+                    held += len(w)
+                    if held >= CHUNK:
+                        yield flush(hashes, owners)
+                        hashes, owners, held = [], [], 0
         if held:
             yield flush(hashes, owners)
 
-    return docs.select("doc_id", "text").mapInPandas(work, "slice int, bucket int, docs binary, hashes binary")
+    return map_texts(docs.select("doc_id", "text"), work, "slice int, bucket int, docs binary, hashes binary")
 
 
 def _settle(buckets: int):
@@ -187,23 +185,21 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             rows = []
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo:lo + 500]
-                words, at, s, e, data = word_hashes(part["text"].tolist(), lower=False, spans=True)
-                for k, (doc, text, blob) in enumerate(zip(part["doc_id"], part["text"], part["hashes"], strict=True)):
-                    own, own_s = words[at[k]:at[k + 1]], s[at[k]:at[k + 1]]
-                    begin, end = _spans(own, size, np.empty(0, np.uint64) if blob is None else _unpack_sorted(blob))
-                    if len(begin):
-                        cut = np.concatenate([own_s, [len(data[k])]])
-                        keep = zip(np.concatenate([[0], cut[end]]), np.concatenate([cut[begin], [len(data[k])]]), strict=True)
-                        text = b"".join(data[k][x:y] for x, y in keep).decode("utf-8")
-                    rows.append((None if doc == NO_ID else doc, len(own), int((end - begin).sum()),
-                                 [{"start": int(x), "end": int(y)} for x, y in zip(begin, end, strict=True)], text))
+            words, at, s, e, data = word_hashes(pdf["text"].tolist(), lower=False, spans=True)
+            for k, (doc, text, blob) in enumerate(zip(pdf["doc_id"], pdf["text"], pdf["hashes"], strict=True)):
+                own, own_s = words[at[k]:at[k + 1]], s[at[k]:at[k + 1]]
+                begin, end = _spans(own, size, np.empty(0, np.uint64) if blob is None else _unpack_sorted(blob))
+                if len(begin):
+                    cut = np.concatenate([own_s, [len(data[k])]])
+                    keep = zip(np.concatenate([[0], cut[end]]), np.concatenate([cut[begin], [len(data[k])]]), strict=True)
+                    text = b"".join(data[k][x:y] for x, y in keep).decode("utf-8")
+                rows.append((None if doc == NO_ID else doc, len(own), int((end - begin).sum()),
+                             [{"start": int(x), "end": int(y)} for x, y in zip(begin, end, strict=True)], text))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "text"]).astype({"doc_id": "Int64"}).assign(
-                **{c: pdf[c].to_numpy() for c in carried})
+                **{c: pdf[c].array for c in carried})
 
     carried = [f"carried_{i}" for i in range(len(carry))]
     types = "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
-    out = keyed.join(found, "doc_id", "left").select("doc_id", "text", "hashes", *carried).mapInPandas(
-        work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string" + types)
+    out = map_texts(
+        keyed.join(found, "doc_id", "left").select("doc_id", "text", "hashes", *carried), work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string" + types)
     return out.select("doc_id", "n_words", "n_removed", "spans", "text", *[F.col(c).alias(name) for c, name in zip(carried, carry, strict=True)])
