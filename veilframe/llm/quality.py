@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.base import mix, word_hashes
+from veilframe.llm.base import map_texts, mix, word_hashes
 from veilframe.llm.labelled import held_out, sample
 
 SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 8_000
@@ -197,8 +197,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, t
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": sent.value.scores(pdf["text"].tolist())})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"].array, "score": sent.value.scores(pdf["text"].tolist())})
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = own.mapInPandas(work, "doc_id long, held_out boolean, score double")
+    out = map_texts(own, work, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.base import map_texts
 from veilframe.llm.labelled import held_out, sample
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 5_000
@@ -21,6 +22,7 @@ BUCKETS, SIZE = 1 << 18, 8
 GRAMS = (3, 4, 5, 6)
 BAG, STRIDE = 6, 3
 PASSES, RATE, BATCH = 14, 0.4, 64
+WARM, WARM_BAGS = 4, 30_000
 THRESHOLD = 0.3
 CHUNK = 400_000  # characters that are hashed at a time
 _EDGE = np.zeros(0x110000, bool)
@@ -43,10 +45,10 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ends = np.cumsum([1] + [len(x) + 1 for x in codes])
     offsets = np.concatenate([[0], np.cumsum(begins)])[ends]
     inner = np.concatenate([[0], np.cumsum(edge)])
-    buckets, owners = [], []
+    buckets, owners = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     h = c
-    for n in range(2, max(GRAMS) + 1):
-        h = h[:-1] * _STEP ^ c[n - 1:] if n > 1 else h
+    for n in range(2, min(max(GRAMS), len(c)) + 1):
+        h = h[:-1] * _STEP ^ c[n - 1:]
         if n in GRAMS:
             i = np.flatnonzero(inner[n - 1:len(c)] == inner[1:len(c) - n + 2])  # no mark inside
             g = h[i]
@@ -101,11 +103,13 @@ class Model:
             return np.add.reduceat(per[flat], begin) / size + bias[1] - bias[0]
 
         for step in range(PASSES):
-            order = np.lexsort((-strengths(), owner))
-            best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
-            # beside each document's strongest bag: at first any others, then more of the clean documents
-            pool = np.arange(len(size)) if step < 2 else np.flatnonzero(labels[owner] == 0)
-            chosen = rng.permutation(np.concatenate([best, rng.permutation(pool)[:2 * len(best)]]))
+            if step < WARM:  # any bag with its document's label
+                chosen = rng.permutation(len(size))[:WARM_BAGS]
+            else:            # each document's strongest bag, and more of the clean documents'
+                order = np.lexsort((-strengths(), owner))
+                best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+                clean = rng.permutation(np.flatnonzero(labels[owner] == 0))
+                chosen = rng.permutation(np.concatenate([best, clean[:2 * len(best)]]))
             for lo in range(0, len(chosen), BATCH):
                 k = chosen[lo:lo + BATCH]
                 part = np.concatenate([flat[begin[x]:begin[x] + size[x]] for x in k])
@@ -167,8 +171,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": sent.value.scores(pdf["text"].tolist())})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"].array, "score": sent.value.scores(pdf["text"].tolist())})
 
     own = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = own.mapInPandas(work, "doc_id long, held_out boolean, score double")
+    out = map_texts(own, work, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
