@@ -9,62 +9,72 @@ language.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.base import Tables
+from veilframe.llm.base import Tables, map_texts
 
-SAMPLE_ROWS = 2_000        # rows the text model is fitted on
+SAMPLE_ROWS = 2_000        # rows the text model is fitted on, about
 SAMPLE_CHARS = 4_000       # of each, and no more: fitting only; scoring reads whole texts
 BINS = 1 << 16
 TRUST = 0.9                # probability that a declared language is right
 STRENGTH = 20.0            # rows that a smoothed prior weighs
 HOSTS_SENT = 100_000       # priors that are broadcast at most, under 200 bytes each
 KEEP = 0.5                 # a document whose best language is less likely is rejected
-_LETTERS = re.compile(r"[^\W\d_]+")
+CHUNK = 400_000            # characters that are looked up at a time
 
 
-def grams(word: str) -> np.ndarray:
-    """Bins of the letter trigrams of a word, its ends marked."""
-    w = f" {word} "
-    codes = np.fromiter(map(ord, w), np.uint64, len(w))
-    h = (codes[:-2] * np.uint64(1_000_003) + codes[1:-1]) * np.uint64(1_000_003) + codes[2:]
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, text) of every letter trigram inside a word, its ends marked, and each text's number of words (runs of letters)."""
+    codes = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    mark = np.zeros(1, np.uint32)
+    c = np.concatenate([mark] + [x for own in codes for x in (own, mark)] + [mark])
+    letter = _letters()[c]
+    c = np.where(letter, c, np.uint32(32))
+    owner = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in codes])  # of each place but the first and last
+    at = np.flatnonzero(letter[1:-1])
+    h = (c[at] * np.uint32(0x01000193) ^ c[at + 1]) * np.uint32(0x01000193) ^ c[at + 2]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    words = np.bincount(owner[letter[1:-1] & ~letter[:-2]], minlength=len(texts))
+    return (h >> np.uint32(16)).astype(np.int32), owner[at], words
 
 
 class TextModel:
-    """log P(trigram | language) in a table of BINS rows, and the words met so far with their sums."""
+    """log P(trigram | language) in a table of BINS rows."""
 
     def __init__(self, languages: list[str], texts: list[tuple[str, str]]):
         self.languages = languages
         counts = np.full((BINS, len(languages)), 0.1)
-        for text, lang in texts:
-            for w in _LETTERS.findall(text[:SAMPLE_CHARS].lower()):
-                np.add.at(counts[:, languages.index(lang)], grams(w), 1)
+        for k, x in enumerate(languages):
+            bins, _, _ = trigrams([t for t, lang in texts if lang == x])
+            counts[:, k] += np.bincount(bins, minlength=BINS)
         self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-        self.words: dict[str, tuple] = {}
-
-    def score(self, text: str | None) -> tuple[list[float], int]:
-        """log P(text | language) of each language, and the number of letter words."""
-        total, words = np.zeros(len(self.languages)), 0
-        for token, times in Counter((text or "").split()).items():
-            got = self.words.get(token)
-            if got is None:
-                found = [self.table[grams(w)].sum(axis=0, dtype=np.float64) for w in _LETTERS.findall(token.lower())]
-                got = (np.sum(found, axis=0), len(found)) if found else (None, 0)
-                if len(self.words) > 500_000:
-                    self.words.clear()
-                self.words[token] = got
-            if got[1]:
-                total += got[0] * times
-                words += got[1] * times
-        return total.tolist(), words
+
+    def scores(self, texts: list[str | None]) -> tuple[list[list[float]], list[int]]:
+        """log P(text | language) of each language, and the number of words."""
+        likelihood, words, lo = [], [], 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= CHUNK):
+                held += len(texts[hi] or "")
+                hi += 1
+            bins, owner, n = trigrams(texts[lo:hi])
+            per = [np.bincount(owner, self.table[bins, k], minlength=hi - lo) for k in range(len(self.languages))]
+            likelihood += np.stack(per, axis=1).tolist()
+            words += n.tolist()
+            lo = hi
+        return likelihood, words
 
 
 def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
@@ -79,7 +89,7 @@ def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
         total = sum((F.col(f"{own}{i}") for i in ids), F.lit(0.0))
         return [(F.col(f"{own}{i}") + STRENGTH * prior[i]) / (total + STRENGTH) for i in ids]
 
-    flat = [F.lit(1.0 / max(len(languages), 1))] * len(languages)
+    flat = [F.lit(1.0 / len(languages))] * len(languages)
     out = by_suffix.join(F.broadcast(whole)).withColumn("pa", F.array(*smooth("a", flat)))
     out = out.withColumn("ps", F.array(*smooth("s", [F.get("pa", F.lit(i)) for i in ids]))).select(F.col("suffix").alias("own"), "ps")
     out = by_host.join(out, F.col("suffix").eqNullSafe(F.col("own"))).drop("own")
@@ -117,22 +127,28 @@ def identify(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     tables = Tables(spark, "language")
-    languages = sorted(r[0] for r in rows.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(100).collect())
-    per_language = -(-SAMPLE_ROWS // max(len(languages), 1))
-    sample = []
-    for x in languages:
-        own = rows.where((F.col("declared") == x) & F.col("text").isNotNull()).select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        sample += [(r.text, x) for r in own.orderBy(F.xxhash64("id", "text")).limit(per_language).collect()]
+    counted = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count(F.when(F.col("text").isNotNull(), 1)).alias("n"))
+    counted = counted.orderBy(F.desc("n"), "declared").limit(100).collect()
+    languages = sorted(r.declared for r in counted)
+    if not languages:
+        words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"))
+        return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), words.cast("long").alias("n_letter_words"), "declared", F.lit(False).alias("kept"))
+    # one pass takes about as many rows of each language, by a hash of the row; repeated rows count once
+    share = F.lit(0)
+    for r in counted:
+        share = F.when(F.col("declared") == r.declared, int(1e6 * min(1, SAMPLE_ROWS / len(languages) / max(r.n, 1)))).otherwise(share)
+    taken = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share))
+    taken = taken.select("id", "declared", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("declared", "id", "text")
+    sample = [(r.text, r.declared) for r in taken.limit(4 * SAMPLE_ROWS).collect()]
     sent = spark.sparkContext.broadcast(TextModel(languages, sample))
 
     def work(batches: Iterator[pd.DataFrame]):
-        model = sent.value
         for pdf in batches:
-            scored = [model.score(t) for t in pdf["text"]]
-            yield pdf.drop(columns="text").assign(likelihood=[x for x, _ in scored], n_letter_words=[n for _, n in scored])
+            likelihood, words = sent.value.scores(pdf["text"].tolist())
+            yield pdf.drop(columns="text").assign(likelihood=likelihood, n_letter_words=words)
 
-    scored = rows.select("id", "text", "declared", "host", "suffix").mapInPandas(
-        work, "id long, declared string, host string, suffix string, likelihood array<double>, n_letter_words long")
+    scored = map_texts(
+        rows.select("id", "text", "declared", "host", "suffix"), work, "id long, declared string, host string, suffix string, likelihood array<double>, n_letter_words long")
     priors = tables.save(host_priors(rows, languages).withColumnRenamed("host", "h").withColumnRenamed("suffix", "s"), "priors")
     small = priors.count() <= HOSTS_SENT
     same = F.col("host").eqNullSafe(F.col("h")) & F.col("suffix").eqNullSafe(F.col("s"))
@@ -142,11 +158,11 @@ def identify(rows: DataFrame) -> DataFrame:
     for i, x in enumerate(languages):
         declared = F.when(F.col("declared").isNull() | ~F.col("declared").isin(languages), 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / (n - 1))))
         parts.append(F.get("likelihood", F.lit(i)) + F.get("prior", F.lit(i)) + declared)
-    out = joined.withColumn("logs", F.array(*parts) if parts else F.array().cast("array<double>"))
+    out = joined.withColumn("logs", F.array(*parts))
     out = out.withColumn("top", F.array_max("logs"))
     weight = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     known = (F.col("n_letter_words") > 0) & F.col("top").isNotNull()
-    names = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
+    names = F.array(*[F.lit(x) for x in languages])
     best = F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int"))
     out = out.select("id", F.when(known, best).otherwise("und").alias("language"), F.when(known, 1 / weight).otherwise(0.0).alias("posterior"), "n_letter_words", "declared")
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= KEEP))
