@@ -7,29 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACES = "\t\n\x0b\x0c\r"
+_SPACE = r"[\x20\x09-\x0D]+"
+_SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
-END = r"""[.!?:;,…。！？"'”’»)\]][\x20\x09-\x0D]*$"""
+END = list(".!?:;,…。！？\"'”’»)]")
 BOILERPLATE = ["licensed under", "released under", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use",
                "terms of service", "subscribe", "click here", "read more", "skip to content"]
 
 
-def _joined(text: Column) -> Column:
-    """The text without white space."""
-    return F.translate(text, " " + _SPACES, "")
-
-
 def words_of(text: Column) -> Column:
-    flat = F.translate(F.coalesce(text, F.lit("")), _SPACES, " " * len(_SPACES))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
 
 
 def lines_of(text: Column) -> Column:
     """The ``\\n``-split lines that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: _joined(x) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def repeated_starts(ranked: Column) -> Column:
@@ -42,18 +37,16 @@ def repeated_starts(ranked: Column) -> Column:
     return F.sort_array(F.filter(twice, lambda x: x.isNotNull()))
 
 
-def has_boilerplate(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+def has_boilerplate(lower: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(x)) for x in BOILERPLATE])
 
 
 def line_fails(line: Column) -> Column:
     """Punctuation and navigation rules."""
-    n_words = F.greatest(F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " ", "")) + 1, F.lit(1))
-    symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
-    shouts = F.length(line) - F.length(F.translate(line, "!", ""))
-    punctuation = ~line.rlike(END) | (shouts > 1 + n_words / 2)
-    navigation = symbols * 10 > n_words * 2
+    n_words = F.regexp_count(F.trim(line), F.lit(" ")) + 1
+    ending = F.right(F.rtrim(line, F.lit(" \t\x0b\x0c\r")), F.lit(1))
+    punctuation = ~ending.isin(END) | (F.regexp_count(line, F.lit("!")) > 1 + n_words / 2)
+    navigation = F.regexp_count(line, F.lit(_SYMBOLS)) * 10 > n_words * 2
     return punctuation | navigation
 
 
@@ -74,14 +67,23 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     out = out.withColumn("ranked", F.when(~unique, F.sort_array(pairs))).withColumn("starts", repeated_starts(F.col("ranked")))
     reach = F.transform("starts", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", j + 1) - x, F.lit(WINDOW))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"))
-    out = out.withColumn("word_chars", F.length(_joined(F.coalesce("text", F.lit("")))).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     whole = F.coalesce("text", F.lit(""))
-    out = out.withColumn("n_symbols", (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    out = out.withColumn("n_symbols", F.regexp_count(whole, F.lit(_SYMBOLS)).cast("long"))
+    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("lower", F.lower(whole))
     # most texts hold no phrase: one look at the whole text spares a look at each line
-    passed = F.filter("lines", lambda x: ~line_fails(x))
-    out = out.withColumn("good", F.when(has_boilerplate(whole), F.filter(passed, lambda x: ~has_boilerplate(x))).otherwise(passed))
-    left = F.length(_joined(F.array_join("good", ""))).cast("long")
+    some, boilerplate = has_boilerplate(F.col("lower")), lambda x: has_boilerplate(F.lower(x))
+
+    def lines(rule, with_phrases) -> Column:
+        return F.when(some, F.filter("lines", with_phrases)).otherwise(F.filter("lines", rule))
+
+    bad = F.array_join(lines(line_fails, lambda x: line_fails(x) | boilerplate(x)), "")
+    lost = F.length(F.regexp_replace(bad, _SPACE, "")).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * (F.col("word_chars") - left) <= MAX_LOST_PERCENT * F.col("word_chars")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("good", "\n").alias("text"))
+    kept = ~failed & (100 * lost <= MAX_LOST_PERCENT * F.col("word_chars"))
+    good = lines(lambda x: ~line_fails(x), lambda x: ~(line_fails(x) | boilerplate(x)))
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
+    # A row of one: a filter on these columns stays above it.  Pushed down it would take the place of the columns that
+    # the lambdas refer to, and be evaluated for each element.
+    return out.select("doc_id", F.array_join(good, "\n").alias("text"), F.inline(F.array(found))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text")
