@@ -95,6 +95,7 @@ def map_texts(df: DataFrame, work, schema: str, rows: int = 256) -> DataFrame:
 
         for out in work(parts()):
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -108,7 +109,7 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] = _SAME[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

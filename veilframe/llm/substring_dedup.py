@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.base import map_texts, mix, powers, word_hashes
 
 WINDOW = 20
-CHUNK = 1_000_000                 # windows that one task sorts at a time
+CHUNK = 400_000                   # windows that one task sorts at a time
 NO_ID = np.iinfo(np.int64).max    # stands for a null doc_id, after all others
 
 
@@ -172,14 +172,15 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     earlier start) is removed.  ``spans`` are the removed word intervals; ``text`` is the input without them, other white
     space kept.  A null text stays null and has no words.  Rows of equal doc_id don't remove each other's words.  A null
     doc_id counts as larger than all others.  An empty table gives no rows.  ``slices`` of the hash
-    range, and as many buckets of documents, bound a task's memory: twice spark.sql.shuffle.partitions unless given.
+    range, and a quarter as many buckets of documents, bound a task's memory: four times spark.sql.shuffle.partitions unless given.
     """
     spark = docs.sparkSession
     carry = carry or []
-    slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"),
                         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
-    reports = _entries(keyed, size, slices, slices).groupBy("slice").applyInPandas(_settle(slices), "bucket int, docs binary, hashes binary")
+    buckets = max(1, slices // 4)
+    reports = _entries(keyed, size, slices, buckets).groupBy("slice").applyInPandas(_settle(buckets), "bucket int, docs binary, hashes binary")
     found = reports.groupBy("bucket").applyInPandas(_gather, "doc_id long, hashes binary")
 
     def work(batches: Iterator[pd.DataFrame]):
