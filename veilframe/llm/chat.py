@@ -144,8 +144,10 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         def place(turn, text, role) -> tuple:
             return -1 if pd.isna(turn) else int(turn), text, role
 
+        rows = list(g.itertuples(index=False))
+        messages = [r for r in rows if r.kind != "linked"]
         entries, calls, counted, bad = {}, {}, set(), 0
-        for r in g[g["kind"] == "linked"].itertuples():
+        for r in (r for r in rows if r.kind == "linked"):
             body = envelope(r.text, CALL)
             name, arguments = str(body.get("name")), body.get("arguments")
             wrong = ["$: not JSON"] if not body else errors(arguments, schemas[name]) if name in schemas else ["$: unknown tool"]
@@ -157,8 +159,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 counted.add(("result", *place(r.result["turn"], r.result["text"], r.result["role"])))
                 entries[r.call_id]["result"] = envelope(r.result["text"], RESULT).get("content")
         plain, orphans, total = [], [], {"plain": 0, "call": 0, "result": 0}
-        messages = g[g["kind"] != "linked"]
-        for r in sorted(messages.itertuples(), key=lambda r: (*place(r.turn, r.role, r.text), str(r.call_id))):
+        for r in sorted(messages, key=lambda r: (*place(r.turn, r.role, r.text), str(r.call_id))):
             at = place(r.turn, r.text, r.role)
             total[r.kind] += 1
             if r.kind == "plain":
@@ -168,7 +169,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         done, cyclic = ordered(calls)
         whole = {"messages": plain, "calls": [entries[k] for k in [*done, *cyclic]]} | ({"orphans": orphans} if orphans else {})
         linked = sum("result" in e for e in entries.values())
-        return pd.DataFrame({"conv_id": messages["conv_id"].iloc[:1].astype("Int64"), "n_messages": sum(total.values()), "n_calls": total["call"], "n_results": total["result"],
+        return pd.DataFrame({"conv_id": pd.array([messages[0].conv_id], "Int64"), "n_messages": sum(total.values()), "n_calls": total["call"], "n_results": total["result"],
                              "n_linked": linked, "n_invalid": bad, "n_cyclic": len(cyclic), "chat": canonical(whole)})
 
     both = rest.withColumn("result", F.lit(None).cast(linked.schema["result"].dataType)).unionByName(linked.withColumn("conv_id", F.lit(None).cast("long")))
