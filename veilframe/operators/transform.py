@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 import warnings
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.fakes import DEFAULT_LOCALE, SEED
 from veilframe.functions.techniques import technique_column
-from veilframe.functions.text import col
+from veilframe.functions.text import as_text, col
 from veilframe.operators import pseudo
 from veilframe.operators.config import ColumnRule, as_rules
 from veilframe.session import spread
@@ -55,12 +56,16 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     if spread_input:
         df = spread(df)      # no-op unless a small input sits in fewer files than task slots
     fake_args = {"locale": locale, "seed": seed}
+    # a float's text is long to work out and the techniques use it several times: a projection of its own
+    floats = {f.name: as_text(col(f.name), f.dataType) for f in df.schema.fields
+              if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and any(r.column == f.name and r.technique in FX.TECHNIQUE_NAMES for r in rules)}
+    texts = df.select(*[floats[c].alias(c) if c in floats else col(c) for c in df.columns]) if floats else df
     exprs, applied, skipped = {}, [], []
     for r in rules:
         if r.column not in df.columns:
             skipped.append(r)
             continue
-        dtype = df.schema[r.column].dataType
+        dtype = texts.schema[r.column].dataType
         if r.technique == FX.FAKE_DATA:
             e = pseudo.fake_column(col(r.column), r.pii_type, dtype, **fake_args)
         else:
@@ -71,7 +76,7 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
             continue
         exprs[r.column] = e
         applied.append(r)
-    out = df.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]) if exprs else df
+    out = texts.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]) if exprs else df
     return Anonymized(out, df, applied, skipped, existing_mapping, fake_args)
 
 
