@@ -83,3 +83,19 @@ def test_blocks_give_the_same(spark, make_docs, table, real_docs, monkeypatch):
 def test_equal_windows_share_all_keys():
     w, _ = word_hashes(["a b c d e f g h i j k l m n o p q r s t"], lower=True)
     assert np.array_equal(D.keys(np.concatenate([w, w]), 14)[:, :4], D.keys(w, 14)[:, :4])
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 14, 15, 16, 17, 18, 19, 20, 21, 24, 27, 28, 30, 40])
+def test_candidates_of_each_length_at_the_full_share(n):
+    rng, found = random.Random(n), 0
+    for _ in range(300):
+        item = [f"i{rng.getrandbits(40)}" for _ in range(n)]
+        w = list(item)
+        for _ in range(int(0.2 * n)):
+            at = rng.randrange(len(w))
+            rng.choice([lambda: w.pop(at), lambda: w.insert(at, "new"), lambda: w.__setitem__(at, "other")])()
+        text = " ".join([f"a{k}" for k in range(20)] + w + [f"b{k}" for k in range(20)])
+        index, (words_, _) = D.Index([1], [" ".join(item)]), word_hashes([text], lower=True)
+        _, starts, items = index.candidates(words_)
+        found += bool(D.find(index, words_, starts, items, 0.2))
+    assert found == 300 if n < D.SURE else found >= 0.99 * 300

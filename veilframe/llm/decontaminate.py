@@ -5,6 +5,9 @@ bit of (step, word).  Windows at a small edit distance walk together most of the
 Each of ``TABLES`` samples ``SAMPLES`` places of the outputs as a key.  The windows of an item are taken at each of its words, those of a document too;
 equal keys align an item with a stretch of the document of the item's size.  The alignment is verified by the edit distance over words.
 
+An item just over a walk's length has few windows, so items of less than ``LONG`` words walk a shorter walk as well, and those of less
+than ``SURE`` words aren't left to chance: cut into one piece more than the edits allowed, they keep a piece unedited, and pieces are keys.
+
 The benchmark is the query set.  It is read in blocks of at most ``BLOCK_BYTES`` of text, each sent to the executors whole; documents are
 never shuffled and all their windows are looked up.
 """
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from veilframe.llm.base import map_texts, mix, word_hashes
 
 BLOCK_BYTES = 4 << 20
-STEPS = (14, 7, 3, 1)      # outputs of a walk; an item uses the most that its words allow
+STEPS = (14, 7)            # outputs of a walk
+LONG, SURE = 28, 20        # words of an item that walks only the longest walk; that walks at all
+SHARE = 0.2                # edits, by words of the item, that walks are made for; pieces are taken beyond
 WALKS = 2
 SAMPLES = 6
 RECALL, AGREE = 0.97, 0.85  # target recall of one window whose outputs agree in this share
@@ -60,36 +65,55 @@ def keys(words: np.ndarray, steps: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29)) ^ (np.arange(1, TABLES + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93))
 
 
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """One row: the key of the ``size`` words from each word on."""
+    padded = np.concatenate([words, np.zeros(size, np.uint64)])
+    out = np.zeros(len(words), np.uint64)
+    for t in range(size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + padded[t:t + len(words)])
+    return out[None, :]
+
+
+def kinds(n: int, edits: int) -> list[tuple]:
+    """(function, size, distance of the places taken) of the keys of an item of n words."""
+    if n < SURE or edits > SHARE * n:
+        size = max(n // (edits + 1), 1)
+        return [(grams, size, size)]
+    return [(keys, steps, 1) for steps in (STEPS if n < LONG else STEPS[:1])]
+
+
 class Index:
-    """The keys of a block of items, by the number of steps they walk."""
+    """The keys of a block of items of which a share of the words may be edited, by the kind of the keys."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], share: float = SHARE):
         words, at = word_hashes(texts, lower=True)
         self.ids = ids
         self.items = [words[at[i]:at[i + 1]] for i in range(len(ids))]
         self.tables = {}
-        for steps in STEPS:
-            own = [i for i, x in enumerate(self.items) if len(x) >= steps == max(s for s in STEPS if s <= len(x))]
-            if not own:
-                continue
+        used: dict[tuple, list[int]] = {}
+        for i, x in enumerate(self.items):
+            for kind in kinds(len(x), int(share * len(x))) if len(x) else []:
+                used.setdefault(kind, []).append(i)
+        for (make, size, apart), own in used.items():
             found, item, offset = [], [], []
             for i in own:
-                k = keys(self.items[i], steps)[:, :len(self.items[i]) - steps + 1]
+                at_words = np.arange(0, len(self.items[i]) - size + 1, apart)
+                k = make(self.items[i], size)[:, at_words]
                 found.append(k.ravel())
                 item.append(np.full(k.size, i))
-                offset.append(np.tile(np.arange(k.shape[1]), TABLES))
+                offset.append(np.tile(at_words, len(k)))
             found = np.concatenate(found)
             order = np.argsort(found, kind="stable")
             bits = int(np.clip(math.ceil(math.log2(len(found))) + 6, 16, 27))
             seen = np.zeros(1 << bits, bool)
             seen[(found >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.tables[steps] = found[order], np.concatenate(item)[order], np.concatenate(offset)[order], bits, seen
+            self.tables[make, size, apart] = found[order], np.concatenate(item)[order], np.concatenate(offset)[order], bits, seen
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position of the window, position where the item would start, item) of all equal keys."""
         windows, starts, items = ([np.empty(0, np.int64)] for _ in range(3))
-        for steps, (found, item, offset, bits, seen) in self.tables.items():
-            for k in keys(words, steps):
+        for (make, size, _), (found, item, offset, bits, seen) in self.tables.items():
+            for k in make(words, size):
                 at = np.flatnonzero(seen[(k >> np.uint64(64 - bits)).astype(np.int64)])
                 lo, hi = np.searchsorted(found, k[at]), np.searchsorted(found, k[at], side="right")
                 at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
@@ -164,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> D
 
     def search(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
-        sent = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows]))
+        sent = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], share))
 
         def work(batches: Iterator[pd.DataFrame]):
             index = sent.value
