@@ -71,3 +71,28 @@ def test_pages(spark, table):
     assert sum(r.language == r.declared for r in found) >= 0.97 * len(found)
     odd = spark.createDataFrame([(1, None, None), (2, "no address", "<p>x"), (3, "https://u@h.example:8/x", "<HTML LANG=de-AT>")], "page_id long, url string, html string")
     assert [(r.declared, r.host, r.suffix) for r in L.page_rows(odd).orderBy("id").collect()] == [(None, None, None), (None, None, None), ("de", "h.example", "example")]
+
+
+def test_every_language_gets_its_sample(spark):
+    # 600 rows of a hot language beside 30 of a rare one: as many rows of each, by the smallest hashes, copies counted once
+    data = [(i, f"the cat {i}", "en", None, None) for i in range(600)] * 2 + [(1000 + i, f"le chat {i}", "fr", None, None) for i in range(30)] + [(5000, "12", "en", None, None)]
+    rows = spark.createDataFrame(data, ROW)
+    for number, want in ((40, {"en": 20, "fr": 20}), (100, {"en": 50, "fr": 30})):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(L, "SAMPLE_ROWS", number)
+            got = L.sampled(rows.where("text <> '12'"), ["en", "fr"]).collect()
+        assert {x: sum(r.declared == x for r in got) for x in ("en", "fr")} == want and len({r.id for r in got}) == len(got)
+
+
+def test_a_share_too_small_for_a_million_still_gives_a_sample(spark, table, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 0)  # the share of a language of endless rows
+    rows = L.identify(L.document_rows(table("documents"))).collect()
+    lang = {r.doc_id: r.lang for r in table("documents").collect()}
+    assert sum(r.language == lang[r.id] for r in rows) >= 0.97 * len(rows)
+
+
+def test_a_language_without_letters_has_no_model(spark):
+    data = [(i, "the cat and the dog", "en", None, None) for i in range(20)] + [(50, "12", "fr", None, None), (51, None, "de", None, None), (52, "жук", None, None, None)]
+    assert {r.id: r.language for r in L.identify(spark.createDataFrame(data, ROW)).where("id >= 50").collect()} == {50: "und", 51: "und", 52: "en"}
+    with pytest.raises(ValueError):
+        L.TextModel(["en", "fr"], [("the cat", "en")])

@@ -3,8 +3,8 @@
 log posterior = log P(text | language) + log P(declared | language) + log P(language | host)
 
 The host prior is smoothed towards the prior of the host's suffix, that one towards the prior of all rows; the counts are grouped
-aggregations over all rows.  The text model is naive Bayes over the letter trigrams of words, fitted on a bounded sample of rows with a declared
-language.
+aggregations over all rows.  The text model is naive Bayes over the letter trigrams of words, fitted on a fixed number of rows of each declared
+language, those of the smallest hashes, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.base import Tables, map_texts
 
-SAMPLE_ROWS = 2_000        # rows the text model is fitted on, about
-SAMPLE_CHARS = 4_000       # of each, and no more: fitting only; scoring reads whole texts
+SAMPLE_ROWS = 2_000        # rows the text model is fitted on, in equal parts by language
+LEAST_ROWS = 20            # of each language, if it has as many
+SAMPLE_CHARS = 4_000       # of each from its first letter on, and no more: fitting only; scoring reads whole texts
 BINS = 1 << 16
 TRUST = 0.9                # probability that a declared language is right
 STRENGTH = 20.0            # rows that a smoothed prior weighs
 HOSTS_SENT = 100_000       # priors that are broadcast at most, under 200 bytes each
+LETTER = r"\p{L}"
 KEEP = 0.5                 # a document whose best language is less likely is rejected
 CHUNK = 400_000            # characters that are looked up at a time
 
@@ -58,6 +60,8 @@ class TextModel:
         counts = np.full((BINS, len(languages)), 0.1)
         for k, x in enumerate(languages):
             bins, _, _ = trigrams([t for t, lang in texts if lang == x])
+            if not len(bins):
+                raise ValueError(f"no sample of the declared language {x!r}")
             counts[:, k] += np.bincount(bins, minlength=BINS)
         self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -118,6 +122,18 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
 
 
+def sampled(lettered: DataFrame, languages: list[str]) -> DataFrame:
+    """(id, declared, text) of as many rows of each language, those of the smallest hashes; repeated rows count once."""
+    each = max(SAMPLE_ROWS // len(languages), LEAST_ROWS)
+    hashed = lettered.where(F.col("declared").isin(languages)).withColumn("hash", F.xxhash64("id", "text"))
+    ranked = hashed.select("declared", "hash").withColumn("rank", F.dense_rank().over(Window.partitionBy("declared").orderBy("hash")))
+    last = {r.declared: r.last for r in ranked.where(F.col("rank") <= each).groupBy("declared").agg(F.max("hash").alias("last")).collect()}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("declared"))
+    first = F.regexp_instr("text", F.lit(LETTER))
+    taken = hashed.where(F.col("hash") <= bound).select("id", "declared", F.substr("text", first, F.lit(SAMPLE_CHARS)).alias("text"))
+    return taken.distinct().orderBy("declared", "id", "text")
+
+
 def identify(rows: DataFrame) -> DataFrame:
     """(id, language, posterior, n_letter_words, declared, kept), one row per row of (id, text, declared, host, suffix).
 
@@ -127,19 +143,13 @@ def identify(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     tables = Tables(spark, "language")
-    counted = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count(F.when(F.col("text").isNotNull(), 1)).alias("n"))
-    counted = counted.orderBy(F.desc("n"), "declared").limit(100).collect()
+    lettered = rows.where(F.col("declared").isNotNull() & F.col("text").rlike(LETTER))  # only these can be told or learned from
+    counted = lettered.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(100).collect()
     languages = sorted(r.declared for r in counted)
     if not languages:
-        words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"))
+        words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LETTER + "+"))
         return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), words.cast("long").alias("n_letter_words"), "declared", F.lit(False).alias("kept"))
-    # one pass takes about as many rows of each language, by a hash of the row; repeated rows count once
-    share = F.lit(0)
-    for r in counted:
-        share = F.when(F.col("declared") == r.declared, int(1e6 * min(1, SAMPLE_ROWS / len(languages) / max(r.n, 1)))).otherwise(share)
-    taken = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share))
-    taken = taken.select("id", "declared", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("declared", "id", "text")
-    sample = [(r.text, r.declared) for r in taken.limit(4 * SAMPLE_ROWS).collect()]
+    sample = [(r.text, r.declared) for r in sampled(lettered, languages).collect()]
     sent = spark.sparkContext.broadcast(TextModel(languages, sample))
 
     def work(batches: Iterator[pd.DataFrame]):
