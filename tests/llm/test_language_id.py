@@ -96,3 +96,15 @@ def test_a_language_without_letters_has_no_model(spark):
     assert {r.id: r.language for r in L.identify(spark.createDataFrame(data, ROW)).where("id >= 50").collect()} == {50: "und", 51: "und", 52: "en"}
     with pytest.raises(ValueError):
         L.TextModel(["en", "fr"], [("the cat", "en")])
+
+
+@pytest.mark.parametrize("block", [256, 60])
+def test_more_than_a_hundred_languages(spark, monkeypatch, block):
+    # 130 languages, each of words of its own; the rarer ones come after the 100th by frequency
+    monkeypatch.setattr(L, "BLOCK", block)
+    word = lambda k, j: chr(0x4E00 + 40 * k + j) + chr(0x4E00 + 40 * k + j + 1)
+    data = [(100 * k + j, " ".join(word(k, (j + x) % 30) for x in range(20)), f"x{k:03d}", f"h{k % 7}", None) for k in range(130) for j in range(6 if k < 100 else 3)]
+    data += [(100 * k + 99, " ".join(word(k, x) for x in range(20)), None, None, None) for k in range(130)]
+    rows = L.identify(spark.createDataFrame(data, ROW)).collect()
+    assert len(rows) == len(data)
+    assert [r for r in rows if r.language != f"x{r.id // 100:03d}" or not r.kept] == []

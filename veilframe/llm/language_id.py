@@ -25,7 +25,8 @@ SAMPLE_CHARS = 4_000       # of each from its first letter on, and no more: fitt
 BINS = 1 << 16
 TRUST = 0.9                # probability that a declared language is right
 STRENGTH = 20.0            # rows that a smoothed prior weighs
-HOSTS_SENT = 100_000       # priors that are broadcast at most, under 200 bytes each
+PRIORS_SENT = 2_000_000    # numbers in the priors that are broadcast at most, 8 bytes each
+BLOCK = 256                # languages whose text model is held at a time, 256 KB each
 LETTER = r"\p{L}"
 KEEP = 0.5                 # a document whose best language is less likely is rejected
 CHUNK = 400_000            # characters that are looked up at a time
@@ -83,22 +84,23 @@ class TextModel:
 
 def host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(host, prior): log P(language | host), smoothed to the suffix and to all rows.  rows: (host, suffix, declared)."""
-    counts = [F.count(F.when(F.col("declared") == x, 1)).alias(f"n{i}") for i, x in enumerate(languages)]
-    ids = range(len(languages))
-    by_host = rows.groupBy("host", "suffix").agg(*counts)
-    by_suffix = by_host.groupBy("suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in ids])
-    whole = by_suffix.agg(*[F.sum(f"s{i}").alias(f"a{i}") for i in ids])  # one row
-
-    def smooth(own: str, prior: list[Column]) -> list[Column]:
-        total = sum((F.col(f"{own}{i}") for i in ids), F.lit(0.0))
-        return [(F.col(f"{own}{i}") + STRENGTH * prior[i]) / (total + STRENGTH) for i in ids]
-
-    flat = [F.lit(1.0 / len(languages))] * len(languages)
-    out = by_suffix.join(F.broadcast(whole)).withColumn("pa", F.array(*smooth("a", flat)))
-    out = out.withColumn("ps", F.array(*smooth("s", [F.get("pa", F.lit(i)) for i in ids]))).select(F.col("suffix").alias("own"), "ps")
+    hosts = rows.groupBy("host", "suffix", "declared").agg(F.count("*").alias("n"))
+    told = F.when(F.col("declared").isin(languages), F.struct("declared", "n"))
+    by_host = hosts.groupBy("host", "suffix").agg(F.map_from_entries(F.collect_list(told)).alias("n"))  # a null isn't collected
+    by_suffix = hosts.groupBy("suffix", "declared").agg(F.sum("n").alias("n"))
+    whole = by_suffix.groupBy("declared").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(told)).alias("a"))  # one row
+    by_suffix = by_suffix.groupBy("suffix").agg(F.map_from_entries(F.collect_list(told)).alias("s"))
+    names = F.array(*[F.lit(x) for x in languages])
+
+    def smooth(own: str, prior: Column) -> Column:
+        total = F.aggregate(F.map_values(own), F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(names, prior, lambda x, p: (F.coalesce(F.try_element_at(F.col(own), x), F.lit(0)) + STRENGTH * p) / (total + STRENGTH))
+
+    flat = F.array_repeat(F.lit(1.0 / len(languages)), len(languages))
+    out = by_suffix.join(F.broadcast(whole)).withColumn("pa", smooth("a", flat))
+    out = out.withColumn("ps", smooth("s", F.col("pa"))).select(F.col("suffix").alias("own"), "ps")
     out = by_host.join(out, F.col("suffix").eqNullSafe(F.col("own"))).drop("own")
-    prior = smooth("n", [F.get("ps", F.lit(i)) for i in ids])
-    return out.select("host", "suffix", F.array(*[F.log(p) for p in prior]).alias("prior"))
+    return out.select("host", "suffix", F.transform(smooth("n", F.col("ps")), lambda p: F.log(p)).alias("prior"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -144,35 +146,49 @@ def identify(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     tables = Tables(spark, "language")
     lettered = rows.where(F.col("declared").isNotNull() & F.col("text").rlike(LETTER))  # only these can be told or learned from
-    counted = lettered.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(100).collect()
+    counted = lettered.select("declared").distinct().collect()  # all of them, a name each
     languages = sorted(r.declared for r in counted)
     if not languages:
         words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LETTER + "+"))
         return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), words.cast("long").alias("n_letter_words"), "declared", F.lit(False).alias("kept"))
-    sample = [(r.text, r.declared) for r in sampled(lettered, languages).collect()]
-    sent = spark.sparkContext.broadcast(TextModel(languages, sample))
-
-    def work(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            likelihood, words = sent.value.scores(pdf["text"].tolist())
-            yield pdf.drop(columns="text").assign(likelihood=likelihood, n_letter_words=words)
-
-    scored = map_texts(
-        rows.select("id", "text", "declared", "host", "suffix"), work, "id long, declared string, host string, suffix string, likelihood array<double>, n_letter_words long")
+    learned = sampled(lettered, languages)
+    blocks = [languages[lo:lo + BLOCK] for lo in range(0, len(languages), BLOCK)]
+    if len(blocks) > 1:
+        learned = tables.save(learned, "sample")
+
+    def score(df: DataFrame, block: list[str], last: bool) -> DataFrame:
+        """The rows, their likelihoods followed by those of the block's languages; the last block's without their texts."""
+        sample = [(r.text, r.declared) for r in learned.where(F.col("declared").isin(block)).collect()]
+        sent = spark.sparkContext.broadcast(TextModel(block, sample))
+
+        def work(batches: Iterator[pd.DataFrame]):
+            for pdf in batches:
+                likelihood, words = sent.value.scores(pdf["text"].tolist())
+                if "likelihood" in pdf:
+                    likelihood = [[*a, *b] for a, b in zip(pdf["likelihood"], likelihood, strict=True)]
+                yield (pdf.drop(columns="text") if last else pdf).assign(likelihood=likelihood, n_letter_words=words)
+
+        return map_texts(df, work, ("" if last else "text string, ") + "id long, declared string, host string, suffix string, likelihood array<double>, n_letter_words long")
+
+    scored = rows.select("id", "text", "declared", "host", "suffix")
+    for k, block in enumerate(blocks):
+        scored = score(scored, block, block is blocks[-1])
+        if block is not blocks[-1]:  # one text model at a time in memory
+            scored = tables.save(scored, f"scored-{k}")
+            tables.drop(f"scored-{k - 1}")
     priors = tables.save(host_priors(rows, languages).withColumnRenamed("host", "h").withColumnRenamed("suffix", "s"), "priors")
-    small = priors.count() <= HOSTS_SENT
+    small = priors.count() * len(languages) <= PRIORS_SENT
     same = F.col("host").eqNullSafe(F.col("h")) & F.col("suffix").eqNullSafe(F.col("s"))
     joined = scored.join(F.broadcast(priors) if small else priors, same, "left")
     n = max(len(languages), 2)
-    parts = []
-    for i, x in enumerate(languages):
-        declared = F.when(F.col("declared").isNull() | ~F.col("declared").isin(languages), 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / (n - 1))))
-        parts.append(F.get("likelihood", F.lit(i)) + F.get("prior", F.lit(i)) + declared)
-    out = joined.withColumn("logs", F.array(*parts))
+    names = F.array(*[F.lit(x) for x in languages])
+    joined = joined.withColumn("at", F.coalesce(F.array_position(names, F.col("declared")), F.lit(0)))
+    right, wrong = float(np.log(TRUST)), float(np.log((1 - TRUST) / (n - 1)))
+    out = joined.withColumn("logs", F.transform(
+        F.zip_with("likelihood", "prior", lambda t, p: t + p), lambda x, i: x + F.when(F.col("at") == 0, 0.0).when(F.col("at") == i + 1, right).otherwise(wrong)))
     out = out.withColumn("top", F.array_max("logs"))
     weight = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     known = (F.col("n_letter_words") > 0) & F.col("top").isNotNull()
-    names = F.array(*[F.lit(x) for x in languages])
     best = F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int"))
     out = out.select("id", F.when(known, best).otherwise("und").alias("language"), F.when(known, 1 / weight).otherwise(0.0).alias("posterior"), "n_letter_words", "declared")
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("posterior") >= KEEP))
