@@ -75,3 +75,31 @@ def test_schema_errors(value, schema, wrong):
 def test_topological_order_is_by_rank_among_the_ready():
     calls = {"a": ((3,), {"d"}), "b": ((1,), set()), "c": ((2,), {"a"}), "d": ((9,), {"gone"}), "e": ((0,), {"f"}), "f": ((5,), {"e"}), "g": ((4,), {"e"})}
     assert C.ordered(calls) == (["b", "d", "a", "c"], ["e", "g", "f"])
+
+
+def strings(value):
+    """All strings of a JSON value."""
+    if isinstance(value, dict | list):
+        return {x for v in (value.values() if isinstance(value, dict) else value) for x in strings(v)}
+    return {value} if isinstance(value, str) else set()
+
+
+def test_no_text_is_lost(spark):
+    broken = ['{"tool_call": {"id": "b", "name": "f", "arguments": {"x": 01}}}', '{"tool_result": {"id": "b", "content": "tab\there"}}']
+    texts = [("a", call("m", x=1)), ("tool", answer("m", "first")), ("tool", answer("m", "second")), ("a", call("m", x=77, after="again")), ("tool", answer("lost", "no call")),
+             ("a", broken[0]), ("tool", broken[1]), ("a", '{"tool_call": {"id": "n", "name": "f", "arguments": {"x": 1}, "note": "beside"}}'),
+             ("tool", '{"tool_result": {"id": "n", "content": 1, "content": 2}}'), ("user", "plain")]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(texts)]
+    row = C.format_chats(spark.createDataFrame(rows, ROW), SCHEMA).first()
+    got = json.loads(row.chat)
+    calls = {c["id"]: c for c in got["calls"]}
+    assert calls["m"] == {"id": "m", "name": "f", "arguments": {"x": 1}, "valid": True, "result": "first"}  # nothing to add where all is said
+    assert {t for _, t in texts[2:]} <= strings(got) and row.n_messages == len(texts)
+
+
+def test_no_turn_of_the_query_is_lost(spark):
+    rows = [(1, 0, "system", "rules"), (1, 1, "assistant", "after system"), (1, 2, "user", "question"), (1, 3, "assistant", "reply"), (1, 4, "assistant", "one more"),
+            (1, 5, "assistant", "and more"), (1, 6, "user", "left"), (1, 6, "user", "said twice"), (1, 7, "assistant", "x1"), (1, 7, "assistant", "x2"), (1, None, "assistant", "no turn")]
+    got = json.loads(C.format_chats(C.as_tool_log(spark.createDataFrame(rows, ROW)), C.SCHEMAS).first().chat)
+    found = strings(got) | {v for o in got["orphans"] for v in strings(json.loads(o["text"]))}
+    assert {r[3] for r in rows} <= found

@@ -38,6 +38,20 @@ def envelope(text: str, key: str) -> dict:
     return body if isinstance(body, dict) else {}
 
 
+def whole(text: str, key: str, call_id: str, fields: set[str]) -> bool:
+    """Whether the envelope's id and fields are all that the text says."""
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    try:
+        value = json.loads(text, object_pairs_hook=once)
+        return set(value) == {key} and set(value[key]) <= {"id", *fields} and value[key]["id"] == call_id and isinstance(value[key].get("name", ""), str)
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return False
+
+
 def errors(value, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a JSON value under a schema: type, enum, required, properties, items and bounds."""
     kind = schema.get("type")
@@ -118,7 +132,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     ``messages``: conv_id, turn, role, text; other columns are not read.  A message whose text is a JSON object with the one key
     "tool_call" ({id, name, arguments}) is a call, with "tool_result" ({id, content}) a result; any other is plain.  A
     call is linked to the first result of its id (by turn, then text); further results, results without a call, and repeated calls of an id
-    (the first by turn, then text, counts) stay unlinked and are listed as "orphans".  ``chat`` holds the plain messages by (turn, role, text) and the calls in topological order
+    (the first by turn, then text, counts) stay unlinked and are listed as "orphans" with their role and whole text.  A call or result that says more than
+    its fields, or that isn't quite JSON, keeps its whole text too ("text", "result_text").  ``chat`` holds the plain messages by (turn, role, text) and the calls in topological order
     of the results that they use, those on a cycle last.  Null turns come first, null texts are empty, a message without conv_id is a
     conversation of its own.  Repeated rows are one message.  An empty table gives no rows.  A conversation is one string, so it
     must fit into a task.
@@ -153,11 +168,15 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             wrong = ["$: not JSON"] if not body else errors(arguments, schemas[name]) if name in schemas else ["$: unknown tool"]
             bad += bool(wrong)
             entries[r.call_id] = {"id": r.call_id, "name": name, "arguments": arguments, "valid": not wrong} | ({"errors": wrong} if wrong else {})
+            if not whole(r.text, CALL, r.call_id, {"name", "arguments"}):
+                entries[r.call_id]["text"] = r.text
             calls[r.call_id] = (place(r.turn, r.text, r.role), uses(arguments))
             counted.add(("call", *calls[r.call_id][0]))
             if r.result is not None:
                 counted.add(("result", *place(r.result["turn"], r.result["text"], r.result["role"])))
                 entries[r.call_id]["result"] = envelope(r.result["text"], RESULT).get("content")
+                if not whole(r.result["text"], RESULT, r.call_id, {"content"}):
+                    entries[r.call_id]["result_text"] = r.result["text"]
         plain, orphans, total = [], [], {"plain": 0, "call": 0, "result": 0}
         for r in sorted(messages, key=lambda r: (*place(r.turn, r.role, r.text), str(r.call_id))):
             at = place(r.turn, r.text, r.role)
@@ -165,12 +184,12 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             if r.kind == "plain":
                 plain.append({"role": r.role, "content": r.text})
             elif (r.kind, *at) not in counted:
-                orphans.append({"kind": r.kind, "id": r.call_id, "turn": at[0]})
+                orphans.append({"kind": r.kind, "id": r.call_id, "turn": at[0], "role": r.role, "text": r.text})
         done, cyclic = ordered(calls)
-        whole = {"messages": plain, "calls": [entries[k] for k in [*done, *cyclic]]} | ({"orphans": orphans} if orphans else {})
+        written = {"messages": plain, "calls": [entries[k] for k in [*done, *cyclic]]} | ({"orphans": orphans} if orphans else {})
         linked = sum("result" in e for e in entries.values())
         return pd.DataFrame({"conv_id": pd.array([messages[0].conv_id], "Int64"), "n_messages": sum(total.values()), "n_calls": total["call"], "n_results": total["result"],
-                             "n_linked": linked, "n_invalid": bad, "n_cyclic": len(cyclic), "chat": canonical(whole)})
+                             "n_linked": linked, "n_invalid": bad, "n_cyclic": len(cyclic), "chat": canonical(written)})
 
     both = rest.withColumn("result", F.lit(None).cast(linked.schema["result"].dataType)).unionByName(linked.withColumn("conv_id", F.lit(None).cast("long")))
     return both.groupBy("key").applyInPandas(
