@@ -97,3 +97,10 @@ def test_estimate_is_near_the_similarity():
         assert abs(np.mean(found) - shared / (2 * n - shared)) < 0.03
     a, b = (N.registers(N.mix(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))) for _ in range(2))
     assert N.jaccard_estimate(a, b, np.array(5000), np.array(5000)) < 0.02
+
+
+def test_one_document_of_three_texts_joins_all_their_groups(make_docs):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = make_docs([(1, a), (2, b), (3, c), (5, a), (5, b), (5, c), (7, d), (8, d)])
+    got = {(r.doc_id, r.component_id) for r in N.near_duplicates(rows).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (7, 7), (8, 7)}

@@ -287,9 +287,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         found = labels.select(F.col("node").alias(key), F.col("component").alias(to))
         return ids.join(found, key, "left").withColumn(to, F.coalesce(F.col(to), F.col(key)))
 
-    # one document of several texts joins their classes
-    many = full.join(named.select("print", "rep"), "print").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    same = tables.save(many.where("a <> b").select("a", "b"), "same")
+    # one document of several texts joins all their classes to the smallest
+    held = full.join(named.select("print", "rep"), "print").select("doc_id", F.col("rep").alias("b"))
+    many = tables.save(held.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").drop("z"), "many")
+    same = tables.save(held.join(many, "doc_id").where("a <> b").select("a", "b").distinct(), "same") if not many.isEmpty() else many.select("a", F.col("a").alias("b"))
     best = tested.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
     near = texts(ends(tested), "near")
     links = tables.save(_verify(best, near, size, percent), "links-1").unionByName(same)
