@@ -56,3 +56,42 @@ b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length({_BARE.fo
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (word_chars - rest) <= 50 * word_chars AS kept FROM v
 """
+
+
+_FIELDS = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in [*_FIELDS, text]) + ")"
+
+
+def _level(k: int, keys: str, join: str) -> str:
+    """Nodes of level k + 1 from those of level k, and each leaf's way one level up; ``keys``: the columns that name a tree."""
+    return f"""
+run{k} AS (SELECT {keys} i // 8 AS p, list(h ORDER BY i) AS hs, max(n) AS n FROM node{k} GROUP BY {keys} i // 8),
+node{k + 1} AS (SELECT {keys} p AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 7) // 8 AS n FROM run{k}),
+way{k + 1} AS (SELECT w.* EXCLUDE (pos, h, proof), CASE WHEN r.n = 1 THEN w.pos ELSE w.pos // 8 END AS pos,
+    CASE WHEN r.n = 1 THEN w.h ELSE sha256(array_to_string(list_concat(hs[1:w.pos % 8], [w.h], hs[w.pos % 8 + 2:]), '')) END AS h,
+    CASE WHEN r.n = 1 THEN proof ELSE proof || array_to_string(list_concat(hs[1:w.pos % 8], hs[w.pos % 8 + 2:]), '') END AS proof
+    FROM way{k} w JOIN run{k} r ON r.p = w.pos // 8 {join}),"""
+
+
+_HEIGHT = 8   # levels of a language's tree written out here: up to 8**8 rows of a language, and 8**8 languages
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+#: Nodes level by level; beside them each leaf's way up, which gathers its siblings and folds the tampered leaf's digest with them.
+MERKLE = f"""
+WITH leaf AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS leaf, {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+    {_CRC32} % 3 = 0 AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+node0 AS (SELECT tree, pos AS i, leaf AS h, n FROM placed),
+way0 AS (SELECT doc_id, tree, leaf, pos, CASE WHEN tampered THEN other ELSE leaf END AS h, '' AS proof FROM placed),
+{"".join(_level(k, "tree,", "AND r.tree = w.tree") for k in range(_HEIGHT))}
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM node{_HEIGHT}),
+node{_HEIGHT + 1} AS (SELECT i, subroot AS h, n FROM sub),
+way{_HEIGHT + 1} AS (SELECT w.* EXCLUDE (pos), sub.subroot, sub.i AS pos FROM way{_HEIGHT} w JOIN sub USING (tree)),
+{"".join(_level(k, "", "") for k in range(_HEIGHT + 1, 2 * _HEIGHT + 1))}
+top AS (SELECT h AS root FROM node{2 * _HEIGHT + 1})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM way{2 * _HEIGHT + 1}, top
+"""

@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontaminate, language_id, line_rules, near_dedup, oracles, packing, quality, sharding, substring_dedup, toxicity
+from veilframe.llm import (
+    alignment,
+    chat,
+    decontaminate,
+    language_id,
+    line_rules,
+    merkle,
+    near_dedup,
+    oracles,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from veilframe.llm.base import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op1_near_dedup": oracles.NEAR_DEDUP, "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_line_rules": oracles.LINE_RULES}
+SQL: dict[str, str] = {"op1_near_dedup": oracles.NEAR_DEDUP, "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_line_rules": oracles.LINE_RULES, "op13_merkle_manifest": oracles.MERKLE}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +90,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.as_tool_log(_table(spark, sf_dir, "conversations")), chat.SCHEMAS)
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
