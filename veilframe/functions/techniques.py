@@ -93,8 +93,12 @@ def age_band(v: Column, unicode: bool = False) -> Column:
     """
     num = F.regexp_extract(v, unicode_pattern(_NUMBER, unicode), 1)
     whole = F.when(num != "", num.try_cast("double")).try_cast("bigint")
-    lower = whole - F.pmod(whole, F.lit(10))
-    band = F.concat(lower.cast("string"), F.lit("-"), (lower + 9).cast("string"))
+    def between(n: Column) -> Column:
+        lower = n - F.pmod(n, F.lit(10))
+        return F.concat(lower.cast("string"), F.lit("-"), (lower + 9).cast("string"))
+
+    # the first and last bands reach beyond a bigint
+    band = F.when(F.abs(whole.cast("double")) < 9e18, between(whole)).otherwise(between(whole.cast("decimal(20,0)")))
     return F.when(whole.isNull(), v).otherwise(band)
 
 

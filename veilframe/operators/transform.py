@@ -11,13 +11,14 @@ from dataclasses import dataclass, field
 import warnings
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.fakes import DEFAULT_LOCALE, SEED
 from veilframe.functions.techniques import technique_column
 from veilframe.functions.text import as_text, col
-from veilframe.operators import pseudo
+from veilframe.operators import lookup, pseudo, value_key
 from veilframe.operators.config import ColumnRule, as_rules
 from veilframe.session import spread
 
@@ -30,6 +31,7 @@ class Anonymized:
     skipped: list[ColumnRule] = field(default_factory=list)     # unknown technique / missing
     existing: DataFrame | None = None
     fake_args: dict = field(default_factory=dict)
+    value_key: DataFrame | None = None      # the written key where one fake serves all types
 
     @property
     def fake_columns(self) -> list[str]:
@@ -38,6 +40,8 @@ class Anonymized:
     @property
     def mapping(self) -> DataFrame:
         """K3: the key table of the Fake Data columns, from the input; nothing is computed before it is read."""
+        if self.value_key is not None:
+            return self.value_key
         return pseudo.build_mapping(self.source, [(r.column, r.pii_type) for r in self.applied if r.technique == FX.FAKE_DATA],
                                     self.existing, **self.fake_args)
 
@@ -45,13 +49,18 @@ class Anonymized:
 def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
               existing_mapping: DataFrame | None = None, unicode: bool = False,
               salt: Column | str | None = None, spread_input: bool = True,
-              locale: str = DEFAULT_LOCALE, seed: Column | str = SEED) -> Anonymized:
+              locale: str = DEFAULT_LOCALE, seed: Column | str = SEED, consistent: str = "type") -> Anonymized:
     """Every included, present column gets its technique.
 
+    ``consistent``: a value has one fake per type, a function of the value alone ("type"), or one fake in all Fake Data columns, in the
+    format of the first configured one that holds it ("value": the key is made and written first, and cells are joined with it).
+
     ``mode`` changes no value (it only gates the key export, K5).  Columns
     missing from ``df`` are skipped; unknown techniques warn and keep the
     column unchanged (P13).
     """
+    if consistent not in ("type", "value"):
+        raise ValueError(f"consistent is 'type' or 'value', not {consistent!r}")
     rules = [r for r in as_rules(config) if r.include]
     if spread_input:
         df = spread(df)      # no-op unless a small input sits in fewer files than task slots
@@ -60,13 +69,16 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     floats = {f.name: as_text(col(f.name), f.dataType) for f in df.schema.fields
               if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and any(r.column == f.name and r.technique in FX.TECHNIQUE_NAMES for r in rules)}
     texts = df.select(*[floats[c].alias(c) if c in floats else col(c) for c in df.columns]) if floats else df
-    exprs, applied, skipped = {}, [], []
+    exprs, applied, skipped, shared = {}, [], [], []
     for r in rules:
         if r.column not in df.columns:
             skipped.append(r)
             continue
         dtype = texts.schema[r.column].dataType
-        if r.technique == FX.FAKE_DATA:
+        if r.technique == FX.FAKE_DATA and consistent == "value":
+            shared.append((r.column, r.pii_type))
+            e = F.coalesce(col(f"__lk_{r.column}"), as_text(col(r.column), dtype))     # blank cells have no entry
+        elif r.technique == FX.FAKE_DATA:
             e = pseudo.fake_column(col(r.column), r.pii_type, dtype, **fake_args)
         else:
             e = technique_column(col(r.column), r.technique, r.pii_type, dtype, unicode=unicode, salt=salt)
@@ -76,8 +88,12 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
             continue
         exprs[r.column] = e
         applied.append(r)
+    key = None
+    if shared:
+        key = value_key.value_mapping(df, shared, existing_mapping, **fake_args)
+        texts = lookup.replace_values(texts, {c: pseudo.key_text(col(c), texts.schema[c].dataType) for c, _t in shared}, key, "original", "fake")
     out = texts.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]) if exprs else df
-    return Anonymized(out, df, applied, skipped, existing_mapping, fake_args)
+    return Anonymized(out, df, applied, skipped, existing_mapping, fake_args, key)
 
 
 def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) -> DataFrame:

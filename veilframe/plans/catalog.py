@@ -4,7 +4,6 @@ tables Spark derives from them) in full."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +22,12 @@ from veilframe.plans import job as J
 from veilframe.plans import oracle as O
 from veilframe.plans.people import (OPAQUE_NAMES, PEOPLE_COLUMNS, people_df, people_ip_header_df,
                                     people_opaque_df, people_opaque_sql, people_sql)
+from veilframe.plans.registry import QUERIES, SQL, register  # noqa: F401
 from veilframe.session import read_table, scratch_path, spread
 from veilframe.sources import files as S
 from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream, table_stream,
                                            wait, write_stream_files)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
 
 
 # ---------------------------------------------------------------------------
@@ -779,3 +768,6 @@ def stream_pseudonymize(spark, sf_dir):
                              f"{base}/out", f"{base}/key", f"{base}/checkpoint"))
     out = spark.read.parquet(f"{base}/out").select("event_id", "user_id", F.col("user_id").alias("restored"))
     return K.restore(out, K.read_key(spark, f"{base}/key"), ["restored"])
+
+
+from veilframe.plans import catalog_protect  # noqa: E402, F401 - registers its queries beside these

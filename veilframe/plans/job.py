@@ -50,13 +50,14 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
         key_column: str | None = None, now: datetime | None = None,
         in_format: str | None = None, multiline: bool = False, chosen: dict[str, str] | None = None,
         drop: tuple[str, ...] = (), unicode: bool = False, locale: str = DEFAULT_LOCALE,
-        salt_file: str | None = None, key_secret_file: str | None = None) -> RunResult:
+        salt_file: str | None = None, key_secret_file: str | None = None, consistent: str = "type") -> RunResult:
     """Process one table.  ``config`` (column rules) skips detection; else
     detection (+ manual columns and overrides) and ``profile`` decide, and
     ``chosen`` techniques win over both.  ``in_format`` ('csv' / 'parquet')
     defaults to the path's suffix; ``multiline`` reads CSV cells that hold newlines.
     ``drop`` removes columns (X3).  ``salt_file`` and ``key_secret_file`` name files whose first
-    line salts hashes (X1) and encrypts the key's originals (X5)."""
+    line salts hashes (X1) and encrypts the key's originals (X5).
+    ``consistent="value"`` gives a value one fake in all columns (its key is then written under spark.checkpoint.dir, whatever the mode)."""
     now = now or datetime.now()
     stamp = S.run_stamp(now)
     df = X.drop_columns(load(spark, input_path, in_format, multiline), list(drop))
@@ -69,7 +70,7 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
         config = CF.resolve(det, profile, chosen)
     rules = CF.as_rules(config)
     salt = X.secret_column(spark, salt_file) if salt_file else None
-    res = anonymize(df, rules, mode=mode, unicode=unicode, salt=salt, locale=locale)
+    res = anonymize(df, rules, mode=mode, unicode=unicode, salt=salt, locale=locale, consistent=consistent)
     obs = Observation("rows")
     out = res.df.observe(obs, F.count(F.lit(1)).alias("rows"))
     base = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]

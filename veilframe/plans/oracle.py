@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from veilframe.functions import fixed as FX
 from veilframe.functions import fakes as FK
+from veilframe.functions import formats as FM
 
 
 def q(s: str) -> str:
@@ -140,6 +141,66 @@ def fake_value(pii_type: str | None, original: str, locale: str = FK.DEFAULT_LOC
     return f"upper(substr({letters}, 1, 2)) || {two[0]} || '-' || upper(substr({letters}, 3, 2)) || {two[1]} || '-' || upper({letters})"
 
 
+# ---------------------------------------------------------------------------
+# K1 / K2 by value: rank by hash, permuted over the format's domain
+# ---------------------------------------------------------------------------
+
+def _case(values: dict, of: str = "pii_type") -> str:
+    return "CASE " + " ".join(f"WHEN {of} IS NOT DISTINCT FROM {q(t) if t else 'NULL'} THEN {v}" for t, v in values.items()) + " END"
+
+
+def _format_text(fmt: FM.Format, x: str) -> str:
+    below, texts = fmt.domain, []
+    for p in fmt.parts:
+        if isinstance(p, str):
+            texts.append(q(p))
+            continue
+        below //= p.radix
+        d = f"(({x} // {below}) % {p.radix})"
+        if isinstance(p, FM.Pick):
+            texts.append(f"({_list(list(p.pool))})[{d} + 1]")
+        elif isinstance(p, FM.Number):
+            texts.append(f"printf('%{f'0{p.width}' if p.width else ''}d', {d} + {p.low})")
+        elif isinstance(p, FM.Day):
+            texts.append(f"strftime(DATE {q(p.start)} + CAST({d} AS INTEGER), '%Y-%m-%d')")
+        else:
+            ten = f"'10.' || ({x} // 65536) || '.' || ({x} // 256 % 256) || '.' || ({x} % 256)"
+            y, z = f"({x} - 16777216)", f"({x} - 17825792)"
+            texts.append(f"CASE WHEN {x} < 16777216 THEN {ten} WHEN {x} < 17825792 THEN '172.' || (16 + {y} // 65536) || '.' || ({y} // 256 % 256) || '.' || ({y} % 256) "
+                         f"ELSE '192.168.' || ({z} // 256) || '.' || ({z} % 256) END")
+    text = " || ".join(f"({t})" for t in texts)
+    if not fmt.luhn:
+        return text
+    total = (f"list_sum(list_transform(range(1, 16), lambda i: CASE WHEN (15 - i) % 2 = 1 THEN CAST(substr({text}, i, 1) AS INTEGER) "
+             f"WHEN CAST(substr({text}, i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr({text}, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr({text}, i, 1) AS INTEGER) END))")
+    return f"({text}) || CAST((10 - CAST({total} AS BIGINT) % 10) % 10 AS VARCHAR)"
+
+
+def value_mapping(table_sql: str, columns: list[tuple[str, str | None]], locale: str = FK.DEFAULT_LOCALE) -> str:
+    """``(original, fake, pii_type, n)``: the first column that holds a value decides its type."""
+    cells = " UNION ALL ".join(f"SELECT {k} AS ord, {strip(c)} AS original FROM ({table_sql}) t WHERE NOT {blank(c)}" for k, (c, _t) in enumerate(columns))
+    types = "CASE ord " + " ".join(f"WHEN {k} THEN {q(t) if t else 'NULL'}" for k, (_c, t) in enumerate(columns)) + " END"
+    formats = {t: FM.format_of(t, locale) for t in dict.fromkeys(t for _c, t in columns)}
+    state = (f"SELECT original, n, pii_type, idx // domain AS laps, (idx % domain) // b AS l, (idx % domain) % b AS r, a, b FROM (SELECT *, "
+             f"{_case({t: f.domain for t, f in formats.items()})} AS domain, {_case({t: f.halves[0] for t, f in formats.items()})} AS a, "
+             f"{_case({t: f.halves[1] for t, f in formats.items()})} AS b FROM (SELECT original, n, pii_type, "
+             f"row_number() OVER (PARTITION BY pii_type ORDER BY sha256({q(FK.SEED)} || original)) - 1 AS idx FROM (SELECT original, n, {types} AS pii_type FROM "
+             f"(SELECT original, min(ord) AS ord, count(*) AS n FROM ({cells}) c GROUP BY original) f) g) i) j")
+    for k in range(FM.ROUNDS):
+        own, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        number = f"CAST('0x' || substr(sha256({q(FK.SEED)} || coalesce(pii_type, '') || '|{k}|' || {other}), 1, 13) AS BIGINT)"
+        state = f"SELECT * REPLACE (({own} + {number}) % {size} AS {own}) FROM ({state}) s{k}"
+    text = _case({t: _format_text(f, "x") for t, f in formats.items()})
+    return (f"SELECT original, {text} || CASE WHEN laps > 0 THEN '{FM.TAIL}' || laps ELSE '' END AS fake, pii_type, n "
+            f"FROM (SELECT *, l * b + r AS x FROM ({state}) s) y")
+
+
+def value_apply(table_sql: str, keep: list[str], columns: list[tuple[str, str | None]], locale: str = FK.DEFAULT_LOCALE) -> str:
+    joins = " ".join(f"LEFT JOIN m m{k} ON NOT {blank(f'p.{c}')} AND m{k}.original = {strip(f'p.{c}')}" for k, (c, _t) in enumerate(columns))
+    sel = [f"p.{c}" for c in keep] + [f"coalesce(m{k}.fake, p.{c}) AS {c}" for k, (c, _t) in enumerate(columns)]
+    return f"WITH m AS ({value_mapping(table_sql, columns, locale)}) SELECT {', '.join(sel)} FROM ({table_sql}) p {joins}"
+
+
 # ---------------------------------------------------------------------------
 # Detection (D2-D8) in SQL
 # ---------------------------------------------------------------------------
