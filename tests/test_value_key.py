@@ -111,9 +111,9 @@ def test_an_existing_key_is_continued(spark):
     assert K.collisions(both).isEmpty()
 
 
-def test_no_sort_in_one_task(spark):
+def test_no_sort_in_one_task(spark, tmp_out):
     p = people_df(spark, SF)
-    placed = V.dense_index(p.select(F.lit(1).alias("t"), F.sha2(F.col("k").cast("string"), 256).alias("h")), "t", "h")
+    placed = V.dense_index(p.select(F.lit(1).alias("t"), F.sha2(F.col("k").cast("string"), 256).alias("h")), "t", "h", f"{tmp_out}/index")
     rows = sorted(placed.collect(), key=lambda r: r.h)
     assert [r.idx for r in rows] == list(range(len(rows)))
     assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
@@ -142,3 +142,21 @@ def test_age_bands_at_both_ends(spark, v, band):
     got = spark.createDataFrame([(v,)], "v string").select(age_band(F.col("v"))).first()[0]
     # float('9223372036854775807') is 2**63, beyond a bigint: unchanged
     assert got in (band, v) if v == "9223372036854775807" else got == band
+
+
+@pytest.mark.parametrize("mode", [FX.MODE_ANONYMIZATION, FX.MODE_PSEUDONYMIZATION])
+def test_a_run_by_value_leaves_its_key_only_in_the_key_folder(spark, tmp_out, mode):
+    import glob
+    import os
+
+    from veilframe.plans.job import run
+    from veilframe.session import checkpoint_dir
+    df = spark.createDataFrame([("Jane Original", "Jane Original"), ("Tom Original", None)], "name string, alias string")
+    df.write.parquet(f"{tmp_out}/in.parquet")
+    out = run(spark, f"{tmp_out}/in.parquet", f"{tmp_out}/out", mode=mode, consistent="value",
+              config=[("name", FX.FULL_NAME, FX.FAKE_DATA), ("alias", FX.EMAIL, FX.FAKE_DATA)])
+    rows = spark.read.parquet(out.output).collect()
+    assert out.rows == 2 and rows[0]["name"] == rows[0]["alias"] or rows[1]["name"] == rows[1]["alias"]
+    shared = checkpoint_dir(spark).replace("file:", "")
+    held = [f for base in (shared, f"{tmp_out}/out") for f in glob.glob(f"{base}/**/*.parquet", recursive=True) if os.path.isfile(f) and b"Original" in open(f, "rb").read()]
+    assert all("pseudo_key" in f for f in held) and bool(held) == (mode == FX.MODE_PSEUDONYMIZATION)

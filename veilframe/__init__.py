@@ -19,6 +19,7 @@ from veilframe.operators.detect import detect, detect_headers, detect_values, sp
 from veilframe.operators.joins import skew_join  # noqa: F401
 from veilframe.operators.pseudo import (build_mapping, collisions, hash_link, read_key,  # noqa: F401
                                         restore, write_key)
+from veilframe.operators.spans import protect_spans, span_mapping, span_table  # noqa: F401
 from veilframe.operators.transform import anonymize, config_errors, preview  # noqa: F401
 from veilframe.operators.value_key import domain_use, value_mapping  # noqa: F401
 from veilframe.plans.job import run  # noqa: F401

@@ -20,7 +20,7 @@ from veilframe.functions.techniques import technique_column
 from veilframe.functions.text import as_text, col
 from veilframe.operators import lookup, pseudo, value_key
 from veilframe.operators.config import ColumnRule, as_rules
-from veilframe.session import spread
+from veilframe.session import scratch_path, spread
 
 
 @dataclass
@@ -32,6 +32,7 @@ class Anonymized:
     existing: DataFrame | None = None
     fake_args: dict = field(default_factory=dict)
     value_key: DataFrame | None = None      # the written key where one fake serves all types
+    key_folder: str | None = None
 
     @property
     def fake_columns(self) -> list[str]:
@@ -88,12 +89,13 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
             continue
         exprs[r.column] = e
         applied.append(r)
-    key = None
+    key = folder = None
     if shared:
-        key = value_key.value_mapping(df, shared, existing_mapping, **fake_args)
+        folder = scratch_path(df.sparkSession, "value-key")
+        key = value_key.value_mapping(df, shared, existing_mapping, **fake_args, folder=folder)
         texts = lookup.replace_values(texts, {c: pseudo.key_text(col(c), texts.schema[c].dataType) for c, _t in shared}, key, "original", "fake")
     out = texts.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns]) if exprs else df
-    return Anonymized(out, df, applied, skipped, existing_mapping, fake_args, key)
+    return Anonymized(out, df, applied, skipped, existing_mapping, fake_args, key, folder)
 
 
 def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) -> DataFrame:

@@ -11,7 +11,7 @@ default of ``anonymize`` (``consistent="type"``) needs no join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
@@ -22,20 +22,24 @@ from veilframe.operators.pseudo import MAPPING_SCHEMA, key_text
 from veilframe.session import scratch_path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a table in the shared folder: read many times, made once."""
-    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dense_index(rows: DataFrame, group: str, order: str, name: str = "idx") -> DataFrame:
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dense_index(rows: DataFrame, group: str, order: str, path: str, name: str = "idx") -> DataFrame:
     """``rows`` with each row's rank (from 0) by ``order`` among the rows of its ``group``; (group, order) is unique.
 
-    ``rows`` is range-partitioned and written once, so partitions keep their rows.  The starts have one row per partition and group that it holds: at most
+    ``rows`` is range-partitioned and written once (to ``path``), so partitions keep their rows.  The starts have one row per partition and group that it holds: at most
     the partitions plus the groups, and a caller's groups are few.
     """
-    dealt = saved(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()), "index")
+    dealt = saved(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()), path)
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__rows")) \
         .select(group, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
@@ -45,8 +49,9 @@ def dense_index(rows: DataFrame, group: str, order: str, name: str = "idx") -> D
 
 
 def value_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing: DataFrame | None = None,
-                  locale: str = DEFAULT_LOCALE, seed: Column | str = SEED) -> DataFrame:
-    """The key table ``(original, fake, pii_type, n)`` with one row per value; written, so reading it again runs nothing.
+                  locale: str = DEFAULT_LOCALE, seed: Column | str = SEED, folder: str | None = None) -> DataFrame:
+    """The key table ``(original, fake, pii_type, n)`` with one row per value; written under ``folder`` (one in the shared folder unless given), so
+    reading it again runs nothing.
 
     ``columns``: (column, type) in the order of the configuration.  ``n`` counts the cells that hold the value.  ``existing`` (an earlier key of this
     kind, of the same seed and locale) keeps its fakes; new values continue each type's index behind its entries.
@@ -54,6 +59,8 @@ def value_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing
     if not columns:
         empty = df.sparkSession.createDataFrame([], MAPPING_SCHEMA)
         return empty if existing is None else existing.select("original", "fake", "pii_type", "n")
+    spark = df.sparkSession
+    folder = folder or scratch_path(spark, "value-key")
     types = list(dict.fromkeys(t for _c, t in columns))
     cells = [F.struct(F.lit(k).alias("_at"), key_text(col(c), df.schema[c].dataType).alias("original")) for k, (c, _t) in enumerate(columns)]
     found = df.select(F.inline(F.array(*cells))).where(F.col("original").isNotNull()) \
@@ -62,12 +69,12 @@ def value_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing
     found = found.select("original", which.alias("_t"), "n")
     known = None
     if existing is not None:
-        found = saved(found, "values")
+        found = saved(found, f"{folder}/values")
         known = existing.select("original", "fake", "pii_type", "n")
         fresh = found.join(known.select("original"), "original", "left_anti")
     else:
         fresh = found
-    placed = dense_index(fresh.withColumn("_h", fake_hash(F.col("original"), seed)), "_t", "_h")
+    placed = dense_index(fresh.withColumn("_h", fake_hash(F.col("original"), seed)), "_t", "_h", f"{folder}/index")
     name = F.element_at(F.array(*[F.lit(t).cast("string") for t in types]), F.col("_t") + 1)
     index = F.col("idx")
     if known is not None:
@@ -79,7 +86,10 @@ def value_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing
     if known is not None:
         again = known.join(found.select("original", F.col("n").alias("_more")), "original", "left")
         made = again.select("original", "fake", "pii_type", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n")).unionByName(made)
-    return saved(made, "value-key")
+    made = saved(made, f"{folder}/key")
+    for part in ("values", "index"):
+        drop_folder(spark, f"{folder}/{part}")
+    return made
 
 
 def domain_use(mapping: DataFrame, locale: str = DEFAULT_LOCALE) -> DataFrame:

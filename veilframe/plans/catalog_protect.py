@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import fixed as FX
 from veilframe.functions import formats as FM
 from veilframe.operators import pseudo as K
+from veilframe.operators import spans as P
 from veilframe.operators import value_key as V
 from veilframe.operators.transform import anonymize
 from veilframe.plans import oracle as O
@@ -89,3 +90,37 @@ def pseudonymize_orders_by_value(spark, sf_dir):
 def restore_by_value(spark, sf_dir):
     res = by_value(contacts_df(spark, sf_dir), CONTACTS)
     return K.restore(res.df, res.mapping, [c for c, _t in CONTACTS]).select("k", *[c for c, _t in CONTACTS])
+
+
+# ---------------------------------------------------------------------------
+# A technique per span
+# ---------------------------------------------------------------------------
+
+TYPE_NAMES = [r[1] for r in FX.PII_RULES]
+SPAN_CONFIG = {FX.EMAIL: FX.MASKING, FX.PHONE: FX.MASKING, FX.CNIC: FX.HASHING, FX.FULL_NAME: FX.FAKE_DATA, FX.DOB: FX.GENERALIZATION,
+               FX.ADDRESS: FX.GENERALIZATION, FX.IP_ADDRESS: FX.GENERALIZATION, FX.CREDIT_CARD: FX.MASKING, FX.STUDENT_ID: FX.HASHING, FX.AGE: FX.REDACTION}
+#: Without phone numbers, which shadow card numbers.
+CARD_CONFIG = {FX.EMAIL: FX.FAKE_DATA, FX.CREDIT_CARD: FX.MASKING, FX.IP_ADDRESS: FX.FAKE_DATA, FX.DOB: FX.NULL_DELETION}
+
+
+@register("text_spans", f"{O.taken_spans('documents', 'doc_id', 'text', TYPE_NAMES)} "
+                        f'SELECT doc_id, first AS start, CAST(last AS INTEGER) AS "end", pii_type, value FROM taken')
+def text_spans(spark, sf_dir):
+    return P.span_table(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+@register("text_protected", O.protected_text("documents", "doc_id", "text", SPAN_CONFIG))
+def text_protected(spark, sf_dir):
+    return P.protect_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", SPAN_CONFIG)
+
+
+@register("text_protected_pages", O.protected_text("pages", "page_id", "html", CARD_CONFIG))
+def text_protected_pages(spark, sf_dir):
+    return P.protect_spans(read_table(spark, sf_dir, "pages").select("page_id", "html"), "html", CARD_CONFIG)
+
+
+@register("text_span_key", f"{O.taken_spans('documents', 'doc_id', 'text', TYPE_NAMES)} "
+                           f"SELECT original, {O.fake_value(FX.FULL_NAME, 'original')} AS fake, pii_type, count(*) AS n "
+                           f"FROM (SELECT {O.strip('value')} AS original, pii_type FROM taken WHERE pii_type = {O.q(FX.FULL_NAME)}) x GROUP BY ALL")
+def text_span_key(spark, sf_dir):
+    return P.span_mapping(read_table(spark, sf_dir, "documents"), "text", SPAN_CONFIG)

@@ -25,6 +25,7 @@ from veilframe.operators import detect as D
 from veilframe.operators import privacy as X
 from veilframe.operators import pseudo as K
 from veilframe.operators.transform import anonymize
+from veilframe.operators.value_key import drop_folder
 from veilframe.sources import files as S
 
 
@@ -57,7 +58,8 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
     defaults to the path's suffix; ``multiline`` reads CSV cells that hold newlines.
     ``drop`` removes columns (X3).  ``salt_file`` and ``key_secret_file`` name files whose first
     line salts hashes (X1) and encrypts the key's originals (X5).
-    ``consistent="value"`` gives a value one fake in all columns (its key is then written under spark.checkpoint.dir, whatever the mode)."""
+    ``consistent="value"`` gives a value one fake in all columns ; the key that this needs is
+    deleted from spark.checkpoint.dir when the run's tables are written."""
     now = now or datetime.now()
     stamp = S.run_stamp(now)
     df = X.drop_columns(load(spark, input_path, in_format, multiline), list(drop))
@@ -87,6 +89,9 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
         secret = X.secret_column(spark, key_secret_file) if key_secret_file else None
         K.write_key(res.mapping, key_path, input_path, [r.column for r in rules if r.include], res.fake_columns, now, secret)
 
+    if res.key_folder:
+        drop_folder(spark, res.key_folder)
+
     run_id = f"run-{stamp}"
     audit_path = f"{output_dir.rstrip('/')}/audit_{stamp}"
     counted = spark.createDataFrame([(rows,)], "rows bigint")

@@ -269,3 +269,36 @@ def profiles_values() -> str:
             rows.append(f"({q(name)}, {q(t)}, {q(tech)}, {'TRUE' if t in prio else 'FALSE'})")
     return ("SELECT * FROM (VALUES " + ", ".join(rows) +
             ") p(profile, pii_type, technique, priority)")
+
+
+# ---------------------------------------------------------------------------
+# P16 in SQL: candidates of every rule, taken rank by rank
+# ---------------------------------------------------------------------------
+
+def taken_spans(table: str, key: str, text: str, types: list[str]) -> str:
+    """CTEs that end in ``taken`` (key, rank, pii_type, first, last, value), positions in characters from 0."""
+    parts, before = [f"texts AS (SELECT {key}, {text} AS v FROM {table})"], ""
+    for r in FX.PII_RULES:
+        if r[1] not in types:
+            continue
+        gaps, hits = f"string_split_regex(v, {q(r[3])})", f"regexp_extract_all(v, {q(r[3])}, 0)"
+        found = (f"SELECT {key}, {r[0]} AS rank, {q(r[1])} AS pii_type, m[i] AS value, "
+                 f"CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS first "
+                 f"FROM (SELECT {key}, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key}, {hits} AS m, {gaps} AS g FROM texts WHERE v IS NOT NULL) a) b")
+        own = f"SELECT *, first + length(value) AS last FROM ({found}) f"
+        if before:
+            own = f"SELECT * FROM ({own}) c WHERE NOT EXISTS (SELECT 1 FROM {before} t WHERE t.{key} = c.{key} AND t.first < c.last AND c.first < t.last)"
+            own = f"SELECT * FROM {before} UNION ALL ({own})"
+        before = f"taken{r[0]}"
+        parts.append(f"{before} AS MATERIALIZED ({own})")
+    return "WITH " + ", ".join(parts) + f", taken AS (SELECT * FROM {before})"
+
+
+def protected_text(table: str, key: str, text: str, config: dict[str, str]) -> str:
+    done = "CASE " + " ".join(
+        f"WHEN pii_type = {q(t)} THEN {fake_value(t, strip('value')) if tech == FX.FAKE_DATA else technique('value', tech, t)}" for t, tech in config.items()) + " END"
+    return (f"{taken_spans(table, key, text, list(config))}, "
+            f"piece AS (SELECT {key}, first, last, substr(v, gap + 1, first - gap) || {done} AS p FROM "
+            f"(SELECT t.*, v, coalesce(lag(last) OVER (PARTITION BY {key} ORDER BY first), 0) AS gap FROM taken t JOIN texts USING ({key})) s), "
+            f"whole AS (SELECT {key}, string_agg(p, '' ORDER BY first) AS p, max(last) AS last FROM piece GROUP BY {key}) "
+            f"SELECT texts.{key}, CASE WHEN p IS NULL THEN v ELSE p || substr(v, last + 1) END AS {text} FROM texts LEFT JOIN whole USING ({key})")
