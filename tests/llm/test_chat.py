@@ -103,3 +103,29 @@ def test_no_turn_of_the_query_is_lost(spark):
     got = json.loads(C.format_chats(C.as_tool_log(spark.createDataFrame(rows, ROW)), C.SCHEMAS).first().chat)
     found = strings(got) | {v for o in got["orphans"] for v in strings(json.loads(o["text"]))}
     assert {r[3] for r in rows} <= found
+
+
+def test_values_that_are_no_json_are_kept_as_text(spark):
+    def strict(text):
+        return json.loads(text, parse_constant=lambda x: pytest.fail(x))
+
+    deep = lambda n: '{"tool_call": {"id": "k", "name": "f", "arguments": ' + "[" * n + "]" * n + "}}"
+    texts = [deep(990), deep(100_000), '{"tool_call": {"id": "k", "name": "f", "arguments": {"x": "\\ud800"}}}', '{"tool_call": {"id": "k", "name": "f", "arguments": {"x": 1e999}}}',
+             '{"tool_call": {"id": "k", "name": "f", "arguments": {"x": NaN}}}', '{"tool_call": {"id": "k", "name": "f", "arguments": {"x": -Infinity}}}']
+    rows = [(k, 0, "a", t) for k, t in enumerate(texts)] + [(k, 1, "tool", '{"tool_result": {"id": "k", "content": 1e999}}') for k in range(len(texts))]
+    got = {r.conv_id: strict(r.chat) for r in C.format_chats(spark.createDataFrame(rows, ROW), SCHEMA).collect()}
+    for k, t in enumerate(texts):
+        held = got[k]["calls"] + got[k].get("orphans", []) + [{"text": m["content"]} for m in got[k]["messages"]]
+        assert any(c.get("text") == t for c in held), k
+        assert all(c["errors"] == ["$: not JSON"] and not c["valid"] for c in got[k]["calls"])
+
+
+def test_lists_of_types_and_unknown_keywords(spark):
+    schema = {"type": "object", "properties": {"x": {"type": ["integer", "null"]}, "y": {"type": "array", "items": {"type": ["string", "boolean"]}}}}
+    assert C.errors({"x": None, "y": ["a", True]}, schema) == []
+    assert C.errors({"x": "1", "y": [1]}, schema) == ["$.x: not integer or null", "$.y[0]: not string or boolean"]
+    C.check_schema(schema)
+    for bad in ({"pattern": "a"}, {"properties": {"x": {"const": 1}}}, {"items": {"anyOf": []}}, {"type": "date"}, {"exclusiveMinimum": 1}, {"additionalProperties": {}}):
+        with pytest.raises(ValueError):
+            C.format_chats(spark.createDataFrame([], ROW), {"f": bad})
+    assert C.uses({"a": ["${m}", {"b": "${n}"}], "c": "no ${o}"}) == {"m", "n"}

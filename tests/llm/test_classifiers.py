@@ -88,3 +88,13 @@ def test_line_features_see_each_line():
     f, length, at = Q.line_features(["Good line here.\n\nA | B | C\n A | B | C", None, "x"])
     assert at.tolist() == [0, 3, 3, 4] and length.tolist() == [15, 9, 9, 1]
     assert f[0, 2] == 1 and f[1, 5] > 0 and f[2, 10] == f[1, 10] == 1 and f[0, 10] == 0
+
+
+def test_the_sample_does_not_depend_on_partitions(spark, make_docs):
+    from veilframe.llm.labelled import sample
+    rows = [(i % 40, f"text {i}") for i in range(200)] + [(3, "long " * 5000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, many = (sample(make_docs(rows).repartition(n), labels, "toxic", 20) for n in (1, 7))
+    assert one == many and len(one) == 20
+    whole = {t for _, t in rows}
+    assert all(t in whole for t, _ in one)

@@ -99,3 +99,32 @@ def test_candidates_of_each_length_at_the_full_share(n):
         _, starts, items = index.candidates(words_)
         found += bool(D.find(index, words_, starts, items, 0.2))
     assert found == 300 if n < D.SURE else found >= 0.99 * 300
+
+
+def plain_matches(item, text, edits):
+    """Best stretch first (of equal ones the leftmost), then on either side of it."""
+    if len(text) < len(item) - edits or not len(item):
+        return []
+    far = D._ends(item, text)
+    end = int(far.argmin())
+    if far[end] > edits:
+        return []
+    best = np.flatnonzero(D._ends(item[::-1], text[:end][::-1]) == far[end])
+    start = end - int(best[np.abs(best - len(item)).argmin()])
+    return [*plain_matches(item, text[:start], edits), (start, end, int(far[end])), *[(end + a, end + b, d) for a, b, d in plain_matches(item, text[end:], edits)]]
+
+
+def test_matches_equal_the_plain_recursion():
+    rng = random.Random(6)
+    for _ in range(400):
+        m = rng.randrange(1, 9)
+        item = np.array([rng.randrange(4) for _ in range(m)], np.uint64)
+        text = np.array([rng.randrange(4) for _ in range(rng.randrange(0, 60))], np.uint64)
+        edits = rng.randrange(0, max(1, (m + 2) // 3))
+        assert D.matches(item, text, edits) == plain_matches(item, text, edits)
+
+
+def test_an_item_thousands_of_times_in_a_row(spark, make_docs):
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    rows = D.contaminated(make_docs([(7, "one two three four five " * 20_000)]), bench).collect()
+    assert sorted((r.start_word, r.end_word, r.distance) for r in rows) == [(5 * k, 5 * k + 5, 0) for k in range(20_000)]

@@ -94,8 +94,8 @@ def test_a_share_too_small_for_a_million_still_gives_a_sample(spark, table, monk
 def test_a_language_without_letters_has_no_model(spark):
     data = [(i, "the cat and the dog", "en", None, None) for i in range(20)] + [(50, "12", "fr", None, None), (51, None, "de", None, None), (52, "жук", None, None, None)]
     assert {r.id: r.language for r in L.identify(spark.createDataFrame(data, ROW)).where("id >= 50").collect()} == {50: "und", 51: "und", 52: "en"}
-    with pytest.raises(ValueError):
-        L.TextModel(["en", "fr"], [("the cat", "en")])
+    flat = L.TextModel(["en", "fr"], [("a cat", "en"), ("12", "fr")])
+    assert len(set(flat.table[:, 1])) == 1 and len(set(flat.table[:, 0])) > 1
 
 
 @pytest.mark.parametrize("block", [256, 60])
@@ -108,3 +108,9 @@ def test_more_than_a_hundred_languages(spark, monkeypatch, block):
     rows = L.identify(spark.createDataFrame(data, ROW)).collect()
     assert len(rows) == len(data)
     assert [r for r in rows if r.language != f"x{r.id // 100:03d}" or not r.kept] == []
+
+
+def test_a_language_without_a_letter_trigram_of_its_own(spark):
+    data = [(i, "the cat and the dog", "en", None, None) for i in range(30)] + [(99, "😀" * 30 + "word", "xx", None, None), (98, "\U00010400" * 5, "yy", None, None)]
+    got = {r.id: r.language for r in L.identify(spark.createDataFrame(data, ROW)).collect()}
+    assert got[0] == "en" and len(got) == 32

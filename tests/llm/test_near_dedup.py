@@ -104,3 +104,19 @@ def test_one_document_of_three_texts_joins_all_their_groups(make_docs):
     rows = make_docs([(1, a), (2, b), (3, c), (5, a), (5, b), (5, c), (7, d), (8, d)])
     got = {(r.doc_id, r.component_id) for r in N.near_duplicates(rows).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (7, 7), (8, 7)}
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters that any polynomial hash modulo 2**64 takes for one from n = 11 on."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_are_told_apart(make_docs):
+    from veilframe.llm import substring_dedup
+    a, b = thue_morse(11)
+    rest = " ".join(f"w{i}" for i in range(19))
+    got = N.near_duplicates(make_docs([(1, a), (2, b)]), size=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+    cut = substring_dedup.remove_repeats(make_docs([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in cut) == [(1, 0), (2, 0), (3, 20)]

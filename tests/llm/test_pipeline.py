@@ -79,3 +79,27 @@ def test_stages_on_odd_rows(spark, small, make_docs):
         ids = sorted(str(r.doc_id) for r in out.collect())
         assert ids == {"language_id": ["1", "1", "None"], "near_dedup": ["1", "2", "3", "None"]}.get(name, ["1", "1", "2", "3", "None"])
         assert stage(spark, rows.limit(0), small).collect() == []
+
+
+def test_rows_without_an_id_are_judged_each(spark, small):
+    """A third of the rows without doc_id, one doc_id on many: near copies, repeats and benchmark items go all the same."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, 7).otherwise(F.col("doc_id")).cast("long"))
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    kept = [r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    stages = dict(P.STAGES)
+    now = stages["language_id"](spark, odd, small)
+    assert sorted(r.text for r in now.collect()) == sorted(kept)
+    now = stages["near_dedup"](spark, now, small)
+    left = [r.text for r in now.collect()]
+    groups = near(dict(enumerate(kept)), 5)
+    assert len(left) == len({c for _, c in groups.values()})
+    now = stages["substring_dedup"](spark, now, small)
+    assert not any(gone for _, gone, _ in repeats({i: r.text for i, r in enumerate(now.collect())}, 20).values())
+    before = {i: r.text for i, r in enumerate(now.collect())}
+    gone = {i for i, _ in leaks(before, items)}
+    after = stages["decontaminate"](spark, now, small)
+    assert gone and sorted(r.text for r in after.collect()) == sorted(t for i, t in before.items() if i not in gone)
+    again = sorted(str(tuple(r)) for r in stages["substring_dedup"](spark, stages["near_dedup"](spark, odd.repartition(5), small), small).collect())
+    assert again == sorted(str(tuple(r)) for r in stages["substring_dedup"](spark, stages["near_dedup"](spark, odd.repartition(3), small), small).collect())

@@ -55,3 +55,9 @@ def test_very_long_text(make_docs):
     text = " ".join(f"w{i}" for i in range(60_000)) + " " + "z" * 3_000_000
     got = S.remove_repeats(make_docs([(1, text), (2, text + " end")])).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_removed) for r in got] == [(60_001, 0), (60_002, 60_001)]
+
+
+def test_the_largest_id_stays_itself(make_docs):
+    top = 2 ** 63 - 1
+    got = S.remove_repeats(make_docs([(top, "a b c d"), (1, "a b c"), (None, "x a b c"), (top - 1, "a b c")]), 3).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == sorted([(str(top), 3), ("1", 0), ("None", 3), (str(top - 1), 3)])

@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -104,9 +105,6 @@ def map_texts(df: DataFrame, work, schema: str, rows: int = 256) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER = _SAME.copy()
-_LOWER[65:91] = _SAME[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 PIECE = 1 << 19
@@ -148,53 +146,44 @@ def _pieces(texts: list[bytes]):
         yield i, at, t[at:]
 
 
+class _Known(dict):
+    """XXH3 hashes of words; short ones are kept, up to ``MOST`` of them."""
+    MOST, LONGEST = 100_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_known = _Known()
+
+
 def word_hashes(texts: list[str | None], lower: bool, spans: bool = False):
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+``, and each document's first word (n + 1 offsets).
 
+    A word's hash is XXH3 of its bytes, so different words share one only by chance (2**-64 a pair), however they are built.
     With ``spans`` also the byte positions (start, end) of each word in its text's UTF-8.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    code = _LOWER if lower else _SAME
     counts = np.zeros(len(data) + 1, np.int64)
     found, starts_of, ends_of = [], [], []
-    batch: list[tuple[int, int, bytes]] = []
-    held = 0
-
-    def flush():
-        if not batch:
-            return
-        a = np.frombuffer(b"\n".join(p for _, _, p in batch) + b"\n", np.uint8)
-        space = _SPACE[a]
-        edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = powers(len(a) + 1)
-        total = np.empty(len(a) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(code[a] * up[: len(a)], out=total[1:])
-        h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        at = np.cumsum([0] + [len(p) + 1 for _, _, p in batch])
-        own = np.searchsorted(s, at)
-        for k, (i, shift, _) in enumerate(batch):
-            counts[i + 1] += own[k + 1] - own[k]
-            if spans:
-                starts_of.append(s[own[k]:own[k + 1]] - at[k] + shift)
-                ends_of.append(e[own[k]:own[k + 1]] - at[k] + shift)
-        found.append(h)
-        batch.clear()
-
-    for piece in _pieces(data):
-        if held + len(piece[2]) > PIECE:
-            flush()
-            held = 0
-        batch.append(piece)
-        held += len(piece[2]) + 1
-    flush()
-    hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-    offsets = np.cumsum(counts)
+    for i, at, piece in _pieces(data):
+        words = (piece.lower() if lower else piece).split()     # both know ASCII only
+        counts[i + 1] += len(words)
+        found.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+        if spans:
+            edge = np.diff(np.concatenate([[1], _SPACE[np.frombuffer(piece, np.uint8)].view(np.int8), [1]]))
+            starts_of.append(np.flatnonzero(edge == -1) + at)
+            ends_of.append(np.flatnonzero(edge == 1) + at)
+    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    hashes, offsets = join(found, np.uint64), np.cumsum(counts)
     if not spans:
         return hashes, offsets
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return hashes, offsets, join(starts_of), join(ends_of), data
+    return hashes, offsets, join(starts_of, np.int64), join(ends_of, np.int64), data
 
 
 EDGES = 200_000

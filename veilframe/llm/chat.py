@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 
 import pandas as pd
@@ -29,10 +30,54 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+DEEPEST = 200      # levels of a JSON value that is read; deeper ones are text
+KEYWORDS = {"type", "enum", "required", "properties", "additionalProperties", "items", "minLength", "maxLength", "minimum", "maximum", "title", "description", "default"}
+
+
+def parts(value):
+    """All values inside a JSON value with their levels, itself included; no recursion."""
+    stack = [(value, 0)]
+    while stack:
+        value, level = stack.pop()
+        yield value, level
+        if isinstance(value, dict):
+            stack += [(x, level + 1) for x in value.values()]
+            stack += [(x, level + 1) for x in value]
+        elif isinstance(value, list):
+            stack += [(x, level + 1) for x in value]
+
+
+def parsed(text: str, once: bool = False):
+    """The JSON value of a text.  ValueError for what can't be written as JSON again: numbers that aren't finite, lone surrogates, and values nested
+    deeper than ``DEEPEST`` levels; with ``once`` also for repeated keys."""
+    def refuse(word: str):
+        raise ValueError(f"{word} is no JSON number")
+
+    def number(word: str) -> float:
+        value = float(word)
+        return value if math.isfinite(value) else refuse(word)
+
+    def pairs(found):
+        if once and len({k for k, _ in found}) < len(found):
+            raise ValueError("repeated key")
+        return dict(found)
+
+    try:
+        value = json.loads(text, parse_constant=refuse, parse_float=number, object_pairs_hook=pairs)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    for part, level in parts(value):
+        if level > DEEPEST:
+            raise ValueError("nested too deep")
+        if isinstance(part, str):
+            part.encode("utf-8")        # UnicodeEncodeError is a ValueError
+    return value
+
+
 def envelope(text: str, key: str) -> dict:
     """What stands under the key; empty if the text is no such JSON after all."""
     try:
-        body = json.loads(text)[key]
+        body = parsed(text)[key]
     except (ValueError, TypeError, KeyError):
         return {}
     return body if isinstance(body, dict) else {}
@@ -40,23 +85,37 @@ def envelope(text: str, key: str) -> dict:
 
 def whole(text: str, key: str, call_id: str, fields: set[str]) -> bool:
     """Whether the envelope's id and fields are all that the text says."""
-    def once(pairs):
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("repeated key")
-        return dict(pairs)
-
     try:
-        value = json.loads(text, object_pairs_hook=once)
+        value = parsed(text, once=True)
         return set(value) == {key} and set(value[key]) <= {"id", *fields} and value[key]["id"] == call_id and isinstance(value[key].get("name", ""), str)
     except (ValueError, TypeError, KeyError, AttributeError):
         return False
 
 
+def check_schema(schema: dict) -> None:
+    """ValueError for a schema that says more than ``errors`` checks."""
+    stack = [schema]
+    while stack:
+        own = stack.pop()
+        if not isinstance(own, dict) or set(own) - KEYWORDS:
+            raise ValueError(f"schema with unknown keywords: {sorted(set(own) - KEYWORDS) if isinstance(own, dict) else own!r}")
+        kinds = own.get("type", [])
+        if unknown := {*([kinds] if isinstance(kinds, str) else kinds)} - set(_TYPES):
+            raise ValueError(f"schema with unknown types: {sorted(unknown)}")
+        if not isinstance(own.get("additionalProperties", True), bool):
+            raise ValueError("additionalProperties is true or false")
+        stack += [*own.get("properties", {}).values(), *([own["items"]] if "items" in own else [])]
+
+
+def _is(value, kind: str) -> bool:
+    return isinstance(value, _TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
 def errors(value, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a JSON value under a schema: type, enum, required, properties, items and bounds."""
+    """What is wrong with a JSON value (of ``DEEPEST`` levels at most) under a schema: type, enum, required, properties, items and bounds."""
     kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
-        return [f"{at}: not {kind}"]
+    if kind and not any(_is(value, k) for k in ([kind] if isinstance(kind, str) else kind)):
+        return [f"{at}: not {kind if isinstance(kind, str) else ' or '.join(kind)}"]
     found = []
     if "enum" in schema and value not in schema["enum"]:
         found.append(f"{at}: not in enum")
@@ -81,12 +140,8 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
 
 def uses(value) -> set[str]:
     """Ids of the calls whose results a call's arguments refer to, written "${id}"."""
-    if isinstance(value, str):
-        return set(_USES.findall(value))
-    if not isinstance(value, dict | list):
-        return set()
-    parts = value.values() if isinstance(value, dict) else value
-    return set().union(*[uses(x) for x in parts])
+    values = [x for x, _ in parts(value) if isinstance(x, str)]
+    return {name for x in values for name in _USES.findall(x)}
 
 
 def ordered(calls: dict[str, tuple[tuple, set[str]]]) -> tuple[list[str], list[str]]:
@@ -136,8 +191,11 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     its fields, or that isn't quite JSON, keeps its whole text too ("text", "result_text").  ``chat`` holds the plain messages by (turn, role, text) and the calls in topological order
     of the results that they use, those on a cycle last.  Null turns come first, null texts are empty, a message without conv_id is a
     conversation of its own.  Repeated rows are one message.  An empty table gives no rows.  A conversation is one string, so it
-    must fit into a task.
+    must fit into a task.  Envelopes that can't be written as JSON again (numbers that aren't finite, lone surrogates, more than ``DEEPEST`` levels) are
+    "not JSON" and keep their text.  A schema with keywords that aren't checked is refused (ValueError).
     """
+    for schema in schemas.values():
+        check_schema(schema)
     own = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                           F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     own = own.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("-"), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256))))

@@ -14,7 +14,9 @@ never shuffled and all their windows are looked up.
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -138,19 +140,37 @@ def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def matches(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
-    """Separate stretches (start, end, distance) of the text within ``edits`` of the item, best first on each side."""
+    """Separate stretches (start, end, distance) of the text within ``edits`` of the item: the best ones first, of equal ones the leftmost.
+
+    The distances are worked out once.  Taking a stretch changes only those of stretches that would reach into it from behind, so each hit costs a
+    stretch of the item's size, however many there are.
+    """
     if len(text) < len(item) - edits or len(item) == 0:
         return []
     if np.isin(item, text).sum() < len(item) - edits:
         return []
+    reach = len(item) + edits           # no stretch within the edits is longer
     far = _ends(item, text)
-    end = int(far.argmin())
-    if far[end] > edits:
-        return []
-    back = _ends(item[::-1], text[:end][::-1])
-    best = np.flatnonzero(back == far[end])
-    start = end - int(best[np.abs(best - len(item)).argmin()])
-    return [*matches(item, text[:start], edits), (start, end, int(far[end])), *[(end + a, end + b, d) for a, b, d in matches(item, text[end:], edits)]]
+    heap = [(int(far[j]), int(j)) for j in np.flatnonzero(far <= edits)]
+    heapq.heapify(heap)
+    starts, ends, distances = [], [], []        # of the stretches taken, in order
+    while heap:
+        distance, end = heapq.heappop(heap)
+        k = bisect_left(ends, end)
+        if distance != far[end] or (k < len(ends) and starts[k] < end):
+            continue
+        low = max(ends[k - 1] if k else 0, end - reach)
+        back = _ends(item[::-1], text[low:end][::-1])
+        best = np.flatnonzero(back == distance)
+        start = end - int(best[np.abs(best - len(item)).argmin()])
+        high = min(starts[k] if k < len(starts) else len(text), end + reach)
+        starts.insert(k, start)
+        ends.insert(k, end)
+        distances.insert(k, distance)
+        far[end + 1:high + 1] = _ends(item, text[end:high])[1:]
+        for j in np.flatnonzero(far[end + 1:high + 1] <= edits) + end + 1:
+            heapq.heappush(heap, (int(far[j]), int(j)))
+    return list(zip(starts, ends, distances, strict=True))
 
 
 def find(index: Index, words: np.ndarray, starts: np.ndarray, items: np.ndarray, share: float) -> list[tuple[int, int, int, int]]:

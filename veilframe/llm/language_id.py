@@ -21,7 +21,6 @@ from veilframe.llm.base import Tables, map_texts
 
 SAMPLE_ROWS = 2_000        # rows the text model is fitted on, in equal parts by language
 LEAST_ROWS = 20            # of each language, if it has as many
-SAMPLE_CHARS = 4_000       # of each from its first letter on, and no more: fitting only; scoring reads whole texts
 BINS = 1 << 16
 TRUST = 0.9                # probability that a declared language is right
 STRENGTH = 20.0            # rows that a smoothed prior weighs
@@ -61,9 +60,7 @@ class TextModel:
         counts = np.full((BINS, len(languages)), 0.1)
         for k, x in enumerate(languages):
             bins, _, _ = trigrams([t for t, lang in texts if lang == x])
-            if not len(bins):
-                raise ValueError(f"no sample of the declared language {x!r}")
-            counts[:, k] += np.bincount(bins, minlength=BINS)
+            counts[:, k] += np.bincount(bins, minlength=BINS)   # without a trigram the language's model stays flat
         self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     def scores(self, texts: list[str | None]) -> tuple[list[list[float]], list[int]]:
@@ -125,14 +122,13 @@ def suffix_of(host: Column) -> Column:
 
 
 def sampled(lettered: DataFrame, languages: list[str]) -> DataFrame:
-    """(id, declared, text) of as many rows of each language, those of the smallest hashes; repeated rows count once."""
+    """(id, declared, whole text) of as many rows of each language, those of the smallest hashes; repeated rows count once."""
     each = max(SAMPLE_ROWS // len(languages), LEAST_ROWS)
     hashed = lettered.where(F.col("declared").isin(languages)).withColumn("hash", F.xxhash64("id", "text"))
-    ranked = hashed.select("declared", "hash").withColumn("rank", F.dense_rank().over(Window.partitionBy("declared").orderBy("hash")))
+    ranked = hashed.select("declared", "hash").distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy("declared").orderBy("hash")))
     last = {r.declared: r.last for r in ranked.where(F.col("rank") <= each).groupBy("declared").agg(F.max("hash").alias("last")).collect()}
     bound = F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("declared"))
-    first = F.regexp_instr("text", F.lit(LETTER))
-    taken = hashed.where(F.col("hash") <= bound).select("id", "declared", F.substr("text", first, F.lit(SAMPLE_CHARS)).alias("text"))
+    taken = hashed.where(F.col("hash") <= bound).select("id", "declared", "text")
     return taken.distinct().orderBy("declared", "id", "text")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.base import map_texts, mix, word_hashes
 from veilframe.llm.labelled import held_out, sample
 
-SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 8_000
+SAMPLE_ROWS = 1_500     # labelled documents the model is fitted on, whole texts
 THRESHOLD = 0.7
 STEPS, RATE, RIDGE = 100, 0.3, 1e-3
 CHUNK = 2_000_000  # characters whose lines are laid out at a time
@@ -190,10 +190,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, t
     """(doc_id, held_out, score, predicted), one row per row of ``docs`` (doc_id, text; other columns are not read).
 
     ``score`` is 0 to 1, higher where ``labels`` (doc_id, quality) would rather say 1; whole texts are scored.  The model is fitted on at
-    most ``rows`` labelled documents outside the held-out fold, SAMPLE_CHARS characters of each.  A null or empty text has no
+    most ``rows`` labelled documents outside the held-out fold, whole texts.  A null or empty text has no
     lines and takes the lowest evidence.  With labels of one class, or none, all scores are alike.  An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels, "quality", rows, SAMPLE_CHARS)))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels, "quality", rows)))
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:

@@ -25,7 +25,7 @@ from veilframe.llm.base import map_texts, mix, powers, word_hashes
 
 WINDOW = 20
 CHUNK = 400_000                   # windows that one task sorts at a time
-NO_ID = np.iinfo(np.int64).max    # stands for a null doc_id, after all others
+NO_ID = np.iinfo(np.int64).max    # place of a null doc_id in the order of documents: that of the largest id
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -171,13 +171,13 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     Each word covered by a window of ``size`` words whose sequence also starts earlier (smaller doc_id, or same row,
     earlier start) is removed.  ``spans`` are the removed word intervals; ``text`` is the input without them, other white
     space kept.  A null text stays null and has no words.  Rows of equal doc_id don't remove each other's words.  A null
-    doc_id counts as larger than all others.  An empty table gives no rows.  ``slices`` of the hash
+    doc_id counts as the largest possible one (2**63 - 1).  An empty table gives no rows.  ``slices`` of the hash
     range, and a quarter as many buckets of documents, bound a task's memory: four times spark.sql.shuffle.partitions unless given.
     """
     spark = docs.sparkSession
     carry = carry or []
     slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"),
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"),
                         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     buckets = max(1, slices // 4)
     reports = _entries(keyed, size, slices, buckets).groupBy("slice").applyInPandas(_settle(buckets), "bucket int, docs binary, hashes binary")
@@ -187,14 +187,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
         for pdf in batches:
             rows = []
             words, at, s, e, data = word_hashes(pdf["text"].tolist(), lower=False, spans=True)
-            for k, (doc, text, blob) in enumerate(zip(pdf["doc_id"], pdf["text"], pdf["hashes"], strict=True)):
+            for k, (doc, no_id, text, blob) in enumerate(zip(pdf["doc_id"], pdf["no_id"], pdf["text"], pdf["hashes"], strict=True)):
                 own, own_s = words[at[k]:at[k + 1]], s[at[k]:at[k + 1]]
                 begin, end = _spans(own, size, np.empty(0, np.uint64) if blob is None else _unpack_sorted(blob))
                 if len(begin):
                     cut = np.concatenate([own_s, [len(data[k])]])
                     keep = zip(np.concatenate([[0], cut[end]]), np.concatenate([cut[begin], [len(data[k])]]), strict=True)
                     text = b"".join(data[k][x:y] for x, y in keep).decode("utf-8")
-                rows.append((None if doc == NO_ID else doc, len(own), int((end - begin).sum()),
+                rows.append((pd.NA if no_id else doc, len(own), int((end - begin).sum()),
                              [{"start": int(x), "end": int(y)} for x, y in zip(begin, end, strict=True)], text))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "text"]).astype({"doc_id": "Int64"}).assign(
                 **{c: pdf[c].array for c in carried})
@@ -202,5 +202,5 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     carried = [f"carried_{i}" for i in range(len(carry))]
     types = "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
     out = map_texts(
-        keyed.join(found, "doc_id", "left").select("doc_id", "text", "hashes", *carried), work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string" + types)
+        keyed.join(found, "doc_id", "left").select("doc_id", "no_id", "text", "hashes", *carried), work, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string" + types)
     return out.select("doc_id", "n_words", "n_removed", "spans", "text", *[F.col(c).alias(name) for c, name in zip(carried, carry, strict=True)])

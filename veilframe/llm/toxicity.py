@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.base import map_texts
 from veilframe.llm.labelled import held_out, sample
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 5_000
+SAMPLE_ROWS = 2_000     # labelled documents the model is fitted on, whole texts
 BUCKETS, SIZE = 1 << 18, 8
 GRAMS = (3, 4, 5, 6)
 BAG, STRIDE = 6, 3
@@ -164,10 +164,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     """(doc_id, held_out, score, predicted), one row per row of ``docs`` (doc_id, text; other columns are not read).
 
     ``score`` is 0 to 1, higher where ``labels`` (doc_id, toxic) would rather say 1; whole texts are scored.  The model is fitted on at most
-    ``rows`` labelled documents outside the held-out fold, SAMPLE_CHARS characters of each.  A null or empty text has no bag and takes
+    ``rows`` labelled documents outside the held-out fold, whole texts.  A null or empty text has no bag and takes
     the lowest evidence.  With labels of one class, or none, all scores are alike.  An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels, "toxic", rows, SAMPLE_CHARS)))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, labels, "toxic", rows)))
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
