@@ -146,39 +146,66 @@ def _pieces(texts: list[bytes]):
         yield i, at, t[at:]
 
 
-class _Known(dict):
-    """XXH3 hashes of words; short ones are kept, up to ``MOST`` of them."""
-    MOST, LONGEST = 100_000, 64
+LONG = 128         # bytes of a word that are hashed by blocks; longer words are hashed whole
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = found
-        return found
 
+def _hashed(data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in ``data``, which ends in 8 spare bytes.
 
-_known = _Known()
+    Blocks of 8 bytes go through a bijection one after the other, for all words at once, so words of up to 8 bytes that are equally long never share a hash,
+    and others do by chance alone (2**-64 a pair), however they are built.
+    """
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = mix(length.astype(np.uint64) * np.uint64(_BASE))
+    own = np.arange(len(start))
+    for k in range(0, LONG, 8):
+        own = own[length[own] > k]
+        if not len(own):
+            break
+        block = blocks[start[own] + k] & _MASK[np.minimum(length[own] - k, 8)]
+        h[own] = mix(h[own] ^ block) + np.uint64(_BASE)
+    for i in np.flatnonzero(length > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i]:start[i] + length[i]])
+    return h
 
 
 def word_hashes(texts: list[str | None], lower: bool, spans: bool = False):
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+``, and each document's first word (n + 1 offsets).
 
-    A word's hash is XXH3 of its bytes, so different words share one only by chance (2**-64 a pair), however they are built.
     With ``spans`` also the byte positions (start, end) of each word in its text's UTF-8.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     counts = np.zeros(len(data) + 1, np.int64)
     found, starts_of, ends_of = [], [], []
-    for i, at, piece in _pieces(data):
-        words = (piece.lower() if lower else piece).split()     # both know ASCII only
-        counts[i + 1] += len(words)
-        found.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
-        if spans:
-            edge = np.diff(np.concatenate([[1], _SPACE[np.frombuffer(piece, np.uint8)].view(np.int8), [1]]))
-            starts_of.append(np.flatnonzero(edge == -1) + at)
-            ends_of.append(np.flatnonzero(edge == 1) + at)
+    batch: list[tuple[int, int, bytes]] = []
+    held = 0
+
+    def flush():
+        if not batch:
+            return
+        whole = b"\n".join(p for _, _, p in batch) + b"\n" + bytes(8)
+        whole = whole.lower() if lower else whole       # of ASCII only
+        space = _SPACE[np.frombuffer(whole, np.uint8)[:-8]]
+        edge = np.diff(space.view(np.int8), prepend=np.int8(1))
+        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        at = np.cumsum([0] + [len(p) + 1 for _, _, p in batch])
+        own = np.searchsorted(s, at)
+        for k, (i, shift, _) in enumerate(batch):
+            counts[i + 1] += own[k + 1] - own[k]
+            if spans:
+                starts_of.append(s[own[k]:own[k + 1]] - at[k] + shift)
+                ends_of.append(e[own[k]:own[k + 1]] - at[k] + shift)
+        found.append(_hashed(whole, s, e - s))
+        batch.clear()
+
+    for piece in _pieces(data):
+        if held + len(piece[2]) > PIECE:
+            flush()
+            held = 0
+        batch.append(piece)
+        held += len(piece[2]) + 1
+    flush()
     join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
     hashes, offsets = join(found, np.uint64), np.cumsum(counts)
     if not spans:
