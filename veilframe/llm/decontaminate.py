@@ -91,6 +91,7 @@ class Index:
         words, at = word_hashes(texts, lower=True)
         self.ids = ids
         self.items = [words[at[i]:at[i + 1]] for i in range(len(ids))]
+        self.known = [np.unique(x, return_counts=True) for x in self.items]
         self.tables = {}
         used: dict[tuple, list[int]] = {}
         for i, x in enumerate(self.items):
@@ -139,7 +140,16 @@ def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
-def matches(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
+def present(known: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> int:
+    """How many words of an item, given as its sorted distinct words and their numbers, stand in the text."""
+    words, times = known
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    seen = np.zeros(len(words), bool)
+    seen[at[words[at] == text]] = True
+    return int(times[seen].sum())
+
+
+def matches(item: np.ndarray, text: np.ndarray, edits: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """Separate stretches (start, end, distance) of the text within ``edits`` of the item: the best ones first, of equal ones the leftmost.
 
     The distances are worked out once.  Taking a stretch changes only those of stretches that would reach into it from behind, so each hit costs a
@@ -147,7 +157,7 @@ def matches(item: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, i
     """
     if len(text) < len(item) - edits or len(item) == 0:
         return []
-    if np.isin(item, text).sum() < len(item) - edits:
+    if present(known or np.unique(item, return_counts=True), text) < len(item) - edits:
         return []
     reach = len(item) + edits           # no stretch within the edits is longer
     far = _ends(item, text)
@@ -187,7 +197,7 @@ def find(index: Index, words: np.ndarray, starts: np.ndarray, items: np.ndarray,
             hi += 1
         begin = max(0, int(starts[lo]) - edits)
         stretch = words[begin:max(0, int(starts[hi - 1]) + len(item) + edits)]
-        out += [(items[lo], begin + a, begin + b, d) for a, b, d in matches(item, stretch, edits)]
+        out += [(items[lo], begin + a, begin + b, d) for a, b, d in matches(item, stretch, edits, index.known[items[lo]])]
         lo = hi
     return out
 
