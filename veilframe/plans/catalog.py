@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import fakes as FK
 from veilframe.functions import fixed as FX
 from veilframe.functions.techniques import age_band, dob_year
+from veilframe.functions.text import as_text
 from veilframe.operators import audit as A
 from veilframe.operators import config as CF
 from veilframe.operators import detect as D
@@ -551,6 +552,35 @@ def csv_round_trip(spark, sf_dir):
     return S.read_csv(spark, path)
 
 
+@register("csv_quoted_newlines", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, NULLIF(lang, '') AS lang, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256
+FROM (SELECT doc_id, lang, NULLIF(text, '') AS text FROM documents) d""")
+def csv_quoted_newlines(spark, sf_dir):
+    path = scratch_path(spark, "csv-newlines")
+    S.write_csv(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    back = S.read_csv(spark, path, multiline=True, na_tokens=False)
+    return back.select("doc_id", "lang", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORDER_CELLS = ["CAST(o_orderkey AS STRING) AS orderkey", "CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS STRING) ELSE 'n/a' END AS custkey",
+               "CASE WHEN o_custkey % 2 = 0 THEN 'TRUE' ELSE 'false' END AS even", "concat('00', o_custkey) AS padded",
+               "CASE WHEN o_orderkey % 5 = 0 THEN '0.25' ELSE concat(o_custkey, 'e1') END AS ratio", "CASE WHEN o_orderkey % 3 = 0 THEN '12' ELSE o_orderpriority END AS mixed",
+               "concat('1000000000', lpad(CAST(o_custkey AS STRING), 10, '0')) AS serial"]
+
+
+@register("csv_column_types", """SELECT o_orderkey AS orderkey, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS VARCHAR) || '.0' AS custkey,
+ CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'False' END AS even, o_custkey AS padded,
+ CASE WHEN o_orderkey % 5 = 0 THEN '0.25' ELSE CAST(o_custkey * 10 AS VARCHAR) || '.0' END AS ratio,
+ CASE WHEN o_orderkey % 3 = 0 THEN '12' ELSE o_orderpriority END AS mixed,
+ '1000000000' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS serial FROM orders""")
+def csv_column_types(spark, sf_dir):
+    path = scratch_path(spark, "csv-types")
+    S.write_csv(read_table(spark, sf_dir, "orders").selectExpr(*ORDER_CELLS), path)
+    back = S.read_csv(spark, path, types="pandas")
+    floats = {f.name for f in back.schema.fields if f.dataType.typeName() == "double"}
+    return back.select(*[as_text(F.col(c), back.schema[c].dataType).alias(c) if c in floats else
+                         F.col(c).cast("string").alias(c) if c == "serial" else F.col(c) for c in back.columns])
+
+
 # ---------------------------------------------------------------------------
 # extensions
 # ---------------------------------------------------------------------------

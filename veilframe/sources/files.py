@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.text import col
+from veilframe.sources import column_types, csv_records
 
 # --- fixed values: text pandas' CSV reader turns into missing values ----------
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -27,13 +28,18 @@ CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "emptyValue"
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = False,
-             multiline: bool = False, na_tokens: bool = True) -> DataFrame:
-    """Header row, comma separated; all columns string unless
-    ``infer_types``.  ``multiline`` allows newlines inside quotes, but then a file
-    is one task however large, so it is off unless asked for."""
-    opts = dict(CSV_READ_OPTIONS, multiLine=str(multiline).lower(), inferSchema=str(infer_types).lower())
-    df = spark.read.options(**opts).csv(path)
-    return with_na_tokens(df) if na_tokens else df
+             multiline: bool = False, na_tokens: bool = True, types: str | None = None) -> DataFrame:
+    """Header row, comma separated; all columns string unless ``infer_types`` (Spark's inference) or
+    ``types="pandas"`` (``column_types``, a pass of its own).  ``multiline`` allows newlines inside quotes: files are split all
+    the same (``csv_records``, a pass of its own), but with ``infer_types`` a file is one task."""
+    if types not in (None, "pandas"):
+        raise ValueError(f"types is None or 'pandas', not {types!r}")
+    if multiline and not infer_types:
+        df = csv_records.read_records(spark, path, CSV_READ_OPTIONS)
+    else:
+        df = spark.read.options(**CSV_READ_OPTIONS, multiLine=str(multiline).lower(), inferSchema=str(infer_types).lower()).csv(path)
+    df = with_na_tokens(df) if na_tokens else df
+    return column_types.typed(df) if types else df
 
 
 def with_na_tokens(df: DataFrame, tokens: list[str] = NA_TOKENS) -> DataFrame:
