@@ -35,7 +35,7 @@ def test_audit_columns_and_summary(spark):
     s = A.audit_summary(df, "r1", "/x/in.csv", "/y/out.csv", FX.MODE_PSEUDONYMIZATION, "Healthcare",
                         cfg, "/z/key", dt.datetime(2026, 1, 1)).first()
     assert (s["rows"], s["cols_analysed"], s["cols_modified"], s["cols_skipped"], s["key"]) == (7, 2, 1, 1, "key")
-    assert s["reversible"] is True
+    assert s["reversible"] is True and s["note"] == A.REVERSIBLE_NOTE
 
 
 def test_change_counts(spark):

@@ -18,6 +18,15 @@ from veilframe.operators.transform import anonymize
 PROCESSED, SKIPPED = "PROCESSED", "SKIPPED"
 
 
+IRREVERSIBLE_NOTE = "No key was kept: the values that this run replaced cannot be brought back."
+REVERSIBLE_NOTE = "A key was kept: whoever holds it can bring the replaced values back, so store it away from the data."
+
+
+def mode_note(mode: str) -> str:
+    """A4: what the mode means for a reader of the audit."""
+    return REVERSIBLE_NOTE if reversible(mode) else IRREVERSIBLE_NOTE
+
+
 def reversible(mode: str) -> bool:
     """A4: whether a key is written that undoes the run's pseudonyms."""
     return mode == FX.MODE_PSEUDONYMIZATION
@@ -43,7 +52,8 @@ def audit_summary(rows: DataFrame, run_id: str, input_file: str, output_file: st
         F.lit(modified).cast("bigint").alias("cols_modified"),
         F.lit(len(rules) - modified).cast("bigint").alias("cols_skipped"),
         F.lit(os.path.basename(key_file) if key_file else None).cast("string").alias("key"),
-        F.lit(reversible(mode)).alias("reversible"))
+        F.lit(reversible(mode)).alias("reversible"),
+        F.lit(mode_note(mode)).alias("note"))
 
 
 def audit_columns(spark: SparkSession, run_id: str, config) -> DataFrame:

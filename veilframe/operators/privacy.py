@@ -31,6 +31,11 @@ def k_anonymity_summary(df: DataFrame, quasi_identifiers: list[str], k_min: int)
                        .alias("rows_below_k"))
 
 
+def k_histogram(df: DataFrame, quasi_identifiers: list[str]) -> DataFrame:
+    """How many classes, and rows in them, have each size ``k``."""
+    return k_anonymity(df, quasi_identifiers).groupBy("k").agg(F.count(F.lit(1)).alias("classes"), (F.col("k") * F.count(F.lit(1))).alias("rows"))
+
+
 def rows_below_k(df: DataFrame, quasi_identifiers: list[str], k_min: int) -> DataFrame:
     """The rows whose class is smaller than ``k_min``, with the class size ``k``.
 

@@ -379,7 +379,7 @@ def _expected_rules():
           f"CAST(count(*) AS BIGINT) AS rows, CAST({len(_expected_rules())} AS BIGINT) AS cols_analysed, "
           f"CAST({sum(1 for r in _expected_rules() if r[3])} AS BIGINT) AS cols_modified, "
           f"CAST({sum(1 for r in _expected_rules() if not r[3])} AS BIGINT) AS cols_skipped, "
-          f"CAST(NULL AS VARCHAR) AS key, FALSE AS reversible "
+          f"CAST(NULL AS VARCHAR) AS key, FALSE AS reversible, {O.q(A.IRREVERSIBLE_NOTE)} AS note "
           f"FROM ({people_sql()}) p")
 def audit_summary(spark, sf_dir):
     import datetime as _dt

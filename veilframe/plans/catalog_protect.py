@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 from veilframe.functions import formats as FM
+from veilframe.operators import boxes as B
+from veilframe.operators import privacy as X
 from veilframe.operators import pseudo as K
 from veilframe.operators import spans as P
 from veilframe.operators import value_key as V
@@ -124,3 +126,18 @@ def text_protected_pages(spark, sf_dir):
                            f"FROM (SELECT {O.strip('value')} AS original, pii_type FROM taken WHERE pii_type = {O.q(FX.FULL_NAME)}) x GROUP BY ALL")
 def text_span_key(spark, sf_dir):
     return P.span_mapping(read_table(spark, sf_dir, "documents"), "text", SPAN_CONFIG)
+
+
+# ---------------------------------------------------------------------------
+# Sizes of classes, and reaching k
+# ---------------------------------------------------------------------------
+
+@register("k_histogram", "SELECT k, count(*) AS classes, CAST(k * count(*) AS BIGINT) AS rows FROM "
+                         "(SELECT count(*) AS k FROM lineitem GROUP BY l_quantity, l_returnflag, l_linestatus, l_tax) c GROUP BY k")
+def k_histogram(spark, sf_dir):
+    return X.k_histogram(read_table(spark, sf_dir, "lineitem"), ["l_quantity", "l_returnflag", "l_linestatus", "l_tax"])
+
+
+@register("generalized_to_k")      # recursive cuts: held against brute force in the tests
+def generalized_to_k(spark, sf_dir):
+    return B.generalize_to_k(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey", "c_acctbal"], 5)
