@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
@@ -258,3 +259,38 @@ def test_stream_restart_is_exactly_once(spark, tmp_out):
     for _ in range(2):       # second start resumes from the checkpoint: nothing is re-emitted
         write_stream_files(anonymize_stream(table_stream(spark, SF, "events.parquet"), rules), out, ck)
     assert spark.read.parquet(out).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+@pytest.mark.parametrize("step", ["write_parquet", "write_key", "write_audit", "move_folder", "manifest"])
+def test_a_run_that_fails_leaves_nothing(spark, tmp_out, monkeypatch, step):
+    src, home = f"{tmp_out}/people.parquet", f"{tmp_out}/out"
+    people_df(spark, SF).limit(20).write.parquet(src)
+    rules = [("full_name", FX.FULL_NAME, FX.FAKE_DATA)]
+    owner = {"write_key": job.K, "move_folder": job}.get(step, job.S)
+    now = dt.datetime(2026, 1, 2, 3, 4, 5)
+
+    def broken(*a, **kw):
+        if step != "manifest":
+            if step != "move_folder" or "audit" in a[1]:        # the others are moved before
+                if step != "move_folder":
+                    real(*a, **kw)
+                raise OSError("lost")
+        return real(*a, **kw)
+
+    with monkeypatch.context() as m:
+        if step == "manifest":
+            m.setattr(job, "MANIFEST", "run_id int")
+        else:
+            real = getattr(owner, step)
+            m.setattr(owner, step, broken)
+        with pytest.raises(Exception):
+            job.run(spark, src, home, mode=FX.MODE_PSEUDONYMIZATION, config=rules, now=now)
+    assert [f for f in os.listdir(home) if not f.startswith(".")] == []
+    assert job.published(spark, home).count() == 0
+
+    res = job.run(spark, src, home, mode=FX.MODE_PSEUDONYMIZATION, config=rules, now=now)      # the same run again is whole
+    row = job.published(spark, home).first()
+    assert (row["run_id"], row["output"], row["key"], row["audit"], row["rows"]) == (res.run_id, res.output, res.key, res.audit, 20)
+    assert spark.read.parquet(row["output"]).count() == 20 and not any(f.startswith("_staged") for f in os.listdir(home))
+    with pytest.raises(FileExistsError):
+        job.run(spark, src, home, mode=FX.MODE_PSEUDONYMIZATION, config=rules, now=now)

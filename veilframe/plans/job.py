@@ -6,6 +6,10 @@ row-local projection, with the row count taken by an ``Observation`` in the
 same pass; (3) in Pseudonymization mode the key, one distinct aggregation;
 (4) small audit writes.  Nothing else is written: an Anonymization run leaves no
 original behind.
+
+The outputs are published together: they are written to staged folders that Spark's readers skip, moved to their names when all of
+them are whole, and named by a manifest that is written last.  A run that fails takes its folders away; one whose driver is lost leaves
+no manifest.  Readers go by ``published``.
 """
 
 from __future__ import annotations
@@ -39,6 +43,37 @@ class RunResult:
     config: DataFrame
 
 
+MANIFEST = "run_id string, output string, format string, key string, audit string, rows bigint"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def move_folder(spark: SparkSession, held: str, path: str) -> None:
+    """``held`` under the name ``path``; what an unpublished run left there goes."""
+    drop_folder(spark, path)
+    files, at = _folder(spark, path)
+    if not files.rename(_folder(spark, held)[1], at):
+        raise OSError(f"{held} could not be moved to {path}")
+
+
+def published(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The whole runs under ``output_dir``, one row each: run_id, output, format, key (null without one), audit, rows.
+
+    A run counts from the moment its manifest's job was committed."""
+    at = f"{output_dir.rstrip('/')}/manifest_*/_SUCCESS"
+    files, pattern = _folder(spark, at)
+    done = [str(f.getPath().getParent()) for f in files.globStatus(pattern) or []]      # a path a run
+    return spark.read.schema(MANIFEST).json(done) if done else spark.createDataFrame([], MANIFEST)
+
+
 def load(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     return S.read_csv(spark, path, multiline=multiline) if fmt == "csv" else S.read_parquet(spark, path)
@@ -73,32 +108,40 @@ def run(spark: SparkSession, input_path: str, output_dir: str, profile: str | No
     rules = CF.as_rules(config)
     salt = X.secret_column(spark, salt_file) if salt_file else None
     res = anonymize(df, rules, mode=mode, unicode=unicode, salt=salt, locale=locale, consistent=consistent)
-    obs = Observation("rows")
-    out = res.df.observe(obs, F.count(F.lit(1)).alias("rows"))
     base = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
-    out_path = f"{output_dir.rstrip('/')}/anonymized_{base}_{stamp}"
-    if out_format == "csv":
-        S.write_csv(out, out_path)
-    else:
-        S.write_parquet(out, out_path)
-    rows = int(obs.get["rows"])
-
-    key_path = None
-    if mode == FX.MODE_PSEUDONYMIZATION:      # K5: also where no column got Fake Data
-        key_path = f"{(key_dir or output_dir).rstrip('/')}/pseudo_key_{stamp}"
-        secret = X.secret_column(spark, key_secret_file) if key_secret_file else None
-        K.write_key(res.mapping, key_path, input_path, [r.column for r in rules if r.include], res.fake_columns, now, secret)
-
-    if res.key_folder:
-        drop_folder(spark, res.key_folder)
-
+    home, key_home = output_dir.rstrip("/"), (key_dir or output_dir).rstrip("/")
+    if exists(spark, f"{home}/manifest_{stamp}"):
+        raise FileExistsError(f"{home} has a run {stamp} already")
     run_id = f"run-{stamp}"
-    audit_path = f"{output_dir.rstrip('/')}/audit_{stamp}"
-    counted = spark.createDataFrame([(rows,)], "rows bigint")
-    S.write_audit({
-        "summary": A.audit_summary(counted, run_id, input_path, out_path, mode, profile, rules,
-                                   key_path, now),
-        "columns": A.audit_columns(spark, run_id, rules),
-        "compliance": A.compliance_matrix(spark, rules),
-    }, audit_path)
+    out_path, audit_path = f"{home}/anonymized_{base}_{stamp}", f"{home}/audit_{stamp}"
+    key_path = f"{key_home}/pseudo_key_{stamp}" if mode == FX.MODE_PSEUDONYMIZATION else None      # K5: also where no column got Fake Data
+    staged = {p: f"{os.path.dirname(p)}/_staged_{stamp}/{os.path.basename(p)}" for p in (out_path, key_path, audit_path) if p}
+    try:
+        obs = Observation("rows")
+        out = res.df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        (S.write_csv if out_format == "csv" else S.write_parquet)(out, staged[out_path])
+        rows = int(obs.get["rows"])
+        if key_path:
+            secret = X.secret_column(spark, key_secret_file) if key_secret_file else None
+            K.write_key(res.mapping, staged[key_path], input_path, [r.column for r in rules if r.include], res.fake_columns, now, secret)
+        counted = spark.createDataFrame([(rows,)], "rows bigint")
+        S.write_audit({
+            "summary": A.audit_summary(counted, run_id, input_path, out_path, mode, profile, rules,
+                                       key_path, now),
+            "columns": A.audit_columns(spark, run_id, rules),
+            "compliance": A.compliance_matrix(spark, rules),
+        }, staged[audit_path])
+        for path, held in staged.items():
+            move_folder(spark, held, path)
+        spark.createDataFrame([(run_id, out_path, out_format, key_path, audit_path, rows)], MANIFEST) \
+            .coalesce(1).write.json(f"{home}/manifest_{stamp}")
+    except BaseException:
+        for path in [f"{home}/manifest_{stamp}", *staged]:
+            drop_folder(spark, path)
+        raise
+    finally:
+        for held in staged.values():
+            drop_folder(spark, os.path.dirname(held))
+        if res.key_folder:
+            drop_folder(spark, res.key_folder)
     return RunResult(run_id, out_path, key_path, audit_path, rows, CF.config_df(spark, rules))
