@@ -105,3 +105,12 @@ def test_column_kinds_of_awkward_names_and_none(spark):
     assert {r["column"]: r["kind"] for r in CT.column_kinds(df).collect()} == {"a.b": CT.WHOLE, "c": CT.TEXT}
     assert CT.column_kinds(spark.range(3)).count() == 0
     assert CT.typed(spark.range(3)).columns == ["id"]
+
+
+def test_other_splits_in_the_second_scan_are_an_error(spark, tmp_out, small_splits):
+    _file(f"{tmp_out}/f.csv", [[str(i), '"a\nb"', "c"] for i in range(60)], "\n")
+    df = R.records(spark, tmp_out)
+    for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(n, "300b")
+    with pytest.raises(Exception, match="splits changed"):
+        df.collect()
