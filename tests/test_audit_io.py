@@ -294,3 +294,56 @@ def test_a_run_that_fails_leaves_nothing(spark, tmp_out, monkeypatch, step):
     assert spark.read.parquet(row["output"]).count() == 20 and not any(f.startswith("_staged") for f in os.listdir(home))
     with pytest.raises(FileExistsError):
         job.run(spark, src, home, mode=FX.MODE_PSEUDONYMIZATION, config=rules, now=now)
+
+
+def test_stream_audit_counts_each_batch_once(spark, tmp_out, monkeypatch):
+    from veilframe.operators import audit as A
+    from veilframe.streaming.anonymize import pseudonymize_stream, stream_counts, stream_rows
+    rules = [("name", FX.FULL_NAME, FX.FAKE_DATA), ("note", None, FX.REDACTION), ("gone", None, FX.REDACTION)]
+    schema = "k int, name string, note string, __b_0 string"
+    audit = f"{tmp_out}/audit"
+    assert stream_rows(spark, audit).first()["rows"] == 0 and stream_counts(spark, audit).count() == 0
+
+    def once():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_out}/in")
+        q = pseudonymize_stream(stream.drop("__b_0"), rules, f"{tmp_out}/out", f"{tmp_out}/key", f"{tmp_out}/ck", audit_path=audit)
+        q.awaitTermination(120)
+
+    rows = [(1, "Ann One", "x", "b"), (2, None, " ", "b"), (3, "Bob Two", None, "b"), (4, "  ", "[REDACTED]", "b")]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_out}/in")
+    with monkeypatch.context() as m:      # the driver is lost after the third batch's counts and before its commit: the batch runs again
+        real, calls = A.observed_counts, []
+
+        class Lost:
+            def __init__(self, df):
+                self.write = self
+                self.rows = df
+
+            def coalesce(self, _n):
+                return self
+
+            def mode(self, _m):
+                return self
+
+            def json(self, path):
+                self.rows.coalesce(1).write.mode("overwrite").json(path)
+                raise OSError("lost")
+
+        def counts(*args):
+            calls.append(1)
+            return Lost(real(*args)) if len(calls) == 3 else real(*args)
+
+        m.setattr(A, "observed_counts", counts)
+        with pytest.raises(Exception, match="lost"):
+            once()
+        assert stream_rows(spark, audit).first()["rows"] == 3
+        once()
+        assert len(calls) == 5 and stream_rows(spark, audit).first()["rows"] == 4
+    spark.createDataFrame([(5, "Ann One", "y", "b")], schema).write.mode("append").parquet(f"{tmp_out}/in")
+    once()
+    whole = spark.read.schema(schema).parquet(f"{tmp_out}/in").drop("__b_0")
+    assert sorted(map(tuple, stream_counts(spark, audit).collect())) == sorted(map(tuple, A.change_counts(whole, rules).collect()))
+    assert stream_rows(spark, audit).first()["rows"] == 5
+    summary = A.audit_summary(stream_rows(spark, audit), "r", "in", "out", FX.MODE_PSEUDONYMIZATION, None, rules).first()
+    assert (summary["rows"], summary["cols_modified"]) == (5, 3)

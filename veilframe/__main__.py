@@ -4,7 +4,7 @@
         [--exclude col ...] [--config col=technique[:type] ...] [--format parquet|csv]
         [--chosen col=technique ...] [--drop col ...] [--multiline] [--unicode] [--locale NAME]
         [--salt-file FILE] [--key-secret-file FILE]
-    python -m veilframe detect INPUT [--sample-rows N --key COL]
+    python -m veilframe detect INPUT [--sample-rows N [--key COL]]
 
 Uses the active Spark configuration (spark-submit / SPARK_CONF); on a
 cluster ``spark.checkpoint.dir`` must name a shared folder.

@@ -7,13 +7,13 @@ from __future__ import annotations
 from datetime import datetime
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed as FX
 from veilframe.functions.text import as_text, col, is_blank, sql_string
 from veilframe.operators.config import as_rules
-from veilframe.operators.transform import anonymize
+from veilframe.operators.transform import Anonymized, anonymize
 
 PROCESSED, SKIPPED = "PROCESSED", "SKIPPED"
 
@@ -81,8 +81,11 @@ def compliance_matrix(spark: SparkSession, config) -> DataFrame:
     ).orderBy("technique", "framework", "seq")
 
 
-def change_counts(df: DataFrame, config, **kw) -> DataFrame:
-    """A5: per configured column, rows unchanged / changed / blank before.
+COUNTS = "column string, rows bigint, unchanged bigint, changed bigint, blank bigint"
+
+
+def _measured(df: DataFrame, config, **kw) -> tuple[Anonymized, list[Column]]:
+    """A run over ``df`` that carries the configured cells' texts beside them, and per applied column its counts of unchanged and blank cells.
 
     Before and after are two expressions of one projection: one scan and one
     aggregation, no join."""
@@ -91,17 +94,37 @@ def change_counts(df: DataFrame, config, **kw) -> DataFrame:
                         *[as_text(col(r.column), df.schema[r.column].dataType).alias(f"__b_{i}") for i, r in enumerate(rules)])
     res = anonymize(carried, rules, **kw)
     place = {r.column: i for i, r in enumerate(rules)}
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, r in enumerate(res.applied):
         b, a = F.col(f"__b_{place[r.column]}"), col(r.column)
-        aggs += [F.sum(F.when(b.eqNullSafe(a), 1).otherwise(0)).alias(f"u_{i}"),
-                 F.sum(F.when(is_blank(b), 1).otherwise(0)).alias(f"b_{i}")]
-    if not aggs:
-        return df.sparkSession.createDataFrame(
-            [], "column string, rows bigint, unchanged bigint, changed bigint, blank bigint")
-    wide = res.df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+        aggs += [F.count(F.when(b.eqNullSafe(a), 1)).alias(f"u_{i}"),
+                 F.count(F.when(is_blank(b), 1)).alias(f"b_{i}")]
+    return res, aggs
+
+
+def change_counts(df: DataFrame, config, **kw) -> DataFrame:
+    """A5: per configured column, rows unchanged / changed / blank before."""
+    res, aggs = _measured(df, config, **kw)
+    if not res.applied:
+        return df.sparkSession.createDataFrame([], COUNTS)
+    wide = res.df.agg(*aggs)
     stack = ", ".join(f"{sql_string(r.column)}, u_{i}, b_{i}" for i, r in enumerate(res.applied))
     long = wide.select("rows", F.expr(f"stack({len(res.applied)}, {stack}) AS (column, unchanged, blank)"))
     return long.select("column", F.col("rows").cast("bigint"), F.col("unchanged").cast("bigint"),
                        (F.col("rows") - F.col("unchanged")).cast("bigint").alias("changed"),
                        F.col("blank").cast("bigint"))
+
+
+def observed(df: DataFrame, config, seen: Observation, **kw) -> Anonymized:
+    """A run whose counts (S3, A5) are taken by ``seen`` while its rows are written: no pass of its own."""
+    res, aggs = _measured(df, config, **kw)
+    res.df = res.df.observe(seen, *aggs).select(*[col(c) for c in df.columns])
+    return res
+
+
+def observed_counts(spark: SparkSession, seen: Observation, res: Anonymized) -> DataFrame:
+    """What ``seen`` took, as rows like ``change_counts``'s; the row whose column is null has the number of rows alone."""
+    got = seen.get
+    rows = [(None, got["rows"], None, None, None)]
+    rows += [(r.column, got["rows"], got[f"u_{i}"], got["rows"] - got[f"u_{i}"], got[f"b_{i}"]) for i, r in enumerate(res.applied)]
+    return spark.createDataFrame(rows, COUNTS)

@@ -7,8 +7,8 @@
   ``(column, text)`` and aggregated once: per column the non-empty count and
   one conditional sum per rule.  The group key is the column name, so
   partial aggregation leaves one row per column per task before the shuffle.
-  By default every row is used; ``sample_rows=n`` with a ``key`` uses the
-  first ``n`` non-null cells per column (a per-group top-n, planned as a
+  By default every row is used; ``sample_rows=n`` uses the
+  first ``n`` non-null cells per column by ``key``, or in file order (a per-group top-n, planned as a
   partial + final ``WindowGroupLimit``).
 * Text spans (D12, P16): span counts and span redaction inside long text.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from veilframe.functions import fixed as FX
 from veilframe.functions.text import as_text, col, is_non_empty, py_strip, sql_string, unicode_pattern
 from veilframe.session import spread
+from veilframe.sources import file_order
 
 ATOMIC = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
           T.TimestampNTZType)
@@ -84,19 +85,31 @@ def header_type(name: str, rules=None) -> str | None:
 def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
                 sample_rows: int | None = None) -> DataFrame:
     """Unpivot ``columns`` into ``(column, v)`` text cells (nulls dropped,
-    like ``dropna``).  With ``sample_rows`` keep the first n per column by key."""
+    like ``dropna``).  With ``sample_rows`` keep the first n per column, by key or, without one, in file order
+    (``file_order``: ``df`` must be read from files; only the leading files that hold n cells of a column are read for it)."""
+    if sample_rows is not None and key is None:
+        return first_cells(df, columns, sample_rows)
     texts = [as_text(col(c), df.schema[c].dataType).alias(c) for c in columns]
     ids = [col(key)] if key is not None else []
     long = df.select(*ids, *texts).unpivot(ids, [col(c) for c in columns], "column", "v").where(F.col("v").isNotNull())
     if sample_rows is not None:
-        if key is None:
-            raise ValueError("sample_rows needs a key: rows have no order otherwise")
         w = Window.partitionBy("column").orderBy(col(key))
         long = long.withColumn("_rn", F.row_number().over(w)) \
             .where(F.col("_rn") <= sample_rows).drop("_rn")
     return long.select("column", "v")
 
 
+def first_cells(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The first ``n`` cells (nulls left out) of each column in file order."""
+    present = {c: as_text(col(c), df.schema[c].dataType).isNotNull() for c in columns}
+    cells = None
+    for names, part in file_order.first_parts(df, columns, present, n):
+        place = file_order.fresh_name(df, "__place")
+        part = value_cells(file_order.placed(part, place), names, place, n)
+        cells = part if cells is None else cells.unionByName(part)
+    return cells
+
+
 # --- built-in rules that can match the text of a typed value ------------------
 # Numbers print with digits, '.', '-', '+' and 'e' only (NaN is null
 # here, 'inf' has no digits): Email needs '@', Full Name and ID need
@@ -180,7 +193,8 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, pii_type string")
-    df = spread(df)          # no-op unless a small input sits in fewer files than task slots
+    if sample_rows is None or key is not None:      # file order is the scan's
+        df = spread(df)      # no-op unless a small input sits in fewer files than task slots
     # one unpivot and one aggregation; typed columns evaluate fewer rules
     capable = {c: (None if (unicode or rules is not None) else capable_rules(df.schema[c].dataType))
                for c in columns}

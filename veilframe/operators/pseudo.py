@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from veilframe.functions import fixed as FX
 from veilframe.functions.fakes import DEFAULT_LOCALE, SEED, fake_value
 from veilframe.functions.text import as_text, col, is_blank, py_strip
-from veilframe.operators import lookup, privacy
+from veilframe.operators import key_store, lookup, privacy
 from veilframe.operators.joins import skew_join
+from veilframe.operators.key_store import merged, read_key  # noqa: F401
 
 MAPPING_SCHEMA = "original string, fake string, pii_type string, n bigint"
 
@@ -66,11 +67,6 @@ def build_mapping(df: DataFrame, columns: list[tuple[str, str | None]], existing
     return merged(existing.select("original", "fake", "pii_type", "n").unionByName(fresh))
 
 
-def merged(keys: DataFrame) -> DataFrame:
-    """One row per entry of several keys, or of one key written in several parts."""
-    return keys.groupBy("original", "fake", "pii_type").agg(F.sum("n").cast("bigint").alias("n"))
-
-
 def pseudonymize(df: DataFrame, columns: list[tuple[str, str | None]], existing: DataFrame | None = None,
                  **fake_args) -> tuple[DataFrame, DataFrame]:
     out = df.withColumns({c: fake_column(col(c), t, df.schema[c].dataType, **fake_args) for c, t in columns})
@@ -87,6 +83,11 @@ def restore(df: DataFrame, mapping: DataFrame, columns: list[str], **lookup_args
     return j.select(*out_cols)
 
 
+def restore_from(df: DataFrame, path: str, columns: list[str], secret: Column | None = None, **lookup_args) -> DataFrame:
+    """K6 from a key on disk.  Of a compacted key (``key_store.compact_key``) the buckets are joined as they lie: only the data is shuffled."""
+    return restore(df, read_key(df.sparkSession, path, secret), columns, bucketed=True, **lookup_args)
+
+
 def collisions(mapping: DataFrame) -> DataFrame:
     """K7: fakes shared by more than one original (must be empty)."""
     return mapping.groupBy("fake").agg(F.countDistinct("original").alias("originals")) \
@@ -138,14 +139,9 @@ def write_key(mapping: DataFrame, path: str, source_file: str = "", configured_c
     """
     rows = mapping.select("original", "fake", "pii_type", "n")
     rows = rows if secret is None else privacy.encrypt_key(rows, secret)
+    key_store.drop_versions(rows.sparkSession, path)
     rows.write.mode("overwrite").parquet(f"{path}/mapping")
     written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/mapping")
     meta = key_metadata(written, source_file, configured_cols or [], fake_cols or [], generated_at)
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
     return written
-
-
-def read_key(spark: SparkSession, path: str, secret: Column | None = None) -> DataFrame:
-    """A key written by ``write_key`` or by a stream (whose parts are merged)."""
-    rows = spark.read.parquet(f"{path}/mapping").select("original", "fake", "pii_type", "n")
-    return merged(rows if secret is None else privacy.decrypt_key(rows, secret))

@@ -21,6 +21,7 @@ from veilframe.functions.text import as_text, col
 from veilframe.operators import lookup, pseudo, value_key
 from veilframe.operators.config import ColumnRule, as_rules
 from veilframe.session import scratch_path, spread
+from veilframe.sources import file_order
 
 
 @dataclass
@@ -98,19 +99,24 @@ def anonymize(df: DataFrame, config, mode: str = FX.MODE_ANONYMIZATION,
     return Anonymized(out, df, applied, skipped, existing_mapping, fake_args, key, folder)
 
 
-def preview(df: DataFrame, config, key: str, n: int = FX.PREVIEW_ROWS, **kw) -> DataFrame:
-    """The first ``n`` rows by ``key``, before and after.
+def preview(df: DataFrame, config, key: str | None = None, n: int = FX.PREVIEW_ROWS, **kw) -> DataFrame:
+    """The first ``n`` rows by ``key``, or in file order without one, before and after.
 
     The limit is the feature here (a preview); it is applied before the
-    transform, so only ``n`` rows are ever transformed.  Output: ``key``,
+    transform, so only ``n`` rows are ever transformed.  Output: ``key`` (without one: ``row``, the row's number from 1),
     then for each changed column ``<col>_before`` and ``<col>_after``.
     """
     rules = [r for r in as_rules(config) if r.include and r.column in df.columns]
-    head = df.orderBy(col(key)).limit(n)
+    shown = key or "row"
+    if key is None:
+        key = file_order.fresh_name(df, "__row")
+        head = file_order.first_rows(df, n, key)
+    else:
+        head = df.orderBy(col(key)).limit(n)
     head = head.select("*", *[col(r.column).cast("string").alias(f"__before_{r.column}")
                               for r in rules])
     res = anonymize(head, rules, spread_input=False, **kw)
-    cols = [col(key)]
+    cols = [col(key).alias(shown)]
     for r in res.applied:
         cols += [col(f"__before_{r.column}").alias(f"{r.column}_before"),
                  col(r.column).alias(f"{r.column}_after")]

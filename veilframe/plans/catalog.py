@@ -17,6 +17,7 @@ from veilframe.operators import audit as A
 from veilframe.operators import config as CF
 from veilframe.operators import detect as D
 from veilframe.operators import privacy as X
+from veilframe.operators import key_store as KS
 from veilframe.operators import pseudo as K
 from veilframe.operators.transform import anonymize, preview
 from veilframe.plans import job as J
@@ -26,7 +27,7 @@ from veilframe.plans.people import (OPAQUE_NAMES, PEOPLE_COLUMNS, people_df, peo
 from veilframe.plans.registry import QUERIES, SQL, register  # noqa: F401
 from veilframe.session import read_table, scratch_path, spread
 from veilframe.sources import files as S
-from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream, table_stream,
+from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream, stream_counts, stream_rows, table_stream,
                                            wait, write_stream_files)
 
 
@@ -800,4 +801,61 @@ def stream_pseudonymize(spark, sf_dir):
     return K.restore(out, K.read_key(spark, f"{base}/key"), ["restored"])
 
 
+AUDITED = [*STREAM_RULES[1:], ("user_id", FX.STUDENT_ID, FX.FAKE_DATA)]
+
+
+def _stream_audit_sql() -> str:
+    after = {"ts": O.technique("CAST(ts AS VARCHAR)", FX.GENERALIZATION, FX.DOB), "props": O.technique("props", FX.REDACTION, None),
+             "user_id": f"CASE WHEN {O.blank('CAST(user_id AS VARCHAR)')} THEN CAST(user_id AS VARCHAR) ELSE {O.fake_value(FX.STUDENT_ID, 'CAST(user_id AS VARCHAR)')} END"}
+    parts = []
+    for c, _t, _tech in AUDITED:
+        b = f"CAST({c} AS VARCHAR)"
+        parts.append(f"SELECT {O.q(c)} AS \"column\", CAST(count(*) AS BIGINT) AS rows, "
+                     f"CAST(count(*) FILTER ({b} IS NOT DISTINCT FROM {after[c]}) AS BIGINT) AS unchanged, "
+                     f"CAST(count(*) FILTER ({b} IS DISTINCT FROM {after[c]}) AS BIGINT) AS changed, "
+                     f"CAST(count(*) FILTER ({O.blank(b)}) AS BIGINT) AS blank, (SELECT CAST(count(*) AS BIGINT) FROM events) AS all_rows FROM events")
+    return " UNION ALL ".join(parts)
+
+
+@register("stream_audit", _stream_audit_sql())
+def stream_audit(spark, sf_dir):
+    """S3, A1, A5 of a stream: the counts that its batches wrote beside their rows."""
+    base = scratch_path(spark, "stream-audit")
+    wait(pseudonymize_stream(table_stream(spark, sf_dir, "events.parquet"), AUDITED, f"{base}/out", f"{base}/key", f"{base}/checkpoint",
+                             audit_path=f"{base}/audit"))
+    total = stream_rows(spark, f"{base}/audit").select(F.col("rows").alias("all_rows"))
+    return stream_counts(spark, f"{base}/audit").crossJoin(F.broadcast(total))      # one row
+
+
+@register("restore_compacted", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id FROM events")
+def restore_compacted(spark, sf_dir):
+    """A key of a stream's parts is compacted, and the buckets undo the stream's output."""
+    base = scratch_path(spark, "restore-compacted")
+    wait(pseudonymize_stream(table_stream(spark, sf_dir, "events.parquet"), [("user_id", FX.STUDENT_ID, FX.FAKE_DATA)],
+                             f"{base}/out", f"{base}/key", f"{base}/checkpoint"))
+    KS.compact_key(spark, f"{base}/key")
+    KS.drop_covered(spark, f"{base}/key")
+    out = spark.read.parquet(f"{base}/out").select("event_id", "user_id")
+    return K.restore_from(out, f"{base}/key", ["user_id"], broadcast_bytes=0)
+
+
+IN_FILE_ORDER = "SELECT *, row_number() OVER () AS file_row FROM {}"
+CUSTOMER_CELLS = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+
+
+@register("detect_values_file_order", O.value_types(IN_FILE_ORDER.format("customer"), CUSTOMER_CELLS, key="file_row", sample_rows=FX.DEFAULT_SAMPLE_ROWS))
+def detect_values_file_order(spark, sf_dir):
+    """D5 without a key: the first cells as they lie in the files."""
+    return D.detect_values(read_table(spark, sf_dir, "customer"), CUSTOMER_CELLS, sample_rows=FX.DEFAULT_SAMPLE_ROWS)
+
+
+@register("preview_file_order",
+          "SELECT file_row AS row, " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}_before, {O.technique(f'CAST({c} AS VARCHAR)', tech, t)} AS {c}_after"
+                                                 for c, t, tech in STREAM_RULES)
+          + f" FROM ({IN_FILE_ORDER.format('events')}) e WHERE file_row <= {FX.PREVIEW_ROWS}")
+def preview_file_order(spark, sf_dir):
+    """S4, P15 without a key."""
+    return preview(read_table(spark, sf_dir, "events"), STREAM_RULES)
+
+
 from veilframe.plans import catalog_protect  # noqa: E402, F401 - registers its queries beside these

@@ -99,6 +99,11 @@ def _scan(df):
     return plan if plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation") else None
 
 
+def is_file_scan(df) -> bool:
+    """Whether ``df`` is a row-local projection of one scan of files."""
+    return not df.isStreaming and hasattr(df, "_jdf") and _scan(df) is not None
+
+
 def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
     """Round-robin ``df`` over all task slots before CPU-heavy row work
     (regex scans, hashing) when its scan cannot use them: a scan of few
