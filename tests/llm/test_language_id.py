@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from veilframe.llm import language_id as L
@@ -114,3 +115,22 @@ def test_a_language_without_a_letter_trigram_of_its_own(spark):
     data = [(i, "the cat and the dog", "en", None, None) for i in range(30)] + [(99, "😀" * 30 + "word", "xx", None, None), (98, "\U00010400" * 5, "yy", None, None)]
     got = {r.id: r.language for r in L.identify(spark.createDataFrame(data, ROW)).collect()}
     assert got[0] == "en" and len(got) == 32
+
+
+def test_the_sample_is_the_smallest_hashes_whatever_the_bound(spark, monkeypatch):
+    rows = spark.range(30_000).select("id", F.concat(F.lit("word"), (F.col("id") % 9_000).cast("string")).alias("text"),
+                                      F.when(F.col("id") % 10 == 0, "fr").otherwise("en").alias("declared"))
+    rows = rows.unionByName(rows.where("id < 500"))      # repeated rows count once
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text")).distinct().toPandas()
+    want = {(d, i) for d, g in hashed.groupby("declared") for i in g.nsmallest(1000, "hash")["id"]}
+    for margin in (4, 1, 0.5):      # the smaller, the more often too few lie under the bound
+        monkeypatch.setattr(L, "MARGIN", margin)
+        got = L.sampled(rows, ["en", "fr"]).collect()
+        assert {(r["declared"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pages_use_host_and_suffix(spark):
+    rows = QUERIES["pages_language_id"](spark, SF)
+    assert rows.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert rows.where("kept").count() > 0
+    assert L.page_rows(spark.read.parquet(f"{SF}/pages.parquet")).where("suffix IS NOT NULL").count() > 0

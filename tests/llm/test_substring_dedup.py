@@ -61,3 +61,12 @@ def test_the_largest_id_stays_itself(make_docs):
     top = 2 ** 63 - 1
     got = S.remove_repeats(make_docs([(top, "a b c d"), (1, "a b c"), (None, "x a b c"), (top - 1, "a b c")]), 3).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == sorted([(str(top), 3), ("1", 0), ("None", 3), (str(top - 1), 3)])
+
+
+def test_slices_follow_the_text(spark, monkeypatch, make_docs):
+    from veilframe.llm import substring_dedup as D
+    texts = {k: " ".join(f"w{(k % 3) * 40 + j}" for j in range(60)) for k in range(12)}
+    few = sorted(map(tuple, D.remove_repeats(make_docs(list(texts.items()))).select("doc_id", "n_words", "n_removed", "text").collect()))
+    monkeypatch.setattr(D, "SLICE_BYTES", 7)      # more slices than windows
+    many = sorted(map(tuple, D.remove_repeats(make_docs(list(texts.items()))).select("doc_id", "n_words", "n_removed", "text").collect()))
+    assert few == many and sum(r[2] for r in few) > 0

@@ -21,6 +21,8 @@ from veilframe.llm.base import Tables, map_texts
 
 SAMPLE_ROWS = 2_000        # rows the text model is fitted on, in equal parts by language
 LEAST_ROWS = 20            # of each language, if it has as many
+MARGIN = 4                 # times the wanted rows of a language that are expected under its first bound
+LAST = 2**63 - 1           # no hash is larger
 BINS = 1 << 16
 TRUST = 0.9                # probability that a declared language is right
 STRENGTH = 20.0            # rows that a smoothed prior weighs
@@ -121,13 +123,30 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
 
 
+def _of(values: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("declared"))
+
+
+def _last_hashes(hashed: DataFrame, under: dict[str, int], each: int) -> dict[str, tuple[int, int]]:
+    """Per declared language how many of its ``each`` smallest different hashes lie under its bound, and the last of them."""
+    near = hashed.where(F.col("hash") <= _of(under)).select("declared", "hash").distinct()  # about MARGIN * each a language
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("declared").orderBy("hash"))).where(F.col("rank") <= each)
+    found = {r.declared: (r.n, r.last) for r in ranked.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.max("hash").alias("last")).collect()}
+    return {d: found.get(d, (0, -2**63)) for d in under}
+
+
 def sampled(lettered: DataFrame, languages: list[str]) -> DataFrame:
     """(id, declared, whole text) of as many rows of each language, those of the smallest hashes; repeated rows count once."""
     each = max(SAMPLE_ROWS // len(languages), LEAST_ROWS)
     hashed = lettered.where(F.col("declared").isin(languages)).withColumn("hash", F.xxhash64("id", "text"))
-    ranked = hashed.select("declared", "hash").distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy("declared").orderBy("hash")))
-    last = {r.declared: r.last for r in ranked.where(F.col("rank") <= each).groupBy("declared").agg(F.max("hash").alias("last")).collect()}
-    bound = F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("declared"))
+    # a language's smallest hashes lie under a bound that its number of different rows gives: one mergeable aggregation, no task for a language's rows
+    different = hashed.groupBy("declared").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    under = {r.declared: int(-2**63 + 2**64 * min(1.0, MARGIN * each / r.n)) if r.n > MARGIN * each else LAST for r in different}
+    last = _last_hashes(hashed, under, each)
+    short = {d: LAST for d, (n, _hash) in last.items() if n < each and under[d] != LAST}
+    if short:  # fewer than wanted lie under the bound: all of the language's rows are looked at
+        last |= _last_hashes(hashed.where(F.col("declared").isin(list(short))), short, each)
+    bound = _of({d: h for d, (_n, h) in last.items()})
     taken = hashed.where(F.col("hash") <= bound).select("id", "declared", "text")
     return taken.distinct().orderBy("declared", "id", "text")
 

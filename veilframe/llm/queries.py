@@ -77,6 +77,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(language_id.document_rows(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+@query
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over web pages, whose markup and addresses give all its evidence."""
+    return language_id.identify(language_id.page_rows(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

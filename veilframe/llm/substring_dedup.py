@@ -25,6 +25,7 @@ from veilframe.llm.base import map_texts, mix, powers, word_hashes
 
 WINDOW = 20
 CHUNK = 400_000                   # windows that one task sorts at a time
+SLICE_BYTES = 64 * 1024 * 1024    # text whose windows one slice of the hash range takes on average
 NO_ID = np.iinfo(np.int64).max    # place of a null doc_id in the order of documents: that of the largest id
 
 
@@ -96,8 +97,10 @@ def _entries(docs: DataFrame, size: int, slices: int, buckets: int) -> DataFrame
         out["slice"] = out["bucket"] % slices
         lead = np.concatenate([[True], h[1:] != h[:-1]])
         h, d = h[lead], d[lead]
-        cuts = np.searchsorted(h, bounds)
-        parts = [(None, _pack(y), _pack_sorted(x), k) for k, (x, y) in enumerate(zip(np.split(h, cuts), np.split(d, cuts), strict=True)) if len(x)]
+        held_by = np.searchsorted(bounds, h, side="right")
+        cuts = np.flatnonzero(held_by[1:] != held_by[:-1]) + 1
+        own = held_by[np.concatenate([[0], cuts])] if len(h) else []      # slices that have a window here
+        parts = [(None, _pack(y), _pack_sorted(x), int(k)) for k, x, y in zip(own, np.split(h, cuts), np.split(d, cuts), strict=True)] if len(h) else []
         both = pd.concat([out.astype(object), pd.DataFrame(parts, columns=out.columns, dtype=object)], ignore_index=True)
         return both.astype({"slice": "int32", "bucket": "Int32"})
 
@@ -172,11 +175,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, slices: int | None = Non
     earlier start) is removed.  ``spans`` are the removed word intervals; ``text`` is the input without them, other white
     space kept.  A null text stays null and has no words.  Rows of equal doc_id don't remove each other's words.  A null
     doc_id counts as the largest possible one (2**63 - 1).  An empty table gives no rows.  ``slices`` of the hash
-    range, and a quarter as many buckets of documents, bound a task's memory: four times spark.sql.shuffle.partitions unless given.
+    range, and a quarter as many buckets of documents, bound a task's memory: unless given, four times spark.sql.shuffle.partitions
+    or one for 64 MiB of text (about 11 million windows), whichever are more.
     """
     spark = docs.sparkSession
     carry = carry or []
-    slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        size_of = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        slices = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of // SLICE_BYTES))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"),
                         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     buckets = max(1, slices // 4)
