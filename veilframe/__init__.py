@@ -17,11 +17,12 @@ from veilframe.operators.config import (ColumnRule, add_manual, apply_overrides,
                                         build_config, resolve, technique_for)
 from veilframe.operators.detect import detect, detect_headers, detect_values, span_counts  # noqa: F401
 from veilframe.operators.joins import skew_join  # noqa: F401
+from veilframe.operators.key_store import compact_key, drop_covered  # noqa: F401
 from veilframe.operators.pseudo import (build_mapping, collisions, hash_link, read_key,  # noqa: F401
-                                        restore, write_key)
+                                        restore, restore_from, write_key)
 from veilframe.operators.spans import protect_spans, span_mapping, span_table  # noqa: F401
 from veilframe.operators.transform import anonymize, config_errors, preview  # noqa: F401
 from veilframe.operators.value_key import domain_use, value_mapping  # noqa: F401
 from veilframe.plans.job import run  # noqa: F401
 from veilframe.streaming.anonymize import (anonymize_stream, pseudonymize_stream,  # noqa: F401
-                                           table_stream, write_stream_files)
+                                           stream_counts, stream_rows, table_stream, write_stream_files)
