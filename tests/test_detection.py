@@ -138,3 +138,13 @@ def test_typed_columns_same_as_text(spark):
     fast = {r["column"]: r["pii_type"] for r in D.detect_values(df).collect()}
     slow = {r["column"]: r["pii_type"] for r in D.detect_values(as_text).collect()}
     assert fast == slow and fast["d"] == FX.DOB
+
+
+def test_a_sample_by_key_sorts_no_input(spark):
+    df = spark.range(500, numPartitions=3).select((F.lit(499) - F.col("id")).alias("k"),
+                                                  F.when(F.col("id") < 490, F.concat(F.col("id").cast("string"), F.lit("@x.org"))).alias("a"),
+                                                  F.when(F.col("id") == 7, "seven").alias("b"))
+    cells = D.value_cells(df, ["a", "b"], key="k", sample_rows=3)
+    assert sorted(map(tuple, cells.collect())) == [("a", "487@x.org"), ("a", "488@x.org"), ("a", "489@x.org"), ("b", "seven")]
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Sort [" not in plan and "Window" not in plan

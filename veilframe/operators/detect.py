@@ -8,15 +8,16 @@
   one conditional sum per rule.  The group key is the column name, so
   partial aggregation leaves one row per column per task before the shuffle.
   By default every row is used; ``sample_rows=n`` uses the
-  first ``n`` non-null cells per column by ``key``, or in file order (a per-group top-n, planned as a
-  partial + final ``WindowGroupLimit``).
+  first ``n`` non-null cells per column by ``key``, or in file order (a top-n of each column over that
+  column and the key alone, planned as ``TakeOrderedAndProject``: a task holds ``n`` cells and sorts no input).
 * Text spans (D12, P16): span counts and span redaction inside long text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,14 +90,13 @@ def value_cells(df: DataFrame, columns: list[str], key: str | None = None,
     (``file_order``: ``df`` must be read from files; only the leading files that hold n cells of a column are read for it)."""
     if sample_rows is not None and key is None:
         return first_cells(df, columns, sample_rows)
-    texts = [as_text(col(c), df.schema[c].dataType).alias(c) for c in columns]
-    ids = [col(key)] if key is not None else []
-    long = df.select(*ids, *texts).unpivot(ids, [col(c) for c in columns], "column", "v").where(F.col("v").isNotNull())
+    texts = {c: as_text(col(c), df.schema[c].dataType) for c in columns}
     if sample_rows is not None:
-        w = Window.partitionBy("column").orderBy(col(key))
-        long = long.withColumn("_rn", F.row_number().over(w)) \
-            .where(F.col("_rn") <= sample_rows).drop("_rn")
-    return long.select("column", "v")
+        firsts = [df.select(col(key).alias("_key"), texts[c].alias("v")).where(F.col("v").isNotNull()).orderBy("_key").limit(sample_rows)
+                  .select(F.lit(c).alias("column"), "v") for c in columns]
+        return reduce(DataFrame.unionByName, firsts)
+    long = df.select(*[t.alias(c) for c, t in texts.items()]).unpivot([], [col(c) for c in columns], "column", "v")
+    return long.where(F.col("v").isNotNull())
 
 
 def first_cells(df: DataFrame, columns: list[str], n: int) -> DataFrame:
@@ -193,7 +193,7 @@ def detect_values(df: DataFrame, columns: list[str] | None = None, rules=None,
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, pii_type string")
-    if sample_rows is None or key is not None:      # file order is the scan's
+    if sample_rows is None:      # a sample is a top-n of keys: no row work to spread
         df = spread(df)      # no-op unless a small input sits in fewer files than task slots
     # one unpivot and one aggregation; typed columns evaluate fewer rules
     capable = {c: (None if (unicode or rules is not None) else capable_rules(df.schema[c].dataType))
