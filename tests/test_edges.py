@@ -179,3 +179,23 @@ def test_rows_below_k_with_hot_class_and_nulls(spark):
     from pyspark.sql import Window
     ref = df.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("a", "b"))).where("k < 6")
     assert _sorted(got.select("id", "a", "b", "k")) == _sorted(ref.select("id", "a", "b", "k"))
+
+
+def test_a_broadcast_join_does_not_hide_a_small_scan(spark, tmp_out):
+    spark.range(100).selectExpr("id", "id % 3 AS n").coalesce(1).write.parquet(f"{tmp_out}/one")
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "n bigint, name string")
+    joined = spark.read.parquet(f"{tmp_out}/one").join(F.broadcast(names), "n", "left").select("id", "name")
+    out = spread(joined)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+    assert "Sort [" not in out._jdf.queryExecution().executedPlan().toString()
+    shuffled = spark.read.parquet(f"{tmp_out}/one").join(names, "n", "left")
+    assert spread(shuffled) is shuffled
+
+
+def test_a_fake_hashes_its_value_once(spark):
+    df = spark.createDataFrame([(" Ali Khan ",), ("",), (None,)], "v string")
+    for t in [r[1] for r in FX.PII_RULES] + [None]:
+        out = anonymize(df, [("v", t, FX.FAKE_DATA)]).df
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+        assert [r["v"] for r in out.collect()][1:] == ["", None]

@@ -74,9 +74,13 @@ def _letters(h: Column) -> Column:
     return F.translate(_hex(h), "0123456789abcdef", "abcdefghijklmnop")
 
 
+def _padded(n: Column, width: int) -> Column:
+    return F.lpad(n.cast("string"), width, "0")
+
+
 def _digits(h: Column) -> Column:
     """104 bits as 32 decimal digits: two numbers of 13 hex digits."""
-    return F.concat(F.format_string("%016d", _number(h, 33, 13)), F.format_string("%016d", _number(h, 46, 13)))
+    return F.concat(_padded(_number(h, 33, 13), 16), _padded(_number(h, 46, 13), 16))
 
 
 def fake_name(h: Column, pools: dict) -> Column:
@@ -124,7 +128,7 @@ def fake_ip(h: Column, pools: dict) -> Column:
 def fake_code(h: Column, pools: dict) -> Column:
     """Other types: two letters, two digits, '-', two letters, two digits, '-', letters."""
     t = F.upper(_letters(h))
-    two = [F.format_string("%02d", _number(h, at, 6) % 100) for at in (1, 7)]
+    two = [_padded(_number(h, at, 6) % 100, 2) for at in (1, 7)]
     return F.concat(F.substring(t, 1, 2), two[0], F.lit("-"), F.substring(t, 3, 2), two[1], F.lit("-"), t)
 
 
@@ -146,4 +150,7 @@ def fake_value(pii_type: str | None, original: Column, locale: str = DEFAULT_LOC
     """The fake of a non-blank, stripped text."""
     if locale not in LOCALES:
         raise ValueError(f"unknown locale {locale!r}; known: {sorted(LOCALES)}")
-    return _BY_TYPE.get(pii_type, fake_code)(fake_hash(original, seed), LOCALES[locale])
+    shape, pools = _BY_TYPE.get(pii_type, fake_code), LOCALES[locale]
+    # as a function over an array of one: the shape uses the hash many times and it is worked out once, and the compiled stage stays
+    # small enough for the JIT
+    return F.get(F.transform(F.array(fake_hash(original, seed)), lambda h: shape(h, pools)), 0)

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -91,11 +92,26 @@ SPREAD_MAX_BYTES = 4 * 1024 ** 3      # never add a shuffle for inputs above thi
 _ROW_LOCAL = {"Project", "Filter", "SubqueryAlias", "View"}
 
 
-def _scan(df):
-    """The file scan that ``df`` is a row-local projection of, else None.  Reads the plan only: no job, no listing."""
+def _streamed(join):
+    """The side of a join whose other side is hinted as broadcast, else None: its rows stay in the scan's splits."""
+    sides = [join.children().apply(i) for i in range(2)]
+    small = [s.nodeName() == "ResolvedHint" and "broadcast" in s.hints().toString() for s in sides]
+    return sides[small.index(False)] if sum(small) == 1 else None
+
+
+def _scan(df, joins: bool = False):
+    """The file scan that ``df`` is a row-local projection of, with ``joins`` also over broadcast joins, else None.  Reads the plan
+    only: no job, no listing."""
     plan = df._jdf.queryExecution().analyzed()
-    while plan.children().size() == 1 and plan.nodeName() in _ROW_LOCAL:
-        plan = plan.children().head()
+    while plan is not None:
+        if plan.children().size() == 1 and plan.nodeName() in _ROW_LOCAL:
+            plan = plan.children().head()
+        elif joins and plan.children().size() == 2 and plan.nodeName() == "Join":
+            plan = _streamed(plan)
+        else:
+            break
+    if plan is None:
+        return None
     return plan if plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation") else None
 
 
@@ -105,20 +121,19 @@ def is_file_scan(df) -> bool:
 
 
 def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
-    """Round-robin ``df`` over all task slots before CPU-heavy row work
+    """``df`` dealt out over all task slots before CPU-heavy row work
     (regex scans, hashing) when its scan cannot use them: a scan of few
     files (a parquet row group is the unit of scan parallelism) whose size
-    statistic is below ``max_bytes``, so the added shuffle is bounded.  Large inputs, and those behind a shuffle or
-    not read from files, are returned unchanged: they are spread already."""
+    statistic is below ``max_bytes``, so the added shuffle is bounded; broadcast joins leave rows in the scan's splits.  Large inputs, and
+    those behind a shuffle or not read from files, are returned unchanged: they are spread already."""
     if df.isStreaming or not hasattr(df, "_jdf"):
         return df
-    scan = _scan(df)
+    scan = _scan(df, joins=True)
     if scan is None or int(str(scan.stats().sizeInBytes())) > max_bytes:
         return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     if len(scan.relation().location().inputFiles()) >= slots:      # only the length leaves the JVM
         return df
-    # round-robin: no partition expressions, so columns the caller never uses
-    # are still pruned at the scan (Spark sorts rows before a round-robin
-    # repartition, so retried tasks send every row to the same place)
-    return df.repartition(slots)
+    # by row number: columns the caller never uses are still pruned at the scan, and unlike a round-robin no task sorts its rows
+    # first (a scan gives a retried task the same rows in the same order, so every row goes to the same place)
+    return df.repartition(slots, F.monotonically_increasing_id())
