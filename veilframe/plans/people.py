@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.session import read_table
+from veilframe.session import read_table, spread
 
 # --- name pools and blank injection of the fixture ----------------------------
 FIRST = ["Ali", "Sana", "Omar", "Hina", "Bilal", "Zara", "Usman", "Nida", "Imran", "Maria"]
@@ -49,7 +49,7 @@ def _blank_injected(k: Column, v: Column) -> Column:
 
 def people_df(spark: SparkSession, sf_dir: str, blanks: bool = True,
               two_names: bool = False) -> DataFrame:
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    cust = spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))     # three narrow columns
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     # nation is a fixed 25-row dimension: broadcast is size-bounded by definition.
     j = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
